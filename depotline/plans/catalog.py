@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotline.operators import listings as L
 from depotline.operators import reports as R
 from depotline.plans.oracle import REPORT_BRANCH, REPORT_END, REPORT_START
 from depotline.sources.fixture import fixture_tables
@@ -79,3 +80,36 @@ _report("r17_qty_transferred_per_branch", R.r17_qty_transferred_per_branch)
 _report("r18_qty_transferred_per_product", R.r18_qty_transferred_per_product)
 _report("r19_warehouse_out_of_stock", R.r19_warehouse_out_of_stock, dated=False)
 _report("r20_branch_out_of_stock", R.r20_branch_out_of_stock, dated=False)
+
+
+# ----------------------------------------------------------------------- lists
+register("l01_active_sales")(lambda t: L.sales_list(t, "active"))
+register("l02_deleted_sales")(lambda t: L.sales_list(t, "deleted"))
+register("l03_sale_lines")(L.sale_lines_list)
+register("l04_active_purchases")(lambda t: L.purchases_list(t, "active"))
+register("l05_deleted_purchases")(lambda t: L.purchases_list(t, "deleted"))
+register("l06_purchase_lines")(L.purchase_lines_list)
+register("l06_purchase_totals")(L.purchase_totals)
+register("l07_transfers")(L.transfers_list)
+register("l08_transfer_lines")(L.transfer_lines_list)
+register("l09_unpaid_purchases")(L.unpaid_purchases)
+register("l10_completed_purchases")(L.completed_purchases)
+register("l11_payment_statement")(L.payment_statement)
+register("l11_payment_statement_all_lines")(lambda t: L.payment_statement(t, include_deleted_lines=True))
+register("l12_active_payments")(lambda t: L.payments_list(t, "active"))
+register("l12_deleted_payments")(lambda t: L.payments_list(t, "deleted"))
+register("l13_warehouse_stock")(L.warehouse_stock_view)
+register("l14_branch_stock")(L.branch_stock_view)
+register("l15_sellable_products")(L.sellable_products)
+register("l16_own_line_availability")(L.own_line_availability)
+register("l17_transferable_products")(L.transferable_products)
+register("l18_active_products")(lambda t: L.products_list(t, "active"))
+register("l18_deleted_products")(lambda t: L.products_list(t, "deleted"))
+register("l19_active_employees")(lambda t: L.employees_list(t, "active"))
+register("l19_deleted_employees")(lambda t: L.employees_list(t, "deleted"))
+register("l20_active_suppliers")(lambda t: L.suppliers_list(t, "active"))
+register("l20_deleted_suppliers")(lambda t: L.suppliers_list(t, "deleted"))
+register("l21_active_branches")(lambda t: L.branches_list(t, "active"))
+register("l21_deleted_branches")(lambda t: L.branches_list(t, "deleted"))
+register("l22_warehouses")(L.warehouses_list)
+register("l22_customers")(L.customers_list)
