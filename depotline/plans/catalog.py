@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotline.functions.flags import active
+from depotline.operators import ingest as I
+from depotline.operators import lifecycle as LC
 from depotline.operators import listings as L
+from depotline.operators import quality as Q
+from depotline.operators import stock as S
 from depotline.operators import reports as R
 from depotline.plans.oracle import REPORT_BRANCH, REPORT_END, REPORT_START
 from depotline.sources.fixture import fixture_tables
@@ -113,3 +118,120 @@ register("l21_active_branches")(lambda t: L.branches_list(t, "active"))
 register("l21_deleted_branches")(lambda t: L.branches_list(t, "deleted"))
 register("l22_warehouses")(L.warehouses_list)
 register("l22_customers")(L.customers_list)
+
+
+# ---------------------------------------------------- stock, lifecycle, quality
+# Batches are derived from the tables themselves, so every job runs over all of
+# them: re-post every document once more, delete every active one, recover
+# every deleted one.  Re-posted documents get ids shifted by NEW_ID_OFFSET.
+NEW_ID_OFFSET = 10 ** 12
+
+
+def _ids_of(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col))
+
+
+@register("x01_stock_reconcile")
+def _x01(t: Tables) -> DataFrame:
+    return S.reconcile(t)
+
+
+@register("w04_post_purchases_stock")
+def _w04(t: Tables) -> DataFrame:
+    heads = active(t.purchase).select((F.col("purchase_id") + NEW_ID_OFFSET).alias("purchase_id"), "employee_id",
+                                      "warehouse_id", "supplier_id", "purchase_date")
+    lines = active(t.purchase_detail).select((F.col("purchase_id") + NEW_ID_OFFSET).alias("purchase_id"),
+                                             "product_id", "quantity",
+                                             F.col("kg_price_at_purchase_time").alias("price"))
+    return LC.post_purchases(t, heads, lines).tables.warehouse_stock
+
+
+@register("w06_post_sales_stock")
+def _w06(t: Tables) -> DataFrame:
+    heads = active(t.sale).select((F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "customer_id", "branch_id",
+                                  "employee_id", "sale_date", "payment_method")
+    lines = active(t.sale_detail).select((F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "product_id",
+                                         "quantity", F.col("kg_price_at_sale_time").alias("price"))
+    return LC.post_sales(t, heads, lines).tables.branch_stock
+
+
+def _retransfer(t: Tables) -> LC.JobResult:
+    heads = t.transfer.select((F.col("transfer_id") + NEW_ID_OFFSET).alias("transfer_id"), "warehouse_id",
+                              "branch_id", "employee_id", "transfer_date")
+    lines = t.transfer_detail.select((F.col("transfer_id") + NEW_ID_OFFSET).alias("transfer_id"), "product_id",
+                                     "quantity")
+    return LC.post_transfers(t, heads, lines)
+
+
+register("w03_transfer_admission")(lambda t: _retransfer(t).decisions)
+register("w05_post_transfers_branch_stock")(lambda t: _retransfer(t).tables.branch_stock)
+register("w08_delete_purchases")(
+    lambda t: LC.delete_purchases(t, _ids_of(active(t.purchase), "purchase_id")).decisions)
+register("w09_recover_purchases")(
+    lambda t: LC.recover_purchases(t, _ids_of(t.purchase.where(F.col("is_deleted") == 1), "purchase_id")).decisions)
+register("w09_recover_purchases_stock")(
+    lambda t: LC.recover_purchases(t, _ids_of(t.purchase.where(F.col("is_deleted") == 1),
+                                              "purchase_id")).tables.warehouse_stock)
+register("w10_delete_sales_stock")(
+    lambda t: LC.delete_sales(t, _ids_of(active(t.sale), "sale_id")).tables.branch_stock)
+register("w11_recover_sales")(
+    lambda t: LC.recover_sales(t, _ids_of(t.sale.where(F.col("is_deleted") == 1), "sale_id")).decisions)
+register("w12_delete_transfers")(lambda t: LC.delete_transfers(t, _ids_of(t.transfer, "transfer_id")).decisions)
+
+
+@register("w13_edit_sales_reprice")
+def _w13(t: Tables) -> DataFrame:
+    """Edit every active sale: same products and quantities at today's sale price."""
+    heads = active(t.sale).select("sale_id", "customer_id", "sale_date", "payment_method")
+    lines = (active(t.sale_detail).select("sale_id", "product_id", "quantity")
+             .join(t.product.select("product_id", F.col("sale_price_per_kg").alias("price")), "product_id"))
+    new = LC.edit_sales(t, heads, lines).tables
+    return L.sales_list(new, "active").select("sale_id", "total")
+
+
+@register("w14_edit_purchases")
+def _w14(t: Tables) -> DataFrame:
+    """Edit every active purchase to the same lines at the product's purchase price."""
+    heads = active(t.purchase).select("purchase_id", "supplier_id", "warehouse_id", "purchase_date")
+    lines = (active(t.purchase_detail).select("purchase_id", "product_id", "quantity")
+             .join(t.product.select("product_id", F.col("purchase_price_per_kg").alias("price")), "product_id"))
+    return LC.edit_purchases(t, heads, lines).decisions
+
+
+@register("w15_edit_transfers")
+def _w15(t: Tables) -> DataFrame:
+    """Edit every transfer keeping its places and lines (checks both stock kinds)."""
+    heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "transfer_date")
+    return LC.edit_transfers(t, heads, t.transfer_detail.select("transfer_id", "product_id", "quantity")).decisions
+
+
+@register("w16_delete_idle_suppliers")
+def _w16(t: Tables) -> DataFrame:
+    """Soft-delete suppliers without any active purchase."""
+    idle = t.supplier.join(active(t.purchase).select("supplier_id"), "supplier_id", "left_anti").select("supplier_id")
+    return LC.set_deleted(t, "supplier", idle).supplier
+
+
+@register("w18_delete_customers_without_email")
+def _w18(t: Tables) -> DataFrame:
+    gone = t.customer.where(F.col("email").isNull()).select("customer_id")
+    return LC.delete_customers(t, gone).sale.select("sale_id", "customer_id", "branch_id")
+
+
+register("w19_delete_warehouses")(
+    lambda t: LC.delete_warehouses(t, t.warehouse.select("warehouse_id")).decisions)
+register("s02_fk_audit")(Q.audit)
+
+
+@register("s05_clean_customers")
+def _s05(t: Tables) -> DataFrame:
+    """Customers turned back into padded form text, then cleaned."""
+    raw = t.customer.select(
+        "customer_id", F.concat(F.lit("  "), F.col("customer_name"), F.lit(" ")).alias("name"),
+        F.concat(F.lit(" "), F.col("phone_number")).alias("phone"),
+        F.coalesce(F.year("date_of_birth").cast("string"), F.lit("")).alias("dob_year"),
+        F.coalesce(F.month("date_of_birth").cast("string"), F.lit("")).alias("dob_month"),
+        F.coalesce(F.dayofmonth("date_of_birth").cast("string"), F.lit("")).alias("dob_day"),
+        F.coalesce(F.col("email"), F.lit(" ")).alias("email"))
+    return I.clean_person(raw).select("customer_id", F.col("name").alias("customer_name"),
+                                      F.col("phone").alias("phone_number"), "date_of_birth", "email")

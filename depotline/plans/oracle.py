@@ -437,7 +437,132 @@ SELECT customer_id, customer_name, phone_number, COALESCE(CAST(date_of_birth AS
 FROM s_customer""",
 }
 
-ORACLE_BODIES: dict[str, str] = {**REPORT_SQL, **LIST_SQL}
+
+_WH_REBUILD = """
+SELECT warehouse_id AS location_id, product_id, SUM(q) AS q FROM (
+  SELECT p.warehouse_id, d.product_id, d.quantity AS q
+  FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
+  WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL
+  UNION ALL
+  SELECT t.warehouse_id, d.product_id, -d.quantity AS q
+  FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id) m
+GROUP BY warehouse_id, product_id"""
+
+_BR_REBUILD = """
+SELECT branch_id AS location_id, product_id, SUM(q) AS q FROM (
+  SELECT t.branch_id, d.product_id, d.quantity AS q
+  FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id
+  UNION ALL
+  SELECT s.branch_id, d.product_id, -d.quantity AS q
+  FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id
+  WHERE s.is_deleted IS NULL AND d.is_deleted IS NULL) m
+GROUP BY branch_id, product_id"""
+
+
+def _reconcile_sql(kind: str, snap: str, loc: str, rebuilt: str) -> str:
+    return f"""
+SELECT '{kind}' AS location_type, COALESCE(s.{loc}, r.location_id) AS location_id,
+       COALESCE(s.product_id, r.product_id) AS product_id,
+       CAST(s.quantity AS DOUBLE) AS snapshot_qty, CAST(r.q AS DOUBLE) AS rebuilt_qty,
+       CAST(COALESCE(s.quantity, 0) - COALESCE(r.q, 0) AS DOUBLE) AS difference,
+       CASE WHEN s.quantity IS NULL THEN 'missing_in_snapshot' WHEN r.q IS NULL THEN 'missing_in_rebuild'
+            WHEN s.quantity = r.q THEN 'match' ELSE 'differs' END AS status
+FROM {snap} s FULL OUTER JOIN ({rebuilt}) r ON r.location_id = s.{loc} AND r.product_id = s.product_id"""
+
+
+def _audit_sql() -> str:
+    from depotline.schemas import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
+    parts = []
+    for table, key in PRIMARY_KEYS.items():
+        cols = ",".join(key)
+        nonnull = " AND ".join(f"{k} IS NOT NULL" for k in key)
+        anynull = " OR ".join(f"{k} IS NULL" for k in key)
+        parts.append(f"SELECT '{table}' AS table_name, 'pk_duplicate' AS rule, '{cols}' AS column_name, "
+                     f"CAST(COALESCE(SUM(n), 0) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM s_{table} "
+                     f"WHERE {nonnull} GROUP BY {cols} HAVING COUNT(*) > 1) x")
+        parts.append(f"SELECT '{table}', 'pk_null', '{cols}', CAST(COUNT(*) AS BIGINT) FROM s_{table} WHERE {anynull}")
+    for table, cols in NOT_NULL.items():
+        for c in cols:
+            parts.append(f"SELECT '{table}', 'not_null', '{c}', CAST(COUNT(*) AS BIGINT) FROM s_{table} WHERE {c} IS NULL")
+    for child, col, parent, pcol in FOREIGN_KEYS:
+        parts.append(f"SELECT '{child}', 'fk_orphan:{parent}', '{col}', CAST(COUNT(*) AS BIGINT) FROM s_{child} c "
+                     f"WHERE c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s_{parent} p WHERE p.{pcol} = c.{col})")
+    return "\nUNION ALL\n".join(parts)
+
+
+_LIVE_PURCHASE_MOVES = """
+SELECT p.warehouse_id, d.product_id, SUM(d.quantity) AS q
+FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
+WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL
+GROUP BY p.warehouse_id, d.product_id"""
+
+_LIVE_SALE_MOVES = """
+SELECT s.branch_id, d.product_id, SUM(d.quantity) AS q
+FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id
+WHERE s.is_deleted IS NULL AND d.is_deleted IS NULL
+GROUP BY s.branch_id, d.product_id"""
+
+_RECOVERABLE = """
+SELECT DISTINCT purchase_id FROM s_purchase_detail WHERE is_deleted_with_purchase = 1 AND is_deleted IS NULL"""
+
+JOB_SQL: dict[str, str] = {
+    "x01_stock_reconcile": _reconcile_sql("warehouse", "s_warehouse_stock", "warehouse_id", _WH_REBUILD)
+    + "\nUNION ALL\n" + _reconcile_sql("branch", "s_branch_stock", "branch_id", _BR_REBUILD),
+    "w04_post_purchases_stock": f"""
+SELECT COALESCE(s.warehouse_id, m.warehouse_id) AS warehouse_id, COALESCE(s.product_id, m.product_id) AS product_id,
+       CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
+FROM s_warehouse_stock s FULL OUTER JOIN ({_LIVE_PURCHASE_MOVES}) m
+  ON m.warehouse_id = s.warehouse_id AND m.product_id = s.product_id""",
+    "w06_post_sales_stock": f"""
+SELECT s.branch_id, s.product_id, CAST(s.quantity - COALESCE(m.q, 0) AS DOUBLE) AS quantity
+FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES}) m ON m.branch_id = s.branch_id AND m.product_id = s.product_id""",
+    "w09_recover_purchases": f"""
+SELECT p.purchase_id AS doc_id, r.purchase_id IS NOT NULL AS accepted,
+       CASE WHEN r.purchase_id IS NULL THEN 'no_lines_to_recover' END AS reason
+FROM s_purchase p LEFT JOIN ({_RECOVERABLE}) r ON r.purchase_id = p.purchase_id
+WHERE p.is_deleted = 1""",
+    "w09_recover_purchases_stock": """
+SELECT COALESCE(s.warehouse_id, m.warehouse_id) AS warehouse_id, COALESCE(s.product_id, m.product_id) AS product_id,
+       CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
+FROM s_warehouse_stock s FULL OUTER JOIN (
+  SELECT p.warehouse_id, d.product_id, SUM(d.quantity) AS q
+  FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
+  WHERE p.is_deleted = 1 AND d.is_deleted_with_purchase = 1 AND d.is_deleted IS NULL
+  GROUP BY p.warehouse_id, d.product_id) m ON m.warehouse_id = s.warehouse_id AND m.product_id = s.product_id""",
+    "w10_delete_sales_stock": f"""
+SELECT s.branch_id, s.product_id, CAST(s.quantity + COALESCE(m.q, 0) AS DOUBLE) AS quantity
+FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES}) m ON m.branch_id = s.branch_id AND m.product_id = s.product_id""",
+    "w13_edit_sales_reprice": """
+SELECT s.sale_id, CAST(COALESCE(SUM(l.quantity * l.price), 0) AS DOUBLE) AS total
+FROM s_sale s LEFT JOIN (
+  SELECT d.sale_id, d.quantity, p.sale_price_per_kg AS price
+  FROM s_sale_detail d JOIN s_product p ON p.product_id = d.product_id
+  WHERE d.is_deleted IS NULL) l ON l.sale_id = s.sale_id
+WHERE s.is_deleted IS NULL
+GROUP BY s.sale_id""",
+    "w16_delete_idle_suppliers": """
+SELECT su.supplier_id, su.supplier_name, su.location, su.phone_number, su.email,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM s_purchase p WHERE p.supplier_id = su.supplier_id AND p.is_deleted IS NULL)
+            THEN 1 ELSE su.is_deleted END AS is_deleted
+FROM s_supplier su""",
+    "w18_delete_customers_without_email": """
+SELECT s.sale_id, CASE WHEN g.customer_id IS NOT NULL THEN NULL ELSE s.customer_id END AS customer_id, s.branch_id
+FROM s_sale s LEFT JOIN (SELECT customer_id FROM s_customer WHERE email IS NULL) g ON g.customer_id = s.customer_id""",
+    "w19_delete_warehouses": """
+SELECT w.warehouse_id AS doc_id, r.warehouse_id IS NULL AS accepted,
+       CASE WHEN r.warehouse_id IS NOT NULL THEN 'referenced' END AS reason
+FROM s_warehouse w LEFT JOIN (
+  SELECT DISTINCT warehouse_id FROM (
+    SELECT warehouse_id FROM s_employee UNION ALL SELECT warehouse_id FROM s_purchase
+    UNION ALL SELECT warehouse_id FROM s_transfer UNION ALL SELECT warehouse_id FROM s_warehouse_stock) u
+  WHERE warehouse_id IS NOT NULL) r ON r.warehouse_id = w.warehouse_id""",
+    "s02_fk_audit": _audit_sql(),
+    "s05_clean_customers": """
+SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
+FROM s_customer""",
+}
+
+ORACLE_BODIES: dict[str, str] = {**REPORT_SQL, **LIST_SQL, **JOB_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
