@@ -96,3 +96,12 @@ def materialize(spark: SparkSession, tables: Tables, base: str, fmt: str = "parq
         conform(getattr(tables, name), name).write.mode("errorifexists").format(fmt).save(
             f"{base.rstrip('/')}/{name}")
     return load_tables(spark, base, fmt)
+
+
+def tables_from_rows(spark: SparkSession, **rows: list) -> Tables:
+    """Small in-memory Tables for tests and examples; tables not given are empty."""
+    frames = {}
+    for name in TABLE_NAMES:
+        data = rows.get(name, [])
+        frames[name] = spark.createDataFrame(data, SCHEMAS[name])
+    return Tables(**frames)
