@@ -235,3 +235,23 @@ def _s05(t: Tables) -> DataFrame:
         F.coalesce(F.col("email"), F.lit(" ")).alias("email"))
     return I.clean_person(raw).select("customer_id", F.col("name").alias("customer_name"),
                                       F.col("phone").alias("phone_number"), "date_of_birth", "email")
+
+
+@register("x02_stream_stock_fold")
+def _x02(t: Tables) -> DataFrame:
+    """Stream every document movement (delivered twice) through the stock fold."""
+    import uuid
+
+    from depotline.session import checkpoint_dir
+    from depotline.streaming.ledger import document_movements, read_snapshot, run_stock_stream
+
+    spark = t.sale.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/depotline-x02-{uuid.uuid4().hex}"
+    moves = document_movements(t)
+    moves.write.parquet(f"{base}/in/delivery=1")
+    moves.write.parquet(f"{base}/in/delivery=2")  # a replay: every id again
+    last = run_stock_stream(spark, f"{base}/in/*", f"{base}/out", f"{base}/checkpoint")
+    return read_snapshot(spark, last)
+
+
+register("r21_chart_series_income")(lambda t: R.chart_series("1", R.r01_income_per_branch(t, _S, _E)))

@@ -556,12 +556,22 @@ FROM s_warehouse w LEFT JOIN (
     SELECT warehouse_id FROM s_employee UNION ALL SELECT warehouse_id FROM s_purchase
     UNION ALL SELECT warehouse_id FROM s_transfer UNION ALL SELECT warehouse_id FROM s_warehouse_stock) u
   WHERE warehouse_id IS NOT NULL) r ON r.warehouse_id = w.warehouse_id""",
+    "x02_stream_stock_fold": f"""
+SELECT 'warehouse' AS location_type, location_id, product_id, CAST(q AS DOUBLE) AS quantity FROM ({_WH_REBUILD}) w
+UNION ALL
+SELECT 'branch' AS location_type, location_id, product_id, CAST(q AS DOUBLE) AS quantity FROM ({_BR_REBUILD}) b""",
     "s02_fk_audit": _audit_sql(),
     "s05_clean_customers": """
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
 FROM s_customer""",
 }
 
+REPORT_SQL["r21_chart_series_income"] = f"""
+SELECT b.branch_name AS label, CAST(SUM(d.quantity*d.kg_price_at_sale_time) AS DOUBLE) AS value
+FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id JOIN s_branch b ON b.branch_id = s.branch_id
+WHERE s.is_deleted IS NULL AND d.is_deleted IS NULL AND b.is_deleted IS NULL AND {_range('s.sale_date')}
+GROUP BY b.branch_name"""
+
 ORACLE_BODIES: dict[str, str] = {**REPORT_SQL, **LIST_SQL, **JOB_SQL}
 
 

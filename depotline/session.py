@@ -27,6 +27,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Parquet is compressed: size estimates from file sizes are scaled up so the
+    # static broadcast decision stays conservative (AQE still uses real sizes).
+    "spark.sql.sources.fileCompressionFactor": "3.0",
 }
 
 
