@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotline.functions.flags import active
+from depotline.functions.joins import lookup
 from depotline.operators.admission import admit
 from depotline.operators.ingest import validate
 from depotline.operators.stock import apply_update_only, apply_upsert
@@ -484,7 +485,7 @@ def delete_customers(t: Tables, customer_ids: DataFrame) -> Tables:
     """Remove customers; their sales keep going as walk-in sales (customer NULL)."""
     ids = _ids(customer_ids, "customer_id")
     hit = ids.withColumn("_hit", F.lit(True))
-    sale = (t.sale.join(hit, "customer_id", "left")
+    sale = (lookup(t.sale, hit, "customer_id")
             .withColumn("customer_id", F.when(F.col("_hit").isNull(), F.col("customer_id")))
             .drop("_hit"))
     return t.replace(customer=t.customer.join(ids, "customer_id", "left_anti"), sale=conform(sale, "sale"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotline.functions.flags import active, line_value, state
+from depotline.functions.joins import lookup
 from depotline.operators.rollups import purchase_amount, purchase_balance, sale_amount, transfer_qty
 from depotline.sources.tables import Tables
 
@@ -47,8 +48,10 @@ def sales_list(t: Tables, which: str = "active", employee_id: int | None = None)
     if employee_id is not None:
         sales = sales.where(F.col("employee_id") == F.lit(int(employee_id)))
     totals = sale_amount(t).select("sale_id", F.col("amount").alias("total"))
-    return (sales.join(totals, "sale_id", "left")
-            .join(n["customer"], "customer_id", "left")
+    # The NULL-customer split only touches the header scan; line totals are
+    # aggregated once and joined after the union.
+    return (lookup(sales, n["customer"], "customer_id")
+            .join(totals, "sale_id", "left")
             .join(n["employee"], "employee_id", "left")
             .join(n["branch"], "branch_id", "left")
             .select("sale_id", "customer_id", "customer_name", "employee_id", "employee_name",
