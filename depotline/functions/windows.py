@@ -19,19 +19,48 @@ def chunked_running_sum(df: DataFrame, keys: list[str], chunk: list[str], order:
     """Add ``out`` = running sum of ``col`` (rows up to and including this one) for
     every ``out -> col`` in ``values``, over ``keys`` in ``order``.
 
-    ``chunk`` columns must be non-decreasing along ``order`` within a key.
+    ``chunk`` columns must be non-decreasing along ``order`` within a key.  The
+    input is shuffled once, by (keys, chunk); the chunk totals are the running
+    sums at each chunk's last row, taken from rows that are already partitioned
+    that way, so only the small chunk table moves again.
     """
     w_in = (Window.partitionBy(*keys, *chunk).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = df
     for out, col in values.items():
         inner = inner.withColumn(f"_in_{out}", F.sum(col).over(w_in))
-    totals = df.groupBy(*keys, *chunk).agg(*[F.sum(col).alias(f"_ct_{out}") for out, col in values.items()])
+    last = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    totals = inner.groupBy(*keys, *chunk).agg(
+        *[F.max_by(f"_in_{out}", last).alias(f"_ct_{out}") for out in values])
     w_chunks = (Window.partitionBy(*keys).orderBy(*chunk)
                 .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, *chunk, *[
+    on = [*keys, *chunk]
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in on], *[
         F.coalesce(F.sum(f"_ct_{out}").over(w_chunks), F.lit(0)).alias(f"_off_{out}") for out in values])
-    joined = inner.join(offsets, [*keys, *chunk])
+    # Null-safe: a NULL date or key is a chunk like any other and must not drop out.
+    cond = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in on]
+    joined = inner.join(offsets, cond)
     for out in values:
         joined = joined.withColumn(out, F.col(f"_in_{out}") + F.col(f"_off_{out}"))
-    return joined.drop(*[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values])
+    return joined.drop(*[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values],
+                       *[f"_o_{c}" for c in on])
+
+
+def running_sum(df: DataFrame, keys: list[str], chunk: list[str], order: list[Column | str],
+                values: dict[str, str], hot_keys: DataFrame | None = None) -> DataFrame:
+    """Running sums per key; only ``hot_keys`` take the chunked path.
+
+    ``hot_keys`` lists the keys with more rows than one task should take (found by
+    counting rows per key).  Its size is bounded by rows / threshold, so it is
+    broadcast; every other key gets one plain window partition, which is cheaper.
+    With ``hot_keys=None`` every key is chunked.
+    """
+    if hot_keys is None:
+        return chunked_running_sum(df, keys, chunk, order, values)
+    hot = F.broadcast(hot_keys.select(*keys))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = df.join(hot, keys, "left_anti")
+    for out, col in values.items():
+        cold = cold.withColumn(out, F.sum(col).over(w))
+    warm = chunked_running_sum(df.join(hot, keys, "left_semi"), keys, chunk, order, values)
+    return cold.unionByName(warm.select(*cold.columns))

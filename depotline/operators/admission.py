@@ -17,16 +17,20 @@ the documents one at a time.  The batch form is set-based and exact, in rounds:
 
 The earliest undecided document is always decided, so the rounds end; each round
 only touches (location, product) keys that still have undecided demand, and the
-status table is checkpointed to ``spark.checkpoint.dir`` to cut lineage.  Running
-sums use ``chunked_running_sum`` so a hot product does not serialise on one task.
+status table is written to a fresh folder under ``spark.checkpoint.dir`` and read
+back, which cuts lineage.  Running
+sums of hot keys use ``chunked_running_sum`` so a hot product does not serialise on
+one task.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotline.functions.windows import chunked_running_sum
+from depotline.functions.windows import running_sum
 from depotline.session import checkpoint_dir
 
 KEY = ["location_type", "location_id", "product_id"]
@@ -34,25 +38,38 @@ UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
 
 
 def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
-          missing_rejects: bool = False, id_bucket: int = 1 << 16, max_rounds: int = 200) -> DataFrame:
+          missing_rejects: bool = False, id_bucket: int = 1 << 16, max_rounds: int = 200,
+          hot_rows: int = 2_000_000) -> DataFrame:
     """Decide every document of the batch.
 
     ``demand``: doc_id, doc_date, location_type, location_id, product_id, qty.
     ``stock``: location_type, location_id, product_id, quantity (a missing row is
     0, or a rejection when ``missing_rejects``).
     ``docs``: optional doc_id list of the whole batch; documents without demand are
-    accepted.  Returns doc_id, accepted, reason, round.
+    accepted.  ``hot_rows``: a (location, product) with more demand rows than this
+    has its running sums split into (date, id-bucket) chunks.  Returns doc_id,
+    accepted, reason, round.
     """
     spark = demand.sparkSession
-    checkpoint_dir(spark)
+    # Lineage is cut by writing each intermediate table to a fresh folder under the
+    # shared checkpoint folder and reading it back (one job, survives lost executors).
+    scratch = f"{checkpoint_dir(spark).rstrip('/')}/depotline-admit-{uuid.uuid4().hex}"
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        path = f"{scratch}/{name}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
 
     lines = (demand.groupBy("doc_id", "doc_date", *KEY).agg(F.sum("qty").alias("qty"))
              .join(stock.select(*KEY, F.col("quantity").alias("avail")), KEY, "left")
              .select("doc_id", "doc_date", *KEY, "qty",
                      F.col("avail").isNull().alias("missing"),
                      F.coalesce(F.col("avail"), F.lit(0)).alias("avail"),
-                     F.floor(F.col("doc_id") / F.lit(id_bucket)).alias("chunk"))
-             ).checkpoint()
+                     F.floor(F.col("doc_id") / F.lit(id_bucket)).alias("chunk")))
+    lines = cut(lines, "lines")
+    # Hot keys: at most rows / hot_rows of them, so the list has a proven size bound.
+    hot = cut(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+              .select(*KEY), "hot_keys")
 
     miss = F.col("missing") & F.lit(bool(missing_rejects))
     status = lines.groupBy("doc_id").agg(F.max(miss.cast("int")).alias("miss")).select(
@@ -65,7 +82,7 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
             "doc_id", F.lit(ACCEPTED).alias("state"), F.lit(None).cast("string").alias("reason"),
             F.lit(0).alias("round"))
         status = status.unionByName(empty)
-    status = status.checkpoint()
+    status = cut(status, "status-0")
 
     for rnd in range(1, max_rounds + 1):
         if status.where(F.col("state") == UNDECIDED).isEmpty():
@@ -75,8 +92,8 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
         live = (live.join(open_keys, KEY, "left_semi")
                 .withColumn("acc_qty", F.when(F.col("state") == ACCEPTED, F.col("qty"))
                             .otherwise(F.lit(0).cast(lines.schema["qty"].dataType))))
-        live = chunked_running_sum(live, KEY, ["doc_date", "chunk"], ["doc_date", "doc_id"],
-                                   {"run_all": "qty", "run_acc": "acc_qty"})
+        live = running_sum(live, KEY, ["doc_date", "chunk"], ["doc_date", "doc_id"],
+                           {"run_all": "qty", "run_acc": "acc_qty"}, hot_keys=hot)
         decided = (live.where(F.col("state") == UNDECIDED).groupBy("doc_id").agg(
             F.min((F.col("run_all") <= F.col("avail")).cast("int")).alias("fits"),
             F.max((F.col("run_acc") + F.col("qty") > F.col("avail")).cast("int")).alias("over")))
@@ -87,8 +104,8 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
             "doc_id",
             F.when(rej, F.lit(REJECTED)).when(acc, F.lit(ACCEPTED)).otherwise(F.col("state")).alias("state"),
             F.when(rej, F.lit("insufficient_stock")).otherwise(F.col("reason")).alias("reason"),
-            F.when(rej | acc, F.lit(rnd)).otherwise(F.col("round")).alias("round"))
-        ).checkpoint()
+            F.when(rej | acc, F.lit(rnd)).otherwise(F.col("round")).alias("round")))
+        status = cut(status, f"status-{rnd}")
     else:
         if not status.where(F.col("state") == UNDECIDED).isEmpty():
             raise RuntimeError(f"admission did not settle within {max_rounds} rounds")

@@ -23,6 +23,7 @@ from depotline.operators.admission import admit
 from depotline.operators.ingest import validate
 from depotline.operators.stock import apply_update_only, apply_upsert
 from depotline.schemas import MONEY
+from depotline.session import stage
 from depotline.sources.tables import Tables, conform
 
 
@@ -94,7 +95,7 @@ def post_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     A purchase needs a supplier, a warehouse and at least one line (S6).
     """
     counts = lines.groupBy("purchase_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    h = headers.join(counts, "purchase_id", "left")
+    h = stage(headers.join(counts, "purchase_id", "left"), "purchase-batch")
     ok, bad = validate(h, [(F.col("supplier_id").isNull(), "missing_supplier"),
                            (F.col("warehouse_id").isNull(), "missing_warehouse"),
                            (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
@@ -121,10 +122,10 @@ def delete_purchases(t: Tables, purchase_ids: DataFrame) -> JobResult:
     line quantities; then -warehouse, cascade flag on *all* its lines and payments,
     header flag.  Purchases that are not active are rejected as not found."""
     ids = _ids(purchase_ids, "purchase_id")
-    heads = active(t.purchase).join(ids, "purchase_id", "left_semi")
+    heads = stage(active(t.purchase).join(ids, "purchase_id", "left_semi"), "purchase-heads")
     not_found = ids.join(heads, "purchase_id", "left_anti").select(
         F.col("purchase_id").alias("doc_id"), F.lit("not_found").alias("reason"))
-    lines = _purchase_live_lines(t, heads)
+    lines = stage(_purchase_live_lines(t, heads), "purchase-lines")
     adm = admit(_demand(lines, "purchase_date", "purchase_id", "warehouse", "warehouse_id"),
                 _stock(t.warehouse_stock, "warehouse", "warehouse_id"),
                 docs=heads.select(F.col("purchase_id").alias("doc_id")))
@@ -177,12 +178,14 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     counts = lines.groupBy("purchase_id").agg(F.count(F.lit(1)).alias("n_lines"))
     cur = active(t.purchase).select("purchase_id", F.col("warehouse_id").alias("old_wh"),
                                     F.col("purchase_date").alias("old_date"))
-    h = headers.join(counts, "purchase_id", "left").join(cur, "purchase_id", "left")
+    h = stage(headers.join(counts, "purchase_id", "left").join(cur, "purchase_id", "left"), "purchase-edits")
     ok, bad = validate(h, [(F.col("old_wh").isNull(), "not_found"),
                            (F.col("supplier_id").isNull() | F.col("warehouse_id").isNull(), "missing_supplier_or_warehouse"),
                            (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
-    old_lines = (ok.select("purchase_id", F.col("old_wh").alias("warehouse_id"), F.col("old_date").alias("purchase_date"))
-                 .join(active(t.purchase_detail).select("purchase_id", "product_id", "quantity"), "purchase_id"))
+    old_lines = stage(ok.select("purchase_id", F.col("old_wh").alias("warehouse_id"),
+                                F.col("old_date").alias("purchase_date"))
+                      .join(active(t.purchase_detail).select("purchase_id", "product_id", "quantity"), "purchase_id"),
+                      "purchase-old-lines")
     adm = admit(_demand(old_lines, "purchase_date", "purchase_id", "warehouse", "warehouse_id"),
                 _stock(t.warehouse_stock, "warehouse", "warehouse_id"),
                 docs=ok.select(F.col("purchase_id").alias("doc_id")))
@@ -291,10 +294,10 @@ def recover_sales(t: Tables, sale_ids: DataFrame) -> JobResult:
     """A deleted sale comes back if its branch holds the quantities of its
     cascade-flagged lines (a missing stock row rejects); then -branch, flags cleared."""
     ids = _ids(sale_ids, "sale_id")
-    heads = t.sale.where(F.col("is_deleted").isNotNull()).join(ids, "sale_id", "left_semi")
-    lines = heads.select("sale_id", "branch_id", "sale_date").join(
+    heads = stage(t.sale.where(F.col("is_deleted").isNotNull()).join(ids, "sale_id", "left_semi"), "sale-heads")
+    lines = stage(heads.select("sale_id", "branch_id", "sale_date").join(
         t.sale_detail.where(F.col("is_deleted_with_sale") == 1).select("sale_id", "product_id", "quantity"),
-        "sale_id")
+        "sale_id"), "sale-lines")
     adm = admit(_demand(lines, "sale_date", "sale_id", "branch", "branch_id"),
                 _stock(t.branch_stock, "branch", "branch_id"), docs=heads.select(F.col("sale_id").alias("doc_id")),
                 missing_rejects=True)
@@ -351,12 +354,13 @@ def post_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     ``lines``: transfer_id, product_id, quantity.
     """
     counts = lines.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    h = headers.join(counts, "transfer_id", "left")
+    h = stage(headers.join(counts, "transfer_id", "left"), "transfer-batch")
     ok, bad = validate(h, [(F.col("branch_id").isNull(), "missing_branch"),
                            (F.col("warehouse_id").isNull(), "missing_warehouse"),
                            (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
     ok = ok.drop("n_lines")
-    tl = lines.join(ok.select("transfer_id", "warehouse_id", "branch_id", "transfer_date"), "transfer_id")
+    tl = stage(lines.join(ok.select("transfer_id", "warehouse_id", "branch_id", "transfer_date"), "transfer_id"),
+               "transfer-lines")
     adm = admit(_demand(tl, "transfer_date", "transfer_id", "warehouse", "warehouse_id"),
                 _stock(t.warehouse_stock, "warehouse", "warehouse_id"),
                 docs=ok.select(F.col("transfer_id").alias("doc_id")))
@@ -378,9 +382,9 @@ def delete_transfers(t: Tables, transfer_ids: DataFrame) -> JobResult:
     """The branch must still hold the transferred quantities (W3); then
     +warehouse, -branch and the transfer and its lines are removed."""
     ids = _ids(transfer_ids, "transfer_id")
-    heads = t.transfer.join(ids, "transfer_id", "left_semi")
-    tl = heads.select("transfer_id", "warehouse_id", "branch_id", "transfer_date").join(
-        t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id")
+    heads = stage(t.transfer.join(ids, "transfer_id", "left_semi"), "transfer-heads")
+    tl = stage(heads.select("transfer_id", "warehouse_id", "branch_id", "transfer_date").join(
+        t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id"), "transfer-lines")
     adm = admit(_demand(tl, "transfer_date", "transfer_id", "branch", "branch_id"),
                 _stock(t.branch_stock, "branch", "branch_id"), docs=heads.select(F.col("transfer_id").alias("doc_id")))
     acc = adm.where("accepted").select(F.col("doc_id").alias("transfer_id"))
@@ -410,12 +414,12 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     counts = lines.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("n_lines"))
     cur = t.transfer.select("transfer_id", F.col("warehouse_id").alias("old_wh"), F.col("branch_id").alias("old_br"),
                             F.col("transfer_date").alias("old_date"))
-    h = headers.join(counts, "transfer_id", "left").join(cur, "transfer_id", "left")
+    h = stage(headers.join(counts, "transfer_id", "left").join(cur, "transfer_id", "left"), "transfer-edits")
     ok, bad = validate(h, [(F.col("old_wh").isNull(), "not_found"),
                            (F.col("warehouse_id").isNull() | F.col("branch_id").isNull(), "missing_warehouse_or_branch"),
                            (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
-    old = ok.select("transfer_id", "old_wh", "old_br", "old_date").join(
-        t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id")
+    old = stage(ok.select("transfer_id", "old_wh", "old_br", "old_date").join(
+        t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id"), "transfer-old-lines")
     old_per_product = old.groupBy("transfer_id", "product_id").agg(F.sum("quantity").alias("old_qty"))
     new = (lines.groupBy("transfer_id", "product_id").agg(F.sum("quantity").alias("new_qty"))
            .join(ok.select("transfer_id", "warehouse_id", "old_wh", "old_date"), "transfer_id")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on.  AQE re-plans joins at runtime
 # (broadcast when a materialised side is small, split skewed partitions), and the
@@ -71,3 +72,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return sc.getCheckpointDir() or local
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to a fresh folder under the shared checkpoint folder and
+    read it back.
+
+    Used where a job reads the same derived batch several times (validation,
+    admission rounds, new table versions): later steps scan the written copy
+    instead of recomputing it, and the copy survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/depotline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
