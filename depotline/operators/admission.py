@@ -111,27 +111,3 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
             raise RuntimeError(f"admission did not settle within {max_rounds} rounds")
 
     return status.select("doc_id", (F.col("state") == ACCEPTED).alias("accepted"), "reason", "round")
-
-
-def sequential_admit(demand_rows, stock_rows, missing_rejects: bool = False) -> dict:
-    """Reference loop for tests: the same rule, one document at a time, in Python."""
-    stock = {}
-    for r in stock_rows:
-        stock[(r["location_type"], r["location_id"], r["product_id"])] = r["quantity"]
-    docs: dict = {}
-    for r in demand_rows:
-        key = (r["location_type"], r["location_id"], r["product_id"])
-        d = docs.setdefault(r["doc_id"], {"date": r["doc_date"], "need": {}})
-        d["need"][key] = d["need"].get(key, 0) + r["qty"]
-    out = {}
-    for doc_id in sorted(docs, key=lambda i: (docs[i]["date"] is not None, docs[i]["date"], i)):
-        need = docs[doc_id]["need"]
-        if missing_rejects and any(k not in stock for k in need):
-            out[doc_id] = False
-            continue
-        ok = all(stock.get(k, 0) >= q for k, q in need.items())
-        if ok:
-            for k, q in need.items():
-                stock[k] = stock.get(k, 0) - q
-        out[doc_id] = ok
-    return out

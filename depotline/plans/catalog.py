@@ -255,3 +255,17 @@ def _x02(t: Tables) -> DataFrame:
 
 
 register("r21_chart_series_income")(lambda t: R.chart_series("1", R.r01_income_per_branch(t, _S, _E)))
+
+
+@register("w07_delete_payments_of_deleted_purchases")
+def _w07(t: Tables) -> DataFrame:
+    """Soft-delete every payment whose purchase was deleted with it."""
+    ids = t.payment.where(F.col("is_deleted_with_purchase") == 1).select("payment_id")
+    return LC.delete_payments(t, ids).tables.payment.select("payment_id", "purchase_id", "is_deleted")
+
+
+@register("w17_upsert_cleaned_customers")
+def _w17(t: Tables) -> DataFrame:
+    """Load the customer master again from cleaned form records (insert or overwrite)."""
+    cleaned = _s05(t)
+    return LC.upsert_rows(t, "customer", cleaned).customer

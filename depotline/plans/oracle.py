@@ -560,6 +560,12 @@ FROM s_warehouse w LEFT JOIN (
 SELECT 'warehouse' AS location_type, location_id, product_id, CAST(q AS DOUBLE) AS quantity FROM ({_WH_REBUILD}) w
 UNION ALL
 SELECT 'branch' AS location_type, location_id, product_id, CAST(q AS DOUBLE) AS quantity FROM ({_BR_REBUILD}) b""",
+    "w07_delete_payments_of_deleted_purchases": """
+SELECT payment_id, purchase_id, CASE WHEN is_deleted_with_purchase = 1 THEN 1 ELSE is_deleted END AS is_deleted
+FROM s_payment""",
+    "w17_upsert_cleaned_customers": """
+SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
+FROM s_customer""",
     "s02_fk_audit": _audit_sql(),
     "s05_clean_customers": """
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
