@@ -57,21 +57,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to shared storage; only when it is
-    unset (tests, local runs) a fresh scratch folder is taken.
+    unset (tests, local runs) a fresh scratch folder is taken and recorded in the
+    session.  Jobs of this package write their intermediate tables below it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if current:
+    if not current:
+        current = tempfile.mkdtemp(prefix="depotline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", current)
+    try:  # keep DataFrame.checkpoint() usable for callers (not available on Spark Connect)
+        sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
-        return current
-    existing = sc.getCheckpointDir()
-    if existing:
-        return existing
-    local = tempfile.mkdtemp(prefix="depotline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return sc.getCheckpointDir() or local
+    except Exception:
+        pass
+    return current
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
