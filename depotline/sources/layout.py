@@ -7,6 +7,13 @@ read matching buckets side by side: no shuffle of the line tables, which are
 the largest tables of the model.  Dimension and stock tables stay plain Parquet
 (the dimensions are looked up after pre-aggregation, the stock by its pair key).
 
+Skew: a bucket is read by one task, so one document holding a large share of
+the lines would turn its bucket into a straggler that AQE cannot split.  When
+writing, each document kind is measured (largest document / all lines, one
+partial aggregation) and kinds above ``max_doc_share`` are written plain
+instead; their joins then shuffle, where partial aggregation and AQE skew
+splitting spread a hot document over many tasks.
+
 Tables are external tables in the session catalog over a folder; a new session
 re-registers them with ``register_bucketed`` (DDL only, no data is moved).
 """
@@ -14,10 +21,15 @@ re-registers them with ``register_bucketed`` (DDL only, no data is moved).
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from depotline.schemas import SCHEMAS, TABLE_NAMES
 from depotline.sources.tables import Tables, conform
 
+# Document kinds: the line table whose per-document size decides the layout.
+KIND_LINES = {"sale": ("sale", "sale_detail"), "purchase": ("purchase", "purchase_detail", "payment"),
+              "transfer": ("transfer", "transfer_detail")}
+
 # Document key of each bucketed table.
 BUCKET_KEYS: dict[str, str] = {
     "sale": "sale_id", "sale_detail": "sale_id",
@@ -30,29 +42,46 @@ def _ddl_type(dt) -> str:
     return dt.simpleString()
 
 
-def save_bucketed(spark: SparkSession, tables: Tables, database: str, location: str, buckets: int) -> Tables:
-    """Write all fifteen tables under ``location`` (documents bucketed by their key)
-    and return them read through the catalog."""
+def largest_document_share(lines, key: str) -> float:
+    """Share of all rows held by the largest document (0 for an empty table)."""
+    per_doc = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    row = per_doc.agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    return 0.0 if not row or not row["all"] else row["top"] / row["all"]
+
+
+def save_bucketed(spark: SparkSession, tables: Tables, database: str, location: str, buckets: int,
+                  max_doc_share: float | None = None) -> Tables:
+    """Write all fifteen tables under ``location`` (documents bucketed by their key
+    unless one document is too large a share of its kind) and return them read
+    through the catalog."""
     location = location.rstrip("/")
+    limit = max_doc_share if max_doc_share is not None else 1.0 / (4 * buckets)
+    plain = set()
+    for kind, names in KIND_LINES.items():
+        line_table = names[1]
+        if largest_document_share(getattr(tables, line_table), BUCKET_KEYS[line_table]) > limit:
+            plain.update(names)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in TABLE_NAMES:
         df = conform(getattr(tables, name), name)
         writer = df.write.format("parquet").option("path", f"{location}/{name}")
-        if name in BUCKET_KEYS:
+        if name in BUCKET_KEYS and name not in plain:
             key = BUCKET_KEYS[name]
             writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{database}.{name}")
     return load_bucketed(spark, database)
 
 
-def register_bucketed(spark: SparkSession, database: str, location: str, buckets: int) -> Tables:
-    """Declare the external tables of an existing layout in this session's catalog."""
+def register_bucketed(spark: SparkSession, database: str, location: str, buckets: int,
+                      plain: tuple[str, ...] = ()) -> Tables:
+    """Declare the external tables of an existing layout in this session's catalog
+    (``plain``: tables that were written without buckets)."""
     location = location.rstrip("/")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in TABLE_NAMES:
         cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in SCHEMAS[name].fields)
         clustered = ""
-        if name in BUCKET_KEYS:
+        if name in BUCKET_KEYS and name not in plain:
             key = BUCKET_KEYS[name]
             clustered = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({cols}) USING parquet{clustered} "
