@@ -39,7 +39,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "3"))
-    spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), app="depotline-bench")
+    default_parts = cpus if cpus.isdigit() else "8"
+    spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", default_parts)),
+                          app="depotline-bench")
     # Written tables go to a fresh folder under the shared checkpoint folder the
     # session names; only when none is set (a laptop) a local scratch folder is used.
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,7 +53,7 @@ def main() -> None:
     checkpoint_dir(spark)
 
     # The fifteen tables in the deployment layout: documents bucketed by their key.
-    buckets = int(os.environ.get("BENCH_BUCKETS", "16"))
+    buckets = int(os.environ.get("BENCH_BUCKETS", default_parts))
     t0 = time.time()
     tables = save_bucketed(spark, fixture_tables(spark, sf_dir), f"bench_{uuid.uuid4().hex[:8]}",
                            os.path.join(scratch, "tables"), buckets)

@@ -67,9 +67,13 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
                      F.coalesce(F.col("avail"), F.lit(0)).alias("avail"),
                      F.floor(F.col("doc_id") / F.lit(id_bucket)).alias("chunk")))
     lines = cut(lines, "lines")
+    n_lines = lines.count()  # from the Parquet footers
     # Hot keys: at most rows / hot_rows of them, so the list has a proven size bound.
-    hot = cut(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-              .select(*KEY), "hot_keys")
+    # A batch with no more rows than hot_rows cannot have one.
+    hot = lines.select(*KEY).limit(0)
+    if n_lines > hot_rows:
+        hot = cut(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+                  .select(*KEY), "hot_keys")
 
     miss = F.col("missing") & F.lit(bool(missing_rejects))
     status = lines.groupBy("doc_id").agg(F.max(miss.cast("int")).alias("miss")).select(
@@ -85,7 +89,7 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
     status = cut(status, "status-0")
 
     for rnd in range(1, max_rounds + 1):
-        if status.where(F.col("state") == UNDECIDED).isEmpty():
+        if (rnd > 1 or missing_rejects or n_lines == 0) and status.where(F.col("state") == UNDECIDED).isEmpty():
             break
         live = lines.join(status.where(F.col("state") != REJECTED).select("doc_id", "state"), "doc_id")
         open_keys = live.where(F.col("state") == UNDECIDED).select(*KEY).distinct()
