@@ -59,8 +59,11 @@ _S, _E = REPORT_START, REPORT_END
 
 
 def _report(key: str, fn, dated: bool = True, round4: tuple[str, ...] = (), **params):
+    """Register a report with the FIXTURES.md date range and, for dated reports,
+    once more over all dates (``<key>_all_dates``)."""
     if dated:
         register(key, round4)(lambda t: fn(t, _S, _E, **params))
+        register(f"{key}_all_dates", round4)(lambda t: fn(t, None, None, **params))
     else:
         register(key, round4)(lambda t: fn(t, **params))
 

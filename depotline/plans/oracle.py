@@ -9,6 +9,8 @@ edge, dates as ISO text, averages rounded to 4 places.
 
 from __future__ import annotations
 
+import re
+
 # Report parameters used by the registered queries (FIXTURES.md §3).
 REPORT_START = "1996-01-01"
 REPORT_END = "1999-12-31"
@@ -572,6 +574,12 @@ SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR)
 FROM s_customer""",
 }
 
+# The same dated reports over all dates: the range predicate becomes TRUE.
+_RANGE_RE = re.compile(r"\S+ >= DATE '[0-9-]+' AND \S+ <= DATE '[0-9-]+'")
+for _key, _sql in list(REPORT_SQL.items()):
+    if _RANGE_RE.search(_sql):
+        REPORT_SQL[f"{_key}_all_dates"] = _RANGE_RE.sub("TRUE", _sql)
+
 REPORT_SQL["r21_chart_series_income"] = f"""
 SELECT b.branch_name AS label, CAST(SUM(d.quantity*d.kg_price_at_sale_time) AS DOUBLE) AS value
 FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id JOIN s_branch b ON b.branch_id = s.branch_id
