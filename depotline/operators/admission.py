@@ -75,33 +75,58 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
         hot = cut(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
                   .select(*KEY), "hot_keys")
 
-    miss = F.col("missing") & F.lit(bool(missing_rejects))
-    status = lines.groupBy("doc_id").agg(F.max(miss.cast("int")).alias("miss")).select(
-        "doc_id",
-        F.when(F.col("miss") == 1, F.lit(REJECTED)).otherwise(F.lit(UNDECIDED)).alias("state"),
-        F.when(F.col("miss") == 1, F.lit("missing_stock_row")).alias("reason"),
-        F.when(F.col("miss") == 1, F.lit(0)).alias("round"))
-    if docs is not None:
-        empty = docs.select("doc_id").distinct().join(status.select("doc_id"), "doc_id", "left_anti").select(
+    qty_type = lines.schema["qty"].dataType
+
+    def decide(live: DataFrame) -> DataFrame:
+        """Per undecided document of ``live``: does every line fit, does any line overflow."""
+        live = running_sum(live, KEY, ["doc_date", "chunk"], ["doc_date", "doc_id"],
+                           {"run_all": "qty", "run_acc": "acc_qty"}, hot_keys=hot)
+        return (live.where(F.col("state") == UNDECIDED).groupBy("doc_id").agg(
+            F.min((F.col("run_all") <= F.col("avail")).cast("int")).alias("fits"),
+            F.max((F.col("run_acc") + F.col("qty") > F.col("avail")).cast("int")).alias("over")))
+
+    def without_lines() -> DataFrame:
+        return docs.select("doc_id").distinct().join(lines.select("doc_id"), "doc_id", "left_anti").select(
             "doc_id", F.lit(ACCEPTED).alias("state"), F.lit(None).cast("string").alias("reason"),
             F.lit(0).alias("round"))
-        status = status.unionByName(empty)
-    status = cut(status, "status-0")
 
-    for rnd in range(1, max_rounds + 1):
-        if (rnd > 1 or missing_rejects or n_lines == 0) and status.where(F.col("state") == UNDECIDED).isEmpty():
+    und = F.col("state") == UNDECIDED
+    if missing_rejects:
+        miss = F.col("missing").cast("int")
+        status = lines.groupBy("doc_id").agg(F.max(miss).alias("miss")).select(
+            "doc_id",
+            F.when(F.col("miss") == 1, F.lit(REJECTED)).otherwise(F.lit(UNDECIDED)).alias("state"),
+            F.when(F.col("miss") == 1, F.lit("missing_stock_row")).alias("reason"),
+            F.when(F.col("miss") == 1, F.lit(0)).alias("round"))
+        if docs is not None:
+            status = status.unionByName(without_lines())
+        status = cut(status, "status-0")
+        first = 1
+    else:
+        # Round 1 needs no status join: every document with demand is undecided and
+        # nothing is accepted yet, over every key.
+        live = lines.withColumn("state", F.lit(UNDECIDED)).withColumn("acc_qty", F.lit(0).cast(qty_type))
+        decided = decide(live)
+        status = decided.select(
+            "doc_id",
+            F.when(F.col("over") == 1, F.lit(REJECTED)).when(F.col("fits") == 1, F.lit(ACCEPTED))
+            .otherwise(F.lit(UNDECIDED)).alias("state"),
+            F.when(F.col("over") == 1, F.lit("insufficient_stock")).alias("reason"),
+            F.when((F.col("over") == 1) | (F.col("fits") == 1), F.lit(1)).alias("round"))
+        if docs is not None:
+            status = status.unionByName(without_lines())
+        status = cut(status, "status-1")
+        first = 2
+
+    for rnd in range(first, max_rounds + 1):
+        if status.where(und).isEmpty():
             break
         live = lines.join(status.where(F.col("state") != REJECTED).select("doc_id", "state"), "doc_id")
-        open_keys = live.where(F.col("state") == UNDECIDED).select(*KEY).distinct()
+        open_keys = live.where(und).select(*KEY).distinct()
         live = (live.join(open_keys, KEY, "left_semi")
                 .withColumn("acc_qty", F.when(F.col("state") == ACCEPTED, F.col("qty"))
-                            .otherwise(F.lit(0).cast(lines.schema["qty"].dataType))))
-        live = running_sum(live, KEY, ["doc_date", "chunk"], ["doc_date", "doc_id"],
-                           {"run_all": "qty", "run_acc": "acc_qty"}, hot_keys=hot)
-        decided = (live.where(F.col("state") == UNDECIDED).groupBy("doc_id").agg(
-            F.min((F.col("run_all") <= F.col("avail")).cast("int")).alias("fits"),
-            F.max((F.col("run_acc") + F.col("qty") > F.col("avail")).cast("int")).alias("over")))
-        und = F.col("state") == UNDECIDED
+                            .otherwise(F.lit(0).cast(qty_type))))
+        decided = decide(live)
         rej = und & (F.col("over") == 1)
         acc = und & (F.col("fits") == 1)
         status = (status.join(decided, "doc_id", "left").select(
@@ -111,7 +136,7 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
             F.when(rej | acc, F.lit(rnd)).otherwise(F.col("round")).alias("round")))
         status = cut(status, f"status-{rnd}")
     else:
-        if not status.where(F.col("state") == UNDECIDED).isEmpty():
+        if not status.where(und).isEmpty():
             raise RuntimeError(f"admission did not settle within {max_rounds} rounds")
 
     return status.select("doc_id", (F.col("state") == ACCEPTED).alias("accepted"), "reason", "round")
