@@ -253,7 +253,12 @@ def _x02(t: Tables) -> DataFrame:
     moves = document_movements(t)
     moves.write.parquet(f"{base}/in/delivery=1")
     moves.write.parquet(f"{base}/in/delivery=2")  # a replay: every id again
-    last = run_stock_stream(spark, f"{base}/in/*", f"{base}/out", f"{base}/checkpoint")
+    try:
+        parallelism = spark.sparkContext.defaultParallelism  # cores of the cluster
+    except Exception:
+        parallelism = None
+    last = run_stock_stream(spark, f"{base}/in/*", f"{base}/out", f"{base}/checkpoint",
+                            state_partitions=parallelism)
     return read_snapshot(spark, last)
 
 

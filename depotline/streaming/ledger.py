@@ -97,7 +97,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                      opening: DataFrame | None = None, dedup_window: str = "1 hour",
-                     max_files_per_trigger: int | None = None) -> str:
+                     max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> str:
     """Fold every movement file under ``source_dir`` into stock; returns the path of
     the last snapshot.  Runs with ``availableNow`` (process what is there in as
     many micro-batches as the source limits ask for, then stop).
@@ -108,6 +108,9 @@ def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpo
     version, so restarts from ``checkpoint`` are idempotent.  Duplicates of a
     movement id are dropped when they arrive within ``dedup_window`` of each other
     (bounded state, keyed on arrival time, so no movement is ever dropped as late).
+    ``state_partitions`` fixes the number of state-store partitions when the query
+    first starts (Spark keeps it in the checkpoint); default: the session's
+    shuffle partitions.
     """
     out_dir = out_dir.rstrip("/")
     if _previous_version(spark, out_dir, 1) is None:
@@ -130,12 +133,18 @@ def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpo
         fold_batch(base, batch).write.mode("overwrite").parquet(f"{out_dir}/v={batch_id + 1}")
         _publish(session, out_dir, batch_id + 1)
 
-    query = (stream.writeStream.foreachBatch(apply)
-             .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True)
-             .queryName(f"stock_fold_{uuid.uuid4().hex[:8]}")
-             .start())
-    query.awaitTermination()
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        query = (stream.writeStream.foreachBatch(apply)
+                 .option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True)
+                 .queryName(f"stock_fold_{uuid.uuid4().hex[:8]}")
+                 .start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     last = _previous_version(spark, out_dir, 1 << 62)
