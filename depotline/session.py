@@ -34,6 +34,17 @@ RECOMMENDED_CONF = {
 }
 
 
+def configure(spark: SparkSession, overrides: dict[str, str] | None = None) -> SparkSession:
+    """Apply the recommended SQL settings to an existing (cluster) session.
+
+    All of them are runtime SQL settings; executor sizing, shuffle partitions
+    for the data size and ``spark.checkpoint.dir`` stay with the deployment.
+    """
+    for key, value in {**RECOMMENDED_CONF, **(overrides or {})}.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "depotline") -> SparkSession:
     """Session for tests and benchmarks on one machine (UI off, no ports)."""
