@@ -48,10 +48,9 @@ def sales_list(t: Tables, which: str = "active", employee_id: int | None = None)
     if employee_id is not None:
         sales = sales.where(F.col("employee_id") == F.lit(int(employee_id)))
     totals = sale_amount(t).select("sale_id", F.col("amount").alias("total"))
-    # The NULL-customer split only touches the header scan; line totals are
-    # aggregated once and joined after the union.
-    return (lookup(sales, n["customer"], "customer_id")
-            .join(totals, "sale_id", "left")
+    # Totals first (headers and lines share the sale_id partitioning), then the
+    # customer lookup with NULL keys (walk-ins) salted so they spread out.
+    return (lookup(sales.join(totals, "sale_id", "left"), n["customer"], "customer_id")
             .join(n["employee"], "employee_id", "left")
             .join(n["branch"], "branch_id", "left")
             .select("sale_id", "customer_id", "customer_name", "employee_id", "employee_name",
