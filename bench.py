@@ -15,14 +15,13 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from depotline.plans.catalog import QUERIES  # noqa: E402
-from depotline.session import checkpoint_dir, local_session  # noqa: E402
+from depotline.session import local_session, new_folder  # noqa: E402
 from depotline.sources.fixture import fixture_tables  # noqa: E402
 from depotline.sources.layout import save_bucketed  # noqa: E402
 
@@ -42,15 +41,8 @@ def main() -> None:
     default_parts = cpus if cpus.isdigit() else "8"
     spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", default_parts)),
                           app="depotline-bench")
-    # Written tables go to a fresh folder under the shared checkpoint folder the
-    # session names; only when none is set (a laptop) a local scratch folder is used.
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        scratch = os.path.join(shared, f"depotline-bench-{uuid.uuid4().hex}")
-    else:
-        scratch = tempfile.mkdtemp(prefix="depotline-bench-")
-        spark.conf.set("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
-    checkpoint_dir(spark)
+    # Written tables go to a fresh folder under the shared checkpoint folder.
+    scratch = new_folder(spark, "bench")
 
     # The fifteen tables in the deployment layout: documents bucketed by their key.
     buckets = int(os.environ.get("BENCH_BUCKETS", default_parts))

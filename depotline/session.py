@@ -6,7 +6,6 @@ The library never creates a session for a cluster job: callers pass their own.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -67,21 +66,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to shared storage; only when it is
-    unset (tests, local runs) a fresh scratch folder is taken and recorded in the
-    session.  Jobs of this package write their intermediate tables below it.
+    Jobs of this package write their intermediate tables below it.  Where the
+    setting is missing, a folder given to ``SparkContext.setCheckpointDir`` is
+    used; a session on one machine (``local`` master, as in tests) then gets a
+    scratch folder of its own, and any other session is told to set one.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="depotline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    try:  # keep DataFrame.checkpoint() usable for callers (not available on Spark Connect)
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-    except Exception:
-        pass
-    return current
+    if current:
+        return current
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="depotline-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a fresh folder (not yet made) under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/depotline-{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -90,9 +93,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Used where a job reads the same derived batch several times (validation,
     admission rounds, new table versions): later steps scan the written copy
-    instead of recomputing it, and the copy survives lost executors.
+    instead of recomputing it, and the copy survives lost executors.  ``unstage``
+    removes the copy when nothing reads it any more.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/depotline-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._depotline_stage = path
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Remove the written copies behind tables that ``stage`` returned."""
+    for df in tables:
+        path = getattr(df, "_depotline_stage", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
