@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotline.llm import byte_bpe, chosen_path, hashing_index, licenses, packing, secrets, topk, url_filter
+from depotline.llm import byte_bpe, chosen_path, hashing_index, licenses, packing, secrets, sharding, topk, url_filter
 from depotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_chosen_path")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_best_fit_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard sizes are near equal, which is the law ``bytes``."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))

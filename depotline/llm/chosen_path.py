@@ -77,7 +77,7 @@ def shingles(text: str, words: Words) -> np.ndarray:
     if not len(w):
         return w
     if len(w) < WORDS:
-        return mix(np.append(w * _FACTORS[: len(w)], _SHORT * _FACTORS[len(w)]).sum(keepdims=True))
+        return mix(np.append(w * _FACTORS[: len(w)], _SHORT * _FACTORS[len(w) : len(w) + 1]).sum(keepdims=True))
     n = len(w) - WORDS + 1
     return np.unique(mix(sum(w[i : i + n] * _FACTORS[i] for i in range(WORDS))))
 
