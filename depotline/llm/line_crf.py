@@ -74,7 +74,7 @@ class Lines(NamedTuple):
 def gather(texts: list[str]) -> Lines:
     found = [text_lines(t) for t in texts]
     own = np.array([r for rows, _ in found for r in rows], float).reshape(-1, OWN)
-    counts = np.array([len(rows) for rows, _ in found])
+    counts = np.array([len(rows) for rows, _ in found], np.int64)
     first = np.zeros(len(own), bool)
     first[(np.cumsum(counts) - counts)[counts > 0]] = True
     last = np.roll(first, -1)

@@ -132,11 +132,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
 def _masked(texts: pd.Series, places: pd.Series) -> pd.Series:
     out = []
     for text, spans in zip(texts, places, strict=True):
-        end = len(text) + 1
-        for start, stop in sorted({tuple(map(int, p.split(":"))) for p in spans}, reverse=True):
-            if start < end:  # overlapping spans: from the last start to the first
-                text = text[:start] + "[SECRET]" + text[min(stop, end) :]
-                end = start
+        joined: list[list[int]] = []  # spans that overlap or touch become one
+        for start, end in sorted(tuple(map(int, p.split(":"))) for p in spans):
+            if joined and start <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], end)
+            else:
+                joined.append([start, end])
+        for start, end in reversed(joined):
+            text = text[:start] + "[SECRET]" + text[end:]
         out.append(text)
     return pd.Series(out)
 
