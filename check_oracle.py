@@ -34,7 +34,7 @@ def _norm(v):
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
     if isinstance(v, float):
-        return str(int(v)) if v.is_integer() and abs(v) < 2**53 else repr(v)
+        return str(int(v)) if v.is_integer() and abs(v) < 2**53 else repr(float(v))
     if hasattr(v, "item"):
         v = v.item()
         return _norm(v)

@@ -119,13 +119,14 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     ln = F.col("l_linenumber")
-    sale_detail = lineitem.where(ln <= 4).select(
+    quarter = (F.col("l_quantity") / 4).cast(MONEY)
+    sale_detail = lineitem.select(
         (F.col("l_orderkey") + 1).alias("sale_id"),
         (F.col("l_partkey") + 1).alias("product_id"),
-        F.col("l_quantity").cast(MONEY).alias("quantity"),
+        F.when(ln > 4, quarter).otherwise(F.col("l_quantity").cast(MONEY)).alias("quantity"),
         F.col("l_extendedprice").cast(MONEY).alias("kg_price_at_sale_time"),
         _flag(ln == 4).alias("is_deleted"),
-        _flag((ln < 4) & (F.col("l_orderkey") % 13 == 0)).alias("is_deleted_with_sale"),
+        _flag((ln != 4) & (F.col("l_orderkey") % 13 == 0)).alias("is_deleted_with_sale"),
     )
 
     sk = F.col("l_suppkey")
@@ -180,8 +181,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     tline = (
-        lineitem.where(ln <= 5)
-        .select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
+        lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_shipdate")
         .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
         .select(
             (((sk % 5) * 25 + F.col("o_custkey") % 25) * 1000 + _month_index(F.col("l_shipdate")))
@@ -190,7 +190,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             (F.col("o_custkey") % 25 + 1).alias("branch_id"),
             _month_start(F.col("l_shipdate")).alias("transfer_date"),
             (F.col("l_partkey") + 1).alias("product_id"),
-            F.col("l_quantity").cast(MONEY).alias("quantity"),
+            F.when(ln > 5, quarter).otherwise(F.col("l_quantity").cast(MONEY)).alias("quantity"),
         )
     )
     transfer = tline.select(
