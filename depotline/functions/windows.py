@@ -45,22 +45,3 @@ def chunked_running_sum(df: DataFrame, keys: list[str], chunk: list[str], order:
     return joined.drop(*[f"_in_{o}" for o in values], *[f"_off_{o}" for o in values],
                        *[f"_o_{c}" for c in on])
 
-
-def running_sum(df: DataFrame, keys: list[str], chunk: list[str], order: list[Column | str],
-                values: dict[str, str], hot_keys: DataFrame | None = None) -> DataFrame:
-    """Running sums per key; only ``hot_keys`` take the chunked path.
-
-    ``hot_keys`` lists the keys with more rows than one task should take (found by
-    counting rows per key).  Its size is bounded by rows / threshold, so it is
-    broadcast; every other key gets one plain window partition, which is cheaper.
-    With ``hot_keys=None`` every key is chunked.
-    """
-    if hot_keys is None:
-        return chunked_running_sum(df, keys, chunk, order, values)
-    hot = F.broadcast(hot_keys.select(*keys))
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = df.join(hot, keys, "left_anti")
-    for out, col in values.items():
-        cold = cold.withColumn(out, F.sum(col).over(w))
-    warm = chunked_running_sum(df.join(hot, keys, "left_semi"), keys, chunk, order, values)
-    return cold.unionByName(warm.select(*cold.columns))

@@ -6,137 +6,122 @@ it, otherwise it is rejected whole and consumes nothing - the result of handling
 the documents one at a time.  The batch form is set-based and exact, in rounds:
 
 1. demand is summed per (document, location, product) (lines of one product are
-   checked together);
-2. over the not-rejected demand of every (location, product), in document order,
-   ``run_all`` is the running sum of all of it and ``run_acc`` the running sum of
-   the accepted part;
-3. an undecided document is accepted when every line has ``run_all <= stock`` (it
-   fits even if every undecided document before it is accepted) and rejected when
-   a line has ``run_acc + own > stock`` (it does not fit even if they are all
-   rejected); otherwise it waits for the next round.
-
-The earliest undecided document is always decided, so the rounds end; each round
-only touches (location, product) keys that still have undecided demand, and the
-status table is written to a fresh folder under ``spark.checkpoint.dir`` and read
-back, which cuts lineage.  Running
-sums of hot keys use ``chunked_running_sum`` so a hot product does not serialise on
-one task.
+   checked together) and laid out in key and document order, so that a hot key
+   spans several chunks of measured size;
+2. every open line carries ``taken``, the accepted demand before it on its key.
+   A running sum over the open lines and those accepted in the last round brings
+   it up to date;
+3. an open document is accepted when every line fits even if all open documents
+   before it are accepted, and rejected when a line does not fit even if they are
+   all rejected;
+4. beside that rule, the earliest ``BLOCK_DOCS`` open documents are decided one by
+   one in a single small group: nothing before them is open, so ``taken`` is exact
+   for them.  A chain of documents that each depend on the one before is therefore
+   settled by the thousand, and every round ends with at least that many fewer;
+5. decisions are written once; only open lines, and the lines just accepted on
+   keys that are still open, go into the next round.
+
+There is no limit on rounds.  Each round's tables are written to a fresh folder
+under ``spark.checkpoint.dir``, which cuts lineage, and removed when used up.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotline.functions.windows import running_sum
-from depotline.session import checkpoint_dir
+from depotline.functions.windows import chunked_running_sum
+from depotline.session import stage, unstage
 
 KEY = ["location_type", "location_id", "product_id"]
-UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
+ORDER = ["doc_date", "doc_id"]
+#: Documents that one group decides one by one in each round.
+BLOCK_DOCS = 2_000
+
+
+def _one_by_one(lines: pd.DataFrame) -> pd.DataFrame:
+    """Decisions of the lines' documents in order; ``taken`` covers everything before them."""
+    used: dict = {}
+    out = []
+    lines = lines.sort_values(ORDER, kind="stable", na_position="first")
+    for doc_id, part in lines.groupby("doc_id", sort=False):
+        keys = list(zip(*(part[c] for c in KEY), strict=True))
+        fits = all(taken + used.get(k, 0) + qty <= avail for k, taken, qty, avail in
+                   zip(keys, part["taken"], part["qty"], part["avail"], strict=True))
+        if fits:
+            for k, qty in zip(keys, part["qty"], strict=True):
+                used[k] = used.get(k, 0) + qty
+        out.append((doc_id, fits))
+    return pd.DataFrame(out, columns=["doc_id", "in_block"])
 
 
 def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
-          missing_rejects: bool = False, id_bucket: int = 1 << 16, max_rounds: int = 200,
-          hot_rows: int = 2_000_000) -> DataFrame:
+          missing_rejects: bool = False, block_docs: int | None = None) -> DataFrame:
     """Decide every document of the batch.
 
     ``demand``: doc_id, doc_date, location_type, location_id, product_id, qty.
     ``stock``: location_type, location_id, product_id, quantity (a missing row is
     0, or a rejection when ``missing_rejects``).
     ``docs``: optional doc_id list of the whole batch; documents without demand are
-    accepted.  ``hot_rows``: a (location, product) with more demand rows than this
-    has its running sums split into (date, id-bucket) chunks.  Returns doc_id,
-    accepted, reason, round.
+    accepted.  Returns doc_id, accepted, reason, round.
     """
-    spark = demand.sparkSession
-    # Lineage is cut by writing each intermediate table to a fresh folder under the
-    # shared checkpoint folder and reading it back (one job, survives lost executors).
-    scratch = f"{checkpoint_dir(spark).rstrip('/')}/depotline-admit-{uuid.uuid4().hex}"
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        path = f"{scratch}/{name}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+    block_docs = block_docs or BLOCK_DOCS
     lines = (demand.groupBy("doc_id", "doc_date", *KEY).agg(F.sum("qty").alias("qty"))
              .join(stock.select(*KEY, F.col("quantity").alias("avail")), KEY, "left")
              .select("doc_id", "doc_date", *KEY, "qty",
                      F.col("avail").isNull().alias("missing"),
-                     F.coalesce(F.col("avail"), F.lit(0)).alias("avail"),
-                     F.floor(F.col("doc_id") / F.lit(id_bucket)).alias("chunk")))
-    lines = cut(lines, "lines")
-    n_lines = lines.count()  # from the Parquet footers
-    # Hot keys: at most rows / hot_rows of them, so the list has a proven size bound.
-    # A batch with no more rows than hot_rows cannot have one.
-    hot = lines.select(*KEY).limit(0)
-    if n_lines > hot_rows:
-        hot = cut(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-                  .select(*KEY), "hot_keys")
-
-    qty_type = lines.schema["qty"].dataType
-
-    def decide(live: DataFrame) -> DataFrame:
-        """Per undecided document of ``live``: does every line fit, does any line overflow."""
-        live = running_sum(live, KEY, ["doc_date", "chunk"], ["doc_date", "doc_id"],
-                           {"run_all": "qty", "run_acc": "acc_qty"}, hot_keys=hot)
-        return (live.where(F.col("state") == UNDECIDED).groupBy("doc_id").agg(
-            F.min((F.col("run_all") <= F.col("avail")).cast("int")).alias("fits"),
-            F.max((F.col("run_acc") + F.col("qty") > F.col("avail")).cast("int")).alias("over")))
-
-    def without_lines() -> DataFrame:
-        return docs.select("doc_id").distinct().join(lines.select("doc_id"), "doc_id", "left_anti").select(
-            "doc_id", F.lit(ACCEPTED).alias("state"), F.lit(None).cast("string").alias("reason"),
-            F.lit(0).alias("round"))
-
-    und = F.col("state") == UNDECIDED
+                     F.coalesce(F.col("avail"), F.lit(0)).alias("avail")))
+    lines = lines.repartitionByRange(*KEY, *ORDER).withColumn("chunk", F.spark_partition_id())
+    lines = stage(lines, "admit-lines")
+    nothing = F.lit(0).cast(lines.schema["qty"].dataType)
+    decided: list[DataFrame] = []
+    if docs is not None:
+        decided.append(docs.select("doc_id").distinct().join(lines.select("doc_id"), "doc_id", "left_anti").select(
+            "doc_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("round")))
+    live = lines
     if missing_rejects:
-        miss = F.col("missing").cast("int")
-        status = lines.groupBy("doc_id").agg(F.max(miss).alias("miss")).select(
-            "doc_id",
-            F.when(F.col("miss") == 1, F.lit(REJECTED)).otherwise(F.lit(UNDECIDED)).alias("state"),
-            F.when(F.col("miss") == 1, F.lit("missing_stock_row")).alias("reason"),
-            F.when(F.col("miss") == 1, F.lit(0)).alias("round"))
-        if docs is not None:
-            status = status.unionByName(without_lines())
-        status = cut(status, "status-0")
-        first = 1
-    else:
-        # Round 1 needs no status join: every document with demand is undecided and
-        # nothing is accepted yet, over every key.
-        live = lines.withColumn("state", F.lit(UNDECIDED)).withColumn("acc_qty", F.lit(0).cast(qty_type))
-        decided = decide(live)
-        status = decided.select(
-            "doc_id",
-            F.when(F.col("over") == 1, F.lit(REJECTED)).when(F.col("fits") == 1, F.lit(ACCEPTED))
-            .otherwise(F.lit(UNDECIDED)).alias("state"),
-            F.when(F.col("over") == 1, F.lit("insufficient_stock")).alias("reason"),
-            F.when((F.col("over") == 1) | (F.col("fits") == 1), F.lit(1)).alias("round"))
-        if docs is not None:
-            status = status.unionByName(without_lines())
-        status = cut(status, "status-1")
-        first = 2
-
-    for rnd in range(first, max_rounds + 1):
-        if status.where(und).isEmpty():
+        gone = stage(lines.where("missing").select("doc_id").distinct(), "admit-missing")
+        decided.append(gone.select("doc_id", F.lit(False).alias("accepted"), F.lit("missing_stock_row").alias("reason"),
+                                   F.lit(0).alias("round")))
+        live = lines.join(gone, "doc_id", "left_anti")
+    live = live.drop("missing").withColumn("taken", nothing).withColumn("fresh", F.lit(False))
+
+    group_schema = lines.select("doc_id").withColumn("in_block", F.lit(True)).schema
+    used_up: list[DataFrame] = []
+    round_no = 0
+    while True:
+        round_no += 1
+        live = (live.withColumn("open_qty", F.when(F.col("fresh"), nothing).otherwise(F.col("qty")))
+                .withColumn("fresh_qty", F.when(F.col("fresh"), F.col("qty")).otherwise(nothing)))
+        run = chunked_running_sum(live, KEY, ["chunk"], ORDER, {"run_open": "open_qty", "run_fresh": "fresh_qty"})
+        seen = stage(run.where(~F.col("fresh")).select(
+            "doc_id", "doc_date", *KEY, "qty", "avail", "chunk",
+            (F.col("taken") + F.col("run_fresh")).alias("taken"),
+            (F.col("taken") + F.col("run_fresh") + F.col("run_open") <= F.col("avail")).alias("fits"),
+            (F.col("taken") + F.col("run_fresh") + F.col("qty") > F.col("avail")).alias("over")), "admit-round")
+        unstage(*used_up)
+        by_doc = seen.groupBy(*ORDER).agg(F.bool_and("fits").alias("fits"), F.bool_or("over").alias("over"))
+        first = by_doc.select(*ORDER).orderBy(*ORDER).limit(block_docs).select("doc_id")
+        block = (seen.join(first, "doc_id", "left_semi").select("doc_id", "doc_date", *KEY, "qty", "avail", "taken", F.lit(0).alias("block"))
+                 .groupBy("block").applyInPandas(_one_by_one, group_schema))
+        verdict = F.coalesce(F.col("in_block"), F.when(F.col("over"), False).when(F.col("fits"), True))
+        state = stage(by_doc.join(block, "doc_id", "left").select("doc_id", verdict.alias("accepted")), "admit-state")
+        decided.append(state.where(F.col("accepted").isNotNull()).select(
+            "doc_id", "accepted", F.when(~F.col("accepted"), F.lit("insufficient_stock")).alias("reason"),
+            F.lit(round_no).alias("round")))
+        undecided = state.where(F.col("accepted").isNull())
+        if undecided.isEmpty():
+            unstage(seen)
             break
-        live = lines.join(status.where(F.col("state") != REJECTED).select("doc_id", "state"), "doc_id")
-        open_keys = live.where(und).select(*KEY).distinct()
-        live = (live.join(open_keys, KEY, "left_semi")
-                .withColumn("acc_qty", F.when(F.col("state") == ACCEPTED, F.col("qty"))
-                            .otherwise(F.lit(0).cast(qty_type))))
-        decided = decide(live)
-        rej = und & (F.col("over") == 1)
-        acc = und & (F.col("fits") == 1)
-        status = (status.join(decided, "doc_id", "left").select(
-            "doc_id",
-            F.when(rej, F.lit(REJECTED)).when(acc, F.lit(ACCEPTED)).otherwise(F.col("state")).alias("state"),
-            F.when(rej, F.lit("insufficient_stock")).otherwise(F.col("reason")).alias("reason"),
-            F.when(rej | acc, F.lit(rnd)).otherwise(F.col("round")).alias("round")))
-        status = cut(status, f"status-{rnd}")
-    else:
-        if not status.where(und).isEmpty():
-            raise RuntimeError(f"admission did not settle within {max_rounds} rounds")
-
-    return status.select("doc_id", (F.col("state") == ACCEPTED).alias("accepted"), "reason", "round")
+        still = seen.join(undecided.select("doc_id"), "doc_id", "left_semi")
+        new = (seen.join(state.where("accepted").select("doc_id"), "doc_id", "left_semi")
+               .join(still.select(*KEY).distinct(), KEY, "left_semi"))
+        live = (still.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+                .drop("fits", "over"))
+        used_up = [seen]
+    if docs is None and not missing_rejects:
+        unstage(lines)
+    return reduce(DataFrame.unionByName, decided)
