@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 
 from depotline.schemas import MONEY
 
+#: Texts without which a dimension row is refused.
+REQUIRED_TEXT = {"product": ("product_name", "category"), "warehouse": ("warehouse_name", "location")}
 
-def _blank(c: Column) -> Column:
+#: Form fields by table: trimmed texts, texts that turn NULL when blank, and numbers that do.
+FORM_TEXT = {"supplier": ("supplier_name", "location", "phone_number", "email"), "branch": ("branch_name", "location", "phone_number"),
+             "employee": ("employee_name", "phone_number"), "customer": ("customer_name", "phone_number")}
+FORM_OPTIONAL = {"employee": ("position",), "customer": ("email",)}
+FORM_NUMBERS = {"employee": (("salary", MONEY), ("warehouse_id", "long"), ("branch_id", "long"))}
+
+def is_blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
@@ -37,14 +45,14 @@ def explode_lines(docs: DataFrame, kind: str, doc_col: str = "doc_id") -> tuple[
                    *[F.col("z")[a].alias(f"raw_{a}") for a in arrays]))
 
     if kind == "sale":
-        keep = ~_blank(F.col("raw_product_id")) & ~_blank(F.col("raw_quantity")) & ~_blank(F.col("raw_price"))
+        keep = ~is_blank(F.col("raw_product_id")) & ~is_blank(F.col("raw_quantity")) & ~is_blank(F.col("raw_price"))
         qty = F.trim(F.col("raw_quantity")).try_cast(MONEY)
         price = F.trim(F.col("raw_price")).try_cast(MONEY)
     else:
-        keep = ~_blank(F.col("raw_product_id"))
-        qty = F.when(_blank(F.col("raw_quantity")), F.lit(0).cast(MONEY)).otherwise(
+        keep = ~is_blank(F.col("raw_product_id"))
+        qty = F.when(is_blank(F.col("raw_quantity")), F.lit(0).cast(MONEY)).otherwise(
             F.trim(F.col("raw_quantity")).try_cast(MONEY))
-        price = (F.when(_blank(F.col("raw_price")), F.lit(0).cast(MONEY)).otherwise(
+        price = (F.when(is_blank(F.col("raw_price")), F.lit(0).cast(MONEY)).otherwise(
             F.trim(F.col("raw_price")).try_cast(MONEY)) if has_price else None)
     pid = F.trim(F.col("raw_product_id")).try_cast("long")
 
@@ -82,14 +90,37 @@ def clean_person(raw: DataFrame, name: str = "name", phone: str = "phone", year:
     date (e.g. 30 February) gives NULL and ``dob_invalid`` = true instead of an error.
     """
     parts = [F.col(year), F.col(month), F.col(day)]
-    all_parts = ~(_blank(parts[0]) | _blank(parts[1]) | _blank(parts[2]))
+    all_parts = ~(is_blank(parts[0]) | is_blank(parts[1]) | is_blank(parts[2]))
     y, m, d = (F.trim(p).try_cast("int") for p in parts)
     text = F.format_string("%04d-%02d-%02d", y, m, d)
     dob = F.when(all_parts, F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
     out = raw.withColumn(name, F.trim(F.col(name))).withColumn(phone, F.trim(F.col(phone)))
     for c in optional_blank_to_null:
         if c in raw.columns:
-            out = out.withColumn(c, F.when(_blank(F.col(c)), F.lit(None)).otherwise(F.trim(F.col(c))))
+            out = out.withColumn(c, F.when(is_blank(F.col(c)), F.lit(None)).otherwise(F.trim(F.col(c))))
     return (out.withColumn("date_of_birth", dob)
             .withColumn("dob_invalid", all_parts & dob.isNull())
             .drop(year, month, day))
+
+
+def clean_record(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """S5 for a dimension form of ``table``: (cleaned, rejected with ``reject_reason``).
+
+    Required texts are trimmed, optional ones and numbers turn NULL when blank, and
+    birth-date parts become a date.  A number that is not one is rejected.
+    """
+    out = raw
+    for c in FORM_TEXT.get(table, ()):
+        out = out.withColumn(c, F.trim(F.col(c)))
+    for c in FORM_OPTIONAL.get(table, ()):
+        out = out.withColumn(c, F.when(~is_blank(F.col(c)), F.trim(F.col(c))))
+    rules = []
+    for c, kind in FORM_NUMBERS.get(table, ()):
+        number = F.trim(F.col(c)).try_cast(kind)
+        out = out.withColumn(f"_bad_{c}", ~is_blank(F.col(c)) & number.isNull()).withColumn(c, number)
+        rules.append((F.col(f"_bad_{c}"), f"{c}_not_a_number"))
+    if "dob_year" in raw.columns:
+        out = clean_person(out, FORM_TEXT[table][0], FORM_TEXT[table][1], optional_blank_to_null=())
+    good, bad = validate(out, rules)
+    extra = [f"_bad_{c}" for c, _ in FORM_NUMBERS.get(table, ())]
+    return good.drop(*extra), bad.drop(*extra)

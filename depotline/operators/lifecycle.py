@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from depotline.functions.flags import active
 from depotline.functions.joins import lookup
 from depotline.operators.admission import admit
-from depotline.operators.ingest import validate
+from depotline.operators.ingest import REQUIRED_TEXT, is_blank, validate
 from depotline.operators.stock import apply_update_only, apply_upsert
 from depotline.schemas import MONEY
 from depotline.session import stage
@@ -52,6 +52,28 @@ def _ids(ids: DataFrame, key: str) -> DataFrame:
     return ids.select(F.col(col).alias(key)).distinct()
 
 
+def screen(headers: DataFrame, key: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Headers whose id can be used, and rejected ids (doc_id, reason), one row an id.
+
+    An id that is NULL, that the batch holds more than once, or (for new documents)
+    that ``existing`` already has is rejected before anything is joined, so a
+    repeated header cannot multiply lines, and a batch that is posted again after
+    it was published changes nothing.
+    """
+    seen = headers.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
+    reason = F.when(F.col(key).isNull(), F.lit("missing_id")).when(F.col("_times") > 1, F.lit("duplicate_in_batch"))
+    if existing is not None:
+        seen = seen.join(existing.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True)), key, "left")
+        reason = reason.when(F.col("_known"), F.lit("id_exists"))
+    seen = seen.select(key, reason.alias("reason"))
+    good = headers.join(seen.where(F.col("reason").isNull()).select(key), key, "left_semi")
+    return good, seen.where(F.col("reason").isNotNull()).select(F.col(key).alias("doc_id"), "reason")
+
+
+def _rejected(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.lit(False).alias("accepted"), F.col("reason").cast("string").alias("reason"))
+
+
 def flag_rows(df: DataFrame, ids: DataFrame, key: str, flag: str, value: int | None,
               only: Column | None = None) -> DataFrame:
     """Set ``flag`` to ``value`` (1 or NULL) on rows whose ``key`` is in ``ids``
@@ -95,6 +117,7 @@ def post_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     A purchase needs a supplier, a warehouse and at least one line (S6).
     """
     counts = lines.groupBy("purchase_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    headers, unusable = screen(headers, "purchase_id", t.purchase)
     h = stage(headers.join(counts, "purchase_id", "left"), "purchase-batch")
     ok, bad = validate(h, [(F.col("supplier_id").isNull(), "missing_supplier"),
                            (F.col("warehouse_id").isNull(), "missing_warehouse"),
@@ -109,7 +132,8 @@ def post_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     stock = apply_upsert(t.warehouse_stock, _wh_deltas(new_lines, 1), "warehouse_id")
     return JobResult(t.replace(purchase=purchase, purchase_detail=detail, warehouse_stock=conform(stock, "warehouse_stock")),
                      _decisions(ok.select(F.col("purchase_id").alias("doc_id")),
-                                bad.select(F.col("purchase_id").alias("doc_id"), F.col("reject_reason").alias("reason"))))
+                                bad.select(F.col("purchase_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
+                                .unionByName(unusable)))
 
 
 def _purchase_live_lines(t: Tables, purchases: DataFrame) -> DataFrame:
@@ -178,6 +202,7 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     counts = lines.groupBy("purchase_id").agg(F.count(F.lit(1)).alias("n_lines"))
     cur = active(t.purchase).select("purchase_id", F.col("warehouse_id").alias("old_wh"),
                                     F.col("purchase_date").alias("old_date"))
+    headers, unusable = screen(headers, "purchase_id")
     h = stage(headers.join(counts, "purchase_id", "left").join(cur, "purchase_id", "left"), "purchase-edits")
     ok, bad = validate(h, [(F.col("old_wh").isNull(), "not_found"),
                            (F.col("supplier_id").isNull() | F.col("warehouse_id").isNull(), "missing_supplier_or_warehouse"),
@@ -212,20 +237,22 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
                   warehouse_stock=conform(stock, "warehouse_stock")),
         _from_admission(adm).unionByName(
             bad.select(F.col("purchase_id").alias("doc_id"), F.lit(False).alias("accepted"),
-                       F.col("reject_reason").alias("reason"))))
+                       F.col("reject_reason").alias("reason"))).unionByName(_rejected(unusable)))
 
 
 # -------------------------------------------------------------------- payments
 
 def post_payments(t: Tables, payments: DataFrame) -> JobResult:
     """Append payments (payment_id, purchase_id, employee_id, payment_date, amount, method)."""
+    payments, unusable = screen(payments, "payment_id", t.payment)
     ok, bad = validate(payments, [(F.col("purchase_id").isNull(), "missing_purchase"),
                                   (F.col("amount").isNull(), "missing_amount")])
     new = conform(ok.withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_purchase", F.lit(None)),
                   "payment")
     return JobResult(t.replace(payment=t.payment.unionByName(new)),
                      _decisions(ok.select(F.col("payment_id").alias("doc_id")),
-                                bad.select(F.col("payment_id").alias("doc_id"), F.col("reject_reason").alias("reason"))))
+                                bad.select(F.col("payment_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
+                                .unionByName(unusable)))
 
 
 def delete_payments(t: Tables, payment_ids: DataFrame) -> JobResult:
@@ -248,6 +275,7 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
     ``headers``: sale_id, customer_id, branch_id, employee_id, sale_date, payment_method.
     ``lines``: sale_id, product_id, quantity, price.
     """
+    headers, unusable = screen(headers, "sale_id", t.sale)
     heads = headers.where(F.col("branch_id").isNotNull())
     no_branch = headers.where(F.col("branch_id").isNull()).select(
         F.col("sale_id").alias("doc_id"), F.lit("missing_branch").alias("reason"))
@@ -261,7 +289,7 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
         decisions = _from_admission(adm)
     else:
         decisions = _decisions(heads.select(F.col("sale_id").alias("doc_id")))
-    decisions = decisions.unionByName(no_branch.select("doc_id", F.lit(False).alias("accepted"), "reason"))
+    decisions = decisions.unionByName(_rejected(no_branch)).unionByName(_rejected(unusable))
     new_stock, _ = apply_update_only(t.branch_stock, _br_deltas(sale_lines, -1), "branch_id")
     sale = t.sale.unionByName(conform(heads.withColumn("is_deleted", F.lit(None)), "sale"))
     detail = t.sale_detail.unionByName(conform(
@@ -319,7 +347,8 @@ def edit_sales(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult:
     date and payment method, append the new lines and take them out - one summed
     delta per (branch, product), applied update-only at the sale's own branch."""
     cur = active(t.sale).select("sale_id", "branch_id")
-    heads = headers.join(cur, "sale_id")
+    headers, unusable = screen(headers, "sale_id")
+    heads = headers.drop("branch_id").join(cur, "sale_id")
     acc = heads.select("sale_id")
     old = cur.join(acc, "sale_id", "left_semi").join(
         active(t.sale_detail).select("sale_id", "product_id", "quantity"), "sale_id")
@@ -341,7 +370,8 @@ def edit_sales(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult:
         t.replace(sale=conform(sale, "sale"), sale_detail=detail, branch_stock=conform(new_stock, "branch_stock")),
         _decisions(acc.select(F.col("sale_id").alias("doc_id")),
                    headers.join(cur, "sale_id", "left_anti").select(F.col("sale_id").alias("doc_id"),
-                                                                    F.lit("not_active").alias("reason"))))
+                                                                    F.lit("not_active").alias("reason"))
+                   .unionByName(unusable)))
 
 
 # ------------------------------------------------------------------- transfers
@@ -354,6 +384,7 @@ def post_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     ``lines``: transfer_id, product_id, quantity.
     """
     counts = lines.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    headers, unusable = screen(headers, "transfer_id", t.transfer)
     h = stage(headers.join(counts, "transfer_id", "left"), "transfer-batch")
     ok, bad = validate(h, [(F.col("branch_id").isNull(), "missing_branch"),
                            (F.col("warehouse_id").isNull(), "missing_warehouse"),
@@ -375,7 +406,7 @@ def post_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
                                        "branch_stock")),
         _from_admission(adm).unionByName(
             bad.select(F.col("transfer_id").alias("doc_id"), F.lit(False).alias("accepted"),
-                       F.col("reject_reason").alias("reason"))))
+                       F.col("reject_reason").alias("reason"))).unionByName(_rejected(unusable)))
 
 
 def delete_transfers(t: Tables, transfer_ids: DataFrame) -> JobResult:
@@ -414,6 +445,7 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     counts = lines.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("n_lines"))
     cur = t.transfer.select("transfer_id", F.col("warehouse_id").alias("old_wh"), F.col("branch_id").alias("old_br"),
                             F.col("transfer_date").alias("old_date"))
+    headers, unusable = screen(headers, "transfer_id")
     h = stage(headers.join(counts, "transfer_id", "left").join(cur, "transfer_id", "left"), "transfer-edits")
     ok, bad = validate(h, [(F.col("old_wh").isNull(), "not_found"),
                            (F.col("warehouse_id").isNull() | F.col("branch_id").isNull(), "missing_warehouse_or_branch"),
@@ -456,7 +488,8 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
         F.when(F.col("n_wh").isNotNull(), F.col("n_date")).otherwise(F.col("transfer_date")).alias("transfer_date"))
     detail = t.transfer_detail.join(acc, "transfer_id", "left_anti").unionByName(conform(new_lines, "transfer_detail"))
     rejected = (bad.select(F.col("transfer_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
-                .unionByName(alone.select("doc_id", F.lit("insufficient_stock").alias("reason"))))
+                .unionByName(alone.select("doc_id", F.lit("insufficient_stock").alias("reason")))
+                .unionByName(unusable))
     return JobResult(
         t.replace(transfer=conform(transfer, "transfer"), transfer_detail=detail,
                   warehouse_stock=conform(apply_upsert(t.warehouse_stock, wh_d, "warehouse_id"), "warehouse_stock"),
@@ -477,12 +510,25 @@ def set_deleted(t: Tables, table: str, ids: DataFrame, deleted: bool = True) ->
     return t.replace(**{table: flag_rows(df, ids, key, "is_deleted", 1 if deleted else None)})
 
 
-def upsert_rows(t: Tables, table: str, rows: DataFrame) -> Tables:
-    """Insert new rows and overwrite existing ones by id (type-1)."""
-    key = _DIM_KEYS[table]
-    new = conform(rows, table)
-    kept = getattr(t, table).join(new.select(key), key, "left_anti")
-    return t.replace(**{table: kept.unionByName(new)})
+def upsert_rows(t: Tables, table: str, rows: DataFrame) -> JobResult:
+    """Insert new rows and overwrite existing ones by id (type-1).
+
+    Only the columns that ``rows`` brings are written; the others keep their value,
+    and the delete flag is never touched (a new row is active).  Rejected: a NULL
+    or repeated id, and a row without the texts that the table requires (S6).
+    """
+    key, old = _DIM_KEYS[table], getattr(t, table)
+    rows, unusable = screen(rows, key)
+    ok, bad = validate(rows, [(is_blank(F.col(c)), f"missing_{c}") for c in REQUIRED_TEXT.get(table, ()) if c in rows.columns])
+    brought = [c for c in old.columns if c in ok.columns and c not in (key, "is_deleted")]
+    types = dict(zip(old.columns, (f.dataType for f in old.schema.fields)))
+    new = ok.select(key, *(F.col(c).cast(types[c]).alias(f"_new_{c}") for c in brought), F.lit(True).alias("_hit"))
+    both = old.withColumn("_old", F.lit(True)).join(new, key, "full_outer")
+    merged = both.select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in brought else F.col(c)
+                           for c in old.columns))
+    return JobResult(t.replace(**{table: conform(merged, table)}),
+                     _decisions(ok.select(F.col(key).alias("doc_id")),
+                                bad.select(F.col(key).alias("doc_id"), F.col("reject_reason").alias("reason")).unionByName(unusable)))
 
 
 def delete_customers(t: Tables, customer_ids: DataFrame) -> Tables:

@@ -134,36 +134,71 @@ def _ids_of(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col))
 
 
+def _reposted(heads: DataFrame, lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Documents posted once more under shifted ids, with planted flaws: of every 50
+    ids, 1 stands twice in the batch and 2 keeps an id that is in use."""
+    new = F.when(F.col(key) % 50 == 2, F.col(key)).otherwise(F.col(key) + NEW_ID_OFFSET).alias(key)
+    renew = lambda df: df.select(*(new if c == key else c for c in df.columns))
+    return renew(heads.unionByName(heads.where(F.col(key) % 50 == 1))), renew(lines)
+
+
+def _twice(heads: DataFrame, key: str) -> DataFrame:
+    """Edits in which 1 of every 50 ids stands twice."""
+    return heads.unionByName(heads.where(F.col(key) % 50 == 1))
+
+
+def _counted_branch_stock(t: Tables) -> Tables:
+    """Branch stock after a count that found nothing of every fifth product and no
+    row for every eleventh."""
+    found = t.branch_stock.where(F.col("product_id") % 11 != 0)
+    return t.replace(branch_stock=found.withColumn(
+        "quantity", F.when(F.col("product_id") % 5 == 0, F.lit(0)).otherwise(F.col("quantity")).cast("decimal(20,2)")))
+
+
 @register("x01_stock_reconcile")
 def _x01(t: Tables) -> DataFrame:
-    return S.reconcile(t)
+    """Documents against a snapshot that lost rows, has other quantities and holds a row too many."""
+    t = _counted_branch_stock(t)
+    extra = t.warehouse.select("warehouse_id", F.lit(NEW_ID_OFFSET).alias("product_id"), F.lit(5).cast("decimal(20,2)").alias("quantity"))
+    return S.reconcile(t.replace(warehouse_stock=t.warehouse_stock.unionByName(extra)))
+
 
+def _post_purchases(t: Tables) -> LC.JobResult:
+    heads = active(t.purchase).select("purchase_id", "employee_id", "warehouse_id", "supplier_id", "purchase_date")
+    lines = active(t.purchase_detail).select("purchase_id", "product_id", "quantity", F.col("kg_price_at_purchase_time").alias("price"))
+    return LC.post_purchases(t, *_reposted(heads, lines, "purchase_id"))
 
-@register("w04_post_purchases_stock")
-def _w04(t: Tables) -> DataFrame:
-    heads = active(t.purchase).select((F.col("purchase_id") + NEW_ID_OFFSET).alias("purchase_id"), "employee_id",
-                                      "warehouse_id", "supplier_id", "purchase_date")
-    lines = active(t.purchase_detail).select((F.col("purchase_id") + NEW_ID_OFFSET).alias("purchase_id"),
-                                             "product_id", "quantity",
-                                             F.col("kg_price_at_purchase_time").alias("price"))
-    return LC.post_purchases(t, heads, lines).tables.warehouse_stock
 
+register("w04_post_purchases_stock")(lambda t: _post_purchases(t).tables.warehouse_stock)
+register("w04_post_purchases_decisions")(lambda t: _post_purchases(t).decisions)
+register("w04_post_purchases_headers")(lambda t: _post_purchases(t).tables.purchase)
+register("w04_post_purchases_lines")(lambda t: _post_purchases(t).tables.purchase_detail.fillna(0, ["is_deleted", "is_deleted_with_purchase"]))
 
-@register("w06_post_sales_stock")
-def _w06(t: Tables) -> DataFrame:
-    heads = active(t.sale).select((F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "customer_id", "branch_id",
-                                  "employee_id", "sale_date", "payment_method")
-    lines = active(t.sale_detail).select((F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "product_id",
-                                         "quantity", F.col("kg_price_at_sale_time").alias("price"))
-    return LC.post_sales(t, heads, lines).tables.branch_stock
+
+def _post_sales(t: Tables) -> LC.JobResult:
+    heads = active(t.sale).select("sale_id", "customer_id", "branch_id", "employee_id", "sale_date", "payment_method")
+    lines = active(t.sale_detail).select("sale_id", "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
+    return LC.post_sales(t, *_reposted(heads, lines, "sale_id"))
+
+
+register("w06_post_sales_stock")(lambda t: _post_sales(t).tables.branch_stock)
+register("w06_post_sales_decisions")(lambda t: _post_sales(t).decisions)
+register("w06_post_sales_headers")(lambda t: _post_sales(t).tables.sale)
+register("w06_post_sales_lines")(lambda t: _post_sales(t).tables.sale_detail.fillna(0, ["is_deleted", "is_deleted_with_sale"]))
+
+
+@register("w07_post_payments")
+def _w07_post(t: Tables) -> DataFrame:
+    """Every payment once more; of every 50 ids, 3 has no amount."""
+    amount = F.when(F.col("payment_id") % 50 != 3, F.col("amount")).alias("amount")
+    rows = t.payment.select("payment_id", "purchase_id", "employee_id", "payment_date", amount, "method")
+    return LC.post_payments(t, _reposted(rows, rows, "payment_id")[0]).tables.payment
 
 
 def _retransfer(t: Tables) -> LC.JobResult:
-    heads = t.transfer.select((F.col("transfer_id") + NEW_ID_OFFSET).alias("transfer_id"), "warehouse_id",
-                              "branch_id", "employee_id", "transfer_date")
-    lines = t.transfer_detail.select((F.col("transfer_id") + NEW_ID_OFFSET).alias("transfer_id"), "product_id",
-                                     "quantity")
-    return LC.post_transfers(t, heads, lines)
+    heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "employee_id", "transfer_date")
+    lines = t.transfer_detail.select("transfer_id", "product_id", "quantity")
+    return LC.post_transfers(t, *_reposted(heads, lines, "transfer_id"))
 
 
 register("w03_transfer_admission")(lambda t: _retransfer(t).decisions)
@@ -177,8 +212,15 @@ register("w09_recover_purchases_stock")(
                                               "purchase_id")).tables.warehouse_stock)
 register("w10_delete_sales_stock")(
     lambda t: LC.delete_sales(t, _ids_of(active(t.sale), "sale_id")).tables.branch_stock)
-register("w11_recover_sales")(
-    lambda t: LC.recover_sales(t, _ids_of(t.sale.where(F.col("is_deleted") == 1), "sale_id")).decisions)
+
+
+@register("w11_recover_sales")
+def _w11(t: Tables) -> DataFrame:
+    """Recover every deleted sale against the counted branch stock, which does not cover all of them."""
+    t = _counted_branch_stock(t)
+    return LC.recover_sales(t, _ids_of(t.sale.where(F.col("is_deleted") == 1), "sale_id")).decisions
+
+
 register("w12_delete_transfers")(lambda t: LC.delete_transfers(t, _ids_of(t.transfer, "transfer_id")).decisions)
 
 
@@ -188,7 +230,7 @@ def _w13(t: Tables) -> DataFrame:
     heads = active(t.sale).select("sale_id", "customer_id", "sale_date", "payment_method")
     lines = (active(t.sale_detail).select("sale_id", "product_id", "quantity")
              .join(t.product.select("product_id", F.col("sale_price_per_kg").alias("price")), "product_id"))
-    new = LC.edit_sales(t, heads, lines).tables
+    new = LC.edit_sales(t, _twice(heads, "sale_id"), lines).tables
     return L.sales_list(new, "active").select("sale_id", "total")
 
 
@@ -198,32 +240,83 @@ def _w14(t: Tables) -> DataFrame:
     heads = active(t.purchase).select("purchase_id", "supplier_id", "warehouse_id", "purchase_date")
     lines = (active(t.purchase_detail).select("purchase_id", "product_id", "quantity")
              .join(t.product.select("product_id", F.col("purchase_price_per_kg").alias("price")), "product_id"))
-    return LC.edit_purchases(t, heads, lines).decisions
+    return LC.edit_purchases(t, _twice(heads, "purchase_id"), lines).decisions
 
 
 @register("w15_edit_transfers")
 def _w15(t: Tables) -> DataFrame:
     """Edit every transfer keeping its places and lines (checks both stock kinds)."""
     heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "transfer_date")
-    return LC.edit_transfers(t, heads, t.transfer_detail.select("transfer_id", "product_id", "quantity")).decisions
+    return LC.edit_transfers(t, _twice(heads, "transfer_id"), t.transfer_detail.select("transfer_id", "product_id", "quantity")).decisions
 
 
 @register("w16_delete_idle_suppliers")
 def _w16(t: Tables) -> DataFrame:
-    """Soft-delete suppliers without any active purchase."""
-    idle = t.supplier.join(active(t.purchase).select("supplier_id"), "supplier_id", "left_anti").select("supplier_id")
+    """Soft-delete suppliers whose purchases are all small: no live line of 45 or more."""
+    large = (active(t.purchase_detail).where(F.col("quantity") >= 45).select("purchase_id").distinct()
+             .join(active(t.purchase).select("purchase_id", "supplier_id"), "purchase_id"))
+    busy = large.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("supplier_id")
+    idle = t.supplier.join(busy, "supplier_id", "left_anti").select("supplier_id")
     return LC.set_deleted(t, "supplier", idle).supplier
 
 
+def _supplier_batch(t: Tables) -> LC.JobResult:
+    """Every supplier's name in capitals without its flag, of every 50 ids 1 twice, and a new supplier for each deleted one."""
+    edits = t.supplier.select("supplier_id", F.upper("supplier_name").alias("supplier_name"), "location")
+    new = t.supplier.where(F.col("is_deleted") == 1).select(
+        (F.col("supplier_id") + NEW_ID_OFFSET).alias("supplier_id"), F.lit("NEW").alias("supplier_name"), "location")
+    return LC.upsert_rows(t, "supplier", _twice(edits, "supplier_id").unionByName(new))
+
+
+register("w17_edit_suppliers")(lambda t: _supplier_batch(t).tables.supplier)
+register("w17_edit_suppliers_decisions")(lambda t: _supplier_batch(t).decisions)
+
+
+@register("w17_edit_products_decisions")
+def _w17_products(t: Tables) -> DataFrame:
+    """Products whose category is blank in the batch are refused."""
+    category = F.when(F.col("product_id") % 20 == 0, F.lit("  ")).otherwise(F.col("category")).alias("category")
+    return LC.upsert_rows(t, "product", t.product.select("product_id", "product_name", category)).decisions
+
+
 @register("w18_delete_customers_without_email")
 def _w18(t: Tables) -> DataFrame:
     gone = t.customer.where(F.col("email").isNull()).select("customer_id")
     return LC.delete_customers(t, gone).sale.select("sale_id", "customer_id", "branch_id")
 
 
-register("w19_delete_warehouses")(
-    lambda t: LC.delete_warehouses(t, t.warehouse.select("warehouse_id")).decisions)
-register("s02_fk_audit")(Q.audit)
+@register("w19_delete_warehouses")
+def _w19(t: Tables) -> DataFrame:
+    """Every warehouse, a spare one that nothing refers to for each, and ids that do not exist."""
+    spare = t.warehouse.withColumn("warehouse_id", F.col("warehouse_id") + NEW_ID_OFFSET)
+    t = t.replace(warehouse=t.warehouse.unionByName(spare))
+    ids = t.warehouse.select("warehouse_id").unionByName(t.warehouse.select((F.col("warehouse_id") + 5 * NEW_ID_OFFSET).alias("warehouse_id")))
+    return LC.delete_warehouses(t, ids).decisions
+
+
+@register("s02_fk_audit")
+def _s02(t: Tables) -> DataFrame:
+    """The audit of tables with planted orphans, repeated keys and NULLs."""
+    lost = lambda key, every: F.when(F.col(key) % every == 0, F.col(key) + NEW_ID_OFFSET).otherwise(F.col(key)).alias(key)
+    purchase = t.purchase.select("purchase_id", "employee_id", "warehouse_id", lost("supplier_id", 10), "purchase_date", "is_deleted")
+    sale = t.sale.select(F.when(F.col("sale_id") % 1000 != 7, F.col("sale_id")).alias("sale_id"), *t.sale.columns[1:])
+    stock = t.branch_stock.withColumn("quantity", F.when(F.col("product_id") % 100 != 3, F.col("quantity")))
+    return Q.audit(t.replace(purchase=_twice(purchase, "purchase_id"), sale=sale, branch_stock=stock))
+
+
+@register("s04_explode_sale_forms")
+def _s04(t: Tables) -> DataFrame:
+    """Sales turned back into forms of parallel text arrays, then exploded (S4).  Of the products, every
+    17th has a blank quantity (no line) and every other 19th a quantity that is no number (rejected)."""
+    qty = (F.when(F.col("product_id") % 17 == 0, F.lit(" ")).when(F.col("product_id") % 19 == 0, F.lit("many"))
+           .otherwise(F.col("quantity").cast("string")))
+    line = F.struct("product_id", qty.alias("quantity"), F.col("kg_price_at_sale_time").cast("string").alias("price"))
+    forms = t.sale_detail.groupBy(F.col("sale_id").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("z"))  # one form a sale
+    part = lambda c: F.transform("z", lambda x: x[c].cast("string")).alias(c)
+    lines, rejects = I.explode_lines(forms.select("doc_id", part("product_id"), part("quantity"), part("price")), "sale")
+    good = lines.select("doc_id", "product_id", "quantity", "price", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(rejects.select("doc_id", F.lit(None).cast("long").alias("product_id"), F.lit(None).cast("decimal(10,2)").alias("quantity"),
+                                           F.lit(None).cast("decimal(10,2)").alias("price"), F.col("reject_reason").alias("reason")))
 
 
 @register("s05_clean_customers")
@@ -240,6 +333,21 @@ def _s05(t: Tables) -> DataFrame:
                                       F.col("phone").alias("phone_number"), "date_of_birth", "email")
 
 
+@register("s05_clean_employees")
+def _s05_employees(t: Tables) -> DataFrame:
+    """Employees turned back into form text and cleaned; every 25th has a salary that is no number."""
+    text = lambda c: F.coalesce(F.concat(F.lit(" "), F.col(c).cast("string"), F.lit(" ")), F.lit(" ")).alias(c)
+    salary = F.when(F.col("employee_id") % 25 == 0, F.lit("a lot")).otherwise(F.concat(F.lit(" "), F.col("salary").cast("string"))).alias("salary")
+    raw = t.employee.select("employee_id", text("employee_name"), text("phone_number"), text("position"), salary, text("warehouse_id"), text("branch_id"))
+    good, bad = I.clean_record(raw, "employee")
+    cols = ("employee_id", "employee_name", "phone_number", "position", "salary", "warehouse_id", "branch_id")
+    return good.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(bad.select(*cols, F.col("reject_reason").alias("reason")))
+
+
+register("l16_edit_availability_last_day")(lambda t: L.edit_availability(
+    t, active(t.sale).join(active(t.sale).agg(F.max("sale_date").alias("sale_date")), "sale_date").select("sale_id")))
+
+
 @register("x02_stream_stock_fold")
 def _x02(t: Tables) -> DataFrame:
     """Stream every document movement (delivered twice) through the stock fold."""
@@ -275,5 +383,4 @@ def _w07(t: Tables) -> DataFrame:
 @register("w17_upsert_cleaned_customers")
 def _w17(t: Tables) -> DataFrame:
     """Load the customer master again from cleaned form records (insert or overwrite)."""
-    cleaned = _s05(t)
-    return LC.upsert_rows(t, "customer", cleaned).customer
+    return LC.upsert_rows(t, "customer", _s05(t)).tables.customer

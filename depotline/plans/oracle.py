@@ -71,11 +71,11 @@ s_sale AS (
   FROM orders),
 s_sale_detail AS (
   SELECT CAST(l_orderkey+1 AS BIGINT) AS sale_id, CAST(l_partkey+1 AS BIGINT) AS product_id,
-         CAST(l_quantity AS DECIMAL(10,2)) AS quantity,
+         CAST(CASE WHEN l_linenumber>4 THEN l_quantity/4 ELSE l_quantity END AS DECIMAL(10,2)) AS quantity,
          CAST(l_extendedprice AS DECIMAL(10,2)) AS kg_price_at_sale_time,
          CASE WHEN l_linenumber=4 THEN 1 END AS is_deleted,
-         CASE WHEN l_linenumber<4 AND l_orderkey%13=0 THEN 1 END AS is_deleted_with_sale
-  FROM lineitem WHERE l_linenumber<=4),
+         CASE WHEN l_linenumber<>4 AND l_orderkey%13=0 THEN 1 END AS is_deleted_with_sale
+  FROM lineitem),
 s_pline AS (
   SELECT CAST(l_suppkey*1000+(year(l_shipdate)-1995)*12+month(l_shipdate) AS BIGINT) AS purchase_id,
          l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS purchase_date,
@@ -109,9 +109,9 @@ s_tline AS (
   SELECT CAST(((l_suppkey%5)*25+o_custkey%25)*1000+(year(l_shipdate)-1995)*12+month(l_shipdate) AS BIGINT) AS transfer_id,
          CAST(l_suppkey%5+1 AS BIGINT) AS warehouse_id, CAST(o_custkey%25+1 AS BIGINT) AS branch_id,
          CAST(date_trunc('month', l_shipdate) AS DATE) AS transfer_date,
-         CAST(l_partkey+1 AS BIGINT) AS product_id, CAST(l_quantity AS DECIMAL(10,2)) AS quantity
-  FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-  WHERE l_linenumber<=5),
+         CAST(l_partkey+1 AS BIGINT) AS product_id,
+         CAST(CASE WHEN l_linenumber>5 THEN l_quantity/4 ELSE l_quantity END AS DECIMAL(10,2)) AS quantity
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
 s_transfer AS (
   SELECT DISTINCT transfer_id, warehouse_id, branch_id, (warehouse_id-1)*5+1 AS employee_id, transfer_date
   FROM s_tline),
@@ -139,7 +139,7 @@ s_branch_stock AS (
 
 def with_fixture(body: str, extra_ctes: str = "") -> str:
     extra = f",\n{extra_ctes.strip()}" if extra_ctes.strip() else ""
-    return f"WITH {FIXTURE_CTE.strip()}{extra}\n{body.strip()}"
+    return f"WITH RECURSIVE {FIXTURE_CTE.strip()}{extra}\n{body.strip()}"
 
 
 _D = f"DATE '{REPORT_START}'", f"DATE '{REPORT_END}'"
@@ -200,19 +200,13 @@ FROM s_payment pay JOIN s_purchase p ON p.purchase_id = pay.purchase_id JOIN s_s
 WHERE su.is_deleted IS NULL AND pay.is_deleted IS NULL AND p.is_deleted IS NULL AND {_range('pay.payment_date')}
 GROUP BY su.supplier_id, su.supplier_name""",
     "r10_unpaid_per_supplier": """
-SELECT su.supplier_id, su.supplier_name,
-       CAST(SUM(COALESCE(owed.amount, 0) - COALESCE(paid.amount, 0)) AS DOUBLE) AS unpaid_amount
-FROM s_supplier su
-LEFT JOIN (SELECT p.supplier_id, SUM(pay.amount) AS amount
-           FROM s_payment pay JOIN s_purchase p ON p.purchase_id = pay.purchase_id
-           JOIN s_supplier s1 ON s1.supplier_id = p.supplier_id
-           WHERE s1.is_deleted IS NULL AND pay.is_deleted IS NULL AND p.is_deleted IS NULL
-           GROUP BY p.supplier_id) paid ON paid.supplier_id = su.supplier_id
-LEFT JOIN (SELECT p.supplier_id, SUM(d.quantity*d.kg_price_at_purchase_time) AS amount
-           FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
-           JOIN s_supplier s2 ON s2.supplier_id = p.supplier_id
-           WHERE s2.is_deleted IS NULL AND p.is_deleted IS NULL AND d.is_deleted IS NULL
-           GROUP BY p.supplier_id) owed ON owed.supplier_id = su.supplier_id
+SELECT su.supplier_id, su.supplier_name, CAST(COALESCE(SUM(m.signed), 0) AS DOUBLE) AS unpaid_amount
+FROM s_supplier su LEFT JOIN (
+  SELECT p.supplier_id, d.quantity*d.kg_price_at_purchase_time AS signed
+  FROM s_purchase_detail d JOIN s_purchase p USING (purchase_id) WHERE d.is_deleted IS NULL AND p.is_deleted IS NULL
+  UNION ALL
+  SELECT p.supplier_id, -y.amount FROM s_payment y JOIN s_purchase p USING (purchase_id)
+  WHERE y.is_deleted IS NULL AND p.is_deleted IS NULL) m ON m.supplier_id = su.supplier_id
 WHERE su.is_deleted IS NULL
 GROUP BY su.supplier_id, su.supplier_name""",
     "r11_purchase_value_per_warehouse": f"""
@@ -231,13 +225,10 @@ FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id JOIN
 WHERE su.is_deleted IS NULL AND p.is_deleted IS NULL AND d.is_deleted IS NULL AND {_range('p.purchase_date')}
 GROUP BY su.supplier_id, su.supplier_name""",
     "r14_avg_purchase_per_supplier": f"""
-SELECT su.supplier_name, ROUND(CAST(AVG(x.purchase_total) AS DOUBLE), 4) AS avg_purchase_value
-FROM s_supplier su JOIN (
-  SELECT p.purchase_id, p.supplier_id, SUM(d.quantity*d.kg_price_at_purchase_time) AS purchase_total
-  FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
-  WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL AND {_range('p.purchase_date')}
-  GROUP BY p.purchase_id, p.supplier_id) x ON x.supplier_id = su.supplier_id
-WHERE su.is_deleted IS NULL
+SELECT su.supplier_name, ROUND(CAST(SUM(d.quantity*d.kg_price_at_purchase_time) / COUNT(DISTINCT h.purchase_id) AS DOUBLE), 4) AS avg_purchase_value
+FROM s_purchase_detail d, s_purchase h, s_supplier su
+WHERE h.purchase_id = d.purchase_id AND su.supplier_id = h.supplier_id AND d.is_deleted IS NULL AND h.is_deleted IS NULL
+  AND su.is_deleted IS NULL AND {_range('h.purchase_date')}
 GROUP BY su.supplier_name""",
     "r15_paid_per_method": f"""
 SELECT pay.method, CAST(SUM(pay.amount) AS DOUBLE) AS total_amount
@@ -507,17 +498,156 @@ GROUP BY s.branch_id, d.product_id"""
 _RECOVERABLE = """
 SELECT DISTINCT purchase_id FROM s_purchase_detail WHERE is_deleted_with_purchase = 1 AND is_deleted IS NULL"""
 
+OFFSET = 10 ** 12
+
+
+def _new_id(key: str) -> str:
+    """Id under which a batch posts a document again: 2 of every 50 keep theirs."""
+    return f"CASE WHEN {key}%50=2 THEN {key} ELSE {key}+{OFFSET} END"
+
+
+def _id_reason(key: str) -> str:
+    return f"CASE WHEN {key}%50=1 THEN 'duplicate_in_batch' WHEN {key}%50=2 THEN 'id_exists' END"
+
+
+def _good(key: str) -> str:
+    return f"{key}%50 NOT IN (1, 2)"
+
+
+def _admission(demand: str, missing_rejects: bool = False) -> str:
+    """CTEs that decide documents in (date, id) order, as ``decided`` (doc_id, accepted, reason).
+
+    ``demand`` has doc_id, doc_date, kind, place, product_id, qty and avail (NULL: no stock row).  A
+    document is decided as soon as every earlier one that shares a place and product with it is; it is
+    accepted if all its lines fit beside the accepted ones before it.
+    """
+    return f"""
+demand AS MATERIALIZED (SELECT doc_id, kind, place, product_id, any_value(doc_date) AS doc_date, SUM(qty) AS qty,
+         coalesce(any_value(avail), 0) AS avail, any_value(avail) IS NULL AS missing
+  FROM ({demand}) GROUP BY doc_id, kind, place, product_id),
+queue AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY doc_date NULLS FIRST, doc_id) AS turn FROM demand),
+step(n, doc_id, state) AS (
+  SELECT 0, doc_id, CASE WHEN {'bool_or(missing)' if missing_rejects else 'false'} THEN 3 ELSE 0 END FROM queue GROUP BY doc_id
+  UNION ALL
+  SELECT n + 1, doc_id, CASE WHEN state <> 0 THEN state WHEN bool_or(waits) THEN 0 WHEN bool_and(fits) THEN 1 ELSE 2 END
+  FROM (SELECT s.n, q.doc_id, s.state, count(*) FILTER (s.state = 0) OVER earlier > 0 AS waits,
+               coalesce(sum(qty) FILTER (s.state = 1) OVER earlier, 0) + qty <= avail AS fits
+        FROM queue q JOIN step s ON s.doc_id = q.doc_id
+        WHERE (SELECT min(state) FROM step) = 0
+        WINDOW earlier AS (PARTITION BY kind, place, product_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  GROUP BY n, doc_id, state),
+decided AS (SELECT doc_id, state = 1 AS accepted,
+                   CASE state WHEN 2 THEN 'insufficient_stock' WHEN 3 THEN 'missing_stock_row' END AS reason
+            FROM step QUALIFY n = max(n) OVER ())"""
+
+
+def _transfer_demand(doc_id: str, kind: str, where: str) -> str:
+    return f"""
+SELECT {doc_id} AS doc_id, t.transfer_date AS doc_date, '{kind}' AS kind, t.{kind}_id AS place, d.product_id, d.quantity AS qty, s.quantity AS avail
+FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id
+LEFT JOIN s_{kind}_stock s ON s.{kind}_id = t.{kind}_id AND s.product_id = d.product_id WHERE {where}"""
+
+
+def _purchase_demand(where: str) -> str:
+    return f"""
+SELECT p.purchase_id AS doc_id, p.purchase_date AS doc_date, 'warehouse' AS kind, p.warehouse_id AS place, d.product_id, d.quantity AS qty,
+       s.quantity AS avail
+FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
+LEFT JOIN s_warehouse_stock s ON s.warehouse_id = p.warehouse_id AND s.product_id = d.product_id
+WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL AND {where}"""
+
+
+_COUNTED = """
+counted AS (SELECT branch_id, product_id, CASE WHEN product_id%5=0 THEN 0 ELSE quantity END AS quantity
+            FROM s_branch_stock WHERE product_id%11<>0)"""
+
+_FULL_WAREHOUSE = f"""
+(SELECT * FROM s_warehouse_stock UNION ALL SELECT warehouse_id, {OFFSET}, 5 FROM s_warehouse)"""
+
+_RETRANSFER = _admission(_transfer_demand(_new_id("t.transfer_id"), "warehouse", _good("t.transfer_id")))
+_HAS_LINES = "EXISTS (SELECT 1 FROM s_purchase_detail d WHERE d.purchase_id = p.purchase_id AND d.is_deleted IS NULL)"
+
 JOB_SQL: dict[str, str] = {
-    "x01_stock_reconcile": _reconcile_sql("warehouse", "s_warehouse_stock", "warehouse_id", _WH_REBUILD)
-    + "\nUNION ALL\n" + _reconcile_sql("branch", "s_branch_stock", "branch_id", _BR_REBUILD),
+    "x01_stock_reconcile": (_COUNTED, _reconcile_sql("warehouse", _FULL_WAREHOUSE, "warehouse_id", _WH_REBUILD)
+    + "\nUNION ALL\n" + _reconcile_sql("branch", "counted", "branch_id", _BR_REBUILD)),
     "w04_post_purchases_stock": f"""
 SELECT COALESCE(s.warehouse_id, m.warehouse_id) AS warehouse_id, COALESCE(s.product_id, m.product_id) AS product_id,
        CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
-FROM s_warehouse_stock s FULL OUTER JOIN ({_LIVE_PURCHASE_MOVES}) m
+FROM s_warehouse_stock s FULL OUTER JOIN ({_LIVE_PURCHASE_MOVES.replace("GROUP BY", f"AND {_good('p.purchase_id')} GROUP BY")}) m
   ON m.warehouse_id = s.warehouse_id AND m.product_id = s.product_id""",
+    "w04_post_purchases_decisions": f"""
+SELECT {_new_id('purchase_id')} AS doc_id, {_good('purchase_id')} AND {_HAS_LINES} AS accepted,
+       CASE WHEN {_good('purchase_id')} AND NOT {_HAS_LINES} THEN 'no_lines' ELSE {_id_reason('purchase_id')} END AS reason
+FROM s_purchase p WHERE is_deleted IS NULL""",
+    "w04_post_purchases_headers": f"""
+SELECT purchase_id, employee_id, warehouse_id, supplier_id, CAST(purchase_date AS VARCHAR) AS purchase_date, is_deleted FROM s_purchase
+UNION ALL
+SELECT purchase_id+{OFFSET}, employee_id, warehouse_id, supplier_id, CAST(purchase_date AS VARCHAR), NULL
+FROM s_purchase p WHERE is_deleted IS NULL AND {_good('purchase_id')} AND {_HAS_LINES}""",
+    "w04_post_purchases_lines": f"""
+SELECT purchase_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(kg_price_at_purchase_time AS DOUBLE) AS kg_price_at_purchase_time,
+       COALESCE(is_deleted, 0) AS is_deleted, COALESCE(is_deleted_with_purchase, 0) AS is_deleted_with_purchase FROM s_purchase_detail
+UNION ALL
+SELECT d.purchase_id+{OFFSET}, d.product_id, CAST(d.quantity AS DOUBLE), CAST(d.kg_price_at_purchase_time AS DOUBLE), 0, 0
+FROM s_purchase_detail d JOIN s_purchase p ON p.purchase_id = d.purchase_id
+WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL AND {_good('p.purchase_id')}""",
     "w06_post_sales_stock": f"""
 SELECT s.branch_id, s.product_id, CAST(s.quantity - COALESCE(m.q, 0) AS DOUBLE) AS quantity
-FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES}) m ON m.branch_id = s.branch_id AND m.product_id = s.product_id""",
+FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES.replace("GROUP BY", f"AND {_good('s.sale_id')} GROUP BY")}) m
+  ON m.branch_id = s.branch_id AND m.product_id = s.product_id""",
+    "w06_post_sales_decisions": f"""
+SELECT {_new_id('sale_id')} AS doc_id, {_good('sale_id')} AS accepted, {_id_reason('sale_id')} AS reason FROM s_sale WHERE is_deleted IS NULL""",
+    "w06_post_sales_headers": f"""
+SELECT sale_id, customer_id, branch_id, employee_id, CAST(sale_date AS VARCHAR) AS sale_date, payment_method, is_deleted FROM s_sale
+UNION ALL
+SELECT sale_id+{OFFSET}, customer_id, branch_id, employee_id, CAST(sale_date AS VARCHAR), payment_method, NULL
+FROM s_sale WHERE is_deleted IS NULL AND {_good('sale_id')}""",
+    "w06_post_sales_lines": f"""
+SELECT sale_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(kg_price_at_sale_time AS DOUBLE) AS kg_price_at_sale_time,
+       COALESCE(is_deleted, 0) AS is_deleted, COALESCE(is_deleted_with_sale, 0) AS is_deleted_with_sale FROM s_sale_detail
+UNION ALL
+SELECT d.sale_id+{OFFSET}, d.product_id, CAST(d.quantity AS DOUBLE), CAST(d.kg_price_at_sale_time AS DOUBLE), 0, 0
+FROM s_sale_detail d JOIN s_sale s ON s.sale_id = d.sale_id WHERE s.is_deleted IS NULL AND d.is_deleted IS NULL AND {_good('s.sale_id')}""",
+    "w07_post_payments": f"""
+SELECT payment_id, purchase_id, employee_id, CAST(payment_date AS VARCHAR) AS payment_date, CAST(amount AS DOUBLE) AS amount, method, is_deleted,
+       is_deleted_with_purchase FROM s_payment
+UNION ALL
+SELECT payment_id+{OFFSET}, purchase_id, employee_id, CAST(payment_date AS VARCHAR), CAST(amount AS DOUBLE), method, NULL, NULL
+FROM s_payment WHERE payment_id%50 NOT IN (1, 2, 3)""",
+    "w03_transfer_admission": (_RETRANSFER, f"""
+SELECT doc_id, accepted, reason FROM decided
+UNION ALL SELECT {_new_id('transfer_id')}, false, {_id_reason('transfer_id')} FROM s_transfer WHERE NOT {_good('transfer_id')}"""),
+    "w05_post_transfers_branch_stock": (_RETRANSFER, f"""
+SELECT COALESCE(s.branch_id, m.branch_id) AS branch_id, COALESCE(s.product_id, m.product_id) AS product_id,
+       CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
+FROM s_branch_stock s FULL OUTER JOIN (
+  SELECT t.branch_id, d.product_id, SUM(d.quantity) AS q
+  FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id JOIN decided a ON a.doc_id = t.transfer_id+{OFFSET} AND a.accepted
+  GROUP BY t.branch_id, d.product_id) m ON m.branch_id = s.branch_id AND m.product_id = s.product_id"""),
+    "w08_delete_purchases": (_admission(_purchase_demand("true")), f"""
+SELECT doc_id, accepted, reason FROM decided
+UNION ALL SELECT purchase_id, true, NULL FROM s_purchase p WHERE is_deleted IS NULL AND NOT {_HAS_LINES}"""),
+    "w11_recover_sales": (_COUNTED + "," + _admission("""
+SELECT s.sale_id AS doc_id, s.sale_date AS doc_date, 'branch' AS kind, s.branch_id AS place, d.product_id, d.quantity AS qty, c.quantity AS avail
+FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id
+LEFT JOIN counted c ON c.branch_id = s.branch_id AND c.product_id = d.product_id
+WHERE s.is_deleted = 1 AND d.is_deleted_with_sale = 1""", missing_rejects=True), """
+SELECT doc_id, accepted, reason FROM decided
+UNION ALL SELECT sale_id, true, NULL FROM s_sale s WHERE is_deleted = 1
+  AND NOT EXISTS (SELECT 1 FROM s_sale_detail d WHERE d.sale_id = s.sale_id AND d.is_deleted_with_sale = 1)"""),
+    "w12_delete_transfers": (_admission(_transfer_demand("t.transfer_id", "branch", "true")), "SELECT doc_id, accepted, reason FROM decided"),
+    "w14_edit_purchases": (_admission(_purchase_demand("p.purchase_id%50<>1")), f"""
+SELECT doc_id, accepted, reason FROM decided
+UNION ALL
+SELECT purchase_id, false, CASE WHEN purchase_id%50=1 THEN 'duplicate_in_batch' ELSE 'no_lines' END
+FROM s_purchase p WHERE is_deleted IS NULL AND (purchase_id%50=1 OR NOT {_HAS_LINES})"""),
+    "w15_edit_transfers": ("""
+short AS MATERIALIZED (SELECT DISTINCT t.transfer_id FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id
+  LEFT JOIN s_warehouse_stock s ON s.warehouse_id = t.warehouse_id AND s.product_id = d.product_id WHERE COALESCE(s.quantity, 0) < 0),"""
+    + _admission(_transfer_demand("t.transfer_id", "branch", "t.transfer_id%50<>1 AND t.transfer_id NOT IN (SELECT transfer_id FROM short)")), """
+SELECT doc_id, accepted, reason FROM decided
+UNION ALL SELECT transfer_id, false, 'duplicate_in_batch' FROM s_transfer WHERE transfer_id%50=1
+UNION ALL SELECT transfer_id, false, 'insufficient_stock' FROM short WHERE transfer_id%50<>1"""),
     "w09_recover_purchases": f"""
 SELECT p.purchase_id AS doc_id, r.purchase_id IS NOT NULL AS accepted,
        CASE WHEN r.purchase_id IS NULL THEN 'no_lines_to_recover' END AS reason
@@ -537,27 +667,55 @@ FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES}) m ON m.branch_id = s.branch
     "w13_edit_sales_reprice": """
 SELECT s.sale_id, CAST(COALESCE(SUM(l.quantity * l.price), 0) AS DOUBLE) AS total
 FROM s_sale s LEFT JOIN (
-  SELECT d.sale_id, d.quantity, p.sale_price_per_kg AS price
+  SELECT d.sale_id, d.quantity, CASE WHEN d.sale_id%50=1 THEN d.kg_price_at_sale_time ELSE p.sale_price_per_kg END AS price
   FROM s_sale_detail d JOIN s_product p ON p.product_id = d.product_id
   WHERE d.is_deleted IS NULL) l ON l.sale_id = s.sale_id
 WHERE s.is_deleted IS NULL
 GROUP BY s.sale_id""",
     "w16_delete_idle_suppliers": """
 SELECT su.supplier_id, su.supplier_name, su.location, su.phone_number, su.email,
-       CASE WHEN NOT EXISTS (SELECT 1 FROM s_purchase p WHERE p.supplier_id = su.supplier_id AND p.is_deleted IS NULL)
-            THEN 1 ELSE su.is_deleted END AS is_deleted
+       CASE WHEN su.supplier_id NOT IN (
+         SELECT p.supplier_id FROM s_purchase p WHERE p.is_deleted IS NULL AND EXISTS (
+           SELECT 1 FROM s_purchase_detail d WHERE d.purchase_id = p.purchase_id AND d.is_deleted IS NULL AND d.quantity >= 45)
+         GROUP BY p.supplier_id HAVING COUNT(*) >= 10) THEN 1 ELSE su.is_deleted END AS is_deleted
 FROM s_supplier su""",
+    "w17_edit_suppliers": f"""
+SELECT supplier_id, CASE WHEN supplier_id%50=1 THEN supplier_name ELSE upper(supplier_name) END AS supplier_name, location, phone_number,
+       email, is_deleted FROM s_supplier
+UNION ALL SELECT supplier_id+{OFFSET}, 'NEW', location, NULL, NULL, NULL FROM s_supplier WHERE is_deleted = 1""",
+    "w17_edit_suppliers_decisions": f"""
+SELECT supplier_id AS doc_id, supplier_id%50<>1 AS accepted, CASE WHEN supplier_id%50=1 THEN 'duplicate_in_batch' END AS reason FROM s_supplier
+UNION ALL SELECT supplier_id+{OFFSET}, true, NULL FROM s_supplier WHERE is_deleted = 1""",
+    "w17_edit_products_decisions": """
+SELECT product_id AS doc_id, product_id%20<>0 AS accepted, CASE WHEN product_id%20=0 THEN 'missing_category' END AS reason FROM s_product""",
+    "s04_explode_sale_forms": """
+SELECT sale_id AS doc_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(kg_price_at_sale_time AS DOUBLE) AS price, NULL AS reason
+FROM s_sale_detail WHERE product_id%17<>0 AND product_id%19<>0
+UNION ALL SELECT sale_id, NULL, NULL, NULL, 'not_a_number' FROM s_sale_detail WHERE product_id%17<>0 AND product_id%19=0""",
+    "s05_clean_employees": """
+SELECT employee_id, employee_name, phone_number, position, CASE WHEN employee_id%25<>0 THEN CAST(salary AS DOUBLE) END AS salary,
+       warehouse_id, branch_id, CASE WHEN employee_id%25=0 THEN 'salary_not_a_number' END AS reason FROM s_employee""",
+    "l16_edit_availability_last_day": """
+SELECT s.sale_id, p.product_id, p.product_name, CAST(p.sale_price_per_kg AS DOUBLE) AS sale_price_per_kg,
+       CAST(bs.quantity + COALESCE(o.q, 0) AS DOUBLE) AS available_qty
+FROM s_sale s JOIN s_branch_stock bs ON bs.branch_id = s.branch_id JOIN s_product p ON p.product_id = bs.product_id
+LEFT JOIN (SELECT sale_id, product_id, SUM(quantity) AS q FROM s_sale_detail WHERE is_deleted IS NULL GROUP BY sale_id, product_id) o
+  ON o.sale_id = s.sale_id AND o.product_id = bs.product_id
+WHERE s.is_deleted IS NULL AND p.is_deleted IS NULL AND s.sale_date = (SELECT MAX(sale_date) FROM s_sale WHERE is_deleted IS NULL)""",
     "w18_delete_customers_without_email": """
 SELECT s.sale_id, CASE WHEN g.customer_id IS NOT NULL THEN NULL ELSE s.customer_id END AS customer_id, s.branch_id
 FROM s_sale s LEFT JOIN (SELECT customer_id FROM s_customer WHERE email IS NULL) g ON g.customer_id = s.customer_id""",
-    "w19_delete_warehouses": """
+    "w19_delete_warehouses": f"""
 SELECT w.warehouse_id AS doc_id, r.warehouse_id IS NULL AS accepted,
        CASE WHEN r.warehouse_id IS NOT NULL THEN 'referenced' END AS reason
 FROM s_warehouse w LEFT JOIN (
   SELECT DISTINCT warehouse_id FROM (
     SELECT warehouse_id FROM s_employee UNION ALL SELECT warehouse_id FROM s_purchase
     UNION ALL SELECT warehouse_id FROM s_transfer UNION ALL SELECT warehouse_id FROM s_warehouse_stock) u
-  WHERE warehouse_id IS NOT NULL) r ON r.warehouse_id = w.warehouse_id""",
+  WHERE warehouse_id IS NOT NULL) r ON r.warehouse_id = w.warehouse_id
+UNION ALL SELECT warehouse_id+{OFFSET}, true, NULL FROM s_warehouse
+UNION ALL SELECT warehouse_id+{5 * OFFSET}, false, 'not_found' FROM s_warehouse
+UNION ALL SELECT warehouse_id+{6 * OFFSET}, false, 'not_found' FROM s_warehouse""",
     "x02_stream_stock_fold": f"""
 SELECT 'warehouse' AS location_type, location_id, product_id, CAST(q AS DOUBLE) AS quantity FROM ({_WH_REBUILD}) w
 UNION ALL
@@ -568,7 +726,12 @@ FROM s_payment""",
     "w17_upsert_cleaned_customers": """
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
 FROM s_customer""",
-    "s02_fk_audit": _audit_sql(),
+    "s02_fk_audit": (f"""
+a_purchase AS (SELECT purchase_id, employee_id, warehouse_id, CASE WHEN supplier_id%10=0 THEN supplier_id+{OFFSET} ELSE supplier_id END AS supplier_id
+  FROM (SELECT * FROM s_purchase UNION ALL SELECT * FROM s_purchase WHERE purchase_id%50=1)),
+a_sale AS (SELECT CASE WHEN sale_id%1000<>7 THEN sale_id END AS sale_id, customer_id, branch_id, employee_id FROM s_sale),
+a_branch_stock AS (SELECT branch_id, product_id, CASE WHEN product_id%100<>3 THEN quantity END AS quantity FROM s_branch_stock)""",
+                     re.sub(r"\bs_(purchase|sale|branch_stock)\b", r"a_\1", _audit_sql())),
     "s05_clean_customers": """
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
 FROM s_customer""",
