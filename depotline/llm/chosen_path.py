@@ -7,11 +7,13 @@ similarity sought) by its own hash, and a class goes on to the child named by it
 of one class are dropped.  From ``FIRST`` tokens on, nodes of up to ``SMALL`` classes are compared
 exhaustively on their tokens; larger ones branch on, down to ``DEEPEST`` tokens.
 
-Comparing yields candidate pairs, which are confirmed on the full sets.  What is asked for are
-connected components, so pairs are taken in two rounds.  The first takes each class's best partner
-and its smallest partner, which ties a group of copies together without listing its pairs.  The second
-takes every pair whose ends are in one node and still in different components.  A node too large for
-one task is dealt in chunks: the first round adds the node's smallest class to each chunk, the second
+Comparing classes on their tokens yields candidates, which are confirmed on the full sets.  What is
+asked for are connected components, so pairs are taken in two rounds.  The first takes each class's
+best partner and its smallest very likely one, which ties a group of copies together without listing
+its pairs.  The second covers every candidate pair whose ends are still in different components: the
+classes that have such a partner in a node bring their full sets there and are compared exactly, set
+by set in memory, and a class keeps one link for each component it reaches.  A node too large for one
+task is dealt in chunks: the first round adds the node's smallest class to each chunk, the second
 compares every chunk of classes outside that class's component with every chunk of the node.
 
 Two classes of similarity 0.75 share a node of a given tree in about half of all cases, and escape
@@ -41,10 +43,12 @@ WORDS = 5
 #: Similarity sought, as shared * PARTS >= all * SHARE.
 PARTS, SHARE = 100, 75
 TOKENS, TREES, FIRST, DEEPEST = 64, 16, 3, 5
-SMALL, CHUNK = 48, 384
+SMALL, CHUNK = 256, 512
 #: Equal tokens from which a pair becomes a candidate.  At similarity 0.75 a pair has fewer in about
 #: one of 100,000 cases.
 EQUAL_TOKENS = 32
+#: Equal tokens from which a pair is very likely similar enough.
+SURE_TOKENS = 52
 
 _RANDOM = np.random.default_rng(5)
 _FACTORS = _RANDOM.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -222,20 +226,55 @@ def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 enough = (same >= EQUAL_TOKENS) & (ids[:, :, None] != ids[:, None, :])
                 g, i = np.nonzero(enough.any(axis=2))
                 best = np.where(enough, same, 0).argmax(axis=2)[g, i]
-                least = np.where(enough, ids[:, None, :], np.iinfo(np.int64).max).min(axis=2)[g, i]
+                sure = enough & (same >= SURE_TOKENS)
+                least = np.where(sure, ids[:, None, :], ids[:, :, None]).min(axis=2)[g, i]
                 yield pd.DataFrame({"rid": ids[g, i], "best": ids[g, best], "equal": same[g, i, best].astype(int), "least": least})
 
 
+#: Rows of a group that are compared with others, or that others are compared with, or both.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
 def strangers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of enough equal tokens between the marked rows of a group and the other rows, in different
-    components."""
+    """Rows of each group that have a partner of enough equal tokens in another component."""
     for rows, starts in _groups(batches, ["node", "part", "chunk"]):
-        token, rid, root, mark = (_matrix(rows["bytes"], "u1"), rows["rid"].to_numpy(), rows["root"].to_numpy(), rows["mark"].to_numpy())
+        token, root, side = _matrix(rows["bytes"], "u1"), rows["root"].to_numpy(), rows["side"].to_numpy()
+        keep = np.zeros(len(rows), bool)
         for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-            left, right = a + np.flatnonzero(mark[a:b]), a + np.flatnonzero(~mark[a:b])
+            left, right = a + np.flatnonzero(side[a:b] & LEFT), a + np.flatnonzero(side[a:b] & RIGHT)
             if len(left) and len(right):
-                i, j = np.nonzero((_equal(token[left], token[right]) >= EQUAL_TOKENS) & (root[left, None] != root[None, right]))
-                yield pd.DataFrame({"a": np.minimum(rid[left[i]], rid[right[j]]), "b": np.maximum(rid[left[i]], rid[right[j]])})
+                far = (_equal(token[left], token[right]) >= EQUAL_TOKENS) & (root[left, None] != root[None, right])
+                keep[left[far.any(axis=1)]] = True
+                keep[right[far.any(axis=0)]] = True
+        if keep.any():
+            yield rows.loc[keep, ["node", "part", "chunk", "rid", "root", "side"]]
+
+
+def set_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between rows of each group in different components, by their full sets; of several links
+    of a row to one component the first."""
+    for rows, starts in _groups(batches, ["node", "part", "chunk"]):
+        rid, root, side = rows["rid"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy()
+        for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            left, right = np.flatnonzero(side[a:b] & LEFT), np.flatnonzero(side[a:b] & RIGHT)
+            if not len(left) or not len(right):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].iloc[a:b]]
+            sizes = np.array(list(map(len, sets)))
+            values, place = np.unique(np.concatenate(sets), return_inverse=True)
+            places = np.split(place, np.cumsum(sizes)[:-1])
+            there = np.concatenate([places[j] for j in right])
+            first = np.cumsum(sizes[right]) - sizes[right]
+            mine = np.zeros(len(values), bool)
+            for i in left:
+                mine[places[i]] = True
+                both = np.add.reduceat(mine[there], first, dtype=np.int64)
+                mine[places[i]] = False
+                hit = right[PARTS * both >= SHARE * (sizes[i] + sizes[right] - both)]
+                hit = hit[root[a + hit] != root[a + i]]
+                if len(hit):
+                    one = a + hit[np.unique(root[a + hit], return_index=True)[1]]
+                    yield pd.DataFrame({"a": np.minimum(rid[a + i], rid[one]), "b": np.maximum(rid[a + i], rid[one])})
 
 
 def _dealt(rid: str, n) -> Column:
@@ -254,11 +293,14 @@ def first_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     one = found.groupBy("rid").agg(F.max(F.col("equal").cast("long")).alias("equal"), F.max_by("best", "equal").alias("best"),
                                    F.min("least").alias("least"))
     both = one.select("rid", F.explode(F.array("best", "least")).alias("other"))
-    return both.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+    return both.where("rid <> other").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+
 
+def cells(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, part, chunk, rid, root, side of the rows to compare in the second round.
 
-def second_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs a < b of candidates that are in one node and in different components."""
+    A node's classes outside its hub's component are dealt to parts, all of its classes to chunks, and
+    each part meets each chunk; in a node of one part and one chunk each class stands once."""
     root = roots.select(F.col("v").alias("rid"), "root")
     rows = members.join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     hub_root = rows.where(F.col("rid") == F.col("hub")).select("node", F.col("root").alias("hub_root"))
@@ -267,11 +309,22 @@ def second_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Da
     rows = rows.join(mixed, "node").join(classes.select("rid", "bytes"), "rid")
     chunks, parts = F.ceil(F.col("size") / CHUNK), F.ceil(F.col("marked") / CHUNK)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = rows.where("mark").select("node", _dealt("rid", parts).alias("part"), every(chunks).alias("chunk"), "rid", "root", "bytes", "mark")
-    right = rows.select("node", every(parts).alias("part"), _dealt("rid", chunks).alias("chunk"), "rid", "root", "bytes",
-                        F.lit(False).alias("mark"))
-    return (left.unionByName(right).repartition("node", "part", "chunk").sortWithinPartitions("node", "part", "chunk")
-            .mapInPandas(strangers, "a long, b long").distinct())
+    none, one = F.lit(0).cast("long"), F.col("size") <= CHUNK
+    small = rows.where(one).select("node", none.alias("part"), none.alias("chunk"), "rid", "root", "bytes",
+                                   F.when(F.col("mark"), BOTH).otherwise(RIGHT).alias("side"))
+    left = rows.where(~one & F.col("mark")).select("node", _dealt("rid", parts).alias("part"), every(chunks).alias("chunk"), "rid", "root",
+                                                   "bytes", F.lit(LEFT).alias("side"))
+    right = rows.where(~one).select("node", every(parts).alias("part"), _dealt("rid", chunks).alias("chunk"), "rid", "root", "bytes",
+                                    F.lit(RIGHT).alias("side"))
+    key = ["node", "part", "chunk"]
+    return (small.unionByName(left).unionByName(right).repartition(*key).sortWithinPartitions(*key)
+            .mapInPandas(strangers, "node long, part long, chunk long, rid long, root long, side int"))
+
+
+def second_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a < b among the rows of ``cells``, confirmed on the full sets."""
+    key = ["node", "part", "chunk"]
+    return (rows.join(sets, "rid").repartition(*key).sortWithinPartitions(*key).mapInPandas(set_links, "a long, b long").distinct())
 
 
 # ------------------------------------------------------------------------------------- confirming
@@ -297,14 +350,21 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(confirm, "a long, b long")
 
 
-def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, text of the classes in the pairs; written."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+def texts_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid, text of the classes named in ``ends`` (distinct rid)."""
     wanted = classes.join(ends, "rid", "left_semi").select("rid", F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     found = rows.join(wanted, rows["id"].eqNullSafe(wanted["want_id"]) & (rows["hash"] == wanted["want_hash"]))
-    return stage(found.select("rid", "text").dropDuplicates(["rid"]), "path-texts")
+    return found.select("rid", "text").dropDuplicates(["rid"])
+
+
+def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = Words()
+    for b in batches:
+        yield pd.DataFrame({"rid": b["rid"].to_numpy(), "shingles": [shingles(t, words).tobytes() for t in b["text"]]})
+        if len(words) > 400_000:
+            words.clear()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -340,17 +400,18 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
                     .select("rid", "doc_id", "text_hash", "tokens", "bytes"), "path-classes")
     members = leaves(classes)
     pairs = stage(first_pairs(members, classes), "path-pairs")
-    texts = texts_of(pairs, classes, docs, id_col, text_col)
+    texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), classes, docs, id_col, text_col), "path-texts")
     found = stage(links(pairs, texts), "path-links")
-    unstage(texts)
+    unstage(texts, pairs)
     roots = components(found)
-    more = stage(second_pairs(members, classes, roots).join(pairs, ["a", "b"], "left_anti"), "path-pairs")
-    if not more.isEmpty():
-        texts = texts_of(more, classes, docs, id_col, text_col)
-        extra = stage(links(more, texts), "path-links")
-        unstage(texts, roots)
+    rows_left = stage(cells(members, classes, roots), "path-cells")
+    if not rows_left.isEmpty():
+        texts = texts_of(rows_left.select("rid").distinct(), classes, docs, id_col, text_col)
+        sets = stage(texts.mapInPandas(full_sets, "rid long, shingles binary"), "path-sets")
+        extra = stage(second_links(rows_left, sets), "path-links")
+        unstage(sets, roots)
         roots = components(found.unionByName(extra))
-    unstage(more, pairs)
+    unstage(rows_left)
     placed = by_set.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select(
         "set_key", F.coalesce("root", "rep").alias("root"), "least")
     least = placed.groupBy("root").agg(F.min("least").alias("keep"))
