@@ -47,11 +47,11 @@ def sales_list(t: Tables, which: str = "active", employee_id: int | None = None)
     sales = state(t.sale, which)
     if employee_id is not None:
         sales = sales.where(F.col("employee_id") == F.lit(int(employee_id)))
-    totals = sale_amount(t).select("sale_id", F.col("amount").alias("total"))
+    totals = sale_amount(t, sales).select("sale_id", F.col("amount").alias("total"))
     # Totals first (headers and lines share the sale_id partitioning), then the
     # customer lookup with NULL keys (walk-ins) salted so they spread out.
     return (lookup(sales.join(totals, "sale_id", "left"), n["customer"], "customer_id")
-            .join(n["employee"], "employee_id", "left")
+            .transform(lookup, n["employee"], "employee_id")
             .join(n["branch"], "branch_id", "left")
             .select("sale_id", "customer_id", "customer_name", "employee_id", "employee_name",
                     "branch_id", "branch_name", "sale_date", "payment_method",
@@ -71,13 +71,13 @@ def sale_lines_list(t: Tables) -> DataFrame:
 def purchases_list(t: Tables, which: str = "active", warehouse_id: int | None = None) -> DataFrame:
     """Purchases with names, total (live lines), paid (live payments), remaining."""
     n = _names(t)
-    bal = purchase_balance(t)
-    bal = state(bal, which)
+    purchases = state(t.purchase, which)
     if warehouse_id is not None:
-        bal = bal.where(F.col("warehouse_id") == F.lit(int(warehouse_id)))
+        purchases = purchases.where(F.col("warehouse_id") == F.lit(int(warehouse_id)))
+    bal = purchase_balance(t, documents=purchases)
     return (bal.join(n["warehouse"], "warehouse_id", "left")
             .join(n["supplier"], "supplier_id", "left")
-            .join(n["employee"], "employee_id", "left")
+            .transform(lookup, n["employee"], "employee_id")
             .select("purchase_id", "purchase_date", "warehouse_id", "warehouse_name", "supplier_id",
                     "supplier_name", "employee_id", "employee_name", "total", "paid", "remaining")
             .orderBy(F.desc("purchase_id")))
@@ -105,10 +105,11 @@ def transfers_list(t: Tables, warehouse_id: int | None = None) -> DataFrame:
     tr = t.transfer
     if warehouse_id is not None:
         tr = tr.where(F.col("warehouse_id") == F.lit(int(warehouse_id)))
-    return (tr.join(transfer_qty(t).select("transfer_id", "total_qty"), "transfer_id", "left")
+    per_transfer = transfer_qty(t, None if warehouse_id is None else tr)
+    return (tr.join(per_transfer.select("transfer_id", "total_qty"), "transfer_id", "left")
             .join(n["warehouse"], "warehouse_id", "left")
             .join(n["branch"], "branch_id", "left")
-            .join(n["employee"], "employee_id", "left")
+            .transform(lookup, n["employee"], "employee_id")
             .select("transfer_id", "transfer_date", "warehouse_id", "warehouse_name", "branch_id",
                     "branch_name", "employee_id", "employee_name",
                     F.coalesce(F.col("total_qty"), F.lit(0).cast("decimal(20,2)")).alias("total_qty"))
@@ -125,7 +126,7 @@ def transfer_lines_list(t: Tables) -> DataFrame:
 
 def _settlement(t: Tables) -> DataFrame:
     """Live purchases with a supplier row (deleted suppliers too, K16)."""
-    bal = active(purchase_balance(t))
+    bal = purchase_balance(t, documents=active(t.purchase))
     return (bal.join(t.supplier.select("supplier_id", "supplier_name"), "supplier_id")
             .select("purchase_id", "purchase_date", "supplier_name",
                     F.col("total").alias("total_amount"), F.col("paid").alias("paid_amount"),
@@ -134,12 +135,12 @@ def _settlement(t: Tables) -> DataFrame:
 
 def unpaid_purchases(t: Tables) -> DataFrame:
     """Paid < total."""
-    return _settlement(t).where(F.col("paid_amount") < F.col("total_amount")).orderBy(F.desc("purchase_date"))
+    return _settlement(t).where(F.col("paid_amount") < F.col("total_amount")).orderBy(F.desc("purchase_date"), F.desc("purchase_id"))
 
 
 def completed_purchases(t: Tables) -> DataFrame:
     """Paid >= total, so a zero-total unpaid purchase counts as completed."""
-    return _settlement(t).where(F.col("paid_amount") >= F.col("total_amount")).orderBy(F.desc("purchase_date"))
+    return _settlement(t).where(F.col("paid_amount") >= F.col("total_amount")).orderBy(F.desc("purchase_date"), F.desc("purchase_id"))
 
 
 def payment_statement(t: Tables, include_deleted_lines: bool = False) -> DataFrame:
@@ -151,7 +152,7 @@ def payment_statement(t: Tables, include_deleted_lines: bool = False) -> DataFra
     n = _names(t)
     bal = purchase_balance(t, include_deleted_lines)
     return (bal.join(n["supplier"], "supplier_id", "left")
-            .join(n["employee"], "employee_id", "left")
+            .transform(lookup, n["employee"], "employee_id")
             .join(n["warehouse"], "warehouse_id", "left")
             .select("purchase_id", "supplier_id", "supplier_name", "employee_id", "employee_name",
                     "warehouse_id", "warehouse_name", "purchase_date", "total",

@@ -4,7 +4,8 @@ Every report is ``fn(t, start=None, end=None, **params) -> DataFrame``.  The sha
 of every plan is the same:
 
 1. filter the fact table (flags, optional date range) - pushed into the scan;
-2. aggregate lines to their document key, join the headers;
+2. join lines to the filtered headers (averages per document sum them to their
+   document key first);
 3. aggregate to the *id* of the dimension (partial + final aggregation, so a hot
    branch/supplier/product collapses map-side and never skews a shuffle);
 4. only then look up the dimension row (at most one row per id on each side) and,
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from depotline.functions.dates import DateLike, in_date_range
 from depotline.functions.flags import active
-from depotline.operators.rollups import purchase_amount, sale_amount, sale_lines
+from depotline.operators.rollups import purchase_amount, purchase_lines, sale_amount, sale_lines
 from depotline.sources.tables import Tables
 
 AVG_SCALE = 8  # an average of decimal(.,4) values keeps 4 more places
@@ -46,13 +47,25 @@ def _live_purchases(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
 
 def _sales_with_amount(t: Tables, start: DateLike, end: DateLike, *cols: str) -> DataFrame:
     """Live sales in range that have at least one live line, with their amount."""
-    return _live_sales(t, start, end).select("sale_id", *cols).join(
-        sale_amount(t).select("sale_id", "amount"), "sale_id")
+    sales = _live_sales(t, start, end)
+    return sales.select("sale_id", *cols).join(sale_amount(t, sales).select("sale_id", "amount"), "sale_id")
 
 
 def _purchases_with_amount(t: Tables, start: DateLike, end: DateLike, *cols: str) -> DataFrame:
-    return _live_purchases(t, start, end).select("purchase_id", *cols).join(
-        purchase_amount(t).select("purchase_id", "total"), "purchase_id")
+    purchases = _live_purchases(t, start, end)
+    return purchases.select("purchase_id", *cols).join(purchase_amount(t, documents=purchases).select("purchase_id", "total"), "purchase_id")
+
+
+def _sold(t: Tables, start: DateLike, end: DateLike, col: str) -> DataFrame:
+    """``col`` of the header -> amount over live lines of live sales in range: a plain
+    sum, so lines meet their filtered headers and no per-document step is needed."""
+    sales = _live_sales(t, start, end).select("sale_id", col)
+    return sale_lines(t).join(sales, "sale_id").groupBy(col).agg(F.sum("line_value").alias("amount"))
+
+
+def _bought(t: Tables, start: DateLike, end: DateLike, col: str) -> DataFrame:
+    purchases = _live_purchases(t, start, end).select("purchase_id", col)
+    return purchase_lines(t).join(purchases, "purchase_id").groupBy(col).agg(F.sum("line_value").alias("total"))
 
 
 def _branch_names(t: Tables) -> DataFrame:
@@ -66,9 +79,7 @@ def _supplier_names(t: Tables) -> DataFrame:
 # --------------------------------------------------------------------------- sales
 
 def r01_income_per_branch(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    per_branch = (_sales_with_amount(t, start, end, "branch_id")
-                  .groupBy("branch_id").agg(F.sum("amount").alias("amount")))
-    return (per_branch.join(_branch_names(t), "branch_id")
+    return (_sold(t, start, end, "branch_id").join(_branch_names(t), "branch_id")
             .groupBy("branch_name").agg(F.sum("amount").alias("total_income")))
 
 
@@ -94,8 +105,8 @@ def r04_daily_amount_for_branch(t: Tables, start: DateLike = None, end: DateLike
         sales = sales.where(F.lit(False))
     else:
         sales = sales.where(F.col("branch_id") == F.lit(int(branch_id)))
-    return (sales.select("sale_id", "sale_date").join(sale_amount(t).select("sale_id", "amount"), "sale_id")
-            .groupBy("sale_date").agg(F.sum("amount").alias("daily_amount"))
+    return (sale_lines(t).join(sales.select("sale_id", "sale_date"), "sale_id")
+            .groupBy("sale_date").agg(F.sum("line_value").alias("daily_amount"))
             .orderBy("sale_date"))
 
 
@@ -130,9 +141,7 @@ def r07_revenue_per_category(t: Tables, start: DateLike = None, end: DateLike =
 
 def r08_spend_per_customer(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
     """Walk-in sales (customer NULL) have no customer row and drop out (K6)."""
-    per_cust = (_sales_with_amount(t, start, end, "customer_id")
-                .where(F.col("customer_id").isNotNull())
-                .groupBy("customer_id").agg(F.sum("amount").alias("spent")))
+    per_cust = _sold(t, start, end, "customer_id").where(F.col("customer_id").isNotNull()).withColumnRenamed("amount", "spent")
     return (per_cust.join(t.customer.select("customer_id", "customer_name"), "customer_id")
             .select("customer_id", "customer_name", F.col("spent").alias("total_amount_spent"))
             .orderBy(F.desc("total_amount_spent")))
@@ -157,8 +166,7 @@ def r09_payments_per_supplier(t: Tables, start: DateLike = None, end: DateLike =
 
 def r10_unpaid_per_supplier(t: Tables) -> DataFrame:
     """Live suppliers; nothing owed or paid -> 0; overpaid -> negative."""
-    owed = (_purchases_with_amount(t, None, None, "supplier_id")
-            .groupBy("supplier_id").agg(F.sum("total").alias("owed")))
+    owed = _bought(t, None, None, "supplier_id").withColumnRenamed("total", "owed")
     paid = _paid_per_supplier(t, None, None)
     zero = F.lit(0).cast("decimal(10,2)")
     return (_supplier_names(t).join(paid, "supplier_id", "left").join(owed, "supplier_id", "left")
@@ -168,8 +176,7 @@ def r10_unpaid_per_supplier(t: Tables) -> DataFrame:
 
 
 def r11_purchase_value_per_warehouse(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    per_wh = (_purchases_with_amount(t, start, end, "warehouse_id")
-              .groupBy("warehouse_id").agg(F.sum("total").alias("v")))
+    per_wh = _bought(t, start, end, "warehouse_id").withColumnRenamed("total", "v")
     return (per_wh.join(t.warehouse.select("warehouse_id", "warehouse_name"), "warehouse_id")
             .groupBy("warehouse_name").agg(F.sum("v").alias("total_purchase_value"))
             .orderBy(F.desc("total_purchase_value")))
@@ -183,8 +190,7 @@ def r12_purchase_count_per_warehouse(t: Tables, start: DateLike = None, end: Dat
 
 
 def r13_purchased_per_supplier(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    per_sup = (_purchases_with_amount(t, start, end, "supplier_id")
-               .groupBy("supplier_id").agg(F.sum("total").alias("v")))
+    per_sup = _bought(t, start, end, "supplier_id").withColumnRenamed("total", "v")
     return (per_sup.join(_supplier_names(t), "supplier_id")
             .select("supplier_id", "supplier_name", F.col("v").alias("total_purchased_amount"))
             .orderBy(F.desc("total_purchased_amount")))
@@ -220,9 +226,8 @@ def r16_transfers_per_branch(t: Tables, start: DateLike = None, end: DateLike =
 
 
 def r17_qty_transferred_per_branch(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    per_transfer = t.transfer_detail.groupBy("transfer_id").agg(F.sum("quantity").alias("q"))
-    per_branch = (_transfers(t, start, end).select("transfer_id", "branch_id").join(per_transfer, "transfer_id")
-                  .groupBy("branch_id").agg(F.sum("q").alias("q")))
+    per_branch = (t.transfer_detail.join(_transfers(t, start, end).select("transfer_id", "branch_id"), "transfer_id")
+                  .groupBy("branch_id").agg(F.sum("quantity").alias("q")))
     return (per_branch.join(_branch_names(t), "branch_id")
             .groupBy("branch_name").agg(F.sum("q").alias("total_transferred_qty"))
             .orderBy(F.desc("total_transferred_qty")))

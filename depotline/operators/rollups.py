@@ -16,53 +16,59 @@ from depotline.functions.flags import active, line_value
 from depotline.sources.tables import Tables
 
 
-def sale_lines(t: Tables) -> DataFrame:
+def _of(lines: DataFrame, documents: DataFrame | None, key: str) -> DataFrame:
+    """Only the lines of ``documents`` (filtered headers), where they are given: the
+    lines of other documents drop out before anything is summed."""
+    return lines if documents is None else lines.join(documents.select(key), key, "left_semi")
+
+
+def sale_lines(t: Tables, documents: DataFrame | None = None) -> DataFrame:
     """Live sale lines with their value (rule K2: a deleted line never counts)."""
-    return active(t.sale_detail).select(
+    return _of(active(t.sale_detail), documents, "sale_id").select(
         "sale_id", "product_id", "quantity",
         line_value("quantity", "kg_price_at_sale_time").alias("line_value"))
 
 
-def sale_amount(t: Tables) -> DataFrame:
+def sale_amount(t: Tables, documents: DataFrame | None = None) -> DataFrame:
     """sale_id -> amount (sum of live line values), number of live lines."""
-    return sale_lines(t).groupBy("sale_id").agg(
+    return sale_lines(t, documents).groupBy("sale_id").agg(
         F.sum("line_value").alias("amount"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def purchase_lines(t: Tables, include_deleted_lines: bool = False) -> DataFrame:
+def purchase_lines(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None) -> DataFrame:
     lines = t.purchase_detail if include_deleted_lines else active(t.purchase_detail)
-    return lines.select(
+    return _of(lines, documents, "purchase_id").select(
         "purchase_id", "product_id", "quantity",
         line_value("quantity", "kg_price_at_purchase_time").alias("line_value"))
 
 
-def purchase_amount(t: Tables, include_deleted_lines: bool = False) -> DataFrame:
+def purchase_amount(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """purchase_id -> total of its (live) lines."""
-    return purchase_lines(t, include_deleted_lines).groupBy("purchase_id").agg(
+    return purchase_lines(t, include_deleted_lines, documents).groupBy("purchase_id").agg(
         F.sum("line_value").alias("total"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def purchase_paid(t: Tables) -> DataFrame:
+def purchase_paid(t: Tables, documents: DataFrame | None = None) -> DataFrame:
     """purchase_id -> sum of live payments."""
-    return active(t.payment).groupBy("purchase_id").agg(F.sum("amount").alias("paid"))
+    return _of(active(t.payment), documents, "purchase_id").groupBy("purchase_id").agg(F.sum("amount").alias("paid"))
 
 
-def transfer_qty(t: Tables) -> DataFrame:
+def transfer_qty(t: Tables, documents: DataFrame | None = None) -> DataFrame:
     """transfer_id -> total transferred quantity (transfer lines have no flag)."""
-    return t.transfer_detail.groupBy("transfer_id").agg(
+    return _of(t.transfer_detail, documents, "transfer_id").groupBy("transfer_id").agg(
         F.sum("quantity").alias("total_qty"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def purchase_balance(t: Tables, include_deleted_lines: bool = False) -> DataFrame:
-    """Every purchase header with total, paid and remaining (rule K7: no lines -> 0).
+def purchase_balance(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None) -> DataFrame:
+    """Every purchase header (or each of ``documents``) with total, paid and remaining (rule K7: no lines -> 0).
 
     Lines and payments are aggregated separately and then joined, never joined
     with each other (that would multiply rows).
     """
-    totals = purchase_amount(t, include_deleted_lines).select("purchase_id", "total")
-    paid = purchase_paid(t)
+    totals = purchase_amount(t, include_deleted_lines, documents).select("purchase_id", "total")
+    paid = purchase_paid(t, documents)
     return (
-        t.purchase.join(totals, "purchase_id", "left").join(paid, "purchase_id", "left")
+        (t.purchase if documents is None else documents).join(totals, "purchase_id", "left").join(paid, "purchase_id", "left")
         .withColumn("total", F.coalesce(F.col("total"), F.lit(0).cast("decimal(31,4)")))
         .withColumn("paid", F.coalesce(F.col("paid"), F.lit(0).cast("decimal(20,2)")))
         .withColumn("remaining", F.col("total") - F.col("paid"))
