@@ -46,51 +46,53 @@ def apply_update_only(stock: DataFrame, deltas: DataFrame, loc: str) -> tuple[Da
     return new_stock, ignored
 
 
-def movements(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Signed movements implied by the documents.
+def movements(t: Tables) -> DataFrame:
+    """Signed movements implied by the documents: location_type, location_id, product_id, delta.
 
     Warehouse: + live lines of live purchases, - transfer lines.
-    Branch: + transfer lines, - live lines of live sales.
+    Branch: + transfer lines, - live lines of live sales.  A transfer line is read
+    once and exploded into its two movements.
     """
-    purchase_in = (active(t.purchase).select("purchase_id", "warehouse_id")
-                   .join(active(t.purchase_detail).select("purchase_id", "product_id", "quantity"), "purchase_id")
-                   .select("warehouse_id", "product_id", F.col("quantity").alias("delta")))
-    transfers = t.transfer.select("transfer_id", "warehouse_id", "branch_id").join(
-        t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id")
-    transfer_out = transfers.select("warehouse_id", "product_id", (-F.col("quantity")).alias("delta"))
-    transfer_in = transfers.select("branch_id", "product_id", F.col("quantity").alias("delta"))
-    sale_out = (active(t.sale).select("sale_id", "branch_id")
-                .join(active(t.sale_detail).select("sale_id", "product_id", "quantity"), "sale_id")
-                .select("branch_id", "product_id", (-F.col("quantity")).alias("delta")))
-    return purchase_in.unionByName(transfer_out), transfer_in.unionByName(sale_out)
+    def move(kind: str, loc: str, sign: int):
+        return F.struct(F.lit(kind).alias("location_type"), F.col(loc).alias("location_id"), (F.col("quantity") * sign).alias("delta"))
+
+    cols = ("move.location_type", "move.location_id", "product_id", "move.delta")
+    bought = (active(t.purchase).select("purchase_id", "warehouse_id")
+              .join(active(t.purchase_detail).select("purchase_id", "product_id", "quantity"), "purchase_id")
+              .withColumn("move", move(WAREHOUSE, "warehouse_id", 1)).select(*cols))
+    moved = (t.transfer.select("transfer_id", "warehouse_id", "branch_id")
+             .join(t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id")
+             .withColumn("move", F.explode(F.array(move(WAREHOUSE, "warehouse_id", -1), move(BRANCH, "branch_id", 1)))).select(*cols))
+    sold = (active(t.sale).select("sale_id", "branch_id")
+            .join(active(t.sale_detail).select("sale_id", "product_id", "quantity"), "sale_id")
+            .withColumn("move", move(BRANCH, "branch_id", -1)).select(*cols))
+    return bought.unionByName(moved).unionByName(sold)
+
+
+def _rebuilt(t: Tables) -> DataFrame:
+    return (movements(t).groupBy("location_type", "location_id", "product_id")
+            .agg(F.sum("delta").cast(STOCK_QTY).alias("quantity")))
 
 
 def rebuild_stock(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Stock rebuilt from the documents alone: (warehouse_stock, branch_stock)."""
-    wh, br = movements(t)
-    return (_net(wh, "warehouse_id").select("warehouse_id", "product_id",
-                                            F.col("delta").cast(STOCK_QTY).alias("quantity")),
-            _net(br, "branch_id").select("branch_id", "product_id",
-                                         F.col("delta").cast(STOCK_QTY).alias("quantity")))
+    both = _rebuilt(t)
+    of = lambda kind, loc: both.where(F.col("location_type") == kind).select(
+        F.col("location_id").alias(loc), "product_id", "quantity")
+    return of(WAREHOUSE, "warehouse_id"), of(BRANCH, "branch_id")
 
 
-def _compare(kind: str, snapshot: DataFrame, rebuilt: DataFrame, loc: str) -> DataFrame:
-    s = snapshot.select(F.col(loc).alias("location_id"), "product_id", F.col("quantity").alias("snapshot_qty"))
-    r = rebuilt.select(F.col(loc).alias("location_id"), "product_id", F.col("quantity").alias("rebuilt_qty"))
+def reconcile(t: Tables) -> DataFrame:
+    """Snapshot vs rebuild for both location kinds, every key of either side."""
+    key = ["location_type", "location_id", "product_id"]
+    of = lambda df, kind, loc: df.select(F.lit(kind).alias("location_type"), F.col(loc).alias("location_id"), "product_id",
+                                         F.col("quantity").alias("snapshot_qty"))
+    snapshot = of(t.warehouse_stock, WAREHOUSE, "warehouse_id").unionByName(of(t.branch_stock, BRANCH, "branch_id"))
     zero = F.lit(0).cast(STOCK_QTY)
-    return (s.join(r, ["location_id", "product_id"], "full_outer")
-            .select(F.lit(kind).alias("location_type"), "location_id", "product_id", "snapshot_qty",
-                    "rebuilt_qty",
-                    (F.coalesce(F.col("snapshot_qty"), zero) - F.coalesce(F.col("rebuilt_qty"), zero))
-                    .alias("difference"),
+    return (snapshot.join(_rebuilt(t).withColumnRenamed("quantity", "rebuilt_qty"), key, "full_outer")
+            .select(*key, "snapshot_qty", "rebuilt_qty",
+                    (F.coalesce(F.col("snapshot_qty"), zero) - F.coalesce(F.col("rebuilt_qty"), zero)).alias("difference"),
                     F.when(F.col("snapshot_qty").isNull(), F.lit("missing_in_snapshot"))
                     .when(F.col("rebuilt_qty").isNull(), F.lit("missing_in_rebuild"))
                     .when(F.col("snapshot_qty") == F.col("rebuilt_qty"), F.lit("match"))
                     .otherwise(F.lit("differs")).alias("status")))
-
-
-def reconcile(t: Tables) -> DataFrame:
-    """Snapshot vs rebuild for both location kinds, every key of either side."""
-    wh, br = rebuild_stock(t)
-    return (_compare(WAREHOUSE, t.warehouse_stock, wh, "warehouse_id")
-            .unionByName(_compare(BRANCH, t.branch_stock, br, "branch_id")))
