@@ -4,8 +4,8 @@
     python -m depotline.cli list unpaid_purchases --tables /data/retail --show 20
     python -m depotline.cli audit --tables /data/retail --out /data/audit
 
-``--out`` writes the whole result as Parquet (or CSV with ``--csv``); ``--show``
-prints the first rows of a report for a quick look.
+``--out`` writes the whole result as Parquet (or CSV with ``--csv``); without it the
+first ``--show`` rows are printed, with a note where there are more.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from depotline.operators import listings, quality, reports, stock
+from depotline.session import configure
 from depotline.sources.tables import load_tables
 
 LISTS = {
@@ -77,13 +78,15 @@ def build(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"depotline-{args.command}").getOrCreate()
+    spark = configure(SparkSession.builder.appName(f"depotline-{args.command}").getOrCreate())
     df = build(spark, args)
     if args.out:
         (df.write.mode("errorifexists").option("header", "true").csv(args.out) if args.csv
          else df.write.mode("errorifexists").parquet(args.out))
     else:
         df.show(args.show, truncate=False)
+        if len(df.take(args.show + 1)) > args.show:
+            print(f"Only the first {args.show} rows are shown; use --out for all of them, or a larger --show.")
 
 
 if __name__ == "__main__":

@@ -351,25 +351,41 @@ register("l16_edit_availability_last_day")(lambda t: L.edit_availability(
 @register("x02_stream_stock_fold")
 def _x02(t: Tables) -> DataFrame:
     """Stream every document movement (delivered twice) through the stock fold."""
-    import uuid
-
-    from depotline.session import checkpoint_dir
+    from depotline.session import new_folder
     from depotline.streaming.ledger import document_movements, read_snapshot, run_stock_stream
 
     spark = t.sale.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/depotline-x02-{uuid.uuid4().hex}"
+    base = new_folder(spark, "x02")
     moves = document_movements(t)
     moves.write.parquet(f"{base}/in/delivery=1")
     moves.write.parquet(f"{base}/in/delivery=2")  # a replay: every id again
-    try:
-        parallelism = spark.sparkContext.defaultParallelism  # cores of the cluster
-    except Exception:
-        parallelism = None
-    last = run_stock_stream(spark, f"{base}/in/*", f"{base}/out", f"{base}/checkpoint",
-                            state_partitions=parallelism)
+    last = run_stock_stream(spark, f"{base}/in/*", f"{base}/out", f"{base}/checkpoint", max_files_per_trigger=8, compact_every=2)
     return read_snapshot(spark, last)
 
 
+@register("s07_posted_published_read_back")
+def _s07(t: Tables) -> DataFrame:
+    """Post every active sale again, publish the new rows and the changed stock, read the current
+    version back, and post the same batch once more: the retry is refused and changes nothing."""
+    from depotline.session import new_folder
+    from depotline.sources import tables as TB
+
+    spark = t.sale.sparkSession
+    base = new_folder(spark, "s07")
+    start = TB.publish(spark, base, TB.write_snapshot(t, base, ("sale", "sale_detail", "branch_stock")))
+    heads = active(t.sale).select("sale_id", "customer_id", "branch_id", "employee_id", "sale_date", "payment_method")
+    lines = active(t.sale_detail).select("sale_id", "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
+    batch = _reposted(heads, lines, "sale_id")
+    version = start
+    for _ in range(2):
+        now = TB.load_current(spark, base)
+        res = LC.post_sales(now, *batch)
+        good = res.decisions.where("accepted").select(F.col("doc_id").alias("sale_id"))
+        added = {n: TB.write_rows(getattr(res.tables, n).join(good, "sale_id", "left_semi"), base, n) for n in ("sale", "sale_detail")}
+        version = TB.publish(spark, base, {"branch_stock": TB.write_table(res.tables.branch_stock, base, "branch_stock")}, added, expected=version)
+    return L.sales_list(TB.load_current(spark, base).replace(customer=t.customer, employee=t.employee, branch=t.branch), "active").select("sale_id", "total")
+
+
 register("r21_chart_series_income")(lambda t: R.chart_series("1", R.r01_income_per_branch(t, _S, _E)))
 
 

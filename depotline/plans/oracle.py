@@ -149,7 +149,9 @@ def _range(col: str) -> str:
     return f"{col} >= {_D[0]} AND {col} <= {_D[1]}"
 
 
-REPORT_SQL: dict[str, str] = {
+def _report_sql(_range) -> dict[str, str]:
+    """The reports, with the range of a date column as ``_range`` writes it."""
+    return {
     "r01_income_per_branch": f"""
 SELECT b.branch_name, CAST(SUM(d.quantity*d.kg_price_at_sale_time) AS DOUBLE) AS total_income
 FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id JOIN s_branch b ON b.branch_id = s.branch_id
@@ -260,6 +262,9 @@ FROM s_branch_stock bs JOIN s_branch b ON b.branch_id = bs.branch_id JOIN s_prod
 WHERE bs.quantity <= 0 AND p.is_deleted IS NULL""",
 }
 
+
+REPORT_SQL: dict[str, str] = _report_sql(_range)
+
 def _sales_sql(flag: str) -> str:
     return f"""
 SELECT s.sale_id, s.customer_id, c.customer_name, s.employee_id, e.employee_name, s.branch_id, b.branch_name,
@@ -608,6 +613,12 @@ SELECT sale_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(kg_price_
 UNION ALL
 SELECT d.sale_id+{OFFSET}, d.product_id, CAST(d.quantity AS DOUBLE), CAST(d.kg_price_at_sale_time AS DOUBLE), 0, 0
 FROM s_sale_detail d JOIN s_sale s ON s.sale_id = d.sale_id WHERE s.is_deleted IS NULL AND d.is_deleted IS NULL AND {_good('s.sale_id')}""",
+    "s07_posted_published_read_back": f"""
+SELECT n.sale_id, CAST(COALESCE(SUM(d.quantity*d.kg_price_at_sale_time), 0) AS DOUBLE) AS total
+FROM (SELECT sale_id, sale_id AS old_id FROM s_sale WHERE is_deleted IS NULL
+      UNION ALL SELECT sale_id+{OFFSET}, sale_id FROM s_sale WHERE is_deleted IS NULL AND {_good('sale_id')}) n
+LEFT JOIN s_sale_detail d ON d.sale_id = n.old_id AND d.is_deleted IS NULL
+GROUP BY n.sale_id""",
     "w07_post_payments": f"""
 SELECT payment_id, purchase_id, employee_id, CAST(payment_date AS VARCHAR) AS payment_date, CAST(amount AS DOUBLE) AS amount, method, is_deleted,
        is_deleted_with_purchase FROM s_payment
@@ -738,10 +749,9 @@ FROM s_customer""",
 }
 
 # The same dated reports over all dates: the range predicate becomes TRUE.
-_RANGE_RE = re.compile(r"\S+ >= DATE '[0-9-]+' AND \S+ <= DATE '[0-9-]+'")
-for _key, _sql in list(REPORT_SQL.items()):
-    if _RANGE_RE.search(_sql):
-        REPORT_SQL[f"{_key}_all_dates"] = _RANGE_RE.sub("TRUE", _sql)
+for _key, _sql in _report_sql(lambda col: "TRUE").items():
+    if _sql != REPORT_SQL[_key]:
+        REPORT_SQL[f"{_key}_all_dates"] = _sql
 
 REPORT_SQL["r21_chart_series_income"] = f"""
 SELECT b.branch_name AS label, CAST(SUM(d.quantity*d.kg_price_at_sale_time) AS DOUBLE) AS value

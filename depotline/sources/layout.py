@@ -15,7 +15,8 @@ instead; their joins then shuffle, where partial aggregation and AQE skew
 splitting spread a hot document over many tasks.
 
 Tables are external tables in the session catalog over a folder; a new session
-re-registers them with ``register_bucketed`` (DDL only, no data is moved).
+re-registers them with ``register_bucketed`` (DDL only, no data is moved).  How
+each table was written is stored with the data (``_layout``) and read back there.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ BUCKET_KEYS: dict[str, str] = {
 }
 
 
+LAYOUT = "name string, key string, buckets int"
+
+
 def _ddl_type(dt) -> str:
     return dt.simpleString()
 
@@ -62,28 +66,31 @@ def save_bucketed(spark: SparkSession, tables: Tables, database: str, location:
         if largest_document_share(getattr(tables, line_table), BUCKET_KEYS[line_table]) > limit:
             plain.update(names)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
+    layout = []
     for name in TABLE_NAMES:
         df = conform(getattr(tables, name), name)
+        key = BUCKET_KEYS.get(name) if name not in plain else None
+        layout.append((name, key, buckets if key else None))
+        if key:
+            df = df.repartition(buckets, key)  # one file a bucket instead of one a task and bucket
         writer = df.write.format("parquet").option("path", f"{location}/{name}")
-        if name in BUCKET_KEYS and name not in plain:
-            key = BUCKET_KEYS[name]
+        if key:
             writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{database}.{name}")
+    spark.createDataFrame(layout, LAYOUT).coalesce(1).write.mode("overwrite").parquet(f"{location}/_layout")
     return load_bucketed(spark, database)
 
 
-def register_bucketed(spark: SparkSession, database: str, location: str, buckets: int,
-                      plain: tuple[str, ...] = ()) -> Tables:
-    """Declare the external tables of an existing layout in this session's catalog
-    (``plain``: tables that were written without buckets)."""
+def register_bucketed(spark: SparkSession, database: str, location: str) -> Tables:
+    """Declare the external tables of an existing layout in this session's catalog, as
+    they were written."""
     location = location.rstrip("/")
+    layout = {r["name"]: r for r in spark.read.schema(LAYOUT).parquet(f"{location}/_layout").collect()}  # a row a table
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in TABLE_NAMES:
         cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in SCHEMAS[name].fields)
-        clustered = ""
-        if name in BUCKET_KEYS and name not in plain:
-            key = BUCKET_KEYS[name]
-            clustered = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS"
+        key, buckets = layout[name]["key"], layout[name]["buckets"]
+        clustered = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS" if key else ""
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({cols}) USING parquet{clustered} "
                   f"LOCATION '{location}/{name}'")
     return load_bucketed(spark, database)

@@ -1,8 +1,20 @@
-"""S1 load the fifteen tables with their fixed schema; S7 write snapshots."""
+"""S1 load the fifteen tables with their fixed schema; S7 write and publish snapshots.
+
+A snapshot folder holds, per table, parts that are never changed once written, and
+numbered manifests that say which parts make up the current version:
+
+    <base>/<table>/v=<uuid>/        parts of a table
+    <base>/_manifest/<number>.json  table -> folders of its parts
+
+``publish`` adds the next manifest; it is written under a temporary name and
+renamed, and the rename fails if another job has taken the number, so readers see
+either the old version or the new one, and no publication is lost.
+"""
 
 from __future__ import annotations
 
 import dataclasses
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +61,9 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
 
     ``fmt`` may be any batch source Spark reads (parquet, orc, csv, json); for a
     JDBC database pass ``fmt="jdbc"`` and the connection ``options`` with a
-    ``{table}`` placeholder in ``dbtable``.  Nothing is inferred.
+    ``{table}`` placeholder in ``dbtable``.  Nothing is inferred.  A CSV or JSON value
+    that does not fit the schema fails the load (``mode`` FAILFAST), since a flag or
+    id read as NULL would change its meaning; ``options={"mode": ...}`` overrides it.
     """
     options = dict(options or {})
     frames = {}
@@ -59,8 +73,8 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
             opts = {k: v.format(table=name) for k, v in options.items()}
             frames[name] = conform(reader.options(**opts).load(), name)
         else:
-            if fmt == "csv":
-                reader = reader.option("header", "true")
+            if fmt in ("csv", "json"):
+                reader = reader.option("mode", "FAILFAST").option("header", "true")
             frames[name] = reader.schema(SCHEMAS[name]).options(**options).load(f"{path.rstrip('/')}/{name}")
     return Tables(**frames)
 
@@ -90,6 +104,68 @@ def write_snapshot(tables: Tables, base: str, names: tuple[str, ...] | None = No
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path in its terms."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf), place
+
+
+def current_version(spark: SparkSession, base: str) -> tuple[int, dict[str, list[str]]]:
+    """Number of the current version (0: none yet) and the folders of its tables."""
+    fs, place = _folder(spark, f"{base.rstrip('/')}/_manifest")
+    if not fs.exists(place):
+        return 0, {}
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_"))), default=0)
+    if not last:
+        return 0, {}
+    text = spark.read.text(f"{place.toString()}/{last:012d}.json", wholetext=True).first()[0]
+    return last, json.loads(text)
+
+
+def publish(spark: SparkSession, base: str, changed: dict[str, str], appended: dict[str, str] | None = None,
+            expected: int | None = None) -> int:
+    """Make the written parts the current version and return its number.
+
+    ``changed`` replaces the parts of a table, ``appended`` adds a part to them; other
+    tables keep theirs.  ``expected`` is the version that the job started from: if
+    another job has published since, this one fails and nothing changes.
+    """
+    number, tables = current_version(spark, base)
+    if expected is not None and number != expected:
+        raise RuntimeError(f"version {number} was published after version {expected}, on which this job is based")
+    tables = {**tables, **{n: [p] for n, p in changed.items()}}
+    for name, part in (appended or {}).items():
+        tables[name] = [*tables.get(name, []), part]
+    fs, place = _folder(spark, f"{base.rstrip('/')}/_manifest")
+    fs.mkdirs(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    temporary, final = path(place, f"_{uuid.uuid4().hex}"), path(place, f"{number + 1:012d}.json")
+    out = fs.create(temporary, False)
+    out.write(json.dumps(tables).encode())
+    out.close()
+    if fs.exists(final) or not fs.rename(temporary, final):
+        fs.delete(temporary, False)
+        raise RuntimeError(f"version {number + 1} was published by another job")
+    return number + 1
+
+
+def load_current(spark: SparkSession, base: str) -> Tables:
+    """The tables of the current version; a table without parts is empty."""
+    _, tables = current_version(spark, base)
+    frames = {}
+    for name in TABLE_NAMES:
+        parts = tables.get(name)
+        frames[name] = spark.read.schema(SCHEMAS[name]).parquet(*parts) if parts else spark.createDataFrame([], SCHEMAS[name])
+    return Tables(**frames)
+
+
+def write_rows(rows: DataFrame, base: str, name: str) -> str:
+    """Write new rows of a table (a post adds rows, it changes none) as a part to be appended."""
+    return write_table(rows, base, name)
+
+
 def materialize(spark: SparkSession, tables: Tables, base: str, fmt: str = "parquet") -> Tables:
     """Write every table under ``base/<name>`` and read them back with the fixed schema."""
     for name in TABLE_NAMES:

@@ -1,12 +1,21 @@
 """Keep stock current from a stream of movements (Structured Streaming).
 
 A movement is ``movement_id, location_type, location_id, product_id, delta,
-event_time``.  The stream is de-duplicated on ``movement_id`` with bounded state
-(``dropDuplicatesWithinWatermark``), the deltas of each micro-batch are summed per
-(location, product) and folded into the stock with the same insert-or-add rule
-as the batch jobs (W1).  The fold runs in ``foreachBatch`` and writes a new
-snapshot version per batch under the output folder; the checkpoint location
-makes the query restartable after a lost executor or driver.
+event_time``.  Movements that were applied are kept beside the stock, by day of
+their event; a micro-batch drops its own repetitions and whatever was applied
+before, however long ago.  A replayed movement has the day of the first one, so only
+the days that occur in the batch are read.
+
+Each micro-batch writes what it newly applies, and its deltas summed per (location,
+product); the stock is the last compacted table plus the deltas after it, and every
+``compact_every`` batches the two are folded into one (rule W1).  A batch replayed
+after a failure reads only versions below its own and overwrites its own, so
+restarts from the checkpoint are idempotent.
+
+    <out>/applied/v=<n>/day=<date>/   movements that version n applied
+    <out>/delta/v=<n>/                their summed deltas
+    <out>/base/v=<n>/                 stock up to version n
+    <out>/_versions/                  published versions, and which have a base
 """
 
 from __future__ import annotations
@@ -73,79 +82,91 @@ STOCK_SCHEMA = T.StructType([T.StructField(k, MOVEMENT_SCHEMA[k].dataType) for k
                             + [T.StructField("quantity", STOCK_QTY)])
 
 
-def _manifest(out_dir: str) -> str:
-    return f"{out_dir}/_versions"
+VERSIONS = "v long, has_base boolean"
 
 
-def _previous_version(spark: SparkSession, out_dir: str, below: int) -> int | None:
-    """Highest published snapshot version lower than ``below`` (None if none)."""
-    try:
-        row = (spark.read.schema("v long").parquet(_manifest(out_dir))
-               .where(F.col("v") < below).agg(F.max("v")).first())
-    except Exception:  # no manifest yet
-        return None
-    return None if row is None or row[0] is None else int(row[0])
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
-def _publish(spark: SparkSession, out_dir: str, version: int) -> None:
-    spark.createDataFrame([(version,)], "v long").coalesce(1).write.mode("append").parquet(_manifest(out_dir))
+def _publish(spark: SparkSession, out_dir: str, version: int, has_base: bool) -> None:
+    spark.createDataFrame([(version, has_base)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{out_dir}/_versions")
+
+
+def _last(spark: SparkSession, out_dir: str, up_to: int | None = None, with_base: bool = False) -> int:
+    """Highest published version (not above ``up_to``, with a base), -1 if none."""
+    if not _exists(spark, f"{out_dir}/_versions"):
+        return -1
+    rows = spark.read.schema(VERSIONS).parquet(f"{out_dir}/_versions")
+    if up_to is not None:
+        rows = rows.where(F.col("v") <= up_to)
+    if with_base:
+        rows = rows.where("has_base")
+    found = rows.agg(F.max("v")).first()[0]
+    return -1 if found is None else int(found)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STOCK_SCHEMA).parquet(path)
+    """Stock at a version, named ``<out_dir>/v=<n>`` as ``run_stock_stream`` returns it."""
+    out_dir, _, number = path.rpartition("/v=")
+    base = _last(spark, out_dir, int(number), with_base=True)
+    stock = spark.read.schema(STOCK_SCHEMA).parquet(f"{out_dir}/base/v={base}")
+    if int(number) == base:
+        return stock
+    deltas = (spark.read.schema(T.StructType([*STOCK_SCHEMA.fields, T.StructField("v", T.LongType())])).option("basePath", f"{out_dir}/delta").parquet(f"{out_dir}/delta")
+              .where((F.col("v") > base) & (F.col("v") <= int(number))))
+    return fold_batch(stock, deltas.withColumnRenamed("quantity", "delta"))
+
+
+def _unapplied(batch: DataFrame, out_dir: str, version: int) -> DataFrame:
+    """Movements of the batch that no version below applied, each once.  A movement
+    without an id cannot be recognised and counts every time it is delivered."""
+    spark = batch.sparkSession
+    batch = batch.withColumn("day", F.coalesce(F.to_date("event_time"), F.lit("1970-01-01").cast("date")))
+    named = batch.where(F.col("movement_id").isNotNull()).dropDuplicates(["movement_id"])
+    if _exists(spark, f"{out_dir}/applied"):
+        before = (spark.read.schema(T.StructType([*MOVEMENT_SCHEMA.fields, T.StructField("v", T.LongType()), T.StructField("day", T.DateType())]))
+                  .parquet(f"{out_dir}/applied").where(F.col("v") < version).select("day", "movement_id"))
+        named = named.join(before, ["day", "movement_id"], "left_anti")
+    return named.unionByName(batch.where(F.col("movement_id").isNull()))
 
 
 def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                     opening: DataFrame | None = None, dedup_window: str = "1 hour",
-                     max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> str:
-    """Fold every movement file under ``source_dir`` into stock; returns the path of
-    the last snapshot.  Runs with ``availableNow`` (process what is there in as
-    many micro-batches as the source limits ask for, then stop).
-
-    Snapshots are ``out_dir/v=<n>``: v=0 is the opening stock, micro-batch ``b``
-    writes v=b+1 from the highest version below it.  A batch replayed after a
-    failure therefore starts from the same input and overwrites only its own
-    version, so restarts from ``checkpoint`` are idempotent.  Duplicates of a
-    movement id are dropped when they arrive within ``dedup_window`` of each other
-    (bounded state, keyed on arrival time, so no movement is ever dropped as late).
-    ``state_partitions`` fixes the number of state-store partitions when the query
-    first starts (Spark keeps it in the checkpoint); default: the session's
-    shuffle partitions.
-    """
+                     opening: DataFrame | None = None, max_files_per_trigger: int | None = None,
+                     compact_every: int = 20) -> str:
+    """Fold every movement file under ``source_dir`` into stock; returns the name of
+    the last version, for ``read_snapshot``.  Runs with ``availableNow`` (process what
+    is there in as many micro-batches as the source limits ask for, then stop).
+    Version 0 is the opening stock, micro-batch ``b`` makes version b + 1."""
     out_dir = out_dir.rstrip("/")
-    if _previous_version(spark, out_dir, 1) is None:
+    if _last(spark, out_dir) < 0:
         start = opening if opening is not None else spark.createDataFrame([], STOCK_SCHEMA)
-        start.select(*KEY, F.col("quantity").cast(STOCK_QTY)).write.mode("overwrite").parquet(f"{out_dir}/v=0")
-        _publish(spark, out_dir, 0)
+        start.select(*KEY, F.col("quantity").cast(STOCK_QTY)).write.mode("overwrite").parquet(f"{out_dir}/base/v=0")
+        _publish(spark, out_dir, 0, True)
 
     reader = spark.readStream.schema(MOVEMENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = (reader.parquet(source_dir)
-              .withColumn("arrival", F.current_timestamp())
-              .withWatermark("arrival", dedup_window)
-              .dropDuplicatesWithinWatermark(["movement_id"]))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        prev = _previous_version(session, out_dir, batch_id + 1)
-        base = read_snapshot(session, f"{out_dir}/v={prev}")
-        fold_batch(base, batch).write.mode("overwrite").parquet(f"{out_dir}/v={batch_id + 1}")
-        _publish(session, out_dir, batch_id + 1)
-
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        query = (stream.writeStream.foreachBatch(apply)
-                 .option("checkpointLocation", checkpoint)
-                 .trigger(availableNow=True)
-                 .queryName(f"stock_fold_{uuid.uuid4().hex[:8]}")
-                 .start())
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+        session, version = batch.sparkSession, batch_id + 1
+        new = f"{out_dir}/applied/v={version}"
+        _unapplied(batch, out_dir, version).write.mode("overwrite").partitionBy("day").parquet(new)
+        moved = session.read.schema(T.StructType([*MOVEMENT_SCHEMA.fields, T.StructField("day", T.DateType())])).parquet(new)
+        (moved.groupBy(*KEY).agg(F.sum("delta").cast(STOCK_QTY).alias("quantity"))
+         .write.mode("overwrite").parquet(f"{out_dir}/delta/v={version}"))
+        compact = version - _last(session, out_dir, version - 1, with_base=True) >= compact_every
+        if compact:
+            read_snapshot(session, f"{out_dir}/v={version}").write.mode("overwrite").parquet(f"{out_dir}/base/v={version}")
+        _publish(session, out_dir, version, compact)
+
+    query = (reader.parquet(source_dir).writeStream.foreachBatch(apply)
+             .option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True)
+             .queryName(f"stock_fold_{uuid.uuid4().hex[:8]}")
+             .start())
+    query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    last = _previous_version(spark, out_dir, 1 << 62)
-    return f"{out_dir}/v={last}"
+    return f"{out_dir}/v={_last(spark, out_dir)}"
