@@ -42,3 +42,21 @@ def date_range_condition(col: str, start: DateLike = None, end: DateLike = None)
 def in_date_range(df: DataFrame, col: str, start: DateLike = None, end: DateLike = None) -> DataFrame:
     cond = date_range_condition(col, start, end)
     return df if cond is None else df.where(cond)
+
+
+#: Partition column of tables stored by document month (sources.layout); text "yyyy-MM".
+MONTH = "doc_month"
+
+
+def in_document_months(df: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
+    """Only the month partitions that a date range touches, where ``df`` is stored by
+    document month.  Lines carry the month of their document, so a range prunes
+    them like their headers; the exact dates are still compared on the headers."""
+    if MONTH not in df.columns:
+        return df
+    lo, hi = _bound(start), _bound(end)
+    if lo is not None:
+        df = df.where(F.col(MONTH) >= lo.strftime("%Y-%m"))
+    if hi is not None:
+        df = df.where(F.col(MONTH) <= hi.strftime("%Y-%m"))
+    return df

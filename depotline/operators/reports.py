@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotline.functions.dates import DateLike, in_date_range
+from depotline.functions.dates import DateLike, in_date_range, in_document_months
 from depotline.functions.flags import active
 from depotline.operators.rollups import purchase_amount, purchase_lines, sale_amount, sale_lines
 from depotline.sources.tables import Tables
@@ -38,34 +38,36 @@ def exact_avg(total: Column, count: Column) -> Column:
 
 
 def _live_sales(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
-    return in_date_range(active(t.sale), "sale_date", start, end)
+    return in_document_months(in_date_range(active(t.sale), "sale_date", start, end), start, end)
 
 
 def _live_purchases(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
-    return in_date_range(active(t.purchase), "purchase_date", start, end)
+    return in_document_months(in_date_range(active(t.purchase), "purchase_date", start, end), start, end)
 
 
 def _sales_with_amount(t: Tables, start: DateLike, end: DateLike, *cols: str) -> DataFrame:
     """Live sales in range that have at least one live line, with their amount."""
     sales = _live_sales(t, start, end)
-    return sales.select("sale_id", *cols).join(sale_amount(t, sales).select("sale_id", "amount"), "sale_id")
+    return sales.select("sale_id", *cols).join(
+        sale_amount(t, sales, start, end).select("sale_id", "amount"), "sale_id")
 
 
 def _purchases_with_amount(t: Tables, start: DateLike, end: DateLike, *cols: str) -> DataFrame:
     purchases = _live_purchases(t, start, end)
-    return purchases.select("purchase_id", *cols).join(purchase_amount(t, documents=purchases).select("purchase_id", "total"), "purchase_id")
+    return purchases.select("purchase_id", *cols).join(
+        purchase_amount(t, documents=purchases, start=start, end=end).select("purchase_id", "total"), "purchase_id")
 
 
 def _sold(t: Tables, start: DateLike, end: DateLike, col: str) -> DataFrame:
     """``col`` of the header -> amount over live lines of live sales in range: a plain
     sum, so lines meet their filtered headers and no per-document step is needed."""
     sales = _live_sales(t, start, end).select("sale_id", col)
-    return sale_lines(t).join(sales, "sale_id").groupBy(col).agg(F.sum("line_value").alias("amount"))
+    return sale_lines(t, start=start, end=end).join(sales, "sale_id").groupBy(col).agg(F.sum("line_value").alias("amount"))
 
 
 def _bought(t: Tables, start: DateLike, end: DateLike, col: str) -> DataFrame:
     purchases = _live_purchases(t, start, end).select("purchase_id", col)
-    return purchase_lines(t).join(purchases, "purchase_id").groupBy(col).agg(F.sum("line_value").alias("total"))
+    return purchase_lines(t, start=start, end=end).join(purchases, "purchase_id").groupBy(col).agg(F.sum("line_value").alias("total"))
 
 
 def _branch_names(t: Tables) -> DataFrame:
@@ -105,7 +107,7 @@ def r04_daily_amount_for_branch(t: Tables, start: DateLike = None, end: DateLike
         sales = sales.where(F.lit(False))
     else:
         sales = sales.where(F.col("branch_id") == F.lit(int(branch_id)))
-    return (sale_lines(t).join(sales.select("sale_id", "sale_date"), "sale_id")
+    return (sale_lines(t, start=start, end=end).join(sales.select("sale_id", "sale_date"), "sale_id")
             .groupBy("sale_date").agg(F.sum("line_value").alias("daily_amount"))
             .orderBy("sale_date"))
 
@@ -121,7 +123,7 @@ def r05_sales_per_employee(t: Tables, start: DateLike = None, end: DateLike = No
 def _revenue_per_product(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
     """product_id -> revenue over live lines of live sales in range."""
     sales = _live_sales(t, start, end).select("sale_id")
-    return (sale_lines(t).join(sales, "sale_id", "left_semi")
+    return (sale_lines(t, start=start, end=end).join(sales, "sale_id", "left_semi")
             .groupBy("product_id").agg(F.sum("line_value").alias("revenue")))
 
 
@@ -215,7 +217,7 @@ def r15_paid_per_method(t: Tables, start: DateLike = None, end: DateLike = None)
 # ------------------------------------------------------------------ transfers
 
 def _transfers(t: Tables, start: DateLike, end: DateLike) -> DataFrame:
-    return in_date_range(t.transfer, "transfer_date", start, end)
+    return in_document_months(in_date_range(t.transfer, "transfer_date", start, end), start, end)
 
 
 def r16_transfers_per_branch(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
@@ -226,7 +228,7 @@ def r16_transfers_per_branch(t: Tables, start: DateLike = None, end: DateLike =
 
 
 def r17_qty_transferred_per_branch(t: Tables, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    per_branch = (t.transfer_detail.join(_transfers(t, start, end).select("transfer_id", "branch_id"), "transfer_id")
+    per_branch = (in_document_months(t.transfer_detail, start, end).join(_transfers(t, start, end).select("transfer_id", "branch_id"), "transfer_id")
                   .groupBy("branch_id").agg(F.sum("quantity").alias("q")))
     return (per_branch.join(_branch_names(t), "branch_id")
             .groupBy("branch_name").agg(F.sum("q").alias("total_transferred_qty"))
@@ -237,7 +239,7 @@ def r18_qty_transferred_per_product(t: Tables, start: DateLike = None, end: Date
                                     limit: int | None = None) -> DataFrame:
     """All products including deleted ones (K11); no limit unless asked."""
     headers = _transfers(t, start, end).select("transfer_id")
-    per_product = (t.transfer_detail.join(headers, "transfer_id", "left_semi")
+    per_product = (in_document_months(t.transfer_detail, start, end).join(headers, "transfer_id", "left_semi")
                    .groupBy("product_id").agg(F.sum("quantity").alias("q")))
     out = (per_product.join(t.product.select("product_id", "product_name"), "product_id")
            .select("product_id", "product_name", F.col("q").alias("total_transferred_qty"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depotline.functions.dates import DateLike, in_document_months
 from depotline.functions.flags import active, line_value
 from depotline.sources.tables import Tables
 
@@ -22,29 +23,32 @@ def _of(lines: DataFrame, documents: DataFrame | None, key: str) -> DataFrame:
     return lines if documents is None else lines.join(documents.select(key), key, "left_semi")
 
 
-def sale_lines(t: Tables, documents: DataFrame | None = None) -> DataFrame:
-    """Live sale lines with their value (rule K2: a deleted line never counts)."""
-    return _of(active(t.sale_detail), documents, "sale_id").select(
+def sale_lines(t: Tables, documents: DataFrame | None = None, start: DateLike = None, end: DateLike = None) -> DataFrame:
+    """Live sale lines with their value (rule K2: a deleted line never counts).  A date
+    range only prunes month partitions; it does not filter by itself."""
+    return _of(in_document_months(active(t.sale_detail), start, end), documents, "sale_id").select(
         "sale_id", "product_id", "quantity",
         line_value("quantity", "kg_price_at_sale_time").alias("line_value"))
 
 
-def sale_amount(t: Tables, documents: DataFrame | None = None) -> DataFrame:
+def sale_amount(t: Tables, documents: DataFrame | None = None, start: DateLike = None, end: DateLike = None) -> DataFrame:
     """sale_id -> amount (sum of live line values), number of live lines."""
-    return sale_lines(t, documents).groupBy("sale_id").agg(
+    return sale_lines(t, documents, start, end).groupBy("sale_id").agg(
         F.sum("line_value").alias("amount"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def purchase_lines(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None) -> DataFrame:
+def purchase_lines(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None,
+                   start: DateLike = None, end: DateLike = None) -> DataFrame:
     lines = t.purchase_detail if include_deleted_lines else active(t.purchase_detail)
-    return _of(lines, documents, "purchase_id").select(
+    return _of(in_document_months(lines, start, end), documents, "purchase_id").select(
         "purchase_id", "product_id", "quantity",
         line_value("quantity", "kg_price_at_purchase_time").alias("line_value"))
 
 
-def purchase_amount(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None) -> DataFrame:
+def purchase_amount(t: Tables, include_deleted_lines: bool = False, documents: DataFrame | None = None,
+                    start: DateLike = None, end: DateLike = None) -> DataFrame:
     """purchase_id -> total of its (live) lines."""
-    return purchase_lines(t, include_deleted_lines, documents).groupBy("purchase_id").agg(
+    return purchase_lines(t, include_deleted_lines, documents, start, end).groupBy("purchase_id").agg(
         F.sum("line_value").alias("total"), F.count(F.lit(1)).alias("n_lines"))
 
 

@@ -21,9 +21,10 @@ each table was written is stored with the data (``_layout``) and read back there
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotline.functions.dates import MONTH
 from depotline.schemas import SCHEMAS, TABLE_NAMES
 from depotline.sources.tables import Tables, conform
 
@@ -39,7 +40,19 @@ BUCKET_KEYS: dict[str, str] = {
 }
 
 
-LAYOUT = "name string, key string, buckets int"
+LAYOUT = "name string, key string, buckets int, by_month boolean"
+
+# Date of each document kind, for tables stored by document month.
+DATES = {"sale": "sale_date", "purchase": "purchase_date", "transfer": "transfer_date"}
+
+
+def _with_month(tables: Tables, kind: str, name: str, df: DataFrame) -> DataFrame:
+    """The table with the month of its document."""
+    key, date = BUCKET_KEYS[name], DATES[kind]
+    month = F.date_format(date, "yyyy-MM").alias(MONTH)
+    if name == kind:
+        return df.select("*", month)
+    return df.join(conform(getattr(tables, kind), kind).select(key, month), key, "left")
 
 
 def _ddl_type(dt) -> str:
@@ -54,10 +67,15 @@ def largest_document_share(lines, key: str) -> float:
 
 
 def save_bucketed(spark: SparkSession, tables: Tables, database: str, location: str, buckets: int,
-                  max_doc_share: float | None = None) -> Tables:
+                  max_doc_share: float | None = None, by_month: bool = False) -> Tables:
     """Write all fifteen tables under ``location`` (documents bucketed by their key
     unless one document is too large a share of its kind) and return them read
-    through the catalog."""
+    through the catalog.
+
+    ``by_month`` also partitions headers, lines and payments by the month of their
+    document, so that dated reports read only the months of their range; worth it
+    where a month's bucket still fills a file.  The tables then have the partition
+    column as well; jobs that write tables take ``plain_columns`` of them."""
     location = location.rstrip("/")
     limit = max_doc_share if max_doc_share is not None else 1.0 / (4 * buckets)
     plain = set()
@@ -70,12 +88,17 @@ def save_bucketed(spark: SparkSession, tables: Tables, database: str, location:
     for name in TABLE_NAMES:
         df = conform(getattr(tables, name), name)
         key = BUCKET_KEYS.get(name) if name not in plain else None
-        layout.append((name, key, buckets if key else None))
+        monthly = by_month and name in BUCKET_KEYS
+        layout.append((name, key, buckets if key else None, monthly))
+        if monthly:
+            df = _with_month(tables, next(k for k, names in KIND_LINES.items() if name in names), name, df)
         if key:
             df = df.repartition(buckets, key)  # one file a bucket instead of one a task and bucket
         writer = df.write.format("parquet").option("path", f"{location}/{name}")
         if key:
             writer = writer.bucketBy(buckets, key).sortBy(key)
+        if monthly:
+            writer = writer.partitionBy(MONTH)
         writer.saveAsTable(f"{database}.{name}")
     spark.createDataFrame(layout, LAYOUT).coalesce(1).write.mode("overwrite").parquet(f"{location}/_layout")
     return load_bucketed(spark, database)
@@ -89,12 +112,21 @@ def register_bucketed(spark: SparkSession, database: str, location: str) -> Tabl
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in TABLE_NAMES:
         cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in SCHEMAS[name].fields)
-        key, buckets = layout[name]["key"], layout[name]["buckets"]
+        key, buckets, monthly = layout[name]["key"], layout[name]["buckets"], layout[name]["by_month"]
         clustered = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS" if key else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({cols}) USING parquet{clustered} "
+        parts = f" PARTITIONED BY ({MONTH})" if monthly else ""
+        cols += f", {MONTH} string" if monthly else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({cols}) USING parquet{parts}{clustered} "
                   f"LOCATION '{location}/{name}'")
+        if monthly:
+            spark.catalog.recoverPartitions(f"{database}.{name}")
     return load_bucketed(spark, database)
 
 
 def load_bucketed(spark: SparkSession, database: str) -> Tables:
     return Tables(**{name: spark.table(f"{database}.{name}") for name in TABLE_NAMES})
+
+
+def plain_columns(t: Tables) -> Tables:
+    """The tables with the columns of the data model only."""
+    return Tables(**{name: conform(getattr(t, name), name) for name in TABLE_NAMES})
