@@ -10,11 +10,12 @@ exhaustively on their tokens; larger ones branch on, down to ``DEEPEST`` tokens.
 Comparing classes on their tokens yields candidates, which are confirmed on the full sets.  What is
 asked for are connected components, so pairs are taken in two rounds.  The first takes each class's
 best partner and its smallest very likely one, which ties a group of copies together without listing
-its pairs.  The second covers every candidate pair whose ends are still in different components: the
-classes that have such a partner in a node bring their full sets there and are compared exactly, set
-by set in memory, and a class keeps one link for each component it reaches.  A node too large for one
-task is dealt in chunks: the first round adds the node's smallest class to each chunk, the second
-compares every chunk of classes outside that class's component with every chunk of the node.
+its pairs.  The second covers every candidate pair whose ends are still in different components: such
+components form clusters, the classes of a cluster bring their full sets together, and those outside
+its largest component are compared with all others in memory; a class keeps one link for each
+component it reaches.  Nodes and clusters too large for one task are dealt in chunks: the first round
+adds the node's smallest class to each chunk, the second has every chunk of classes outside the main
+component meet every chunk.
 
 Two classes of similarity 0.75 share a node of a given tree in about half of all cases, and escape
 all 16 trees in about one of 10,000; more similar ones escape less often.
@@ -235,26 +236,42 @@ def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 LEFT, RIGHT, BOTH = 1, 2, 3
 
 
-def strangers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of each group that have a partner of enough equal tokens in another component."""
+def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges between components that candidate pairs of a group connect: each component of such a
+    connected lot with the smallest one."""
     for rows, starts in _groups(batches, ["node", "part", "chunk"]):
         token, root, side = _matrix(rows["bytes"], "u1"), rows["root"].to_numpy(), rows["side"].to_numpy()
-        keep = np.zeros(len(rows), bool)
+        out = []
         for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
             left, right = a + np.flatnonzero(side[a:b] & LEFT), a + np.flatnonzero(side[a:b] & RIGHT)
-            if len(left) and len(right):
-                far = (_equal(token[left], token[right]) >= EQUAL_TOKENS) & (root[left, None] != root[None, right])
-                keep[left[far.any(axis=1)]] = True
-                keep[right[far.any(axis=0)]] = True
-        if keep.any():
-            yield rows.loc[keep, ["node", "part", "chunk", "rid", "root", "side"]]
+            if not len(left) or not len(right):
+                continue
+            far = (_equal(token[left], token[right]) >= EQUAL_TOKENS) & (root[left, None] != root[None, right])
+            left, right, far = left[far.any(axis=1)], right[far.any(axis=0)], far[far.any(axis=1)][:, far.any(axis=0)]
+            if not len(left):
+                continue
+            names, place = np.unique(np.concatenate([root[left], root[right]]), return_inverse=True)
+            lot = np.arange(len(names))  # the smallest component reached, until nothing changes
+            mine, theirs = place[: len(left)], place[len(left) :]
+            while True:
+                old = lot.copy()
+                np.minimum.at(lot, mine, np.where(far, lot[theirs][None, :], len(names)).min(axis=1))
+                np.minimum.at(lot, theirs, np.where(far, lot[mine][:, None], len(names)).min(axis=0))
+                lot = lot[lot]
+                if (lot == old).all():
+                    break
+            other = np.flatnonzero(lot != np.arange(len(names)))
+            out.append(pd.DataFrame({"a": names[lot[other]], "b": names[other]}))
+        if out:
+            yield pd.concat(out).drop_duplicates()
 
 
 def set_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between rows of each group in different components, by their full sets; of several links
     of a row to one component the first."""
-    for rows, starts in _groups(batches, ["node", "part", "chunk"]):
+    for rows, starts in _groups(batches, ["cluster", "part", "chunk"]):
         rid, root, side = rows["rid"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy()
+        token = _matrix(rows["bytes"], "u1")
         for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
             left, right = np.flatnonzero(side[a:b] & LEFT), np.flatnonzero(side[a:b] & RIGHT)
             if not len(left) or not len(right):
@@ -263,15 +280,17 @@ def set_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes = np.array(list(map(len, sets)))
             values, place = np.unique(np.concatenate(sets), return_inverse=True)
             places = np.split(place, np.cumsum(sizes)[:-1])
-            there = np.concatenate([places[j] for j in right])
-            first = np.cumsum(sizes[right]) - sizes[right]
+            near = (_equal(token[a + left], token[a + right]) >= EQUAL_TOKENS) & (root[a + left, None] != root[None, a + right])
             mine = np.zeros(len(values), bool)
-            for i in left:
+            for i, row in zip(left, near, strict=True):
+                others = right[row]
+                if not len(others):
+                    continue
                 mine[places[i]] = True
-                both = np.add.reduceat(mine[there], first, dtype=np.int64)
+                there = mine[np.concatenate([places[j] for j in others])]
+                both = np.add.reduceat(there, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
                 mine[places[i]] = False
-                hit = right[PARTS * both >= SHARE * (sizes[i] + sizes[right] - both)]
-                hit = hit[root[a + hit] != root[a + i]]
+                hit = others[PARTS * both >= SHARE * (sizes[i] + sizes[others] - both)]
                 if len(hit):
                     one = a + hit[np.unique(root[a + hit], return_index=True)[1]]
                     yield pd.DataFrame({"a": np.minimum(rid[a + i], rid[one]), "b": np.maximum(rid[a + i], rid[one])})
@@ -296,35 +315,50 @@ def first_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where("rid <> other").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 
-def cells(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, part, chunk, rid, root, side of the rows to compare in the second round.
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """``key``, part, chunk, side and the other columns of ``rows``, which have a key, rid, mark, and the
+    key's numbers of rows (size) and of marked ones (marked): each part of the marked rows meets each
+    chunk of all rows; where there is one of both, each row stands once."""
+    chunks, parts = F.ceil(F.col("size") / CHUNK), F.ceil(F.col("marked") / CHUNK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    none, one = F.lit(0).cast("long"), F.col("size") <= CHUNK
+    rest = [c for c in rows.columns if c not in (key, "mark", "size", "marked")]
+    small = rows.where(one).select(key, none.alias("part"), none.alias("chunk"), F.when(F.col("mark"), BOTH).otherwise(RIGHT).alias("side"), *rest)
+    left = rows.where(~one & F.col("mark")).select(key, _dealt("rid", parts).alias("part"), every(chunks).alias("chunk"), F.lit(LEFT).alias("side"), *rest)
+    right = rows.where(~one).select(key, every(parts).alias("part"), _dealt("rid", chunks).alias("chunk"), F.lit(RIGHT).alias("side"), *rest)
+    order = [key, "part", "chunk"]
+    return small.unionByName(left).unionByName(right).repartition(*order).sortWithinPartitions(*order)
+
 
-    A node's classes outside its hub's component are dealt to parts, all of its classes to chunks, and
-    each part meets each chunk; in a node of one part and one chunk each class stands once."""
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     root = roots.select(F.col("v").alias("rid"), "root")
-    rows = members.join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    return rows.join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+
+
+def met_components(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges a < b between components that candidate pairs connect."""
+    rows = _rooted(members, roots)
     hub_root = rows.where(F.col("rid") == F.col("hub")).select("node", F.col("root").alias("hub_root"))
     rows = rows.join(hub_root, "node").withColumn("mark", F.col("root") != F.col("hub_root"))
     mixed = rows.where("mark").groupBy("node").agg(F.count("*").alias("marked"))
     rows = rows.join(mixed, "node").join(classes.select("rid", "bytes"), "rid")
-    chunks, parts = F.ceil(F.col("size") / CHUNK), F.ceil(F.col("marked") / CHUNK)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    none, one = F.lit(0).cast("long"), F.col("size") <= CHUNK
-    small = rows.where(one).select("node", none.alias("part"), none.alias("chunk"), "rid", "root", "bytes",
-                                   F.when(F.col("mark"), BOTH).otherwise(RIGHT).alias("side"))
-    left = rows.where(~one & F.col("mark")).select("node", _dealt("rid", parts).alias("part"), every(chunks).alias("chunk"), "rid", "root",
-                                                   "bytes", F.lit(LEFT).alias("side"))
-    right = rows.where(~one).select("node", every(parts).alias("part"), _dealt("rid", chunks).alias("chunk"), "rid", "root", "bytes",
-                                    F.lit(RIGHT).alias("side"))
-    key = ["node", "part", "chunk"]
-    return (small.unionByName(left).unionByName(right).repartition(*key).sortWithinPartitions(*key)
-            .mapInPandas(strangers, "node long, part long, chunk long, rid long, root long, side int"))
+    rows = rows.select("node", "rid", "root", "bytes", "mark", "size", "marked")
+    return _met(rows, "node").mapInPandas(meetings, "a long, b long").distinct()
+
+
+def cluster_rows(classes: DataFrame, roots: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, rid, root, bytes, mark, size, marked of the classes of all clusters; marked are those
+    outside a cluster's largest component."""
+    rows = _rooted(classes.select("rid", "bytes"), roots).join(clusters.select(F.col("v").alias("root"), F.col("root").alias("cluster")), "root")
+    by_root = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("cluster").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"))
+    return rows.join(sizes, "cluster").select("cluster", "rid", "root", "bytes", (F.col("root") != F.col("main")).alias("mark"), "size",
+                                              (F.col("size") - F.col("most")).alias("marked"))
 
 
 def second_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links a < b among the rows of ``cells``, confirmed on the full sets."""
-    key = ["node", "part", "chunk"]
-    return (rows.join(sets, "rid").repartition(*key).sortWithinPartitions(*key).mapInPandas(set_links, "a long, b long").distinct())
+    """Links a < b among the classes of each cluster, confirmed on the full sets."""
+    return _met(rows.join(sets, "rid"), "cluster").mapInPandas(set_links, "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------------------------- confirming
@@ -402,16 +436,21 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     pairs = stage(first_pairs(members, classes), "path-pairs")
     texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), classes, docs, id_col, text_col), "path-texts")
     found = stage(links(pairs, texts), "path-links")
-    unstage(texts, pairs)
+    unstage(pairs)
     roots = components(found)
-    rows_left = stage(cells(members, classes, roots), "path-cells")
-    if not rows_left.isEmpty():
-        texts = texts_of(rows_left.select("rid").distinct(), classes, docs, id_col, text_col)
-        sets = stage(texts.mapInPandas(full_sets, "rid long, shingles binary"), "path-sets")
-        extra = stage(second_links(rows_left, sets), "path-links")
-        unstage(sets, roots)
+    met = stage(met_components(members, classes, roots), "path-met")
+    if not met.isEmpty():
+        second = stage(cluster_rows(classes, roots, components(met)), "path-clusters")
+        # a class with a candidate partner was nearly always paired in the first round, so its text is there
+        missing = stage(second.select("rid").join(texts, "rid", "left_anti"), "path-missing")
+        there = texts.join(second, "rid", "left_semi")
+        if not missing.isEmpty():
+            there = there.unionByName(texts_of(missing, classes, docs, id_col, text_col))
+        sets = stage(there.mapInPandas(full_sets, "rid long, shingles binary"), "path-sets")
+        extra = stage(second_links(second, sets), "path-links")
+        unstage(sets, roots, missing, second)
         roots = components(found.unionByName(extra))
-    unstage(rows_left)
+    unstage(met, texts)
     placed = by_set.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select(
         "set_key", F.coalesce("root", "rep").alias("root"), "least")
     least = placed.groupBy("root").agg(F.min("least").alias("keep"))
