@@ -23,7 +23,7 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from depotline.llm.common import id_text
+from depotline.llm.common import id_text, map_slices
 
 #: Pre-tokens that a worker remembers at least before it forgets all, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
@@ -128,7 +128,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 part = b.iloc[at : at + TOGETHER]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": tool.encode(part["text"].tolist())})
 
-    return id_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_slices(id_text(docs, id_col, text_col), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -140,7 +140,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             texts = [tool.decode(list(ids)) if ids is not None else b"" for ids in b["ids"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "bytes": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return map_slices(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,5 +159,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
             done = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield done.assign(doc_id=b["doc_id"].to_numpy())
 
-    return id_text(docs, id_col, text_col).mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

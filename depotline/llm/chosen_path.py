@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotline.llm.common import text_of
+from depotline.llm.common import map_slices, text_of
 from depotline.session import stage, unstage
 
 WORDS = 5
@@ -112,13 +112,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), m.tobytes(), m.astype(np.uint8).tobytes()))
                 else:
                     out.append((0, None, None, None))
-            if len(words) > 400_000:
+            if len(words) > 100_000:
                 words.clear()
             done = pd.DataFrame(out, columns=["n_shingles", "set_key", "tokens", "bytes"])
             yield done.assign(doc_id=b["doc_id"].to_numpy(), text_hash=b["text_hash"].to_numpy())
 
     schema = "doc_id long, text_hash long, n_shingles long, set_key binary, tokens binary, bytes binary"
-    return rows.mapInPandas(run, schema).withColumn("rid", F.monotonically_increasing_id())
+    return map_slices(rows, run, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
 # ------------------------------------------------------------------------------------------ trees
@@ -373,7 +373,7 @@ def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             one, two = shingles(x, words), last[1]
             both = len(np.intersect1d(one, two, assume_unique=True))
             keep.append(PARTS * both >= SHARE * (len(one) + len(two) - both))
-        if len(words) > 400_000:
+        if len(words) > 100_000:
             words.clear()
         yield b.loc[keep, ["a", "b"]]
 
@@ -381,7 +381,7 @@ def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(confirm, "a long, b long")
+    return map_slices(pairs.join(a, "a").join(b, "b"), confirm, "a long, b long")
 
 
 def texts_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -397,7 +397,7 @@ def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = Words()
     for b in batches:
         yield pd.DataFrame({"rid": b["rid"].to_numpy(), "shingles": [shingles(t, words).tobytes() for t in b["text"]]})
-        if len(words) > 400_000:
+        if len(words) > 100_000:
             words.clear()
 
 
@@ -446,7 +446,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         there = texts.join(second, "rid", "left_semi")
         if not missing.isEmpty():
             there = there.unionByName(texts_of(missing, classes, docs, id_col, text_col))
-        sets = stage(there.mapInPandas(full_sets, "rid long, shingles binary"), "path-sets")
+        sets = stage(map_slices(there, full_sets, "rid long, shingles binary"), "path-sets")
         extra = stage(second_links(second, sets), "path-links")
         unstage(sets, roots, missing, second)
         roots = components(found.unionByName(extra))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,3 +31,26 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)
+
+
+#: Rows of a batch that are Python objects at a time.
+SLICE = 512
+
+
+def map_slices(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df.mapInPandas(fn, schema)`` in slices of SLICE rows, so that a task holds few texts as Python
+    strings whatever the size of its batches."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.slice(at, SLICE).to_pandas(integer_object_nulls=True) for b in batches for at in range(0, b.num_rows, SLICE))
+        for out in fn(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def text_slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The strings of an array, SLICE at a time."""
+    for at in range(0, len(texts), SLICE):
+        yield texts.slice(at, SLICE).to_pylist()

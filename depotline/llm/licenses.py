@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from depotline.llm.common import id_text
+from depotline.llm.common import id_text, map_slices
 
 THRESHOLD = 0.8
 
@@ -112,8 +112,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             out = pd.DataFrame(list(map(tool.document, b["text"])), columns=["n_lines", "license", "dice", "licenses"])
             yield out.assign(doc_id=b["doc_id"].to_numpy())
 
-    return id_text(docs, id_col, text_col).mapInPandas(
-        run, "doc_id long, n_lines long, license string, dice double, licenses string")
+    return map_slices(id_text(docs, id_col, text_col), run, "doc_id long, n_lines long, license string, dice double, licenses string")
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:

@@ -21,12 +21,12 @@ from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotline.llm.common import text_of
+from depotline.llm.common import text_of, text_slices
 
 #: Most labelled documents that the field is trained on, and the longest of them, in characters.
 SAMPLE, LONGEST = 4000, 20_000
@@ -181,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scorer(field: Field):
     """Column function: text to score."""
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series(np.concatenate([score_texts(field, b.iloc[at : at + 512].tolist()) for at in range(0, max(1, len(b)), 512)]))
+            yield pa.array(np.concatenate([np.zeros(0), *(score_texts(field, t) for t in text_slices(b))]))
     return score
 
 

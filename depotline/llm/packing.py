@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from depotline.llm.common import id_text
+from depotline.llm.common import id_text, map_slices
 
 #: Pieces that wait in a task at a time.
 BLOCK = 1024
@@ -198,4 +198,4 @@ def pack(docs: DataFrame, vocabulary_path: str, pattern: str, end_id: int = 1, l
         if rows:
             yield frame()
 
-    return id_text(docs, id_col, text_col).mapInPandas(run, schema)
+    return map_slices(id_text(docs, id_col, text_col), run, schema)

@@ -19,12 +19,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotline.llm.common import text_of
+from depotline.llm.common import text_of, text_slices
 from depotline.session import stage
 
 # fixed values: the kinds in the order in which equal starts are listed, their patterns and least lengths
@@ -65,12 +65,12 @@ def find_candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def candidates(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def candidates(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Candidates of each text as ``kind:start:end:digest of the value``."""
     for b in texts:
-        yield pd.Series([[f"{KINDS[k]}:{start}:{end}:{hashlib.sha256(v.encode()).hexdigest()}"
-                          for start, k, end, v in find_candidates(t)] for t in b])
+        yield pa.array([[f"{KINDS[k]}:{start}:{end}:{hashlib.sha256(v.encode()).hexdigest()}"
+                         for start, k, end, v in find_candidates(t)] for part in text_slices(b) for t in part], pa.list_(pa.string()))
 
 
 def frequency(occurrences: DataFrame) -> DataFrame:
@@ -128,10 +128,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         F.coalesce(F.array_join(F.transform(F.array_sort("list"), lambda s: s["span"]), ","), F.lit("")).alias("spans"))
 
 
-@F.pandas_udf(T.StringType())
-def _masked(texts: pd.Series, places: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _masked(texts: pa.Array, places: pa.Array) -> pa.Array:
     out = []
-    for text, spans in zip(texts, places, strict=True):
+    for text, spans in zip(texts.to_pylist(), places.to_pylist(), strict=True):
         joined: list[list[int]] = []  # spans that overlap or touch become one
         for start, end in sorted(tuple(map(int, p.split(":"))) for p in spans):
             if joined and start <= joined[-1][1]:
@@ -141,7 +141,7 @@ def _masked(texts: pd.Series, places: pd.Series) -> pd.Series:
         for start, end in reversed(joined):
             text = text[:start] + "[SECRET]" + text[end:]
         out.append(text)
-    return pd.Series(out)
+    return pa.array(out, pa.string())
 
 
 def redact(docs: DataFrame, text_col: str = "text", owner: Column | None = None, repository: Column | None = None,
