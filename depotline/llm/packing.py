@@ -54,21 +54,26 @@ class Piece(NamedTuple):
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str, pattern: str) -> Callable[[str], np.ndarray]:
+def vocabulary(path: str, pattern: str, added: bool = False) -> Callable[[str], np.ndarray]:
     """Text to ids for a byte-level BPE vocabulary file of the tokenizers library.
 
-    The file's ids are the order of its merges, so its vocabulary serves as rank table; special
-    tokens are not looked for, their strings are ordinary text."""
+    The file's ids are the order of its merges, so its vocabulary serves as rank table.  With ``added``
+    a text is split at the file's added tokens first, which yield their own ids, as the library does by
+    default; without, their strings are ordinary text (the library's ``encode_special_tokens``)."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    special = {t["content"] for t in file["added_tokens"]}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    if added and any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that take in blanks or only stand for whole words are not supported")
+    if added and any(a != b and a in b for a in special for b in special):
+        raise ValueError(f"{path}: added tokens that hold each other are not supported")
     ranks = {bytes(byte_of[c] for c in piece): rank for piece, rank in file["model"]["vocab"].items() if piece not in special}
-    tool = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: tool.encode_to_numpy(text, disallowed_special=())
+    tool = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special if added else {})
+    return lambda text: tool.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def _loss(length: np.ndarray | int):
@@ -172,7 +177,7 @@ def pack(docs: DataFrame, vocabulary_path: str, pattern: str, end_id: int = 1, l
               + ", ids binary" * with_ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = vocabulary(vocabulary_path, pattern)
+        encode = vocabulary(vocabulary_path, pattern, added=True)
         names: dict[int, int | None] = {}
 
         def texts() -> Iterator[str]:
