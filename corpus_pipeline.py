@@ -6,7 +6,8 @@ again as the next stage's ``docs``.  All stages but the last return the columns
 * quality classifier: documents that the line field scores below 0.3 go.
 * MinHash near-dedup: of each component of near-duplicates the document of the smallest id stays.
 * secret scans: live-looking secrets in the texts are replaced by ``[SECRET]``; every document stays.
-* packing: the documents become token sequences, one row a piece.
+* packing: the documents become token sequences, one row a piece, with its ids as little-endian 32-bit
+  numbers; a document's pieces in order of ``start`` give the redacted text back, and the end id.
 
 SQL cannot express the stages, so there is no ``ORACLE_SQL``; ``tests/llm`` holds the stages against
 plain versions.
@@ -37,7 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", dedup), ("secret scans", secret_scan), ("packing", pack)]

@@ -50,8 +50,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_vector_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest columns of the packed pieces, ids left out."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                        public_tokenizers.PATTERN, with_ids=False)
+                        public_tokenizers.PATTERN).select(packing.DIGEST)
 
 
 RULES = [url_filter.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),

@@ -34,6 +34,10 @@ from depotline.llm.common import id_text, map_slices
 BLOCK = 1024
 #: Room smaller than this stays padding; larger room is filled by cutting a piece.
 LEAST_CUT = 8
+#: Rows and bytes of ids that a task holds until it hands them on.
+FLUSH_ROWS, FLUSH_BYTES = 4096, 4 << 20
+#: Columns that tell of the pieces without their ids.
+DIGEST = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Limits(NamedTuple):
@@ -190,16 +194,18 @@ def pack(docs: DataFrame, vocabulary_path: str, pattern: str, end_id: int = 1, l
 
         first = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
+        held = 0
         frame = lambda: pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
         for k, (pieces, sizes) in enumerate(pack_texts(texts(), encode, end_id, limits)):
             at = 0
+            held += sum(p.ids.nbytes for p in pieces) * with_ids
             for p in pieces:
                 raw = p.ids.tobytes()
                 rows.append((names[p.doc], p.start, len(p.ids), zlib.crc32(raw), sizes[p.doc], first + k, at) + (raw,) * with_ids)
                 at += len(p.ids)
-            if len(rows) >= 4096:
+            if len(rows) >= FLUSH_ROWS or held >= FLUSH_BYTES:
                 yield frame()
-                rows = []
+                rows, held = [], 0
         if rows:
             yield frame()
 
