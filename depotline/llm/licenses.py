@@ -1,10 +1,14 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 A text is normalised (A-Z lower-cased, every character but a-z and 0-9 and line ends a blank) and
-compared as a whole, by paragraph (between empty lines) and by line.  The Dice coefficient of two
+compared as a whole, by paragraph (between empty lines), by line and by passage.  The Dice coefficient of two
 sets of bigrams is twice the shared bigrams over the sum of both sizes; it cannot reach a threshold
 t unless the sizes' ratio is at least t / (2 - t), so only templates of fitting size are compared.
 
+Licences of several lines or paragraphs inside a larger text are found as passages: of all runs of
+consecutive lines, joined, the one nearest to a template counts like a paragraph.  Lines without words
+do not matter, so blank lines, CRLF and comment signs before or behind the words do not either.
+
 Defined results: a null text counts as empty and has no licence; units of fewer than two words have
 no bigrams and match nothing; ties go to the smaller name; null and repeated ids give a row each;
 other columns play no part; an empty table gives an empty table.
@@ -89,12 +93,60 @@ class Matcher:
         scores = [(2 * len(own & b) / (len(own) + size), name) for size, name, b in self.sets if low - 1e-9 <= size <= high + 1e-9]
         return min(((-s, n) for s, n in scores if s >= self.threshold), default=None)
 
+    def passages(self, lines: list[bytes], skip: set[str]) -> Iterator[tuple[float, str]]:
+        """For each template but those to skip, the best match of the run of lines nearest to it, if
+        that reaches the threshold.
+
+        Only runs are tried that cannot be cut at an end without losing a bigram of the template: a
+        run goes on as long as its first line has one that does not come again, and is compared
+        where the last line brought a new one.  So a line lies in few runs, however long the text."""
+        words, ends = [], []
+        for line in lines:
+            more = line.split()
+            if more:
+                words += more
+                ends.append(len(words))
+        pairs = list(zip(words, words[1:]))
+        have = set(pairs)
+        for size, name, wanted in self.sets:
+            low, high = size * self.threshold / (2 - self.threshold), size * (2 - self.threshold) / self.threshold
+            if name in skip or len(have & wanted) < low - 1e-9:
+                continue
+            nearest: tuple[float, int, int] = (0.0, 0, 0)
+            for first, begin in enumerate([0, *ends[:-1]]):
+                own: set[tuple[bytes, bytes]] = set()
+                only: set[tuple[bytes, bytes]] = set()  # wanted bigrams that begin in the first line and not behind it
+                shared, at, head = 0, begin, ends[first]
+                if not any(p in wanted for p in pairs[begin:head]):
+                    continue
+                for end in ends[first:]:
+                    before = shared
+                    while at < end - 1:
+                        p = pairs[at]
+                        if p in wanted:
+                            shared += p not in own
+                            if at < head:
+                                only.add(p)
+                            else:
+                                only.discard(p)
+                        own.add(p)
+                        at += 1
+                    if len(own) > high + 1e-9:
+                        break
+                    if shared > before:
+                        nearest = max(nearest, (2 * shared / (len(own) + size), -begin, -end))
+                    if end > head and not only:
+                        break
+            if nearest[0] >= self.threshold and (m := self.best(b" ".join(words[-nearest[1] : -nearest[2]]))):
+                yield m
+
     def document(self, text: str) -> tuple[int, str | None, float, str]:
         """Matching lines, best licence and coefficient over all units, all licences in order."""
         raw = normalise(text)
         lines = [m for m in map(self.best, raw.split(b"\n")) if m]
         paragraphs = raw.split(b"\n\n")
         units = lines + [m for m in map(self.best, {raw, *paragraphs}) if m]
+        units += self.passages(raw.split(b"\n"), {n for s, n in units if s == -1})
         if not units:
             return len(lines), None, 0.0, ""
         score, name = min(units)
@@ -116,7 +168,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same rows in DuckDB SQL over ``documents``."""
+    """The same rows in DuckDB SQL over ``documents`` that hold no passage nearer to a template than
+    their lines, paragraphs and whole texts; passages are tested against all runs of lines."""
     values = ", ".join("('{}', '{}')".format(n, normalise(t).decode().replace("\n", " ")) for n, t in templates.items())
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     words = "list_filter(string_split_regex({}, '[ \\n]+'), lambda x: x <> '')"
