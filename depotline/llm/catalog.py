@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotline.llm import byte_bpe, chosen_path, hashing_index, licenses, line_crf, packing, secrets, sharding, topk, url_filter
+from depotline.llm import (byte_bpe, chosen_path, difference_cover, hashing_index, licenses, line_crf, orchard, packing, secrets, sharding, threshold,
+                           topk, url_filter)
 from depotline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+@register("op11_threshold_negatives", threshold.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids divisible by 7 have the next label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(vectors["vec_id"] % 7 == 0, (vectors["label"] + 1) % 10).otherwise(vectors["label"])
+    return threshold.mine(vectors, label, every=100, positives=5, k=10)
+
+
+@register("op12_difference_cover", difference_cover.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the kept words instead of the words."""
+    return difference_cover.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op13_orchard_clusters", orchard.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.assignments(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
