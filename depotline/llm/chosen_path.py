@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotline.llm.common import map_slices, text_of
+from depotline.llm.common import HOT_SHARE, map_slices, release, spread_join, text_of
 from depotline.session import stage, unstage
 
 WORDS = 5
@@ -46,6 +46,8 @@ WORDS = 5
 PARTS, SHARE = 100, 75
 TOKENS, TREES, FIRST, DEEPEST = 64, 16, 3, 5
 SMALL, CHUNK = 256, 512
+#: Shingles that the classes of a chunk have on average at most, where their full sets are compared.
+CHUNK_SHINGLES = 1 << 20
 #: Equal tokens from which a pair becomes a candidate.  At similarity 0.75 a pair has fewer in about
 #: one of 100,000 cases.
 EQUAL_TOKENS = 32
@@ -168,8 +170,14 @@ def next_nodes(members: DataFrame) -> DataFrame:
 
 def shared(rows: DataFrame) -> DataFrame:
     """node, rid of nodes with several classes, with the node's size and smallest class (hub)."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rid").alias("hub")).where("size > 1")
-    return rows.join(sizes, "node")
+    sizes = stage(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rid").alias("hub")).where("size > 1"), "path-sizes")
+    return spread_join(rows, sizes, "node", "rid", _hot(sizes.select("node", "size")))
+
+
+def _hot(sizes: DataFrame) -> DataFrame:
+    """The keys of more than one of HOT_SHARE rows, from (key, size)."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return sizes.where(F.col("size") > total / HOT_SHARE).select(sizes.columns[0])
 
 
 def leaves(classes: DataFrame) -> DataFrame:
@@ -309,7 +317,7 @@ def first_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         "node", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "rid", _dealt("rid", chunks).alias("own"))
     rows = rows.unionByName(hubs.where("chunk <> own").drop("own")).join(classes.select("rid", "bytes"), "rid")
     found = (rows.select("node", "chunk", "rid", "bytes").repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-             .mapInPandas(partners, "rid long, best long, equal int, least long"))
+             .mapInPandas(_lean(partners), "rid long, best long, equal int, least long"))
     one = found.groupBy("rid").agg(F.max(F.col("equal").cast("long")).alias("equal"), F.max_by("best", "equal").alias("best"),
                                    F.min("least").alias("least"))
     both = one.select("rid", F.explode(F.array("best", "least")).alias("other"))
@@ -318,12 +326,12 @@ def first_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _met(rows: DataFrame, key: str) -> DataFrame:
     """``key``, part, chunk, side and the other columns of ``rows``, which have a key, rid, mark, and the
-    key's numbers of rows (size) and of marked ones (marked): each part of the marked rows meets each
-    chunk of all rows; where there is one of both, each row stands once."""
-    chunks, parts = F.ceil(F.col("size") / CHUNK), F.ceil(F.col("marked") / CHUNK)
+    numbers of chunks of the key's rows (chunks) and of its marked ones (parts): each part of the marked
+    rows meets each chunk of all rows; where there is one of both, each row stands once."""
+    chunks, parts = F.col("chunks"), F.col("parts")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    none, one = F.lit(0).cast("long"), F.col("size") <= CHUNK
-    rest = [c for c in rows.columns if c not in (key, "mark", "size", "marked")]
+    none, one = F.lit(0).cast("long"), chunks <= 1
+    rest = [c for c in rows.columns if c not in (key, "mark", "chunks", "parts")]
     small = rows.where(one).select(key, none.alias("part"), none.alias("chunk"), F.when(F.col("mark"), BOTH).otherwise(RIGHT).alias("side"), *rest)
     left = rows.where(~one & F.col("mark")).select(key, _dealt("rid", parts).alias("part"), every(chunks).alias("chunk"), F.lit(LEFT).alias("side"), *rest)
     right = rows.where(~one).select(key, every(parts).alias("part"), _dealt("rid", chunks).alias("chunk"), F.lit(RIGHT).alias("side"), *rest)
@@ -338,28 +346,45 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def met_components(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges a < b between components that candidate pairs connect."""
-    rows = _rooted(members, roots)
-    hub_root = rows.where(F.col("rid") == F.col("hub")).select("node", F.col("root").alias("hub_root"))
-    rows = rows.join(hub_root, "node").withColumn("mark", F.col("root") != F.col("hub_root"))
-    mixed = rows.where("mark").groupBy("node").agg(F.count("*").alias("marked"))
-    rows = rows.join(mixed, "node").join(classes.select("rid", "bytes"), "rid")
-    rows = rows.select("node", "rid", "root", "bytes", "mark", "size", "marked")
-    return _met(rows, "node").mapInPandas(meetings, "a long, b long").distinct()
+    rows = _rooted(members.select("node", "rid"), roots)
+    # marked are the classes outside the node's largest component; nodes of one component need nothing
+    by_root = rows.groupBy("node", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("root", "n").alias("main")).where("most < size")
+    mixed = stage(mixed.select("node", "size", "main", F.ceil(F.col("size") / CHUNK).alias("chunks"),
+                               F.ceil((F.col("size") - F.col("most")) / CHUNK).alias("parts")), "path-mixed")
+    rows = spread_join(rows, mixed.drop("size"), "node", "rid", _hot(mixed.select("node", "size"))).withColumn("mark", F.col("root") != F.col("main"))
+    rows = rows.join(classes.select("rid", "bytes"), "rid").select("node", "rid", "root", "bytes", "mark", "chunks", "parts")
+    return _met(rows, "node").mapInPandas(_lean(meetings), "a long, b long").distinct()
+
+
+def _lean(run):
+    """``run``, giving unused memory back at its end."""
+    def then_release(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        release()
+    return then_release
 
 
 def cluster_rows(classes: DataFrame, roots: DataFrame, clusters: DataFrame) -> DataFrame:
-    """cluster, rid, root, bytes, mark, size, marked of the classes of all clusters; marked are those
-    outside a cluster's largest component."""
-    rows = _rooted(classes.select("rid", "bytes"), roots).join(clusters.select(F.col("v").alias("root"), F.col("root").alias("cluster")), "root")
-    by_root = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    sizes = by_root.groupBy("cluster").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"))
-    return rows.join(sizes, "cluster").select("cluster", "rid", "root", "bytes", (F.col("root") != F.col("main")).alias("mark"), "size",
-                                              (F.col("size") - F.col("most")).alias("marked"))
+    """cluster, rid, root, bytes, mark, chunks, parts of the classes of all clusters; marked are those
+    outside a cluster's largest component.  Chunks are bounded in classes and, on average, in shingles."""
+    named = clusters.select(F.col("v").alias("root"), F.col("root").alias("cluster"))
+    rows = _rooted(classes.select("rid", "bytes", "n_shingles"), roots)
+    by_root = stage(rows.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).join(named, "root"), "path-by-root")
+    needed = lambda n, shingles: F.ceil(F.greatest(n / CHUNK, shingles / CHUNK_SHINGLES))
+    main = F.max_by(F.struct("root", "n", "shingles"), "n")
+    sizes = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), main.alias("main"))
+    sizes = sizes.select("cluster", F.col("main.root").alias("main"), needed(F.col("n"), F.col("shingles")).alias("chunks"),
+                         needed(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("parts"))
+    known = by_root.select("root", "cluster").join(sizes, "cluster")
+    hot = _hot(by_root.select("root", F.col("n").alias("size")))
+    return spread_join(rows.drop("n_shingles"), known, "root", "rid", hot).select(
+        "cluster", "rid", "root", "bytes", (F.col("root") != F.col("main")).alias("mark"), "chunks", "parts")
 
 
 def second_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links a < b among the classes of each cluster, confirmed on the full sets."""
-    return _met(rows.join(sets, "rid"), "cluster").mapInPandas(set_links, "a long, b long").distinct()
+    return _met(rows.join(sets, "rid"), "cluster").mapInPandas(_lean(set_links), "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------------------------- confirming
@@ -432,7 +457,7 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "text_hash")
     by_set = stage(full.groupBy("set_key").agg(F.min("rid").alias("rep"), F.min(key).alias("least")), "path-sets")
     classes = stage(full.join(by_set.select(F.col("rep").alias("rid")), "rid", "left_semi")
-                    .select("rid", "doc_id", "text_hash", "tokens", "bytes"), "path-classes")
+                    .select("rid", "doc_id", "text_hash", "n_shingles", "tokens", "bytes"), "path-classes")
     members = leaves(classes)
     pairs = stage(first_pairs(members, classes), "path-pairs")
     texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), classes, docs, id_col, text_col), "path-texts")
