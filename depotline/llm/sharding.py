@@ -27,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotline.llm.common import text_of
+from depotline.llm.common import HOT_SHARE, spread_join, text_of
 from depotline.session import stage, unstage
 
 #: Bytes that a row counts for beside its text.
@@ -186,7 +186,8 @@ def numbered(rows: DataFrame, within: str, order: str, name: str) -> DataFrame:
     rows, so no value of ``within`` meets in one task."""
     chunks = max(1, ceil(rows.count() / CHUNK_ROWS))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(order), F.lit(chunks)))
-    placed = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {within}, chunk ORDER BY {order}) - 1 AS place")
+    # dealt by both columns, also where ``rows`` are dealt by ``within`` alone already
+    placed = rows.repartition(within, "chunk").selectExpr("*", f"row_number() OVER (PARTITION BY {within}, chunk ORDER BY {order}) - 1 AS place")
     out = placed.join(_offsets(rows, within, "chunk"), [within, "chunk"])
     return out.withColumn(name, F.col("before") + F.col("place")).drop("chunk", "place", "before")
 
@@ -220,12 +221,14 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     placed = stage(order.join(runs, "class").select("group_key", "pieces", "piece", at.alias("shard")), "shard-plan")
     whole = placed.where("pieces = 1").select("group_key", "shard")
     cut = placed.where("pieces > 1")
-    found = rows.join(whole, "group_key")
+    hot = groups.where(F.col("copies") > rows.count() / HOT_SHARE).select("group_key")
+    found = spread_join(rows, whole, "group_key", "rid", hot)
     if not cut.isEmpty():
+        # every cut group is larger than an even share, so there are fewer than there are shards
         parts = cut.groupBy("group_key").agg(F.first("pieces").alias("pieces"), F.array_sort(F.collect_list(F.struct("piece", "shard"))).alias("list"))
         # number the copies of cut groups in even turns: the n-th copy goes to piece n modulo pieces
-        copies = numbered(rows.join(parts.select("group_key"), "group_key", "left_semi"), "group_key", "rid", "copy")
-        dealt = copies.join(parts, "group_key").withColumn(
+        copies = numbered(rows.join(F.broadcast(parts.select("group_key")), "group_key", "left_semi"), "group_key", "rid", "copy")
+        dealt = copies.join(F.broadcast(parts), "group_key").withColumn(
             "shard", F.get("list", F.pmod("copy", F.col("pieces")).cast("int"))["shard"])
         found = found.select(*rows.columns, "shard").unionByName(dealt.select(*rows.columns, "shard"))
     found = stage(found, "shard-rows")
