@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Each text is searched whole for candidate secrets.  Candidates travel on as SHA-256 digests, which
-are counted by distinct repositories and distinct owners.  A value that several owners hold is a
-widely copied example; a value of few owners looks like a live credential of theirs.  Spans of the
+are counted by distinct repositories and distinct owners.  A value of many owners, or of several in
+many repositories, is a widely copied example; any other looks like a live credential of its owners.  Spans of the
 fixed kinds (assign, access, hex) are always reported; the scan adds spans of kind ``mixed``: long
 random-looking tokens outside those spans whose value is owner-specific.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotline.llm.common import text_of, text_slices
+from depotline.llm.common import HOT_SHARE, release, spread_join, text_of, text_slices
 from depotline.session import stage
 
 # fixed values: the kinds in the order in which equal starts are listed, their patterns and least lengths
@@ -36,8 +36,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24, "mixed": 20}
 
 #: Shannon entropy, in bits a character, from which a mixed token looks random.
 MIN_ENTROPY = 3.5
-#: A value of at least so many owners is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value of at least so many owners is a copied example; so is one that several owners hold in at
+#: least so many repositories.  What one owner holds is that owner's, in however many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 
 _assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _access = re.compile(ACCESS)
@@ -58,9 +59,17 @@ def find_candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in _access.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [(m.start(), 2, m.end(), m[0]) for m in _hex.finditer(text)]
-    taken = [(start, end) for start, _, end, _ in found]
-    for m in _mixed.finditer(text):
-        if _random_looking(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
+    taken: list[list[int]] = []  # places inside base spans, overlapping ones joined
+    for start, _, end, _ in sorted(found):
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    at = 0
+    for m in _mixed.finditer(text):  # both lists are walked once, in order
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if (at == len(taken) or taken[at][0] >= m.end()) and _random_looking(m[0]):
             found.append((m.start(), 3, m.end(), m[0]))
     return sorted(found)
 
@@ -71,6 +80,7 @@ def candidates(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for b in texts:
         yield pa.array([[f"{KINDS[k]}:{start}:{end}:{hashlib.sha256(v.encode()).hexdigest()}"
                          for start, k, end, v in find_candidates(t)] for part in text_slices(b) for t in part], pa.list_(pa.string()))
+    release()
 
 
 def frequency(occurrences: DataFrame) -> DataFrame:
@@ -83,14 +93,19 @@ def frequency(occurrences: DataFrame) -> DataFrame:
             .groupBy("digest").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners")))
 
 
-def judge(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Occurrences (rid, candidate, owner, repository) with their kind, place and ``live``: whether
-    the value is owner-specific."""
+def judge(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Occurrences (rid, candidate, owner, repository) with their kind, place, the numbers of owners and
+    repositories that hold the value, and ``live``: whether it is owner-specific.  A digest that a large
+    share of all rows holds is dealt over many tasks."""
     parts = F.split("candidate", ":")
     occurrences = found.select("rid", "owner", "repository", parts[0].alias("kind"), parts[1].cast("long").alias("start"),
                                parts[2].cast("long").alias("end"), parts[3].alias("digest"))
     counts = frequency(occurrences.select("digest", "owner", "repository"))
-    return occurrences.join(counts, "digest").withColumn("live", F.col("n_owners") < example_owners)
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= example_repositories))
+    sizes = occurrences.groupBy("digest").agg(F.count("*").alias("size"))
+    total = occurrences.count()
+    hot = sizes.where(F.col("size") > total / HOT_SHARE).select("digest")
+    return spread_join(occurrences, counts, "digest", "rid", hot).withColumn("live", ~copied)
 
 
 def _place(c: Column) -> Column:
@@ -98,11 +113,17 @@ def _place(c: Column) -> Column:
     return F.regexp_replace(c, ":[0-9a-f]{64}$", "")
 
 
+def _joined(spans: str) -> Column:
+    """The span texts of (start, kind_number, span) in order, comma-joined."""
+    return F.coalesce(F.array_join(F.transform(F.array_sort(spans), lambda s: s["span"]), ","), F.lit(""))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None,
-         repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row a document: doc_id, n_assign, n_access, n_hex, n_mixed, n_live, n_examples,
-    base_sha256, spans.  ``owner`` and ``repository`` are columns of ``docs``; each document is its
-    own owner where they are left out."""
+         repository: Column | None = None, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """One row a document: doc_id, n_assign, n_access, n_hex, n_mixed, n_live, n_examples, base_sha256,
+    spans, and ownership (every candidate as kind:start:end:owners:repositories, comma-joined).
+    ``owner`` and ``repository`` are columns of ``docs``; each document is its own owner where they
+    are left out."""
     own = owner if owner is not None else docs[id_col]
     repo = repository if repository is not None else own
     seen = stage(
@@ -111,12 +132,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
                     candidates(text_of(docs, text_col)).alias("candidates"))
         .withColumn("rid", F.monotonically_increasing_id()), "secrets")
     found = seen.select("rid", "owner", "repository", F.explode("candidates").alias("candidate"))
-    judged = judge(found, example_owners)
+    judged = judge(found, example_owners, example_repositories)
     order = {k: i for i, k in enumerate(KINDS)}
     number = F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), F.col("kind"))
     shown = F.struct("start", number.alias("kind_number"), F.concat_ws(":", "kind", "start", "end").alias("span"))
     added = judged.groupBy("rid").agg(
         F.collect_list(F.when((F.col("kind") != "mixed") | F.col("live"), shown)).alias("list"),
+        F.collect_list(F.struct("start", number.alias("kind_number"), F.concat_ws(":", "kind", "start", "end", "n_owners", "n_repositories").alias("span"))).alias("held"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_examples"),
         F.count_if((F.col("kind") == "mixed") & F.col("live")).alias("n_mixed"))
     base = F.filter("candidates", lambda c: ~c.startswith("mixed:"))
@@ -125,7 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     return seen.join(added, "rid", "left").select(
         "doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), zero("n_mixed"), zero("n_live"), zero("n_examples"),
         F.sha2(F.array_join(F.transform(base, _place), ","), 256).alias("base_sha256"),
-        F.coalesce(F.array_join(F.transform(F.array_sort("list"), lambda s: s["span"]), ","), F.lit("")).alias("spans"))
+        _joined("list").alias("spans"), _joined("held").alias("ownership"))
 
 
 @F.arrow_udf(T.StringType())
@@ -145,7 +167,7 @@ def _masked(texts: pa.Array, places: pa.Array) -> pa.Array:
 
 
 def redact(docs: DataFrame, text_col: str = "text", owner: Column | None = None, repository: Column | None = None,
-           example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+           example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """``docs`` with every live-looking secret in the text replaced by ``[SECRET]``; widely copied
     examples and all other text stay.  Only documents with candidates are moved; rows, order of
     columns and all other columns stay as they are."""
@@ -155,7 +177,7 @@ def redact(docs: DataFrame, text_col: str = "text", owner: Column | None = None,
     marked = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), own.alias("owner"), repo.alias("repository"),
                          candidates(text_of(docs, text_col)).alias("candidates"))
     hold = stage(marked.where(F.size("candidates") > 0).withColumn("rid", F.monotonically_increasing_id()), "secret-rows")
-    live = judge(hold.select("rid", "owner", "repository", F.explode("candidates").alias("candidate")), example_owners).where("live")
+    live = judge(hold.select("rid", "owner", "repository", F.explode("candidates").alias("candidate")), example_owners, example_repositories).where("live")
     places = live.groupBy("rid").agg(F.collect_list(F.concat_ws(":", "start", "end")).alias("places"))
     text = F.col(f"row.`{text_col}`")
     changed = F.when(F.col("places").isNull(), text).otherwise(
