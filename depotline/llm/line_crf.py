@@ -4,8 +4,9 @@ Every line of a text is good or bad.  A line's features are shape measures of it
 before and after it; transition weights tie neighbouring labels.  Forward and backward sums give each
 line's probability of being good, and a document's score is their mean weighted by line length.
 
-The field is trained on a bounded sample of labelled documents (``SAMPLE`` rows, those with the
-smallest hashes of their ids), whose lines all carry the document's label.  Only the text is an input
+The field is trained on a bounded sample of labelled documents: of ``sample`` ids, those with the
+smallest hashes, the documents of up to ``longest`` characters.  Both are parameters and bound what the
+driver holds while it trains; their lines all carry the document's label.  Only the text is an input
 of a score.
 
 Defined results: blank lines do not count; a text without other lines (null texts too) scores 0;
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotline.llm.common import text_of, text_slices
+from depotline.llm.common import release, text_of, text_slices
 
-#: Most labelled documents that the field is trained on, and the longest of them, in characters.
+#: Defaults of the most labelled documents that the field is trained on, and the longest of them, in characters.
 SAMPLE, LONGEST = 4000, 20_000
 STEPS, RATE, DECAY = 200, 0.08, 1e-4
 #: Every FOLDS-th id by CRC-32 is held out from training.
@@ -166,14 +167,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """The field of a bounded sample of the labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+        sample: int = SAMPLE, longest: int = LONGEST) -> Field:
+    """The field of a bounded sample of the labelled documents that are not held out: at most ``sample``
+    of them, those of more than ``longest`` characters left out."""
     marks = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("good"))
     marks = marks.where(F.col("id").isNotNull() & F.col("good").isin(0, 1) & ~held_out(F.col("id")))
-    sample = marks.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    chosen = marks.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(sample)
     text = text_of(docs, text_col)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text")).where(F.length("text") <= LONGEST)
-    found = rows.join(F.broadcast(sample), "id")  # at most SAMPLE rows
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text")).where(F.length("text") <= longest)
+    found = rows.join(F.broadcast(chosen), "id")  # at most ``sample`` rows
     # rows that repeat a document could make the sample large: the least text of each id, and whole tasks only reduce
     got = found.groupBy("id").agg(F.min("text").alias("text"), F.min("good").alias("good")).orderBy("id").toPandas()
     return train(gather(got["text"].tolist()), got["good"].to_numpy(int))
@@ -185,20 +188,21 @@ def scorer(field: Field):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             yield pa.array(np.concatenate([np.zeros(0), *(score_texts(field, t) for t in text_slices(b))]))
+        release()
     return score
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality") -> DataFrame:
+          label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1) and predicted (1 from the threshold on)."""
-    field = fit(docs, labels, id_col, text_col, label_col)
+    field = fit(docs, labels, id_col, text_col, label_col, sample, longest)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), scorer(field)(text_of(docs, text_col)).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                        (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
-              label_col: str = "quality") -> DataFrame:
+              label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """``docs`` without the documents that score below the threshold; rows and columns as they are."""
-    field = fit(docs, labels, id_col, text_col, label_col)
+    field = fit(docs, labels, id_col, text_col, label_col, sample, longest)
     return docs.where(scorer(field)(text_of(docs, text_col)) >= threshold)
