@@ -12,12 +12,13 @@ there on, which all lie inside both.  So only the words at anchors are hashed, o
    that hold it (cut at the document's ends).  The rows are dealt by ranges of (hash, context, id) and
    sorted, so that equal hashes lie side by side, and a hash held by a third of all rows is spread over
    as many tasks as it needs.
-2. Read in order, an anchor whose hash stands alone is dropped.  One whose context stands in a smaller
-   id is settled: every window that holds it is repeated.  The first row of each range counts as
-   neither, which only asks for more in step 3.
-3. The other anchors extend: their windows, but those in a settled context, become rows of two 64-bit
-   hashes.  The smallest id of a window is never settled, and some anchor is aligned with it, so it is
-   among them.  The least id by window is taken with map-side sums; windows held by more than one of
+2. Read in order, an anchor whose context stands in a smaller id is settled: every window that holds it
+   is repeated.  Where all anchors of a hash have one context, nothing is left to ask of them.  The
+   first and last hash of a range may go on in the next, so all their unsettled anchors are asked for.
+3. Unsettled anchors of hashes with several contexts extend: their windows, but those in a settled
+   context, become rows of two 64-bit hashes.  Take a window and the smallest id that has it: it is never
+   settled, and any other document that has the window shares an aligned anchor with it, whose contexts
+   are equal (the other is settled) or not (both ask for the window).  The least id by window is taken with map-side sums; windows held by more than one of
    HOT_SHARE rows, fewer than HOT_SHARE of them, are looked up by broadcast and all others by a join.
 4. Runs of settled words and repeated windows meet their documents, and the other words are kept.
 
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotline.llm.common import text_of
+from depotline.llm.common import release, slice_ends, text_of
 from depotline.session import stage, unstage
 
 WINDOW = 50
@@ -49,8 +50,6 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 #: Windows held by more than one of so many rows are looked up by broadcast: fewer than this number.
 HOT_SHARE = 10_000
-#: Rows and bytes of text that are Python objects at a time.
-SLICE, SLICE_BYTES = 512, 4 << 20
 
 _IS_ANCHOR = np.isin(np.arange(PERIOD), COVER)
 _BASE = np.random.default_rng(12).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -97,14 +96,10 @@ class Stream:
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Batches in slices of bounded rows and bytes of text, with the words of each text."""
     for b in batches:
-        text = b.column("text")
-        ends = np.cumsum([0, *(len(x) for x in text.to_numpy(zero_copy_only=False))]) if b.num_rows else [0]
-        at = 0
-        while at < b.num_rows:
-            end = max(at + 1, min(at + SLICE, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1))
+        for at, end in slice_ends([b.column("text")]):
             part = b.slice(at, end - at)
             yield part, [t.split() for t in part.column("text").to_pylist()]  # of bytes: blanks 0x20 and 0x09 to 0x0D only
-            at = end
+    release()
 
 
 def _contexts(place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,40 +132,49 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, row, code of the anchors that are not alone, from rows in the order of (hash, context, doc);
-    the code is twice the place, and one more where the context stands in a smaller id."""
-    held: dict[str, np.ndarray] | None = None  # the last row, whose follower is not known yet
-    least = before = None  # the first id of the last row's context, and the hash before it
-    names = ["hash", "context", "doc", "row", "place"]
-
-    def judged(rows: dict[str, np.ndarray], follower) -> pa.RecordBatch:
-        nonlocal least, before
-        h, c, doc = rows["hash"], rows["context"], rows["doc"]
-        new = np.empty(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        new[0] = least is None
-        group = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        low = np.where(group < 0, doc[0] if least is None else least, doc[np.maximum(group, 0)])
-        like_last = np.concatenate([[before is None or h[0] == before], h[1:] == h[:-1]])
-        like_next = np.concatenate([h[1:] == h[:-1], [follower is None or h[-1] == follower["hash"][0]]])
-        least, before = low[-1], h[-1]
-        if follower is not None and (follower["hash"][0] != h[-1] or follower["context"][0] != c[-1]):
-            least = None
-        out = like_last | like_next
-        code = 2 * rows["place"][out].astype(np.int64) + (doc > low)[out]
-        return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(rows["row"][out]), pa.array(code)], names=["doc", "row", "code"])
+    """doc, row, code of the anchors that matter, from rows in the order of (hash, context, doc); the
+    code is twice the place, and one more where the context stands in a smaller id.  Of the others only
+    those of hashes with several contexts are returned, and all of the first and last hash read."""
+    hash_ = context = least = None  # of the last row; least: the first id of its context
+    contexts, first_hash = 0, True  # contexts of the last row's hash so far, and whether it is the first hash read
+    waiting: list[tuple[np.ndarray, ...]] = []  # rows of the last hash that matter if it has another context
+
+    def batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["doc", "row", "code"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        rows = {n: b.column(n).to_numpy() for n in names}
-        if held is not None:
-            rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
-        held = {n: a[-1:].copy() for n, a in rows.items()}
-        if len(rows["hash"]) > 1:
-            yield judged({n: a[:-1] for n, a in rows.items()}, held)
-    if held is not None:
-        yield judged(held, None)
+        h, c, doc, row, place = (b.column(n).to_numpy() for n in ("hash", "context", "doc", "row", "place"))
+        new_hash, new = np.ones(len(h), bool), np.ones(len(h), bool)
+        new_hash[1:] = h[1:] != h[:-1]
+        new[1:] = new_hash[1:] | (c[1:] != c[:-1])
+        new_hash[0] = hash_ is None or h[0] != hash_
+        new[0] = new_hash[0] or c[0] != context
+        start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        low = np.where(start < 0, doc[0] if least is None else least, doc[np.maximum(start, 0)])
+        group = np.cumsum(new_hash)  # 0: the hash of the last batch's last row
+        each = np.bincount(group, new, group[-1] + 1).astype(np.int64)
+        each[0] += contexts
+        matters = each > 1
+        if waiting and (matters[0] or group[-1] and first_hash):
+            yield batch(waiting)
+        if matters[0] or group[-1]:
+            waiting = []
+        if first_hash:  # group 1 is the first hash of all in the first batch, else group 0 is
+            matters[1 if hash_ is None else 0] = True
+        less = doc > low
+        code = 2 * place.astype(np.int64) + less
+        out = less | matters[group]
+        if out.any():
+            yield batch([(doc[out], row[out], code[out])])
+        later = ~out & (group == group[-1])
+        if later.any():
+            waiting.append((doc[later], row[later], code[later]))
+        first_hash = first_hash and group[-1] == (1 if hash_ is None else 0)
+        hash_, context, least, contexts = h[-1], c[-1], low[-1], int(each[-1])
+    if waiting:
+        yield batch(waiting)
 
 
 # -------------------------------------------------------------------------------------------- windows
@@ -215,8 +219,7 @@ def repeated(asked: DataFrame) -> DataFrame:
     """doc, row, starts of the windows asked for that start in a smaller id too."""
     total = asked.agg(F.sum(F.size("at"))).first()[0] or 0
     each = asked.select("doc", "row", F.inline(F.arrays_zip("at", "one", "two")))
-    least = stage(each.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("rows"))
-                  .where("least < most").drop("most"), "cover-least")
+    least = stage(each.groupBy("one", "two").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "cover-least")
     is_hot = F.col("rows") > total / HOT_SHARE
     hot = least.where(is_hot).select("one", "two", F.col("least").alias("hot_least"))  # fewer than HOT_SHARE rows
     dealt = each.join(F.broadcast(hot), ["one", "two"], "left")
