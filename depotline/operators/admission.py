@@ -3,63 +3,170 @@
 Documents are taken in ``(doc_date, doc_id)`` order.  A document is accepted if
 stock covers *all* of its lines after the demand of the documents accepted before
 it, otherwise it is rejected whole and consumes nothing - the result of handling
-the documents one at a time.  The batch form is set-based and exact, in rounds:
-
-1. demand is summed per (document, location, product) (lines of one product are
-   checked together) and laid out in key and document order, so that a hot key
-   spans several chunks of measured size;
-2. every open line carries ``taken``, the accepted demand before it on its key.
-   A running sum over the open lines and those accepted in the last round brings
-   it up to date;
-3. an open document is accepted when every line fits even if all open documents
-   before it are accepted, and rejected when a line does not fit even if they are
-   all rejected;
-4. beside that rule, the earliest ``BLOCK_DOCS`` open documents are decided one by
-   one in a single small group: nothing before them is open, so ``taken`` is exact
-   for them.  A chain of documents that each depend on the one before is therefore
-   settled by the thousand, and every round ends with at least that many fewer;
-5. decisions are written once; only open lines, and the lines just accepted on
-   keys that are still open, go into the next round.
-
-There is no limit on rounds.  Each round's tables are written to a fresh folder
-under ``spark.checkpoint.dir``, which cuts lineage, and removed when used up.
+the documents one at a time.  The batch form is exact and works on independent
+parts side by side:
+
+1. demand is summed per (document, location, product); lines of one product are
+   checked together;
+2. a key whose stock covers all of its demand decides nothing.  Its lines drop out,
+   and documents without other lines are accepted;
+3. documents that share no contested location are independent, so the rest falls
+   into parts: locations, joined where a document has several.  A part of up to
+   ``GROUP_LINES`` lines is decided one document after another in a task of its own,
+   all parts at once;
+4. larger parts go through rounds.  A running sum over each key (chunked, so a hot
+   key spans many tasks) accepts every document that fits even if all open ones
+   before it are accepted, and rejects every one that does not fit even if they are
+   all rejected.  What stays open falls into connected components of documents and
+   contested keys; those of up to ``GROUP_LINES`` lines are decided as in 3, all at
+   once.  Of a component that is larger still, the earliest documents are decided so,
+   as many as ``GROUP_LINES`` lines allow: nothing before them is open.
+
+The number of rounds therefore does not depend on the number of independent parts,
+only on the length of one part that the running sums cannot break up.  There is no
+limit on rounds.  Each round's tables are written to fresh folders under
+``spark.checkpoint.dir``, which cuts lineage, and removed when used up.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depotline.functions.components import connected_components
 from depotline.functions.windows import chunked_running_sum
 from depotline.session import stage, unstage
 
-KEY = ["location_type", "location_id", "product_id"]
+PLACE = ["location_type", "location_id"]
+KEY = [*PLACE, "product_id"]
 ORDER = ["doc_date", "doc_id"]
-#: Documents that one group decides one by one in each round.
-BLOCK_DOCS = 2_000
+#: Lines that one task decides one document after another.
+GROUP_LINES = 200_000
+
+
+def _join_keys(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on the stock key, where a NULL is a value like any other."""
+    other = right.select(*(F.col(c).alias(f"_{c}") if c in KEY else F.col(c) for c in right.columns))
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY))
+    return left.join(other, on, how).drop(*(f"_{k}" for k in KEY))
 
 
 def _one_by_one(lines: pd.DataFrame) -> pd.DataFrame:
-    """Decisions of the lines' documents in order; ``taken`` covers everything before them."""
-    used: dict = {}
-    out = []
+    """Decisions of a part's documents in order; ``taken`` is the demand accepted outside of them before each line."""
     lines = lines.sort_values(ORDER, kind="stable", na_position="first")
-    for doc_id, part in lines.groupby("doc_id", sort=False):
-        keys = list(zip(*(part[c] for c in KEY), strict=True))
-        fits = all(taken + used.get(k, 0) + qty <= avail for k, taken, qty, avail in
-                   zip(keys, part["taken"], part["qty"], part["avail"], strict=True))
+    key = lines.groupby(KEY, sort=False, dropna=False).ngroup().tolist()
+    doc, need = lines["doc_id"].to_numpy(), lines["qty"].tolist()
+    free = (lines["avail"] - lines["taken"]).tolist()
+    used: dict = {}
+    starts = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist()]
+    accepted = []
+    for first, last in zip(starts, [*starts[1:], len(doc)], strict=True):
+        own = range(first, last)
+        fits = all(used.get(key[i], 0) + need[i] <= free[i] for i in own)
         if fits:
-            for k, qty in zip(keys, part["qty"], strict=True):
-                used[k] = used.get(k, 0) + qty
-        out.append((doc_id, fits))
-    return pd.DataFrame(out, columns=["doc_id", "in_block"])
+            for i in own:
+                used[key[i]] = used.get(key[i], 0) + need[i]
+        accepted.append(fits)
+    return pd.DataFrame({"doc_id": doc[starts], "accepted": accepted})
+
+
+def _side_by_side(lines: DataFrame) -> DataFrame:
+    """doc_id, accepted of the documents of all parts (column ``part``), each part decided in its own group."""
+    schema = lines.select("doc_id").withColumn("accepted", F.lit(True)).schema
+    return lines.select("part", *ORDER, *KEY, "qty", "avail", "taken").groupBy("part").applyInPandas(_one_by_one, schema)
+
+
+def _by_places(lines: DataFrame) -> DataFrame:
+    """``lines`` with the part they belong to: their location, joined with those that one document binds to it."""
+    lines = lines.withColumn("place", F.xxhash64(*PLACE))
+    bound = (lines.groupBy("doc_id").agg(F.min("place").alias("a"), F.max("place").alias("last"), F.collect_set("place").alias("places"))
+             .where("a < last").select("a", F.explode("places").alias("b")).where("a <> b"))
+    if bound.isEmpty():
+        return lines.withColumnRenamed("place", "part")
+    roots = connected_components(bound.distinct())  # at most an edge a pair of locations
+    return lines.join(roots.select(F.col("v").alias("place"), "root"), "place", "left").select(
+        *lines.columns, F.coalesce("root", "place").alias("part")).drop("place")
+
+
+def _by_keys(lines: DataFrame) -> DataFrame:
+    """``lines`` with the part they belong to: a component of documents and the keys they contest."""
+    first = lines.groupBy(*KEY).agg(F.min("doc_id").alias("b"))
+    roots = connected_components(_join_keys(lines.select("doc_id", *KEY), first).select(F.col("doc_id").alias("a"), "b").distinct())
+    return lines.join(roots.select(F.col("v").alias("doc_id"), F.col("root").alias("part")), "doc_id")
+
+
+def _earliest(lines: DataFrame, group_lines: int) -> DataFrame:
+    """doc_id of the earliest documents of each part, with up to ``group_lines`` lines, and the first at least."""
+    docs = lines.groupBy("part", *ORDER).agg(F.count("*").alias("lines"))
+    docs = stage(docs.repartitionByRange("part", *ORDER).withColumn("chunk", F.spark_partition_id()), "admit-order")
+    run = chunked_running_sum(docs, ["part"], ["chunk"], ORDER, {"run": "lines"})
+    return run.where((F.col("run") <= group_lines) | (F.col("run") == F.col("lines"))).select("doc_id")
+
+
+def _rounds(live: DataFrame, group_lines: int) -> list[DataFrame]:
+    """doc_id, accepted, round of the documents of parts that are too large for one task."""
+    kind = live.schema["qty"].dataType
+    nothing = F.lit(0).cast(kind)
+    live = live.repartitionByRange(*KEY, *ORDER).withColumn("chunk", F.spark_partition_id()).withColumn("fresh", F.lit(False))
+    live = stage(live, "admit-large")
+    decided: list[DataFrame] = []
+    used_up: list[DataFrame] = [live]
+    round_no = 1
+    while True:
+        round_no += 1
+        amount = lambda fresh, sign: F.when(fresh, sign(F.col("qty"))).otherwise(nothing)
+        more, less = (lambda q: F.greatest(q, nothing)), (lambda q: F.least(q, nothing))
+        live = (live.withColumn("most", amount(~F.col("fresh"), more)).withColumn("least", amount(~F.col("fresh"), less))
+                .withColumn("now", amount(F.col("fresh"), lambda q: q)))
+        run = chunked_running_sum(live, KEY, ["chunk"], ORDER, {"run_most": "most", "run_least": "least", "run_now": "now"})
+        taken = (F.col("taken") + F.col("run_now")).cast(kind)
+        seen = stage(run.where(~F.col("fresh")).select(
+            *ORDER, *KEY, "qty", "avail", "chunk", taken.alias("taken"),
+            (taken + F.col("run_most") - F.col("most") + F.col("qty") <= F.col("avail")).alias("fits"),
+            (taken + F.col("run_least") - F.col("least") + F.col("qty") > F.col("avail")).alias("over")), "admit-round")
+        unstage(*used_up)
+        by_doc = seen.groupBy("doc_id").agg(F.bool_and("fits").alias("fits"), F.bool_or("over").alias("over"))
+        sure = stage(by_doc.select("doc_id", F.when(F.col("over"), False).when(F.col("fits"), True).alias("accepted")), "admit-sure")
+        rest = seen.join(sure.where("accepted IS NULL").select("doc_id"), "doc_id", "left_semi").drop("fits", "over")
+        # a sure document counts for those after it, and sure ones stand between those that are open
+        rest = stage(_with_taken(rest, seen, sure), "admit-open")
+        found = sure.where("accepted IS NOT NULL")
+        if not rest.isEmpty():
+            parts = stage(_by_keys(rest), "admit-parts")
+            size = parts.groupBy("part").agg(F.count("*").alias("lines"))
+            small = parts.join(size.where(F.col("lines") <= group_lines), "part", "left_semi")
+            large = parts.join(size.where(F.col("lines") > group_lines), "part", "left_semi")
+            early = large.join(_earliest(large, group_lines), "doc_id", "left_semi")
+            found = found.unionByName(_side_by_side(small.unionByName(early)))
+        found = stage(found, "admit-found")
+        decided.append(found.withColumn("round", F.lit(round_no)))
+        still = seen.join(found, "doc_id", "left_anti")
+        if still.isEmpty():
+            unstage(seen, sure, rest)
+            return decided
+        new = _join_keys(seen.join(found.where("accepted").select("doc_id"), "doc_id", "left_semi"), still.select(*KEY).distinct(), "left_semi")
+        live = stage(still.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True))).drop("fits", "over"), "admit-live")
+        unstage(seen, sure, rest)
+        used_up = [live]
+
+
+def _with_taken(rest: DataFrame, seen: DataFrame, sure: DataFrame) -> DataFrame:
+    """Open lines whose ``taken`` includes the documents of this round that are sure to be accepted before them."""
+    kind = seen.schema["qty"].dataType
+    new = seen.join(sure.where("accepted").select("doc_id"), "doc_id", "left_semi").drop("fits", "over")
+    new = _join_keys(new, rest.select(*KEY).distinct(), "left_semi")
+    both = (rest.withColumn("open", F.lit(True)).withColumn("now", F.lit(0).cast(kind))
+            .unionByName(new.withColumn("open", F.lit(False)).withColumn("now", F.col("qty"))))
+    run = chunked_running_sum(both, KEY, ["chunk"], ORDER, {"run_now": "now"})
+    return run.where("open").withColumn("taken", (F.col("taken") + F.col("run_now")).cast(kind)).select(rest.columns)
 
 
 def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
-          missing_rejects: bool = False, block_docs: int | None = None) -> DataFrame:
+          missing_rejects: bool = False, group_lines: int | None = None) -> DataFrame:
     """Decide every document of the batch.
 
     ``demand``: doc_id, doc_date, location_type, location_id, product_id, qty.
@@ -68,60 +175,33 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
     ``docs``: optional doc_id list of the whole batch; documents without demand are
     accepted.  Returns doc_id, accepted, reason, round.
     """
-    block_docs = block_docs or BLOCK_DOCS
+    group_lines = group_lines or GROUP_LINES
     lines = (demand.groupBy("doc_id", "doc_date", *KEY).agg(F.sum("qty").alias("qty"))
              .join(stock.select(*KEY, F.col("quantity").alias("avail")), KEY, "left")
              .select("doc_id", "doc_date", *KEY, "qty",
                      F.col("avail").isNull().alias("missing"),
                      F.coalesce(F.col("avail"), F.lit(0)).alias("avail")))
-    lines = lines.repartitionByRange(*KEY, *ORDER).withColumn("chunk", F.spark_partition_id())
     lines = stage(lines, "admit-lines")
     nothing = F.lit(0).cast(lines.schema["qty"].dataType)
-    decided: list[DataFrame] = []
+    whole = lines.groupBy(*KEY).agg(F.sum(F.greatest("qty", nothing)).alias("all"))
+    live = _join_keys(lines, whole).where("all > avail").drop("all")
+    gone = lines.where("missing").select("doc_id").distinct() if missing_rejects else lines.select("doc_id").limit(0)
+    live = live.join(gone, "doc_id", "left_anti").drop("missing").withColumn("taken", nothing)
+    live = stage(_by_places(live), "admit-contested")
+    large = live.groupBy("part").agg(F.count("*").alias("lines")).where(F.col("lines") > group_lines).select("part")
+    if large.isEmpty():
+        decided = [stage(_side_by_side(live), "admit-found").withColumn("round", F.lit(1))]
+    else:
+        large = stage(large, "admit-large-parts")
+        decided = [stage(_side_by_side(live.join(large, "part", "left_anti")), "admit-found").withColumn("round", F.lit(1)),
+                   *_rounds(live.join(large, "part", "left_semi").drop("part"), group_lines)]
+        unstage(large)
+    found = reduce(DataFrame.unionByName, decided).withColumn("reason", F.when(~F.col("accepted"), F.lit("insufficient_stock")))
+    batch = lines.select("doc_id").distinct()
     if docs is not None:
-        decided.append(docs.select("doc_id").distinct().join(lines.select("doc_id"), "doc_id", "left_anti").select(
-            "doc_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("round")))
-    live = lines
-    if missing_rejects:
-        gone = stage(lines.where("missing").select("doc_id").distinct(), "admit-missing")
-        decided.append(gone.select("doc_id", F.lit(False).alias("accepted"), F.lit("missing_stock_row").alias("reason"),
-                                   F.lit(0).alias("round")))
-        live = lines.join(gone, "doc_id", "left_anti")
-    live = live.drop("missing").withColumn("taken", nothing).withColumn("fresh", F.lit(False))
-
-    group_schema = lines.select("doc_id").withColumn("in_block", F.lit(True)).schema
-    used_up: list[DataFrame] = []
-    round_no = 0
-    while True:
-        round_no += 1
-        live = (live.withColumn("open_qty", F.when(F.col("fresh"), nothing).otherwise(F.col("qty")))
-                .withColumn("fresh_qty", F.when(F.col("fresh"), F.col("qty")).otherwise(nothing)))
-        run = chunked_running_sum(live, KEY, ["chunk"], ORDER, {"run_open": "open_qty", "run_fresh": "fresh_qty"})
-        seen = stage(run.where(~F.col("fresh")).select(
-            "doc_id", "doc_date", *KEY, "qty", "avail", "chunk",
-            (F.col("taken") + F.col("run_fresh")).alias("taken"),
-            (F.col("taken") + F.col("run_fresh") + F.col("run_open") <= F.col("avail")).alias("fits"),
-            (F.col("taken") + F.col("run_fresh") + F.col("qty") > F.col("avail")).alias("over")), "admit-round")
-        unstage(*used_up)
-        by_doc = seen.groupBy(*ORDER).agg(F.bool_and("fits").alias("fits"), F.bool_or("over").alias("over"))
-        first = by_doc.select(*ORDER).orderBy(*ORDER).limit(block_docs).select("doc_id")
-        block = (seen.join(first, "doc_id", "left_semi").select("doc_id", "doc_date", *KEY, "qty", "avail", "taken", F.lit(0).alias("block"))
-                 .groupBy("block").applyInPandas(_one_by_one, group_schema))
-        verdict = F.coalesce(F.col("in_block"), F.when(F.col("over"), False).when(F.col("fits"), True))
-        state = stage(by_doc.join(block, "doc_id", "left").select("doc_id", verdict.alias("accepted")), "admit-state")
-        decided.append(state.where(F.col("accepted").isNotNull()).select(
-            "doc_id", "accepted", F.when(~F.col("accepted"), F.lit("insufficient_stock")).alias("reason"),
-            F.lit(round_no).alias("round")))
-        undecided = state.where(F.col("accepted").isNull())
-        if undecided.isEmpty():
-            unstage(seen)
-            break
-        still = seen.join(undecided.select("doc_id"), "doc_id", "left_semi")
-        new = (seen.join(state.where("accepted").select("doc_id"), "doc_id", "left_semi")
-               .join(still.select(*KEY).distinct(), KEY, "left_semi"))
-        live = (still.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
-                .drop("fits", "over"))
-        used_up = [seen]
-    if docs is None and not missing_rejects:
-        unstage(lines)
-    return reduce(DataFrame.unionByName, decided)
+        batch = batch.unionByName(docs.select("doc_id")).distinct()
+    unstage(live)
+    out = batch.join(found, "doc_id", "left").join(gone.withColumn("_gone", F.lit(True)), "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("_gone"), False).otherwise(F.coalesce("accepted", F.lit(True))).alias("accepted"),
+                      F.when(F.col("_gone"), F.lit("missing_stock_row")).otherwise(F.col("reason")).alias("reason"),
+                      F.coalesce("round", F.lit(0)).alias("round"))

@@ -22,7 +22,7 @@ from depotline.operators import stock as S
 from depotline.operators import reports as R
 from depotline.plans.oracle import REPORT_BRANCH, REPORT_END, REPORT_START
 from depotline.sources.fixture import fixture_tables
-from depotline.sources.tables import Tables
+from depotline.sources.tables import Tables, conform
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -155,6 +155,19 @@ def _counted_branch_stock(t: Tables) -> Tables:
         "quantity", F.when(F.col("product_id") % 5 == 0, F.lit(0)).otherwise(F.col("quantity")).cast("decimal(20,2)")))
 
 
+def _delivered(t: Tables, of: str = "transfer") -> Tables:
+    """Stock after a delivery of three quarters of what all transfers (or live purchases) moved through the
+    warehouses, and nine tenths of what transfers brought to the branches: it covers a part of each batch."""
+    def more(lines: DataFrame, loc: str, share: str) -> DataFrame:
+        return lines.groupBy(loc, "product_id").agg(F.expr(f"cast(floor(sum(quantity)) as bigint) * {share}").alias("delta"))
+
+    moved = t.transfer.join(t.transfer_detail, "transfer_id")
+    bought = active(t.purchase).select("purchase_id", "warehouse_id").join(active(t.purchase_detail), "purchase_id")
+    warehouse = S.apply_upsert(t.warehouse_stock, more(moved if of == "transfer" else bought, "warehouse_id", "3 div 4"), "warehouse_id")
+    branch = S.apply_upsert(t.branch_stock, more(moved, "branch_id", "9 div 10"), "branch_id")
+    return t.replace(warehouse_stock=conform(warehouse, "warehouse_stock"), branch_stock=conform(branch, "branch_stock"))
+
+
 @register("x01_stock_reconcile")
 def _x01(t: Tables) -> DataFrame:
     """Documents against a snapshot that lost rows, has other quantities and holds a row too many."""
@@ -196,6 +209,7 @@ def _w07_post(t: Tables) -> DataFrame:
 
 
 def _retransfer(t: Tables) -> LC.JobResult:
+    t = _delivered(t)
     heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "employee_id", "transfer_date")
     lines = t.transfer_detail.select("transfer_id", "product_id", "quantity")
     return LC.post_transfers(t, *_reposted(heads, lines, "transfer_id"))
@@ -204,7 +218,7 @@ def _retransfer(t: Tables) -> LC.JobResult:
 register("w03_transfer_admission")(lambda t: _retransfer(t).decisions)
 register("w05_post_transfers_branch_stock")(lambda t: _retransfer(t).tables.branch_stock)
 register("w08_delete_purchases")(
-    lambda t: LC.delete_purchases(t, _ids_of(active(t.purchase), "purchase_id")).decisions)
+    lambda t: LC.delete_purchases(_delivered(t, "purchase"), _ids_of(active(t.purchase), "purchase_id")).decisions)
 register("w09_recover_purchases")(
     lambda t: LC.recover_purchases(t, _ids_of(t.purchase.where(F.col("is_deleted") == 1), "purchase_id")).decisions)
 register("w09_recover_purchases_stock")(
@@ -221,7 +235,7 @@ def _w11(t: Tables) -> DataFrame:
     return LC.recover_sales(t, _ids_of(t.sale.where(F.col("is_deleted") == 1), "sale_id")).decisions
 
 
-register("w12_delete_transfers")(lambda t: LC.delete_transfers(t, _ids_of(t.transfer, "transfer_id")).decisions)
+register("w12_delete_transfers")(lambda t: LC.delete_transfers(_delivered(t), _ids_of(t.transfer, "transfer_id")).decisions)
 
 
 @register("w13_edit_sales_reprice")
@@ -240,14 +254,14 @@ def _w14(t: Tables) -> DataFrame:
     heads = active(t.purchase).select("purchase_id", "supplier_id", "warehouse_id", "purchase_date")
     lines = (active(t.purchase_detail).select("purchase_id", "product_id", "quantity")
              .join(t.product.select("product_id", F.col("purchase_price_per_kg").alias("price")), "product_id"))
-    return LC.edit_purchases(t, _twice(heads, "purchase_id"), lines).decisions
+    return LC.edit_purchases(_delivered(t, "purchase"), _twice(heads, "purchase_id"), lines).decisions
 
 
 @register("w15_edit_transfers")
 def _w15(t: Tables) -> DataFrame:
     """Edit every transfer keeping its places and lines (checks both stock kinds)."""
     heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "transfer_date")
-    return LC.edit_transfers(t, _twice(heads, "transfer_id"), t.transfer_detail.select("transfer_id", "product_id", "quantity")).decisions
+    return LC.edit_transfers(_delivered(t), _twice(heads, "transfer_id"), t.transfer_detail.select("transfer_id", "product_id", "quantity")).decisions
 
 
 @register("w16_delete_idle_suppliers")

@@ -546,11 +546,31 @@ decided AS (SELECT doc_id, state = 1 AS accepted,
             FROM step QUALIFY n = max(n) OVER ())"""
 
 
+def _delivered(kind: str, share: str, moved: str) -> str:
+    """CTE of a stock table after a delivery of a share of what ``moved`` (place, product_id, quantity) adds up to."""
+    return f"""
+delivered_{kind} AS MATERIALIZED (SELECT {kind}_id, product_id, CAST(SUM(quantity) AS DECIMAL(20,2)) AS quantity FROM (
+  SELECT {kind}_id, product_id, quantity FROM s_{kind}_stock
+  UNION ALL SELECT place, product_id, CAST(FLOOR(SUM(quantity)) AS BIGINT) * {share} FROM ({moved}) GROUP BY place, product_id)
+  GROUP BY {kind}_id, product_id)"""
+
+
+def _all_transfers(kind: str) -> str:
+    return f"SELECT t.{kind}_id AS place, d.product_id, d.quantity FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id"
+
+
+_ALL_PURCHASES = """SELECT p.warehouse_id AS place, d.product_id, d.quantity FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
+  WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL"""
+_WH_DELIVERED = _delivered("warehouse", "3 // 4", _all_transfers("warehouse"))
+_WH_BOUGHT = _delivered("warehouse", "3 // 4", _ALL_PURCHASES)
+_BR_DELIVERED = _delivered("branch", "9 // 10", _all_transfers("branch"))
+
+
 def _transfer_demand(doc_id: str, kind: str, where: str) -> str:
     return f"""
 SELECT {doc_id} AS doc_id, t.transfer_date AS doc_date, '{kind}' AS kind, t.{kind}_id AS place, d.product_id, d.quantity AS qty, s.quantity AS avail
 FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id
-LEFT JOIN s_{kind}_stock s ON s.{kind}_id = t.{kind}_id AND s.product_id = d.product_id WHERE {where}"""
+LEFT JOIN delivered_{kind} s ON s.{kind}_id = t.{kind}_id AND s.product_id = d.product_id WHERE {where}"""
 
 
 def _purchase_demand(where: str) -> str:
@@ -558,7 +578,7 @@ def _purchase_demand(where: str) -> str:
 SELECT p.purchase_id AS doc_id, p.purchase_date AS doc_date, 'warehouse' AS kind, p.warehouse_id AS place, d.product_id, d.quantity AS qty,
        s.quantity AS avail
 FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
-LEFT JOIN s_warehouse_stock s ON s.warehouse_id = p.warehouse_id AND s.product_id = d.product_id
+LEFT JOIN delivered_warehouse s ON s.warehouse_id = p.warehouse_id AND s.product_id = d.product_id
 WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL AND {where}"""
 
 
@@ -569,7 +589,7 @@ counted AS (SELECT branch_id, product_id, CASE WHEN product_id%5=0 THEN 0 ELSE q
 _FULL_WAREHOUSE = f"""
 (SELECT * FROM s_warehouse_stock UNION ALL SELECT warehouse_id, {OFFSET}, 5 FROM s_warehouse)"""
 
-_RETRANSFER = _admission(_transfer_demand(_new_id("t.transfer_id"), "warehouse", _good("t.transfer_id")))
+_RETRANSFER = _WH_DELIVERED + "," + _admission(_transfer_demand(_new_id("t.transfer_id"), "warehouse", _good("t.transfer_id")))
 _HAS_LINES = "EXISTS (SELECT 1 FROM s_purchase_detail d WHERE d.purchase_id = p.purchase_id AND d.is_deleted IS NULL)"
 
 JOB_SQL: dict[str, str] = {
@@ -628,14 +648,14 @@ FROM s_payment WHERE payment_id%50 NOT IN (1, 2, 3)""",
     "w03_transfer_admission": (_RETRANSFER, f"""
 SELECT doc_id, accepted, reason FROM decided
 UNION ALL SELECT {_new_id('transfer_id')}, false, {_id_reason('transfer_id')} FROM s_transfer WHERE NOT {_good('transfer_id')}"""),
-    "w05_post_transfers_branch_stock": (_RETRANSFER, f"""
+    "w05_post_transfers_branch_stock": (_BR_DELIVERED + "," + _RETRANSFER, f"""
 SELECT COALESCE(s.branch_id, m.branch_id) AS branch_id, COALESCE(s.product_id, m.product_id) AS product_id,
        CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
-FROM s_branch_stock s FULL OUTER JOIN (
+FROM delivered_branch s FULL OUTER JOIN (
   SELECT t.branch_id, d.product_id, SUM(d.quantity) AS q
   FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id JOIN decided a ON a.doc_id = t.transfer_id+{OFFSET} AND a.accepted
   GROUP BY t.branch_id, d.product_id) m ON m.branch_id = s.branch_id AND m.product_id = s.product_id"""),
-    "w08_delete_purchases": (_admission(_purchase_demand("true")), f"""
+    "w08_delete_purchases": (_WH_BOUGHT + "," + _admission(_purchase_demand("true")), f"""
 SELECT doc_id, accepted, reason FROM decided
 UNION ALL SELECT purchase_id, true, NULL FROM s_purchase p WHERE is_deleted IS NULL AND NOT {_HAS_LINES}"""),
     "w11_recover_sales": (_COUNTED + "," + _admission("""
@@ -646,15 +666,15 @@ WHERE s.is_deleted = 1 AND d.is_deleted_with_sale = 1""", missing_rejects=True),
 SELECT doc_id, accepted, reason FROM decided
 UNION ALL SELECT sale_id, true, NULL FROM s_sale s WHERE is_deleted = 1
   AND NOT EXISTS (SELECT 1 FROM s_sale_detail d WHERE d.sale_id = s.sale_id AND d.is_deleted_with_sale = 1)"""),
-    "w12_delete_transfers": (_admission(_transfer_demand("t.transfer_id", "branch", "true")), "SELECT doc_id, accepted, reason FROM decided"),
-    "w14_edit_purchases": (_admission(_purchase_demand("p.purchase_id%50<>1")), f"""
+    "w12_delete_transfers": (_BR_DELIVERED + "," + _admission(_transfer_demand("t.transfer_id", "branch", "true")), "SELECT doc_id, accepted, reason FROM decided"),
+    "w14_edit_purchases": (_WH_BOUGHT + "," + _admission(_purchase_demand("p.purchase_id%50<>1")), f"""
 SELECT doc_id, accepted, reason FROM decided
 UNION ALL
 SELECT purchase_id, false, CASE WHEN purchase_id%50=1 THEN 'duplicate_in_batch' ELSE 'no_lines' END
 FROM s_purchase p WHERE is_deleted IS NULL AND (purchase_id%50=1 OR NOT {_HAS_LINES})"""),
-    "w15_edit_transfers": ("""
+    "w15_edit_transfers": (_WH_DELIVERED + "," + _BR_DELIVERED + """,
 short AS MATERIALIZED (SELECT DISTINCT t.transfer_id FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id
-  LEFT JOIN s_warehouse_stock s ON s.warehouse_id = t.warehouse_id AND s.product_id = d.product_id WHERE COALESCE(s.quantity, 0) < 0),"""
+  LEFT JOIN delivered_warehouse s ON s.warehouse_id = t.warehouse_id AND s.product_id = d.product_id WHERE COALESCE(s.quantity, 0) < 0),"""
     + _admission(_transfer_demand("t.transfer_id", "branch", "t.transfer_id%50<>1 AND t.transfer_id NOT IN (SELECT transfer_id FROM short)")), """
 SELECT doc_id, accepted, reason FROM decided
 UNION ALL SELECT transfer_id, false, 'duplicate_in_batch' FROM s_transfer WHERE transfer_id%50=1
