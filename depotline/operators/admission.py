@@ -82,7 +82,6 @@ def _side_by_side(lines: DataFrame) -> DataFrame:
 
 def _by_places(lines: DataFrame) -> DataFrame:
     """``lines`` with the part they belong to: their location, joined with those that one document binds to it."""
-    lines = lines.withColumn("place", F.xxhash64(*PLACE))
     bound = (lines.groupBy("doc_id").agg(F.min("place").alias("a"), F.max("place").alias("last"), F.collect_set("place").alias("places"))
              .where("a < last").select("a", F.explode("places").alias("b")).where("a <> b"))
     if bound.isEmpty():
@@ -172,22 +171,23 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
     ``demand``: doc_id, doc_date, location_type, location_id, product_id, qty.
     ``stock``: location_type, location_id, product_id, quantity (a missing row is
     0, or a rejection when ``missing_rejects``).
-    ``docs``: optional doc_id list of the whole batch; documents without demand are
-    accepted.  Returns doc_id, accepted, reason, round.
+    ``docs``: doc_id list of the whole batch, for batches with documents without
+    demand, which are accepted.  Returns doc_id, accepted, reason, round (0: nothing
+    contested).
     """
     group_lines = group_lines or GROUP_LINES
-    lines = (demand.groupBy("doc_id", "doc_date", *KEY).agg(F.sum("qty").alias("qty"))
-             .join(stock.select(*KEY, F.col("quantity").alias("avail")), KEY, "left")
-             .select("doc_id", "doc_date", *KEY, "qty",
-                     F.col("avail").isNull().alias("missing"),
-                     F.coalesce(F.col("avail"), F.lit(0)).alias("avail")))
-    lines = stage(lines, "admit-lines")
-    nothing = F.lit(0).cast(lines.schema["qty"].dataType)
-    whole = lines.groupBy(*KEY).agg(F.sum(F.greatest("qty", nothing)).alias("all"))
-    live = _join_keys(lines, whole).where("all > avail").drop("all")
-    gone = lines.where("missing").select("doc_id").distinct() if missing_rejects else lines.select("doc_id").limit(0)
-    live = live.join(gone, "doc_id", "left_anti").drop("missing").withColumn("taken", nothing)
-    live = stage(_by_places(live), "admit-contested")
+    nothing = F.lit(0)
+    need = demand.groupBy(*KEY).agg(F.sum(F.greatest(F.col("qty"), nothing)).alias("all"))
+    keys = need.join(stock.select(*KEY, F.col("quantity").alias("avail")), KEY, "left").select(
+        *KEY, "all", F.coalesce("avail", nothing).alias("avail"), F.col("avail").isNull().alias("missing"))
+    decisive = F.col("all") > F.col("avail")
+    keys = stage(keys.where(decisive | F.col("missing") if missing_rejects else decisive), "admit-keys")
+    lines = (_join_keys(demand, keys.drop("all")).groupBy("doc_id", "doc_date", *KEY)
+             .agg(F.sum("qty").alias("qty"), F.first("avail").alias("avail"), F.first("missing").alias("missing")))
+    lines = stage(lines.withColumn("place", F.xxhash64(*PLACE)), "admit-contested")
+    gone = lines.where("missing").select("doc_id").distinct() if missing_rejects else None
+    live = lines.join(gone, "doc_id", "left_anti") if missing_rejects else lines
+    live = _by_places(live.drop("missing").withColumn("taken", nothing.cast(lines.schema["qty"].dataType)))
     large = live.groupBy("part").agg(F.count("*").alias("lines")).where(F.col("lines") > group_lines).select("part")
     if large.isEmpty():
         decided = [stage(_side_by_side(live), "admit-found").withColumn("round", F.lit(1))]
@@ -197,11 +197,10 @@ def admit(demand: DataFrame, stock: DataFrame, docs: DataFrame | None = None, *,
                    *_rounds(live.join(large, "part", "left_semi").drop("part"), group_lines)]
         unstage(large)
     found = reduce(DataFrame.unionByName, decided).withColumn("reason", F.when(~F.col("accepted"), F.lit("insufficient_stock")))
-    batch = lines.select("doc_id").distinct()
-    if docs is not None:
-        batch = batch.unionByName(docs.select("doc_id")).distinct()
-    unstage(live)
-    out = batch.join(found, "doc_id", "left").join(gone.withColumn("_gone", F.lit(True)), "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("_gone"), False).otherwise(F.coalesce("accepted", F.lit(True))).alias("accepted"),
-                      F.when(F.col("_gone"), F.lit("missing_stock_row")).otherwise(F.col("reason")).alias("reason"),
-                      F.coalesce("round", F.lit(0)).alias("round"))
+    if missing_rejects:
+        found = found.unionByName(stage(gone, "admit-missing").select(
+            "doc_id", F.lit(False).alias("accepted"), F.lit(0).alias("round"), F.lit("missing_stock_row").alias("reason")))
+    unstage(keys, lines)
+    batch = (demand if docs is None else docs).select("doc_id").distinct()
+    return batch.join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("accepted", F.lit(True)).alias("accepted"), "reason", F.coalesce("round", F.lit(0)).alias("round"))
