@@ -22,7 +22,7 @@ from depotline.functions.joins import lookup
 from depotline.operators.admission import admit
 from depotline.operators.ingest import REQUIRED_TEXT, is_blank, validate
 from depotline.operators.stock import apply_update_only, apply_upsert
-from depotline.schemas import MONEY
+from depotline.schemas import FOREIGN_KEYS, MONEY
 from depotline.session import stage
 from depotline.sources.tables import Tables, conform
 
@@ -31,6 +31,7 @@ from depotline.sources.tables import Tables, conform
 class JobResult:
     tables: Tables
     decisions: DataFrame  # doc_id, accepted, reason
+    stray_lines: DataFrame | None = None  # doc_id, product_id, quantity of lines whose document is not in the batch
 
 
 def _decisions(accepted_ids: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
@@ -70,6 +71,41 @@ def screen(headers: DataFrame, key: str, existing: DataFrame | None = None) -> t
     return good, seen.where(F.col("reason").isNotNull()).select(F.col(key).alias("doc_id"), "reason")
 
 
+def with_unknown(t: Tables, rows: DataFrame, table: str) -> DataFrame:
+    """``rows`` of ``table`` with ``_unknown``: the first reference that names no row, as a reason
+    (``unknown_<parent>``), else NULL.  A NULL reference is allowed; a deleted parent is a row."""
+    columns, reason = rows.columns, F.lit(None).cast("string")
+    links = [(c, parent, key) for child, c, parent, key in FOREIGN_KEYS if child == table and c in columns]
+    for c, parent, key in links:
+        keys = getattr(t, parent).select(F.col(key).alias(c)).dropna().distinct().withColumn(f"_known_{c}", F.lit(True))
+        rows = lookup(rows, keys, c)
+    for c, parent, _ in reversed(links):
+        reason = F.when(F.col(c).isNotNull() & F.col(f"_known_{c}").isNull(), F.lit(f"unknown_{parent}")).otherwise(reason)
+    return rows.select(*columns, reason.alias("_unknown"))
+
+
+def _line_facts(t: Tables, headers: DataFrame, lines: DataFrame, key: str, table: str) -> DataFrame:
+    """Headers with ``_unknown`` (also ``unknown_product`` of a line) and ``n_lines``."""
+    products = t.product.select("product_id").dropna().distinct().withColumn("_product", F.lit(True))
+    facts = lookup(lines.select(key, "product_id"), products, "product_id").groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("_product").isNull()).alias("_strange"))
+    out = with_unknown(t, headers, table).join(facts, key, "left")
+    unknown = F.coalesce("_unknown", F.when(F.col("_strange") > 0, F.lit("unknown_product")))
+    return out.withColumn("_unknown", unknown).withColumn("n_lines", F.coalesce("n_lines", F.lit(0))).drop("_strange")
+
+
+def _unknown_rules() -> list[tuple[Column, str]]:
+    """Rules of ``validate`` for the reasons that ``with_unknown`` gives."""
+    return [(F.coalesce(F.col("_unknown"), F.lit("")) == f"unknown_{parent}", f"unknown_{parent}")
+            for parent in dict.fromkeys([p for _, _, p, _ in FOREIGN_KEYS])]
+
+
+def _stray(headers: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Lines that no document of the batch owns: reported, never dropped in silence."""
+    return lines.join(headers.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(
+        F.col(key).alias("doc_id"), "product_id", "quantity")
+
+
 def _rejected(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lit(False).alias("accepted"), F.col("reason").cast("string").alias("reason"))
 
@@ -114,15 +150,16 @@ def post_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
 
     ``headers``: purchase_id, employee_id, warehouse_id, supplier_id, purchase_date.
     ``lines``: purchase_id, product_id, quantity, price (already exploded by S4).
-    A purchase needs a supplier, a warehouse and at least one line (S6).
+    A purchase needs a supplier, a warehouse and at least one line (S6), and every
+    reference of it and its lines must name a row.
     """
-    counts = lines.groupBy("purchase_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    stray = _stray(headers, lines, "purchase_id")
     headers, unusable = screen(headers, "purchase_id", t.purchase)
-    h = stage(headers.join(counts, "purchase_id", "left"), "purchase-batch")
+    h = stage(_line_facts(t, headers, lines, "purchase_id", "purchase"), "purchase-batch")
     ok, bad = validate(h, [(F.col("supplier_id").isNull(), "missing_supplier"),
                            (F.col("warehouse_id").isNull(), "missing_warehouse"),
-                           (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
-    ok = ok.drop("n_lines")
+                           (F.col("n_lines") == 0, "no_lines"), *_unknown_rules()])
+    ok = ok.drop("n_lines", "_unknown")
     new_lines = (lines.join(ok.select("purchase_id", "warehouse_id"), "purchase_id")
                  .withColumn("kg_price_at_purchase_time", F.col("price").cast(MONEY)))
     purchase = t.purchase.unionByName(conform(ok.withColumn("is_deleted", F.lit(None)), "purchase"))
@@ -133,7 +170,7 @@ def post_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     return JobResult(t.replace(purchase=purchase, purchase_detail=detail, warehouse_stock=conform(stock, "warehouse_stock")),
                      _decisions(ok.select(F.col("purchase_id").alias("doc_id")),
                                 bad.select(F.col("purchase_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
-                                .unionByName(unusable)))
+                                .unionByName(unusable)), stray)
 
 
 def _purchase_live_lines(t: Tables, purchases: DataFrame) -> DataFrame:
@@ -199,14 +236,14 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     new lines and add them to the new warehouse - one summed delta per stock key.
     ``headers``: purchase_id, supplier_id, warehouse_id, purchase_date (new values).
     """
-    counts = lines.groupBy("purchase_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    stray = _stray(headers, lines, "purchase_id")
     cur = active(t.purchase).select("purchase_id", F.col("warehouse_id").alias("old_wh"),
                                     F.col("purchase_date").alias("old_date"))
     headers, unusable = screen(headers, "purchase_id")
-    h = stage(headers.join(counts, "purchase_id", "left").join(cur, "purchase_id", "left"), "purchase-edits")
+    h = stage(_line_facts(t, headers, lines, "purchase_id", "purchase").join(cur, "purchase_id", "left"), "purchase-edits")
     ok, bad = validate(h, [(F.col("old_wh").isNull(), "not_found"),
                            (F.col("supplier_id").isNull() | F.col("warehouse_id").isNull(), "missing_supplier_or_warehouse"),
-                           (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
+                           (F.col("n_lines") == 0, "no_lines"), *_unknown_rules()])
     old_lines = stage(ok.select("purchase_id", F.col("old_wh").alias("warehouse_id"),
                                 F.col("old_date").alias("purchase_date"))
                       .join(active(t.purchase_detail).select("purchase_id", "product_id", "quantity"), "purchase_id"),
@@ -237,7 +274,7 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
                   warehouse_stock=conform(stock, "warehouse_stock")),
         _from_admission(adm).unionByName(
             bad.select(F.col("purchase_id").alias("doc_id"), F.lit(False).alias("accepted"),
-                       F.col("reject_reason").alias("reason"))).unionByName(_rejected(unusable)))
+                       F.col("reject_reason").alias("reason"))).unionByName(_rejected(unusable)), stray)
 
 
 # -------------------------------------------------------------------- payments
@@ -245,8 +282,8 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
 def post_payments(t: Tables, payments: DataFrame) -> JobResult:
     """Append payments (payment_id, purchase_id, employee_id, payment_date, amount, method)."""
     payments, unusable = screen(payments, "payment_id", t.payment)
-    ok, bad = validate(payments, [(F.col("purchase_id").isNull(), "missing_purchase"),
-                                  (F.col("amount").isNull(), "missing_amount")])
+    ok, bad = validate(with_unknown(t, payments, "payment"), [(F.col("purchase_id").isNull(), "missing_purchase"),
+                                                              (F.col("amount").isNull(), "missing_amount"), *_unknown_rules()])
     new = conform(ok.withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_purchase", F.lit(None)),
                   "payment")
     return JobResult(t.replace(payment=t.payment.unionByName(new)),
@@ -275,10 +312,11 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
     ``headers``: sale_id, customer_id, branch_id, employee_id, sale_date, payment_method.
     ``lines``: sale_id, product_id, quantity, price.
     """
+    stray = _stray(headers, lines, "sale_id")
     headers, unusable = screen(headers, "sale_id", t.sale)
-    heads = headers.where(F.col("branch_id").isNotNull())
-    no_branch = headers.where(F.col("branch_id").isNull()).select(
-        F.col("sale_id").alias("doc_id"), F.lit("missing_branch").alias("reason"))
+    h = stage(_line_facts(t, headers, lines, "sale_id", "sale"), "sale-batch")
+    heads, bad = validate(h, [(F.col("branch_id").isNull(), "missing_branch"), *_unknown_rules()])
+    heads = heads.drop("n_lines", "_unknown")
     sale_lines = lines.join(heads.select("sale_id", "branch_id", "sale_date"), "sale_id")
     if check_stock:
         adm = admit(_demand(sale_lines, "sale_date", "sale_id", "branch", "branch_id"),
@@ -289,14 +327,15 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
         decisions = _from_admission(adm)
     else:
         decisions = _decisions(heads.select(F.col("sale_id").alias("doc_id")))
-    decisions = decisions.unionByName(_rejected(no_branch)).unionByName(_rejected(unusable))
+    bad = bad.select(F.col("sale_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
+    decisions = decisions.unionByName(_rejected(bad)).unionByName(_rejected(unusable))
     new_stock, _ = apply_update_only(t.branch_stock, _br_deltas(sale_lines, -1), "branch_id")
     sale = t.sale.unionByName(conform(heads.withColumn("is_deleted", F.lit(None)), "sale"))
     detail = t.sale_detail.unionByName(conform(
         sale_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
         .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail"))
     return JobResult(t.replace(sale=sale, sale_detail=detail, branch_stock=conform(new_stock, "branch_stock")),
-                     decisions)
+                     decisions, stray)
 
 
 def delete_sales(t: Tables, sale_ids: DataFrame) -> JobResult:
@@ -347,8 +386,10 @@ def edit_sales(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult:
     date and payment method, append the new lines and take them out - one summed
     delta per (branch, product), applied update-only at the sale's own branch."""
     cur = active(t.sale).select("sale_id", "branch_id")
+    stray = _stray(headers, lines, "sale_id")
     headers, unusable = screen(headers, "sale_id")
-    heads = headers.drop("branch_id").join(cur, "sale_id")
+    h = stage(_line_facts(t, headers.drop("branch_id"), lines, "sale_id", "sale").join(cur, "sale_id", "left"), "sale-edits")
+    heads, bad = validate(h, [(F.col("branch_id").isNull(), "not_active"), *_unknown_rules()])
     acc = heads.select("sale_id")
     old = cur.join(acc, "sale_id", "left_semi").join(
         active(t.sale_detail).select("sale_id", "product_id", "quantity"), "sale_id")
@@ -369,9 +410,7 @@ def edit_sales(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult:
     return JobResult(
         t.replace(sale=conform(sale, "sale"), sale_detail=detail, branch_stock=conform(new_stock, "branch_stock")),
         _decisions(acc.select(F.col("sale_id").alias("doc_id")),
-                   headers.join(cur, "sale_id", "left_anti").select(F.col("sale_id").alias("doc_id"),
-                                                                    F.lit("not_active").alias("reason"))
-                   .unionByName(unusable)))
+                   bad.select(F.col("sale_id").alias("doc_id"), F.col("reject_reason").alias("reason")).unionByName(unusable)), stray)
 
 
 # ------------------------------------------------------------------- transfers
@@ -383,13 +422,13 @@ def post_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     ``headers``: transfer_id, warehouse_id, branch_id, employee_id, transfer_date.
     ``lines``: transfer_id, product_id, quantity.
     """
-    counts = lines.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    stray = _stray(headers, lines, "transfer_id")
     headers, unusable = screen(headers, "transfer_id", t.transfer)
-    h = stage(headers.join(counts, "transfer_id", "left"), "transfer-batch")
+    h = stage(_line_facts(t, headers, lines, "transfer_id", "transfer"), "transfer-batch")
     ok, bad = validate(h, [(F.col("branch_id").isNull(), "missing_branch"),
                            (F.col("warehouse_id").isNull(), "missing_warehouse"),
-                           (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
-    ok = ok.drop("n_lines")
+                           (F.col("n_lines") == 0, "no_lines"), *_unknown_rules()])
+    ok = ok.drop("n_lines", "_unknown")
     tl = stage(lines.join(ok.select("transfer_id", "warehouse_id", "branch_id", "transfer_date"), "transfer_id"),
                "transfer-lines")
     adm = admit(_demand(tl, "transfer_date", "transfer_id", "warehouse", "warehouse_id"),
@@ -406,7 +445,7 @@ def post_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
                                        "branch_stock")),
         _from_admission(adm).unionByName(
             bad.select(F.col("transfer_id").alias("doc_id"), F.lit(False).alias("accepted"),
-                       F.col("reject_reason").alias("reason"))).unionByName(_rejected(unusable)))
+                       F.col("reject_reason").alias("reason"))).unionByName(_rejected(unusable)), stray)
 
 
 def delete_transfers(t: Tables, transfer_ids: DataFrame) -> JobResult:
@@ -442,14 +481,14 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     (stock + old >= new) and adds no demand.  Accepted edits reverse the old
     movement, replace the lines and apply the new movement.
     """
-    counts = lines.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    stray = _stray(headers, lines, "transfer_id")
     cur = t.transfer.select("transfer_id", F.col("warehouse_id").alias("old_wh"), F.col("branch_id").alias("old_br"),
                             F.col("transfer_date").alias("old_date"))
     headers, unusable = screen(headers, "transfer_id")
-    h = stage(headers.join(counts, "transfer_id", "left").join(cur, "transfer_id", "left"), "transfer-edits")
+    h = stage(_line_facts(t, headers, lines, "transfer_id", "transfer").join(cur, "transfer_id", "left"), "transfer-edits")
     ok, bad = validate(h, [(F.col("old_wh").isNull(), "not_found"),
                            (F.col("warehouse_id").isNull() | F.col("branch_id").isNull(), "missing_warehouse_or_branch"),
-                           (F.coalesce(F.col("n_lines"), F.lit(0)) == 0, "no_lines")])
+                           (F.col("n_lines") == 0, "no_lines"), *_unknown_rules()])
     old = stage(ok.select("transfer_id", "old_wh", "old_br", "old_date").join(
         t.transfer_detail.select("transfer_id", "product_id", "quantity"), "transfer_id"), "transfer-old-lines")
     old_per_product = old.groupBy("transfer_id", "product_id").agg(F.sum("quantity").alias("old_qty"))
@@ -494,7 +533,7 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
         t.replace(transfer=conform(transfer, "transfer"), transfer_detail=detail,
                   warehouse_stock=conform(apply_upsert(t.warehouse_stock, wh_d, "warehouse_id"), "warehouse_stock"),
                   branch_stock=conform(apply_upsert(t.branch_stock, br_d, "branch_id"), "branch_stock")),
-        _from_admission(adm).unionByName(rejected.select("doc_id", F.lit(False).alias("accepted"), "reason")))
+        _from_admission(adm).unionByName(rejected.select("doc_id", F.lit(False).alias("accepted"), "reason")), stray)
 
 
 # ------------------------------------------------------------------ dimensions
@@ -503,11 +542,18 @@ _DIM_KEYS = {"supplier": "supplier_id", "product": "product_id", "employee": "em
              "branch": "branch_id", "customer": "customer_id", "warehouse": "warehouse_id"}
 
 
-def set_deleted(t: Tables, table: str, ids: DataFrame, deleted: bool = True) -> Tables:
+def _found(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Decisions for ids of existing rows: those without a row are not found."""
+    here = ids.join(df.select(key).distinct(), key, "left_semi").select(F.col(key).alias("doc_id"))
+    gone = ids.join(df.select(key), key, "left_anti").select(F.col(key).alias("doc_id"), F.lit("not_found").alias("reason"))
+    return _decisions(here, gone)
+
+
+def set_deleted(t: Tables, table: str, ids: DataFrame, deleted: bool = True) -> JobResult:
     """Soft-delete (or recover) supplier, product, employee or branch rows by id."""
     key = _DIM_KEYS[table]
-    df = getattr(t, table)
-    return t.replace(**{table: flag_rows(df, ids, key, "is_deleted", 1 if deleted else None)})
+    df, ids = getattr(t, table), _ids(ids, key)
+    return JobResult(t.replace(**{table: flag_rows(df, ids, key, "is_deleted", 1 if deleted else None)}), _found(df, ids, key))
 
 
 def upsert_rows(t: Tables, table: str, rows: DataFrame) -> JobResult:
@@ -515,11 +561,15 @@ def upsert_rows(t: Tables, table: str, rows: DataFrame) -> JobResult:
 
     Only the columns that ``rows`` brings are written; the others keep their value,
     and the delete flag is never touched (a new row is active).  Rejected: a NULL
-    or repeated id, and a row without the texts that the table requires (S6).
+    or repeated id, a row without the texts that the table requires (S6; for a new id
+    also where ``rows`` has no such column), and a reference to a row that is not there.
     """
     key, old = _DIM_KEYS[table], getattr(t, table)
     rows, unusable = screen(rows, key)
-    ok, bad = validate(rows, [(is_blank(F.col(c)), f"missing_{c}") for c in REQUIRED_TEXT.get(table, ()) if c in rows.columns])
+    known = old.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_old", F.lit(True))
+    rules = [(is_blank(F.col(c)) if c in rows.columns else F.col("_old").isNull(), f"missing_{c}") for c in REQUIRED_TEXT.get(table, ())]
+    ok, bad = validate(with_unknown(t, rows, table).join(known, key, "left"), [*rules, *_unknown_rules()])
+    ok, bad = ok.drop("_old", "_unknown"), bad.drop("_old", "_unknown")
     brought = [c for c in old.columns if c in ok.columns and c not in (key, "is_deleted")]
     types = dict(zip(old.columns, (f.dataType for f in old.schema.fields)))
     new = ok.select(key, *(F.col(c).cast(types[c]).alias(f"_new_{c}") for c in brought), F.lit(True).alias("_hit"))
@@ -531,14 +581,15 @@ def upsert_rows(t: Tables, table: str, rows: DataFrame) -> JobResult:
                                 bad.select(F.col(key).alias("doc_id"), F.col("reject_reason").alias("reason")).unionByName(unusable)))
 
 
-def delete_customers(t: Tables, customer_ids: DataFrame) -> Tables:
+def delete_customers(t: Tables, customer_ids: DataFrame) -> JobResult:
     """Remove customers; their sales keep going as walk-in sales (customer NULL)."""
     ids = _ids(customer_ids, "customer_id")
     hit = ids.withColumn("_hit", F.lit(True))
     sale = (lookup(t.sale, hit, "customer_id")
             .withColumn("customer_id", F.when(F.col("_hit").isNull(), F.col("customer_id")))
             .drop("_hit"))
-    return t.replace(customer=t.customer.join(ids, "customer_id", "left_anti"), sale=conform(sale, "sale"))
+    return JobResult(t.replace(customer=t.customer.join(ids, "customer_id", "left_anti"), sale=conform(sale, "sale")),
+                     _found(t.customer, ids, "customer_id"))
 
 
 def delete_warehouses(t: Tables, warehouse_ids: DataFrame) -> JobResult:

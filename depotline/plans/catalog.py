@@ -134,12 +134,17 @@ def _ids_of(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col))
 
 
-def _reposted(heads: DataFrame, lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def _reposted(heads: DataFrame, lines: DataFrame, key: str, ref: str) -> tuple[DataFrame, DataFrame]:
     """Documents posted once more under shifted ids, with planted flaws: of every 50
-    ids, 1 stands twice in the batch and 2 keeps an id that is in use."""
-    new = F.when(F.col(key) % 50 == 2, F.col(key)).otherwise(F.col(key) + NEW_ID_OFFSET).alias(key)
-    renew = lambda df: df.select(*(new if c == key else c for c in df.columns))
-    return renew(heads.unionByName(heads.where(F.col(key) % 50 == 1))), renew(lines)
+    ids, 1 stands twice in the batch, 2 keeps an id that is in use, 3 has a ``ref`` that
+    names no row, the lines of 4 name no product, and those of 5 come once more under
+    the id of a document that is not in the batch."""
+    of = lambda n: F.col(key) % 50 == n
+    changed = {key: F.when(of(2), F.col(key)).otherwise(F.col(key) + NEW_ID_OFFSET), ref: F.when(of(3), F.col(ref) + NEW_ID_OFFSET).otherwise(F.col(ref)),
+               "product_id": F.when(of(4), F.col("product_id") + NEW_ID_OFFSET).otherwise(F.col("product_id"))}
+    renew = lambda df: df.select(*(changed[c].alias(c) if c in changed else c for c in df.columns))
+    stray = lines.where(of(5)).withColumn(key, F.col(key) + 2 * NEW_ID_OFFSET)
+    return renew(heads.unionByName(heads.where(of(1)))), renew(lines).unionByName(stray)
 
 
 def _twice(heads: DataFrame, key: str) -> DataFrame:
@@ -179,11 +184,12 @@ def _x01(t: Tables) -> DataFrame:
 def _post_purchases(t: Tables) -> LC.JobResult:
     heads = active(t.purchase).select("purchase_id", "employee_id", "warehouse_id", "supplier_id", "purchase_date")
     lines = active(t.purchase_detail).select("purchase_id", "product_id", "quantity", F.col("kg_price_at_purchase_time").alias("price"))
-    return LC.post_purchases(t, *_reposted(heads, lines, "purchase_id"))
+    return LC.post_purchases(t, *_reposted(heads, lines, "purchase_id", "supplier_id"))
 
 
 register("w04_post_purchases_stock")(lambda t: _post_purchases(t).tables.warehouse_stock)
 register("w04_post_purchases_decisions")(lambda t: _post_purchases(t).decisions)
+register("w04_post_purchases_stray_lines")(lambda t: _post_purchases(t).stray_lines)
 register("w04_post_purchases_headers")(lambda t: _post_purchases(t).tables.purchase)
 register("w04_post_purchases_lines")(lambda t: _post_purchases(t).tables.purchase_detail.fillna(0, ["is_deleted", "is_deleted_with_purchase"]))
 
@@ -191,7 +197,7 @@ register("w04_post_purchases_lines")(lambda t: _post_purchases(t).tables.purchas
 def _post_sales(t: Tables) -> LC.JobResult:
     heads = active(t.sale).select("sale_id", "customer_id", "branch_id", "employee_id", "sale_date", "payment_method")
     lines = active(t.sale_detail).select("sale_id", "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
-    return LC.post_sales(t, *_reposted(heads, lines, "sale_id"))
+    return LC.post_sales(t, *_reposted(heads, lines, "sale_id", "branch_id"))
 
 
 register("w06_post_sales_stock")(lambda t: _post_sales(t).tables.branch_stock)
@@ -202,17 +208,24 @@ register("w06_post_sales_lines")(lambda t: _post_sales(t).tables.sale_detail.fil
 
 @register("w07_post_payments")
 def _w07_post(t: Tables) -> DataFrame:
-    """Every payment once more; of every 50 ids, 3 has no amount."""
-    amount = F.when(F.col("payment_id") % 50 != 3, F.col("amount")).alias("amount")
+    """Every payment once more; of every 50 ids, 3 names an unknown purchase, 6 has no amount."""
+    return _post_payments(t).tables.payment
+
+
+def _post_payments(t: Tables) -> LC.JobResult:
+    amount = F.when(F.col("payment_id") % 50 != 6, F.col("amount")).alias("amount")
     rows = t.payment.select("payment_id", "purchase_id", "employee_id", "payment_date", amount, "method")
-    return LC.post_payments(t, _reposted(rows, rows, "payment_id")[0]).tables.payment
+    return LC.post_payments(t, _reposted(rows, rows, "payment_id", "purchase_id")[0])
+
+
+register("w07_post_payments_decisions")(lambda t: _post_payments(t).decisions)
 
 
 def _retransfer(t: Tables) -> LC.JobResult:
     t = _delivered(t)
     heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "employee_id", "transfer_date")
     lines = t.transfer_detail.select("transfer_id", "product_id", "quantity")
-    return LC.post_transfers(t, *_reposted(heads, lines, "transfer_id"))
+    return LC.post_transfers(t, *_reposted(heads, lines, "transfer_id", "branch_id"))
 
 
 register("w03_transfer_admission")(lambda t: _retransfer(t).decisions)
@@ -244,6 +257,8 @@ def _w13(t: Tables) -> DataFrame:
     heads = active(t.sale).select("sale_id", "customer_id", "sale_date", "payment_method")
     lines = (active(t.sale_detail).select("sale_id", "product_id", "quantity")
              .join(t.product.select("product_id", F.col("sale_price_per_kg").alias("price")), "product_id"))
+    customer = F.when(F.col("sale_id") % 50 == 3, NEW_ID_OFFSET).otherwise(F.col("customer_id")).alias("customer_id")  # names no row
+    heads = heads.select("sale_id", customer, "sale_date", "payment_method")
     new = LC.edit_sales(t, _twice(heads, "sale_id"), lines).tables
     return L.sales_list(new, "active").select("sale_id", "total")
 
@@ -254,6 +269,8 @@ def _w14(t: Tables) -> DataFrame:
     heads = active(t.purchase).select("purchase_id", "supplier_id", "warehouse_id", "purchase_date")
     lines = (active(t.purchase_detail).select("purchase_id", "product_id", "quantity")
              .join(t.product.select("product_id", F.col("purchase_price_per_kg").alias("price")), "product_id"))
+    supplier = F.when(F.col("purchase_id") % 50 == 3, NEW_ID_OFFSET).otherwise(F.col("supplier_id")).alias("supplier_id")  # names no row
+    heads = heads.select("purchase_id", supplier, "warehouse_id", "purchase_date")
     return LC.edit_purchases(_delivered(t, "purchase"), _twice(heads, "purchase_id"), lines).decisions
 
 
@@ -261,7 +278,8 @@ def _w14(t: Tables) -> DataFrame:
 def _w15(t: Tables) -> DataFrame:
     """Edit every transfer keeping its places and lines (checks both stock kinds)."""
     heads = t.transfer.select("transfer_id", "warehouse_id", "branch_id", "transfer_date")
-    return LC.edit_transfers(_delivered(t), _twice(heads, "transfer_id"), t.transfer_detail.select("transfer_id", "product_id", "quantity")).decisions
+    product = F.when(F.col("transfer_id") % 50 == 3, F.col("product_id") + NEW_ID_OFFSET).otherwise(F.col("product_id")).alias("product_id")  # names no row
+    return LC.edit_transfers(_delivered(t), _twice(heads, "transfer_id"), t.transfer_detail.select("transfer_id", product, "quantity")).decisions
 
 
 @register("w16_delete_idle_suppliers")
@@ -271,7 +289,15 @@ def _w16(t: Tables) -> DataFrame:
              .join(active(t.purchase).select("purchase_id", "supplier_id"), "purchase_id"))
     busy = large.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("supplier_id")
     idle = t.supplier.join(busy, "supplier_id", "left_anti").select("supplier_id")
-    return LC.set_deleted(t, "supplier", idle).supplier
+    return LC.set_deleted(t, "supplier", idle).tables.supplier
+
+
+@register("w16_recover_products_decisions")
+def _w16_decisions(t: Tables) -> DataFrame:
+    """Recover deleted products, and as many ids that do not exist."""
+    ids = t.product.where(F.col("is_deleted") == 1).select("product_id")
+    ids = ids.unionByName(ids.select((F.col("product_id") + NEW_ID_OFFSET).alias("product_id")))
+    return LC.set_deleted(t, "product", ids, deleted=False).decisions
 
 
 def _supplier_batch(t: Tables) -> LC.JobResult:
@@ -293,10 +319,30 @@ def _w17_products(t: Tables) -> DataFrame:
     return LC.upsert_rows(t, "product", t.product.select("product_id", "product_name", category)).decisions
 
 
+@register("w17_new_products_decisions")
+def _w17_new(t: Tables) -> DataFrame:
+    """Rows without the category column: names of known products change, new products are refused."""
+    new = F.when(F.col("product_id") % 3 == 0, F.col("product_id") + NEW_ID_OFFSET).otherwise(F.col("product_id")).alias("product_id")
+    return LC.upsert_rows(t, "product", t.product.select(new, F.upper("product_name").alias("product_name"))).decisions
+
+
+@register("w17_employees_decisions")
+def _w17_employees(t: Tables) -> DataFrame:
+    """Employees moved to other places; every seventh to a branch that does not exist."""
+    branch = F.when(F.col("employee_id") % 7 == 0, NEW_ID_OFFSET).otherwise(F.col("branch_id")).alias("branch_id")
+    return LC.upsert_rows(t, "employee", t.employee.select("employee_id", "warehouse_id", branch)).decisions
+
+
 @register("w18_delete_customers_without_email")
 def _w18(t: Tables) -> DataFrame:
     gone = t.customer.where(F.col("email").isNull()).select("customer_id")
-    return LC.delete_customers(t, gone).sale.select("sale_id", "customer_id", "branch_id")
+    return LC.delete_customers(t, gone).tables.sale.select("sale_id", "customer_id", "branch_id")
+
+
+@register("w18_delete_customers_decisions")
+def _w18_decisions(t: Tables) -> DataFrame:
+    gone = t.customer.select(F.when(F.col("email").isNull(), F.col("customer_id")).otherwise(F.col("customer_id") + NEW_ID_OFFSET).alias("customer_id"))
+    return LC.delete_customers(t, gone).decisions
 
 
 @register("w19_delete_warehouses")
@@ -389,10 +435,10 @@ def _s07(t: Tables) -> DataFrame:
     start = TB.publish(spark, base, TB.write_snapshot(t, base, ("sale", "sale_detail", "branch_stock")))
     heads = active(t.sale).select("sale_id", "customer_id", "branch_id", "employee_id", "sale_date", "payment_method")
     lines = active(t.sale_detail).select("sale_id", "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
-    batch = _reposted(heads, lines, "sale_id")
+    batch = _reposted(heads, lines, "sale_id", "branch_id")
     version = start
     for _ in range(2):
-        now = TB.load_current(spark, base)
+        now = TB.load_current(spark, base).replace(branch=t.branch, customer=t.customer, employee=t.employee, product=t.product)
         res = LC.post_sales(now, *batch)
         good = res.decisions.where("accepted").select(F.col("doc_id").alias("sale_id"))
         added = {n: TB.write_rows(getattr(res.tables, n).join(good, "sale_id", "left_semi"), base, n) for n in ("sale", "sale_detail")}

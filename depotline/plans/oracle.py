@@ -511,12 +511,19 @@ def _new_id(key: str) -> str:
     return f"CASE WHEN {key}%50=2 THEN {key} ELSE {key}+{OFFSET} END"
 
 
-def _id_reason(key: str) -> str:
-    return f"CASE WHEN {key}%50=1 THEN 'duplicate_in_batch' WHEN {key}%50=2 THEN 'id_exists' END"
+def _id_reason(key: str, ref: str, more: str = "") -> str:
+    """Why a document of a batch is refused by the flaws planted in it."""
+    return (f"CASE WHEN {key}%50=1 THEN 'duplicate_in_batch' WHEN {key}%50=2 THEN 'id_exists' {more} WHEN {key}%50=3 THEN 'unknown_{ref}' "
+            f"WHEN {key}%50=4 THEN 'unknown_product' END")
 
 
 def _good(key: str) -> str:
-    return f"{key}%50 NOT IN (1, 2)"
+    return f"{key}%50 NOT IN (1, 2, 3, 4)"
+
+
+# a sale without live lines names no unknown product
+_GOOD_SALE = """(sale_id%50 NOT IN (1, 2, 3, 4) OR sale_id%50 = 4 AND NOT EXISTS (
+  SELECT 1 FROM s_sale_detail x WHERE x.sale_id = h.sale_id AND x.is_deleted IS NULL))"""
 
 
 def _admission(demand: str, missing_rejects: bool = False) -> str:
@@ -602,8 +609,14 @@ FROM s_warehouse_stock s FULL OUTER JOIN ({_LIVE_PURCHASE_MOVES.replace("GROUP B
   ON m.warehouse_id = s.warehouse_id AND m.product_id = s.product_id""",
     "w04_post_purchases_decisions": f"""
 SELECT {_new_id('purchase_id')} AS doc_id, {_good('purchase_id')} AND {_HAS_LINES} AS accepted,
-       CASE WHEN {_good('purchase_id')} AND NOT {_HAS_LINES} THEN 'no_lines' ELSE {_id_reason('purchase_id')} END AS reason
+       {_id_reason('purchase_id', 'supplier', f"WHEN NOT {_HAS_LINES} THEN 'no_lines'")} AS reason
 FROM s_purchase p WHERE is_deleted IS NULL""",
+    "w04_post_purchases_stray_lines": f"""
+SELECT purchase_id+2*{OFFSET} AS doc_id, product_id, CAST(quantity AS DOUBLE) AS quantity
+FROM s_purchase_detail WHERE is_deleted IS NULL AND purchase_id%50=5
+UNION ALL
+SELECT d.purchase_id+CASE WHEN d.purchase_id%50=2 THEN 0 ELSE {OFFSET} END, d.product_id+CASE WHEN d.purchase_id%50=4 THEN {OFFSET} ELSE 0 END, CAST(d.quantity AS DOUBLE)
+FROM s_purchase_detail d JOIN s_purchase p ON p.purchase_id = d.purchase_id WHERE p.is_deleted = 1 AND d.is_deleted IS NULL""",
     "w04_post_purchases_headers": f"""
 SELECT purchase_id, employee_id, warehouse_id, supplier_id, CAST(purchase_date AS VARCHAR) AS purchase_date, is_deleted FROM s_purchase
 UNION ALL
@@ -621,12 +634,13 @@ SELECT s.branch_id, s.product_id, CAST(s.quantity - COALESCE(m.q, 0) AS DOUBLE)
 FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES.replace("GROUP BY", f"AND {_good('s.sale_id')} GROUP BY")}) m
   ON m.branch_id = s.branch_id AND m.product_id = s.product_id""",
     "w06_post_sales_decisions": f"""
-SELECT {_new_id('sale_id')} AS doc_id, {_good('sale_id')} AS accepted, {_id_reason('sale_id')} AS reason FROM s_sale WHERE is_deleted IS NULL""",
+SELECT {_new_id('sale_id')} AS doc_id, {_GOOD_SALE} AS accepted, CASE WHEN NOT {_GOOD_SALE} THEN {_id_reason('sale_id', 'branch')} END AS reason
+FROM s_sale h WHERE is_deleted IS NULL""",
     "w06_post_sales_headers": f"""
 SELECT sale_id, customer_id, branch_id, employee_id, CAST(sale_date AS VARCHAR) AS sale_date, payment_method, is_deleted FROM s_sale
 UNION ALL
 SELECT sale_id+{OFFSET}, customer_id, branch_id, employee_id, CAST(sale_date AS VARCHAR), payment_method, NULL
-FROM s_sale WHERE is_deleted IS NULL AND {_good('sale_id')}""",
+FROM s_sale h WHERE is_deleted IS NULL AND {_GOOD_SALE}""",
     "w06_post_sales_lines": f"""
 SELECT sale_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(kg_price_at_sale_time AS DOUBLE) AS kg_price_at_sale_time,
        COALESCE(is_deleted, 0) AS is_deleted, COALESCE(is_deleted_with_sale, 0) AS is_deleted_with_sale FROM s_sale_detail
@@ -636,7 +650,7 @@ FROM s_sale_detail d JOIN s_sale s ON s.sale_id = d.sale_id WHERE s.is_deleted I
     "s07_posted_published_read_back": f"""
 SELECT n.sale_id, CAST(COALESCE(SUM(d.quantity*d.kg_price_at_sale_time), 0) AS DOUBLE) AS total
 FROM (SELECT sale_id, sale_id AS old_id FROM s_sale WHERE is_deleted IS NULL
-      UNION ALL SELECT sale_id+{OFFSET}, sale_id FROM s_sale WHERE is_deleted IS NULL AND {_good('sale_id')}) n
+      UNION ALL SELECT sale_id+{OFFSET}, sale_id FROM s_sale h WHERE is_deleted IS NULL AND {_GOOD_SALE}) n
 LEFT JOIN s_sale_detail d ON d.sale_id = n.old_id AND d.is_deleted IS NULL
 GROUP BY n.sale_id""",
     "w07_post_payments": f"""
@@ -644,10 +658,14 @@ SELECT payment_id, purchase_id, employee_id, CAST(payment_date AS VARCHAR) AS pa
        is_deleted_with_purchase FROM s_payment
 UNION ALL
 SELECT payment_id+{OFFSET}, purchase_id, employee_id, CAST(payment_date AS VARCHAR), CAST(amount AS DOUBLE), method, NULL, NULL
-FROM s_payment WHERE payment_id%50 NOT IN (1, 2, 3)""",
+FROM s_payment WHERE payment_id%50 NOT IN (1, 2, 3, 6)""",
+    "w07_post_payments_decisions": f"""
+SELECT {_new_id('payment_id')} AS doc_id, payment_id%50 NOT IN (1, 2, 3, 6) AS accepted,
+       CASE payment_id%50 WHEN 1 THEN 'duplicate_in_batch' WHEN 2 THEN 'id_exists' WHEN 3 THEN 'unknown_purchase' WHEN 6 THEN 'missing_amount' END AS reason
+FROM s_payment""",
     "w03_transfer_admission": (_RETRANSFER, f"""
 SELECT doc_id, accepted, reason FROM decided
-UNION ALL SELECT {_new_id('transfer_id')}, false, {_id_reason('transfer_id')} FROM s_transfer WHERE NOT {_good('transfer_id')}"""),
+UNION ALL SELECT {_new_id('transfer_id')}, false, {_id_reason('transfer_id', 'branch')} FROM s_transfer WHERE NOT {_good('transfer_id')}"""),
     "w05_post_transfers_branch_stock": (_BR_DELIVERED + "," + _RETRANSFER, f"""
 SELECT COALESCE(s.branch_id, m.branch_id) AS branch_id, COALESCE(s.product_id, m.product_id) AS product_id,
        CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
@@ -667,18 +685,19 @@ SELECT doc_id, accepted, reason FROM decided
 UNION ALL SELECT sale_id, true, NULL FROM s_sale s WHERE is_deleted = 1
   AND NOT EXISTS (SELECT 1 FROM s_sale_detail d WHERE d.sale_id = s.sale_id AND d.is_deleted_with_sale = 1)"""),
     "w12_delete_transfers": (_BR_DELIVERED + "," + _admission(_transfer_demand("t.transfer_id", "branch", "true")), "SELECT doc_id, accepted, reason FROM decided"),
-    "w14_edit_purchases": (_WH_BOUGHT + "," + _admission(_purchase_demand("p.purchase_id%50<>1")), f"""
+    "w14_edit_purchases": (_WH_BOUGHT + "," + _admission(_purchase_demand("p.purchase_id%50 NOT IN (1, 3)")), f"""
 SELECT doc_id, accepted, reason FROM decided
 UNION ALL
-SELECT purchase_id, false, CASE WHEN purchase_id%50=1 THEN 'duplicate_in_batch' ELSE 'no_lines' END
-FROM s_purchase p WHERE is_deleted IS NULL AND (purchase_id%50=1 OR NOT {_HAS_LINES})"""),
+SELECT purchase_id, false, CASE WHEN purchase_id%50=1 THEN 'duplicate_in_batch' WHEN NOT {_HAS_LINES} THEN 'no_lines' ELSE 'unknown_supplier' END
+FROM s_purchase p WHERE is_deleted IS NULL AND (purchase_id%50 IN (1, 3) OR NOT {_HAS_LINES})"""),
     "w15_edit_transfers": (_WH_DELIVERED + "," + _BR_DELIVERED + """,
 short AS MATERIALIZED (SELECT DISTINCT t.transfer_id FROM s_transfer t JOIN s_transfer_detail d ON d.transfer_id = t.transfer_id
   LEFT JOIN delivered_warehouse s ON s.warehouse_id = t.warehouse_id AND s.product_id = d.product_id WHERE COALESCE(s.quantity, 0) < 0),"""
-    + _admission(_transfer_demand("t.transfer_id", "branch", "t.transfer_id%50<>1 AND t.transfer_id NOT IN (SELECT transfer_id FROM short)")), """
+    + _admission(_transfer_demand("t.transfer_id", "branch", "t.transfer_id%50 NOT IN (1, 3) AND t.transfer_id NOT IN (SELECT transfer_id FROM short)")), """
 SELECT doc_id, accepted, reason FROM decided
-UNION ALL SELECT transfer_id, false, 'duplicate_in_batch' FROM s_transfer WHERE transfer_id%50=1
-UNION ALL SELECT transfer_id, false, 'insufficient_stock' FROM short WHERE transfer_id%50<>1"""),
+UNION ALL SELECT transfer_id, false, CASE WHEN transfer_id%50=1 THEN 'duplicate_in_batch' ELSE 'unknown_product' END
+FROM s_transfer WHERE transfer_id%50 IN (1, 3)
+UNION ALL SELECT transfer_id, false, 'insufficient_stock' FROM short WHERE transfer_id%50 NOT IN (1, 3)"""),
     "w09_recover_purchases": f"""
 SELECT p.purchase_id AS doc_id, r.purchase_id IS NOT NULL AS accepted,
        CASE WHEN r.purchase_id IS NULL THEN 'no_lines_to_recover' END AS reason
@@ -698,11 +717,22 @@ FROM s_branch_stock s LEFT JOIN ({_LIVE_SALE_MOVES}) m ON m.branch_id = s.branch
     "w13_edit_sales_reprice": """
 SELECT s.sale_id, CAST(COALESCE(SUM(l.quantity * l.price), 0) AS DOUBLE) AS total
 FROM s_sale s LEFT JOIN (
-  SELECT d.sale_id, d.quantity, CASE WHEN d.sale_id%50=1 THEN d.kg_price_at_sale_time ELSE p.sale_price_per_kg END AS price
+  SELECT d.sale_id, d.quantity, CASE WHEN d.sale_id%50 IN (1, 3) THEN d.kg_price_at_sale_time ELSE p.sale_price_per_kg END AS price
   FROM s_sale_detail d JOIN s_product p ON p.product_id = d.product_id
   WHERE d.is_deleted IS NULL) l ON l.sale_id = s.sale_id
 WHERE s.is_deleted IS NULL
 GROUP BY s.sale_id""",
+    "w16_recover_products_decisions": f"""
+SELECT product_id AS doc_id, true AS accepted, NULL AS reason FROM s_product WHERE is_deleted = 1
+UNION ALL SELECT product_id+{OFFSET}, false, 'not_found' FROM s_product WHERE is_deleted = 1""",
+    "w17_new_products_decisions": f"""
+SELECT product_id+CASE WHEN product_id%3=0 THEN {OFFSET} ELSE 0 END AS doc_id, product_id%3<>0 AS accepted,
+       CASE WHEN product_id%3=0 THEN 'missing_category' END AS reason FROM s_product""",
+    "w17_employees_decisions": """
+SELECT employee_id AS doc_id, employee_id%7<>0 AS accepted, CASE WHEN employee_id%7=0 THEN 'unknown_branch' END AS reason FROM s_employee""",
+    "w18_delete_customers_decisions": f"""
+SELECT customer_id+CASE WHEN email IS NULL THEN 0 ELSE {OFFSET} END AS doc_id, email IS NULL AS accepted,
+       CASE WHEN email IS NOT NULL THEN 'not_found' END AS reason FROM s_customer""",
     "w16_delete_idle_suppliers": """
 SELECT su.supplier_id, su.supplier_name, su.location, su.phone_number, su.email,
        CASE WHEN su.supplier_id NOT IN (
