@@ -1,25 +1,29 @@
 """Keep stock current from a stream of movements (Structured Streaming).
 
 A movement is ``movement_id, location_type, location_id, product_id, delta,
-event_time``.  Movements that were applied are kept beside the stock, by day of
-their event; a micro-batch drops its own repetitions and whatever was applied
-before, however long ago.  A replayed movement has the day of the first one, so only
-the days that occur in the batch are read.
-
-Each micro-batch writes what it newly applies, and its deltas summed per (location,
-product); the stock is the last compacted table plus the deltas after it, and every
+event_time``.  The ids of applied movements are the keyed state of the stream, spread
+over the state partitions by the hash of the id and kept in RocksDB: a micro-batch
+looks up and adds its own ids only, whatever the age of the stream, and its
+checkpoint uploads the changes.  A movement delivered again is dropped however long
+ago the first was, also with another event time.  A movement without an id cannot be
+recognised and counts every time it is delivered.
+
+Each micro-batch writes the deltas it newly applies, summed per (location, product);
+the stock is the last compacted table plus the deltas after it, and every
 ``compact_every`` batches the two are folded into one (rule W1).  A batch replayed
-after a failure reads only versions below its own and overwrites its own, so
-restarts from the checkpoint are idempotent.
+after a failure starts from the state before it and overwrites its own version, so
+restarts from the checkpoint are idempotent.  The checkpoint is part of the data: a
+stream that starts with a new one knows none of the ids applied before, so one beside
+stock of earlier batches is refused.
 
-    <out>/applied/v=<n>/day=<date>/   movements that version n applied
-    <out>/delta/v=<n>/                their summed deltas
+    <out>/delta/v=<n>/                summed deltas that version n applied
     <out>/base/v=<n>/                 stock up to version n
     <out>/_versions/                  published versions, and which have a base
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,17 +123,30 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return fold_batch(stock, deltas.withColumnRenamed("quantity", "delta"))
 
 
-def _unapplied(batch: DataFrame, out_dir: str, version: int) -> DataFrame:
-    """Movements of the batch that no version below applied, each once.  A movement
-    without an id cannot be recognised and counts every time it is delivered."""
-    spark = batch.sparkSession
-    batch = batch.withColumn("day", F.coalesce(F.to_date("event_time"), F.lit("1970-01-01").cast("date")))
-    named = batch.where(F.col("movement_id").isNotNull()).dropDuplicates(["movement_id"])
-    if _exists(spark, f"{out_dir}/applied"):
-        before = (spark.read.schema(T.StructType([*MOVEMENT_SCHEMA.fields, T.StructField("v", T.LongType()), T.StructField("day", T.DateType())]))
-                  .parquet(f"{out_dir}/applied").where(F.col("v") < version).select("day", "movement_id"))
-        named = named.join(before, ["day", "movement_id"], "left_anti")
-    return named.unionByName(batch.where(F.col("movement_id").isNull()))
+#: How the ids are kept, whatever the session's own settings for other streams are.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def fresh(movements: DataFrame) -> DataFrame:
+    """Movements that were never delivered before, each once, and all without an id."""
+    key = F.coalesce(F.concat(F.lit("id:"), "movement_id"), F.concat(F.lit("none:"), F.expr("uuid()")))
+    return movements.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """The settings for what is started inside; the session's own come back after."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
@@ -140,6 +157,8 @@ def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpo
     is there in as many micro-batches as the source limits ask for, then stop).
     Version 0 is the opening stock, micro-batch ``b`` makes version b + 1."""
     out_dir = out_dir.rstrip("/")
+    if _last(spark, out_dir) > 0 and not _exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{out_dir} holds applied movements, but {checkpoint} is not the checkpoint that knows their ids")
     if _last(spark, out_dir) < 0:
         start = opening if opening is not None else spark.createDataFrame([], STOCK_SCHEMA)
         start.select(*KEY, F.col("quantity").cast(STOCK_QTY)).write.mode("overwrite").parquet(f"{out_dir}/base/v=0")
@@ -151,21 +170,19 @@ def run_stock_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpo
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session, version = batch.sparkSession, batch_id + 1
-        new = f"{out_dir}/applied/v={version}"
-        _unapplied(batch, out_dir, version).write.mode("overwrite").partitionBy("day").parquet(new)
-        moved = session.read.schema(T.StructType([*MOVEMENT_SCHEMA.fields, T.StructField("day", T.DateType())])).parquet(new)
-        (moved.groupBy(*KEY).agg(F.sum("delta").cast(STOCK_QTY).alias("quantity"))
+        (batch.groupBy(*KEY).agg(F.sum("delta").cast(STOCK_QTY).alias("quantity"))
          .write.mode("overwrite").parquet(f"{out_dir}/delta/v={version}"))
         compact = version - _last(session, out_dir, version - 1, with_base=True) >= compact_every
         if compact:
             read_snapshot(session, f"{out_dir}/v={version}").write.mode("overwrite").parquet(f"{out_dir}/base/v={version}")
         _publish(session, out_dir, version, compact)
 
-    query = (reader.parquet(source_dir).writeStream.foreachBatch(apply)
-             .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True)
-             .queryName(f"stock_fold_{uuid.uuid4().hex[:8]}")
-             .start())
+    with _settings(spark, STATE):
+        query = (fresh(reader.parquet(source_dir)).writeStream.foreachBatch(apply)
+                 .option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True)
+                 .queryName(f"stock_fold_{uuid.uuid4().hex[:8]}")
+                 .start())
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
