@@ -446,6 +446,36 @@ def _s07(t: Tables) -> DataFrame:
     return L.sales_list(TB.load_current(spark, base).replace(customer=t.customer, employee=t.employee, branch=t.branch), "active").select("sale_id", "total")
 
 
+@register("s07_touched_parts_read_back")
+def _s07_touched(t: Tables) -> DataFrame:
+    """All tables as stored parts; delete every 40th active sale by rewriting the parts that hold one, post the
+    same sales again as new parts beside the others, and read the current version's sales list back."""
+    from depotline.session import new_folder
+    from depotline.sources import versions as V
+    from depotline.sources.layout import plain_columns
+
+    spark = t.sale.sparkSession
+    base = new_folder(spark, "s07-parts")
+    V.create(spark, t, base, 2)
+    start, now = V.open_version(spark, base)
+    ids = active(t.sale).where("sale_id % 40 = 7").select("sale_id")
+    places = V.touched(now, start, "sale", ids)
+    res = LC.delete_sales(V.only(now, "sale", places), ids).tables
+    written = V.rewrite(res, base, start, "sale", places) | V.write_parts(res, base, start.buckets, ("branch_stock",))
+    V.publish(spark, base, start, written)
+    second, now = V.open_version(spark, base)
+    gone = now.sale.join(ids, "sale_id", "left_semi")
+    heads = gone.select((F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "customer_id", "branch_id", "employee_id", "sale_date", "payment_method")
+    lines = now.sale_detail.where("is_deleted IS NULL AND is_deleted_with_sale = 1").join(ids, "sale_id", "left_semi").select(
+        (F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
+    res = LC.post_sales(plain_columns(now), heads, lines)
+    good = res.decisions.where("accepted").select(F.col("doc_id").alias("sale_id"))
+    new = res.tables.replace(**{n: getattr(res.tables, n).join(good, "sale_id", "left_semi") for n in ("sale", "sale_detail")})
+    V.publish(spark, base, second, V.write_parts(new, base, second.buckets, ("branch_stock",)),
+              appended=V.write_parts(new, base, second.buckets, ("sale", "sale_detail")))
+    return L.sales_list(V.open_version(spark, base)[1], "active").select("sale_id", "total")
+
+
 register("r21_chart_series_income")(lambda t: R.chart_series("1", R.r01_income_per_branch(t, _S, _E)))
 
 

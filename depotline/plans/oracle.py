@@ -653,6 +653,10 @@ FROM (SELECT sale_id, sale_id AS old_id FROM s_sale WHERE is_deleted IS NULL
       UNION ALL SELECT sale_id+{OFFSET}, sale_id FROM s_sale h WHERE is_deleted IS NULL AND {_GOOD_SALE}) n
 LEFT JOIN s_sale_detail d ON d.sale_id = n.old_id AND d.is_deleted IS NULL
 GROUP BY n.sale_id""",
+    "s07_touched_parts_read_back": f"""
+SELECT CASE WHEN s.sale_id%40=7 THEN s.sale_id+{OFFSET} ELSE s.sale_id END AS sale_id,
+       CAST(COALESCE(SUM(d.quantity*d.kg_price_at_sale_time), 0) AS DOUBLE) AS total
+FROM s_sale s LEFT JOIN s_sale_detail d ON d.sale_id = s.sale_id AND d.is_deleted IS NULL WHERE s.is_deleted IS NULL GROUP BY s.sale_id""",
     "w07_post_payments": f"""
 SELECT payment_id, purchase_id, employee_id, CAST(payment_date AS VARCHAR) AS payment_date, CAST(amount AS DOUBLE) AS amount, method, is_deleted,
        is_deleted_with_purchase FROM s_payment

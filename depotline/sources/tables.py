@@ -104,7 +104,7 @@ def write_snapshot(tables: Tables, base: str, names: tuple[str, ...] | None = No
     return out
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
     """The Hadoop file system of ``path``, and the path in its terms."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -113,7 +113,7 @@ def _folder(spark: SparkSession, path: str):
 
 def current_version(spark: SparkSession, base: str) -> tuple[int, dict[str, list[str]]]:
     """Number of the current version (0: none yet) and the folders of its tables."""
-    fs, place = _folder(spark, f"{base.rstrip('/')}/_manifest")
+    fs, place = folder(spark, f"{base.rstrip('/')}/_manifest")
     if not fs.exists(place):
         return 0, {}
     names = [f.getPath().getName() for f in fs.listStatus(place)]
@@ -138,7 +138,7 @@ def publish(spark: SparkSession, base: str, changed: dict[str, str], appended: d
     tables = {**tables, **{n: [p] for n, p in changed.items()}}
     for name, part in (appended or {}).items():
         tables[name] = [*tables.get(name, []), part]
-    fs, place = _folder(spark, f"{base.rstrip('/')}/_manifest")
+    fs, place = folder(spark, f"{base.rstrip('/')}/_manifest")
     fs.mkdirs(place)
     path = spark._jvm.org.apache.hadoop.fs.Path
     temporary, final = path(place, f"_{uuid.uuid4().hex}"), path(place, f"{number + 1:012d}.json")
