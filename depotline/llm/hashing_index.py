@@ -5,10 +5,11 @@ fitted to a bounded sample (iterative quantisation: turn the sample's principal
 lose least), as many as the code needs.  So that nearness is the inner product, candidates get one
 more component that brings them all to the largest norm, and queries get a zero there.
 
-A code is split into ``PARTS`` substrings, and each block of codes is indexed by each of them.  If two
+A code is split into ``PARTS`` substrings, and each block of codes is indexed by each of them when it is
+written.  If two
 codes differ in at most r bits, some substring differs in at most r // PARTS (pigeonhole); so probing
 the buckets within that distance of the query's substrings finds every code within r.  Codes found
-are checked on the whole code, and those within r are reranked by exact inner products.  The radius
+are checked on the whole code, and of those within r, and of no others, the inner products are taken.  The radius
 is learned on the sample: it holds the wanted share of the sample's true neighbours.  Neighbours only
 come closer as rows are added, so the share holds for the whole table; a block with fewer than k
 codes within the radius is probed further, to its k-th nearest code.
@@ -22,6 +23,7 @@ no part.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -103,32 +105,60 @@ def fit(sample: pd.DataFrame, norms: dict[int, float], k: int, wanted: float = W
     return out
 
 
-def probe(side_codes: np.ndarray, ask_codes: np.ndarray, reach: int) -> np.ndarray:
-    """Which codes have a substring within ``reach`` bits of the query's, by the buckets of each
-    substring; a matrix of queries and codes."""
-    hit = np.zeros((len(ask_codes), len(side_codes)), bool)
-    for j in range(PARTS):
-        buckets, member = np.unique(side_codes[:, j], return_inverse=True)
-        near = np.bitwise_count(ask_codes[:, j, None] ^ buckets[None, :]) <= reach
-        hit |= near[:, member]
-    return hit
-
-
-def within(side_codes: np.ndarray, ask_codes: np.ndarray, radius: int, k: int, own: np.ndarray) -> np.ndarray:
-    """Codes within the radius of each query, or within the distance of its k-th nearest code if
-    fewer than k are; none of its own rows."""
-    hit = probe(side_codes, ask_codes, radius // PARTS) & ~own
-    rows, cols = np.nonzero(hit)
-    x, y = ask_codes.view("<u8"), side_codes.view("<u8")
-    gap = sum(np.bitwise_count(x[rows, j] ^ y[cols, j]).astype(np.int16) for j in range(x.shape[1]))
-    keep = gap <= radius
-    hit[rows[~keep], cols[~keep]] = False
-    few = np.flatnonzero(hit.sum(1) < min(k, hit.shape[1]))
-    if len(few):
-        gaps = np.where(own[few], BITS + 1, distances(ask_codes[few], side_codes))
-        kth = np.partition(gaps, min(k, gaps.shape[1]) - 1, axis=1)[:, min(k, gaps.shape[1]) - 1]
-        hit[few] = gaps <= np.minimum(kth, BITS)[:, None]
-    return hit
+def index(side_codes: np.ndarray) -> np.ndarray:
+    """For each substring the rows in the order of its values: rows of equal values, a bucket, stand together."""
+    return np.argsort(side_codes, axis=0, kind="stable").astype("<u2")
+
+
+@lru_cache(maxsize=32)
+def flips(reach: int) -> np.ndarray:
+    """All 16-bit numbers of at most ``reach`` set bits: what a substring is flipped by to name its buckets."""
+    every = np.arange(1 << 16, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= reach]
+
+
+class Buckets:
+    """The stored index of a block: for each substring its values and where their buckets lie."""
+
+    def __init__(self, side_codes: np.ndarray, order: np.ndarray) -> None:
+        self.codes, self.order = side_codes, order
+        self.values, self.ends = [], []
+        for j in range(PARTS):
+            sorted_codes = side_codes[order[:, j], j]
+            first = np.flatnonzero(np.append(True, sorted_codes[1:] != sorted_codes[:-1])) if len(sorted_codes) else np.zeros(0, int)
+            self.values.append(sorted_codes[first])
+            self.ends.append(np.append(first, len(sorted_codes)))
+
+    def probe(self, code: np.ndarray, reach: int) -> np.ndarray:
+        """Rows that have a substring within ``reach`` bits of the code's, as marks: the buckets so near are
+        named one by one where those are fewer than the buckets there are, else found among them."""
+        hit = np.zeros(len(self.codes), bool)
+        for j in range(PARTS):
+            values, ends = self.values[j], self.ends[j]
+            if len(flips(reach)) < len(values):
+                named = code[j] ^ flips(reach)
+                at = np.searchsorted(values, named)
+                near = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == named)]
+            else:
+                near = np.flatnonzero(np.bitwise_count(values ^ code[j]) <= reach)
+            if len(near) == len(values):
+                return np.ones(len(self.codes), bool)
+            size = ends[near + 1] - ends[near]
+            place = np.arange(size.sum()) + np.repeat(ends[near] - (np.cumsum(size) - size), size)
+            hit[self.order[place, j]] = True
+        return hit
+
+
+def within(buckets: Buckets, code: np.ndarray, radius: int, k: int, own: np.ndarray) -> np.ndarray:
+    """Rows whose codes are within the radius of the code, or within the distance of its k-th nearest
+    code if fewer than k are; none of its own rows (marks)."""
+    found = np.flatnonzero(buckets.probe(code, radius // PARTS) & ~own)
+    found = found[distances(code[None, :], buckets.codes[found])[0] <= radius]
+    others = np.flatnonzero(~own)
+    if len(found) < min(k, len(others)):
+        gap = distances(code[None, :], buckets.codes[others])[0]
+        found = others[gap <= np.partition(gap, min(k, len(others)) - 1)[min(k, len(others)) - 1]]
+    return found
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, wanted: float = WANTED, id_col: str = "vec_id",
@@ -147,28 +177,29 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, wanted: float = WAN
         def run(mat: np.ndarray) -> dict[str, np.ndarray]:
             dim = mat.shape[1]
             if dim not in model.directions:  # searched whole: all codes equal
-                return {"vec": mat, "code": np.zeros((len(mat), PARTS), "<u2")}
-            unit = mat / model.norm[dim]
-            return {"vec": mat, "code": codes(lifted(unit, 0.0 if is_query else 1.0), model.directions[dim])}
+                code = np.zeros((len(mat), PARTS), "<u2")
+            else:
+                code = codes(lifted(mat / model.norm[dim], 0.0 if is_query else 1.0), model.directions[dim])
+            return {"vec": mat, "code": code, "order": index(code)}
         return run
 
     def kernel(side: dict, ask: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
         ids, v, q = side["vec_id"], side["vec"], ask["vec"]
-        own = ask["vec_id"][:, None] == ids[None, :]
-        hit = within(side["code"], ask["code"], model.radius.get(side["dim"], BITS), k, own)
-        by_v, by_q = _scale(v), _scale(q)
-        rough = np.where(hit, (q / by_q) @ (v / by_v).T, -np.inf)
-        n = min(k, len(ids))
-        cut = np.partition(rough, -n, axis=1)[:, -n] - 1e-9  # rounding of the product moves no score so far
+        buckets, by_v, n = Buckets(side["code"], side["order"]), _scale(v), min(k, len(ids))
+        radius = model.radius.get(side["dim"], BITS)
         out_s, out_i = np.zeros((len(q), n)), np.full((len(q), n), tiles.NONE, np.int64)
         for r in range(len(q)):
-            at = np.flatnonzero(hit[r] & (rough[r] >= cut[r]))
+            at = within(buckets, ask["code"][r], radius, k, ids == ask["vec_id"][r])  # rows ascend, and ids with them
+            rough = (v[at] / by_v) @ (q[r] / _scale(q[r]))  # of retrieved rows only
+            if len(at) > n:
+                keep = rough >= np.partition(rough, -n)[-n] - 1e-9  # rounding of the product moves no score so far
+                at = at[keep]
             score = tiles.exact_scores(np.broadcast_to(q[r], (len(at), q.shape[1])), v[at])
-            first = np.argsort(-score, kind="stable")[:n]  # ids ascend within a block
+            first = np.argsort(-score, kind="stable")[:n]
             out_s[r, : len(first)], out_i[r, : len(first)] = score[first], ids[at[first]]
         return out_s, out_i
 
     asked = rows.where(F.col("vec_id") % every == 0)
-    both = (tiles.stage(tiles.blocks(rows, tiles.CANDIDATES_PER_BLOCK, encode(False), ["vec", "code"]), "codes"),
-            tiles.stage(tiles.blocks(asked, tiles.QUERIES_PER_BLOCK, encode(True), ["vec", "code"]), "code-queries"))
-    return tiles.search(*both, {"vec": ("<f8", None), "code": ("<u2", PARTS)}, kernel, k, "double")
+    both = (tiles.stage(tiles.blocks(rows, tiles.CANDIDATES_PER_BLOCK, encode(False), ["vec", "code", "order"]), "codes"),
+            tiles.stage(tiles.blocks(asked, tiles.QUERIES_PER_BLOCK, encode(True), ["vec", "code", "order"]), "code-queries"))
+    return tiles.search(*both, {"vec": ("<f8", None), "code": ("<u2", PARTS), "order": ("<u2", PARTS)}, kernel, k, "double")

@@ -22,7 +22,7 @@ from depotline.session import stage
 
 CANDIDATES_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
-QUERY_BLOCKS_PER_CELL = 8
+QUERY_BLOCKS_PER_CELL, CANDIDATE_BLOCKS_PER_CELL = 8, 8
 FAN_IN = 16
 
 #: A kernel takes the candidates' ids and block, the queries' ids and block (each a dict of arrays)
@@ -100,7 +100,10 @@ def search(candidates: DataFrame, queries: DataFrame, types: dict[str, tuple[str
     numpy type and their number of columns (None: the dimension)."""
     names = list(types)
     n_queries, n_blocks = queries.count(), candidates.count()
-    columns, stripes = max(1, n_blocks), max(1, ceil(n_queries / QUERY_BLOCKS_PER_CELL))
+    stripes = max(1, ceil(n_queries / QUERY_BLOCKS_PER_CELL))
+    # a query block goes to every column: as few as hold the candidates, but a cell a core while there are blocks for it
+    spare = ceil(candidates.sparkSession.sparkContext.defaultParallelism / stripes)
+    columns = max(1, min(n_blocks, max(ceil(n_blocks / CANDIDATE_BLOCKS_PER_CELL), spare)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = candidates.select("*", spread("block", columns).alias("column")).select("*", every(stripes).alias("stripe"))
