@@ -446,6 +446,23 @@ def _s07(t: Tables) -> DataFrame:
     return L.sales_list(TB.load_current(spark, base).replace(customer=t.customer, employee=t.employee, branch=t.branch), "active").select("sale_id", "total")
 
 
+@register("s01_load_payments_with_rejects")
+def _s01(t: Tables) -> DataFrame:
+    """Payments as CSV text with planted flaws of amount, date and reference, loaded again; rows and rejects."""
+    from depotline.session import new_folder
+    from depotline.sources.tables import read_with_rejects
+
+    of = lambda n: F.col("payment_id") % 40 == n
+    flawed = {"amount": F.when(of(1), F.lit("12,5o")).otherwise(F.col("amount").cast("string")),
+              "payment_date": F.when(of(2), F.lit("1997-13-40")).otherwise(F.col("payment_date").cast("string")),
+              "purchase_id": F.when(of(3), F.lit("P-7")).otherwise(F.col("purchase_id").cast("string"))}
+    path = new_folder(t.payment.sparkSession, "s01")
+    t.payment.select(*(flawed[c].alias(c) if c in flawed else c for c in t.payment.columns)).write.option("header", "true").csv(path)
+    good, bad = read_with_rejects(t.payment.sparkSession, path, "payment")
+    rows = good.select(F.col("payment_id").cast("string").alias("payment_id"), F.col("amount").cast("double").alias("amount"), F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(bad.select(F.get_json_object("record", "$.payment_id").alias("payment_id"), F.lit(None).cast("double").alias("amount"), "reason"))
+
+
 @register("s07_touched_parts_read_back")
 def _s07_touched(t: Tables) -> DataFrame:
     """All tables as stored parts; delete every 40th active sale by rewriting the parts that hold one, post the

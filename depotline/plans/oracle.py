@@ -163,13 +163,10 @@ FROM s_sale s JOIN s_branch b ON b.branch_id = s.branch_id
 WHERE s.is_deleted IS NULL AND b.is_deleted IS NULL AND {_range('s.sale_date')}
 GROUP BY b.branch_name""",
     "r03_avg_sale_per_branch": f"""
-SELECT b.branch_name, ROUND(CAST(AVG(x.amount) AS DOUBLE), 4) AS avg_sale_amount
-FROM s_branch b JOIN (
-  SELECT s.sale_id, s.branch_id, SUM(d.quantity*d.kg_price_at_sale_time) AS amount
-  FROM s_sale s JOIN s_sale_detail d ON d.sale_id = s.sale_id
-  WHERE s.is_deleted IS NULL AND d.is_deleted IS NULL AND {_range('s.sale_date')}
-  GROUP BY s.sale_id, s.branch_id) x ON x.branch_id = b.branch_id
-WHERE b.is_deleted IS NULL
+SELECT b.branch_name, ROUND(CAST(SUM(d.quantity*d.kg_price_at_sale_time) / COUNT(DISTINCT s.sale_id) AS DOUBLE), 4) AS avg_sale_amount
+FROM s_sale_detail d, s_sale s, s_branch b
+WHERE s.sale_id = d.sale_id AND b.branch_id = s.branch_id AND d.is_deleted IS NULL AND s.is_deleted IS NULL AND b.is_deleted IS NULL
+  AND {_range('s.sale_date')}
 GROUP BY b.branch_name""",
     "r04_daily_amount_for_branch": f"""
 SELECT CAST(s.sale_date AS VARCHAR) AS sale_date, CAST(SUM(d.quantity*d.kg_price_at_sale_time) AS DOUBLE) AS daily_amount
@@ -653,6 +650,9 @@ FROM (SELECT sale_id, sale_id AS old_id FROM s_sale WHERE is_deleted IS NULL
       UNION ALL SELECT sale_id+{OFFSET}, sale_id FROM s_sale h WHERE is_deleted IS NULL AND {_GOOD_SALE}) n
 LEFT JOIN s_sale_detail d ON d.sale_id = n.old_id AND d.is_deleted IS NULL
 GROUP BY n.sale_id""",
+    "s01_load_payments_with_rejects": """
+SELECT CAST(payment_id AS VARCHAR) AS payment_id, CASE WHEN payment_id%40 NOT IN (1, 2, 3) THEN CAST(amount AS DOUBLE) END AS amount,
+       CASE payment_id%40 WHEN 1 THEN 'bad_amount' WHEN 2 THEN 'bad_payment_date' WHEN 3 THEN 'bad_purchase_id' END AS reason FROM s_payment""",
     "s07_touched_parts_read_back": f"""
 SELECT CASE WHEN s.sale_id%40=7 THEN s.sale_id+{OFFSET} ELSE s.sale_id END AS sale_id,
        CAST(COALESCE(SUM(d.quantity*d.kg_price_at_sale_time), 0) AS DOUBLE) AS total

@@ -6,6 +6,8 @@ The library never creates a session for a cluster job: callers pass their own.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -87,6 +89,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/depotline-{name}-{uuid.uuid4().hex}"
 
 
+_scopes: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("depotline_scopes", default=())
+
+
+@contextlib.contextmanager
+def staged_tables():
+    """Removes, at its end, every table that ``stage`` wrote inside and that is not taken out of the list
+    it gives.  Results of jobs read staged tables when they are written, so a caller writes them inside:
+
+        with staged_tables():
+            publish(... write_table(lifecycle.post_sales(t, headers, lines).tables.sale, ...) ...)
+    """
+    written: list[DataFrame] = []
+    token = _scopes.set((*_scopes.get(), written))
+    try:
+        yield written
+    finally:
+        _scopes.reset(token)
+        unstage(*written)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to a fresh folder under the shared checkpoint folder and
     read it back.
@@ -101,6 +123,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._depotline_stage = path
+    if _scopes.get():
+        _scopes.get()[-1].append(out)
     return out
 
 

@@ -14,10 +14,13 @@ either the old version or the new one, and no publication is lost.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depotline.schemas import SCHEMAS, TABLE_NAMES
 
@@ -79,6 +82,47 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     return Tables(**frames)
 
 
+#: Name of the text of a row that is no row of its file format.
+CORRUPT = "_corrupt_record"
+
+
+def read_with_rejects(spark: SparkSession, path: str, name: str, fmt: str = "csv", options: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 for text files of a table: (rows with the fixed schema, rejects ``table_name, reason, record``).
+
+    Every column is read as text and cast on its own.  A row with a text that does not fit its column is
+    rejected as ``bad_<column>`` (the first such column), a row that the format cannot read as
+    ``malformed``; ``record`` is the row as JSON, or its raw text.  Blank text is NULL, never a reject."""
+    fields = SCHEMAS[name].fields
+    raw_schema = ", ".join([*(f"`{f.name}` string" for f in fields), f"{CORRUPT} string"])
+    reader = spark.read.format(fmt).schema(raw_schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    raw = reader.option("header", "true").options(**(options or {})).load(path)
+    text = {f.name: F.when(F.trim(f.name) != "", F.col(f.name)) for f in fields}
+    cast = {f.name: F.trim(text[f.name]).try_cast(f.dataType) if not isinstance(f.dataType, T.StringType) else F.col(f.name) for f in fields}
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed"))
+    for f in fields:
+        if not isinstance(f.dataType, T.StringType):
+            reason = reason.when(text[f.name].isNotNull() & cast[f.name].isNull(), F.lit(f"bad_{f.name}"))
+    marked = raw.withColumn("_reason", reason)
+    good = marked.where(F.col("_reason").isNull()).select(*(cast[f.name].alias(f.name) for f in fields))
+    record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*(f.name for f in fields))))
+    return good, marked.where(F.col("_reason").isNotNull()).select(F.lit(name).alias("table_name"), F.col("_reason").alias("reason"), record.alias("record"))
+
+
+def load_with_rejects(spark: SparkSession, path: str, fmt: str = "csv", options: dict[str, str] | None = None,
+                      max_reject_share: float | None = None) -> tuple[Tables, DataFrame]:
+    """All fifteen tables of text files under ``path``, and the rejects of all of them.
+
+    With ``max_reject_share`` a table of which a larger share of rows is rejected fails the load (one
+    count a table); otherwise nothing is run here."""
+    both = {n: read_with_rejects(spark, f"{path.rstrip('/')}/{n}", n, fmt, options) for n in TABLE_NAMES}
+    if max_reject_share is not None:
+        for name, (good, bad) in both.items():
+            n_good, n_bad = good.count(), bad.count()
+            if n_bad > max_reject_share * (n_good + n_bad):
+                raise ValueError(f"{n_bad} of {n_good + n_bad} rows of {name} are rejected")
+    return Tables(**{n: good for n, (good, _) in both.items()}), functools.reduce(DataFrame.unionByName, (bad for _, bad in both.values()))
+
+
 def write_table(df: DataFrame, base: str, name: str, partition_by: tuple[str, ...] = (),
                 fmt: str = "parquet") -> str:
     """Write one table as a new snapshot version and return its directory.
