@@ -9,6 +9,17 @@ again as the next stage's ``docs``.  All stages but the last return the columns
 * packing: the documents become token sequences, one row a piece, with its ids as little-endian 32-bit
   numbers; a document's pieces in order of ``start`` give the redacted text back, and the end id.
 
+Defined results, for every stage and for run():
+
+* null and empty texts score 0 as documents without lines and go in the first stage; given to a later
+  stage they stay, have no secrets, and pack as the end id alone.
+* null ids are values like any other: such rows are scored, and stay as others do; near-duplicates that
+  all lack an id keep one of them.  Of repeated rows one stays.
+* texts of any length are worked on whole, in slices of bounded bytes.
+* ties: of near-duplicates of one id (repeated with different texts) the first read stays.
+* an empty table, or one of which a stage keeps nothing, gives an empty table with the same columns.
+* further columns, whatever their names, are carried along to the last stage and play no part.
+
 SQL cannot express the stages, so there is no ``ORACLE_SQL``; ``tests/llm`` holds the stages against
 plain versions.
 """
@@ -21,7 +32,7 @@ from pyspark.sql import functions as F
 
 from depotline.llm import chosen_path, line_crf, packing, secrets
 from depotline.llm.common import table
-from depotline.session import stage
+from depotline.session import stage, staged_tables, unstage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with staged_tables() as inner:  # a stage's own tables go when its result is written, and then its input
+            out = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+            inner.remove(out)
+        unstage(docs)
+        docs = out
     return docs
