@@ -162,14 +162,15 @@ def _counted_branch_stock(t: Tables) -> Tables:
 
 def _delivered(t: Tables, of: str = "transfer") -> Tables:
     """Stock after a delivery of three quarters of what all transfers (or live purchases) moved through the
-    warehouses, and nine tenths of what transfers brought to the branches: it covers a part of each batch."""
+    warehouses, and at the branches of all that transfers brought, of every fifth product four fifths: it
+    covers a part of each batch."""
     def more(lines: DataFrame, loc: str, share: str) -> DataFrame:
         return lines.groupBy(loc, "product_id").agg(F.expr(f"cast(floor(sum(quantity)) as bigint) * {share}").alias("delta"))
 
     moved = t.transfer.join(t.transfer_detail, "transfer_id")
     bought = active(t.purchase).select("purchase_id", "warehouse_id").join(active(t.purchase_detail), "purchase_id")
     warehouse = S.apply_upsert(t.warehouse_stock, more(moved if of == "transfer" else bought, "warehouse_id", "3 div 4"), "warehouse_id")
-    branch = S.apply_upsert(t.branch_stock, more(moved, "branch_id", "9 div 10"), "branch_id")
+    branch = S.apply_upsert(t.branch_stock, more(moved, "branch_id", "(CASE WHEN product_id % 5 = 0 THEN 8 ELSE 10 END) div 10"), "branch_id")
     return t.replace(warehouse_stock=conform(warehouse, "warehouse_stock"), branch_stock=conform(branch, "branch_stock"))
 
 

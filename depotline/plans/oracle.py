@@ -567,7 +567,7 @@ _ALL_PURCHASES = """SELECT p.warehouse_id AS place, d.product_id, d.quantity FRO
   WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL"""
 _WH_DELIVERED = _delivered("warehouse", "3 // 4", _all_transfers("warehouse"))
 _WH_BOUGHT = _delivered("warehouse", "3 // 4", _ALL_PURCHASES)
-_BR_DELIVERED = _delivered("branch", "9 // 10", _all_transfers("branch"))
+_BR_DELIVERED = _delivered("branch", "(CASE WHEN product_id%5=0 THEN 8 ELSE 10 END) // 10", _all_transfers("branch"))
 
 
 def _transfer_demand(doc_id: str, kind: str, where: str) -> str:
