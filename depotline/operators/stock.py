@@ -82,17 +82,58 @@ def rebuild_stock(t: Tables) -> tuple[DataFrame, DataFrame]:
     return of(WAREHOUSE, "warehouse_id"), of(BRANCH, "branch_id")
 
 
+KEY = ["location_type", "location_id", "product_id"]
+
+
 def reconcile(t: Tables) -> DataFrame:
     """Snapshot vs rebuild for both location kinds, every key of either side."""
-    key = ["location_type", "location_id", "product_id"]
+    return against(t, _rebuilt(t))
+
+
+def against(t: Tables, rebuilt: DataFrame) -> DataFrame:
+    """The snapshot of ``t`` beside rebuilt stock: location_type, location_id, product_id, quantity."""
+    key = KEY
     of = lambda df, kind, loc: df.select(F.lit(kind).alias("location_type"), F.col(loc).alias("location_id"), "product_id",
                                          F.col("quantity").alias("snapshot_qty"))
     snapshot = of(t.warehouse_stock, WAREHOUSE, "warehouse_id").unionByName(of(t.branch_stock, BRANCH, "branch_id"))
     zero = F.lit(0).cast(STOCK_QTY)
-    return (snapshot.join(_rebuilt(t).withColumnRenamed("quantity", "rebuilt_qty"), key, "full_outer")
+    return (snapshot.join(rebuilt.withColumnRenamed("quantity", "rebuilt_qty"), key, "full_outer")
             .select(*key, "snapshot_qty", "rebuilt_qty",
                     (F.coalesce(F.col("snapshot_qty"), zero) - F.coalesce(F.col("rebuilt_qty"), zero)).alias("difference"),
                     F.when(F.col("snapshot_qty").isNull(), F.lit("missing_in_snapshot"))
                     .when(F.col("rebuilt_qty").isNull(), F.lit("missing_in_rebuild"))
                     .when(F.col("snapshot_qty") == F.col("rebuilt_qty"), F.lit("match"))
                     .otherwise(F.lit("differs")).alias("status")))
+
+
+# ------------------------------------------------------------------ balances carried between versions
+BALANCE = "location_type string, location_id long, product_id long, quantity decimal(20,2), movements long, valued long"
+
+
+def balances(t: Tables) -> DataFrame:
+    """Rebuilt stock that changes can be folded into: quantity (0 where no movement has one), number of
+    movements, and of those with a quantity."""
+    return _summed(_signed(t, 1))
+
+
+def fold(kept: DataFrame, before: Tables, after: Tables) -> DataFrame:
+    """``kept`` balances without the documents of ``before`` and with those of ``after``.  A key whose last
+    movement left is gone, as in a rebuild."""
+    change = _summed(_signed(before, -1).unionByName(_signed(after, 1)))
+    return _summed(kept.unionByName(change)).where("movements <> 0")
+
+
+def rebuilt_of(kept: DataFrame) -> DataFrame:
+    """Balances as ``rebuild_stock`` gives them: NULL where no movement has a quantity."""
+    return kept.select(*KEY, F.when(F.col("valued") != 0, F.col("quantity")).alias("quantity"))
+
+
+def _signed(t: Tables, sign: int) -> DataFrame:
+    has = F.col("delta").isNotNull()
+    return movements(t).select(*KEY, F.when(has, F.col("delta") * sign).otherwise(0).cast(STOCK_QTY).alias("quantity"),
+                               F.lit(sign).cast("long").alias("movements"), F.when(has, sign).otherwise(0).cast("long").alias("valued"))
+
+
+def _summed(signed: DataFrame) -> DataFrame:
+    sums = [F.sum("quantity").cast(STOCK_QTY).alias("quantity"), F.sum("movements").alias("movements"), F.sum("valued").alias("valued")]
+    return signed.groupBy(*KEY).agg(*sums)

@@ -81,6 +81,11 @@ def read_version(spark: SparkSession, base: str, number: int | None = None) -> V
     return Version(number, body["buckets"], parts)
 
 
+def derived(base: str, what: str, number: int) -> str:
+    """Folder of a kept result of a version (see ``sources.changes``)."""
+    return f"{base.rstrip('/')}/_derived/{what}/{number:012d}"
+
+
 def _write_manifest(spark: SparkSession, base: str, version: Version) -> None:
     fs, place = folder(spark, f"{base.rstrip('/')}/_manifest")
     fs.mkdirs(place)
@@ -104,7 +109,9 @@ def _placed(tables: Tables, name: str, buckets: int) -> DataFrame:
     if name == kind:
         df = df.select("*", month)
     else:
-        df = df.join(conform(getattr(tables, kind), kind).select(key, month), key, "left").fillna(NO_MONTH, [MONTH])
+        # of an id that stands twice, lines follow one header and come once
+        months = conform(getattr(tables, kind), kind).groupBy(key).agg(F.min(month).alias(MONTH))
+        df = df.join(months, key, "left").fillna(NO_MONTH, [MONTH])
     return df.select(*SCHEMAS[name].names, MONTH, F.pmod(F.hash(key), F.lit(buckets)).alias(BUCKET))
 
 
@@ -242,7 +249,10 @@ def vacuum(spark: SparkSession, base: str, keep: int, grace_seconds: float = 7 *
             fs.delete(place, True)
             removed.append(p)
     if len(removed) == len(dead):  # else the old manifests still name what is left to remove
+        fs, kinds = folder(spark, f"{base.rstrip('/')}/_derived")
+        whats = [f.getPath().getName() for f in fs.listStatus(kinds)] if fs.exists(kinds) else []
         for n in old:
-            fs, place = folder(spark, _path(base, n))
-            fs.delete(place, False)
+            for path in (_path(base, n), *(derived(base, what, n) for what in whats)):
+                fs, place = folder(spark, path)
+                fs.delete(place, True)
     return removed
