@@ -355,14 +355,16 @@ def _w19(t: Tables) -> DataFrame:
     return LC.delete_warehouses(t, ids).decisions
 
 
-@register("s02_fk_audit")
-def _s02(t: Tables) -> DataFrame:
-    """The audit of tables with planted orphans, repeated keys and NULLs."""
+def _flawed(t: Tables) -> Tables:
+    """Tables with planted orphans, repeated keys and NULLs."""
     lost = lambda key, every: F.when(F.col(key) % every == 0, F.col(key) + NEW_ID_OFFSET).otherwise(F.col(key)).alias(key)
     purchase = t.purchase.select("purchase_id", "employee_id", "warehouse_id", lost("supplier_id", 10), "purchase_date", "is_deleted")
     sale = t.sale.select(F.when(F.col("sale_id") % 1000 != 7, F.col("sale_id")).alias("sale_id"), *t.sale.columns[1:])
     stock = t.branch_stock.withColumn("quantity", F.when(F.col("product_id") % 100 != 3, F.col("quantity")))
-    return Q.audit(t.replace(purchase=_twice(purchase, "purchase_id"), sale=sale, branch_stock=stock))
+    return t.replace(purchase=_twice(purchase, "purchase_id"), sale=sale, branch_stock=stock)
+
+
+register("s02_fk_audit")(lambda t: Q.audit(_flawed(t)))
 
 
 @register("s04_explode_sale_forms")
@@ -494,6 +496,50 @@ def _s07_touched(t: Tables) -> DataFrame:
     return L.sales_list(V.open_version(spark, base)[1], "active").select("sale_id", "total")
 
 
+@register("s02_audit_of_versions")
+def _s02_versions(t: Tables) -> DataFrame:
+    """The audit of a third version, carried from that of the first: tables with planted flaws are stored and
+    audited; then half of the unknown suppliers come and payments are repeated, in parts beside the others;
+    then customers leave and half of the stock rows without a quantity get one."""
+    from depotline.operators import versioned as W
+    from depotline.session import new_folder
+    from depotline.sources import versions as V
+
+    spark, base = t.sale.sparkSession, new_folder(t.sale.sparkSession, "s02-parts")
+    t, whole_stock = _flawed(t), t.branch_stock
+    first = V.create(spark, t, base, 2)
+    W.audit_version(spark, base)
+    came = t.supplier.where("supplier_id % 20 = 0").withColumn("supplier_id", F.col("supplier_id") + NEW_ID_OFFSET)
+    more = t.replace(supplier=came, payment=t.payment.where("payment_id % 30 = 4"))
+    second = V.publish(spark, base, first, {}, appended=V.write_parts(more, base, 2, ("supplier", "payment")))
+    stock = whole_stock.withColumn("quantity", F.when(F.col("product_id") % 200 != 3, F.col("quantity")))
+    after = t.replace(customer=t.customer.where("customer_id % 70 <> 9"), branch_stock=stock)
+    V.publish(spark, base, second, V.write_parts(after, base, 2, ("customer", "branch_stock")))
+    return W.audit_version(spark, base)
+
+
+@register("x01_reconcile_of_versions")
+def _x01_versions(t: Tables) -> DataFrame:
+    """Stock against documents of which some were deleted and some posted since the balances were made, by
+    jobs that left the stock as it was: every 40th active sale in rewritten parts, every 40th purchase once
+    more in parts beside the others."""
+    from depotline.operators import versioned as W
+    from depotline.session import new_folder
+    from depotline.sources import versions as V
+
+    spark, base = t.sale.sparkSession, new_folder(t.sale.sparkSession, "x01-parts")
+    V.create(spark, t, base, 2)
+    W.balances_of_version(spark, base)
+    start, now = V.open_version(spark, base)
+    ids = active(t.sale).where("sale_id % 40 = 7").select("sale_id")
+    places = V.touched(now, start, "sale", ids)
+    start = V.publish(spark, base, start, V.rewrite(LC.delete_sales(V.only(now, "sale", places), ids).tables, base, start, "sale", places))
+    again = lambda df: df.where("purchase_id % 40 = 9").withColumn("purchase_id", F.col("purchase_id") + NEW_ID_OFFSET)
+    more = t.replace(purchase=again(t.purchase), purchase_detail=again(t.purchase_detail))
+    V.publish(spark, base, start, {}, appended=V.write_parts(more, base, 2, ("purchase", "purchase_detail")))
+    return W.reconcile_version(spark, base)
+
+
 register("r21_chart_series_income")(lambda t: R.chart_series("1", R.r01_income_per_branch(t, _S, _E)))
 
 

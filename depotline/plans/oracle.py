@@ -596,9 +596,20 @@ _FULL_WAREHOUSE = f"""
 _RETRANSFER = _WH_DELIVERED + "," + _admission(_transfer_demand(_new_id("t.transfer_id"), "warehouse", _good("t.transfer_id")))
 _HAS_LINES = "EXISTS (SELECT 1 FROM s_purchase_detail d WHERE d.purchase_id = p.purchase_id AND d.is_deleted IS NULL)"
 
+_FLAWED = f"""
+a_purchase AS (SELECT purchase_id, employee_id, warehouse_id, CASE WHEN supplier_id%10=0 THEN supplier_id+{OFFSET} ELSE supplier_id END AS supplier_id
+  FROM (SELECT * FROM s_purchase UNION ALL SELECT * FROM s_purchase WHERE purchase_id%50=1)),
+a_sale AS (SELECT CASE WHEN sale_id%1000<>7 THEN sale_id END AS sale_id, customer_id, branch_id, employee_id FROM s_sale),
+a_branch_stock AS (SELECT branch_id, product_id, CASE WHEN product_id%100<>3 THEN quantity END AS quantity FROM s_branch_stock)"""
+
 JOB_SQL: dict[str, str] = {
     "x01_stock_reconcile": (_COUNTED, _reconcile_sql("warehouse", _FULL_WAREHOUSE, "warehouse_id", _WH_REBUILD)
     + "\nUNION ALL\n" + _reconcile_sql("branch", "counted", "branch_id", _BR_REBUILD)),
+    "x01_reconcile_of_versions":
+        _reconcile_sql("warehouse", "s_warehouse_stock", "warehouse_id",
+                       _WH_REBUILD.replace("d.quantity AS q\n  FROM s_purchase", "d.quantity*CASE WHEN p.purchase_id%40=9 THEN 2 ELSE 1 END AS q\n  FROM s_purchase"))
+        + "\nUNION ALL\n" + _reconcile_sql("branch", "s_branch_stock", "branch_id",
+                                            _BR_REBUILD.replace("s.is_deleted IS NULL", "s.is_deleted IS NULL AND s.sale_id%40<>7")),
     "w04_post_purchases_stock": f"""
 SELECT COALESCE(s.warehouse_id, m.warehouse_id) AS warehouse_id, COALESCE(s.product_id, m.product_id) AS product_id,
        CAST(COALESCE(s.quantity, 0) + COALESCE(m.q, 0) AS DOUBLE) AS quantity
@@ -791,12 +802,12 @@ FROM s_payment""",
     "w17_upsert_cleaned_customers": """
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
 FROM s_customer""",
-    "s02_fk_audit": (f"""
-a_purchase AS (SELECT purchase_id, employee_id, warehouse_id, CASE WHEN supplier_id%10=0 THEN supplier_id+{OFFSET} ELSE supplier_id END AS supplier_id
-  FROM (SELECT * FROM s_purchase UNION ALL SELECT * FROM s_purchase WHERE purchase_id%50=1)),
-a_sale AS (SELECT CASE WHEN sale_id%1000<>7 THEN sale_id END AS sale_id, customer_id, branch_id, employee_id FROM s_sale),
-a_branch_stock AS (SELECT branch_id, product_id, CASE WHEN product_id%100<>3 THEN quantity END AS quantity FROM s_branch_stock)""",
-                     re.sub(r"\bs_(purchase|sale|branch_stock)\b", r"a_\1", _audit_sql())),
+    "s02_fk_audit": (_FLAWED, re.sub(r"\bs_(purchase|sale|branch_stock)\b", r"a_\1", _audit_sql())),
+    "s02_audit_of_versions": (_FLAWED.replace("product_id%100<>3", "product_id%200<>3") + f""",
+a_supplier AS (SELECT supplier_id FROM s_supplier UNION ALL SELECT supplier_id+{OFFSET} FROM s_supplier WHERE supplier_id%20=0),
+a_payment AS (SELECT * FROM s_payment UNION ALL SELECT * FROM s_payment WHERE payment_id%30=4),
+a_customer AS (SELECT * FROM s_customer WHERE customer_id%70<>9)""",
+                              re.sub(r"\bs_(purchase|sale|branch_stock|supplier|payment|customer)\b", r"a_\1", _audit_sql())),
     "s05_clean_customers": """
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
 FROM s_customer""",
