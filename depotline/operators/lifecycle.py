@@ -22,7 +22,7 @@ from depotline.functions.joins import lookup
 from depotline.operators.admission import admit
 from depotline.operators.ingest import REQUIRED_TEXT, is_blank, validate
 from depotline.operators.stock import apply_update_only, apply_upsert
-from depotline.schemas import FOREIGN_KEYS, MONEY
+from depotline.schemas import FOREIGN_KEYS, LINE_KEYS, MONEY
 from depotline.session import stage
 from depotline.sources.tables import Tables, conform
 
@@ -106,6 +106,14 @@ def _stray(headers: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         F.col(key).alias("doc_id"), "product_id", "quantity")
 
 
+def _more_lines(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Old lines and new ones.  Where lines have keys, new ones still lack theirs: ``operators.lines`` gives
+    them when the job is stored."""
+    key = LINE_KEYS[name]
+    new = conform(new.drop(key), name)
+    return old.unionByName(new.withColumn(key, F.lit(None).cast("long")) if key in old.columns else new)
+
+
 def _rejected(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lit(False).alias("accepted"), F.col("reason").cast("string").alias("reason"))
 
@@ -163,9 +171,8 @@ def post_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     new_lines = (lines.join(ok.select("purchase_id", "warehouse_id"), "purchase_id")
                  .withColumn("kg_price_at_purchase_time", F.col("price").cast(MONEY)))
     purchase = t.purchase.unionByName(conform(ok.withColumn("is_deleted", F.lit(None)), "purchase"))
-    detail = t.purchase_detail.unionByName(conform(
-        new_lines.withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_purchase", F.lit(None)),
-        "purchase_detail"))
+    detail = _more_lines(t.purchase_detail, new_lines.withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_purchase", F.lit(None)),
+                         "purchase_detail")
     stock = apply_upsert(t.warehouse_stock, _wh_deltas(new_lines, 1), "warehouse_id")
     return JobResult(t.replace(purchase=purchase, purchase_detail=detail, warehouse_stock=conform(stock, "warehouse_stock")),
                      _decisions(ok.select(F.col("purchase_id").alias("doc_id")),
@@ -265,9 +272,8 @@ def edit_purchases(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
         F.coalesce("n_sup", "supplier_id").alias("supplier_id"),
         F.when(F.col("n_wh").isNotNull(), F.col("n_date")).otherwise(F.col("purchase_date")).alias("purchase_date"),
         "is_deleted"))
-    detail = flag_rows(t.purchase_detail, acc, "purchase_id", "is_deleted", 1).unionByName(conform(
-        new_lines.withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_purchase", F.lit(None)),
-        "purchase_detail"))
+    detail = _more_lines(flag_rows(t.purchase_detail, acc, "purchase_id", "is_deleted", 1),
+                         new_lines.withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_purchase", F.lit(None)), "purchase_detail")
     stock = apply_upsert(t.warehouse_stock, deltas, "warehouse_id")
     return JobResult(
         t.replace(purchase=conform(purchase, "purchase"), purchase_detail=detail,
@@ -331,9 +337,8 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
     decisions = decisions.unionByName(_rejected(bad)).unionByName(_rejected(unusable))
     new_stock, _ = apply_update_only(t.branch_stock, _br_deltas(sale_lines, -1), "branch_id")
     sale = t.sale.unionByName(conform(heads.withColumn("is_deleted", F.lit(None)), "sale"))
-    detail = t.sale_detail.unionByName(conform(
-        sale_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
-        .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail"))
+    detail = _more_lines(t.sale_detail, sale_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
+                         .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail")
     return JobResult(t.replace(sale=sale, sale_detail=detail, branch_stock=conform(new_stock, "branch_stock")),
                      decisions, stray)
 
@@ -404,9 +409,9 @@ def edit_sales(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult:
         "branch_id", "employee_id",
         F.when(e, F.col("n_date")).otherwise(F.col("sale_date")).alias("sale_date"),
         F.when(e, F.col("n_pm")).otherwise(F.col("payment_method")).alias("payment_method"), "is_deleted")
-    detail = flag_rows(t.sale_detail, acc, "sale_id", "is_deleted", 1).unionByName(conform(
-        new_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
-        .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail"))
+    detail = _more_lines(flag_rows(t.sale_detail, acc, "sale_id", "is_deleted", 1),
+                         new_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
+                         .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail")
     return JobResult(
         t.replace(sale=conform(sale, "sale"), sale_detail=detail, branch_stock=conform(new_stock, "branch_stock")),
         _decisions(acc.select(F.col("sale_id").alias("doc_id")),
@@ -438,7 +443,7 @@ def post_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
     moved = tl.join(acc, "transfer_id", "left_semi")
     return JobResult(
         t.replace(transfer=t.transfer.unionByName(conform(ok.join(acc, "transfer_id", "left_semi"), "transfer")),
-                  transfer_detail=t.transfer_detail.unionByName(conform(moved, "transfer_detail")),
+                  transfer_detail=_more_lines(t.transfer_detail, moved, "transfer_detail"),
                   warehouse_stock=conform(apply_upsert(t.warehouse_stock, _wh_deltas(moved, -1), "warehouse_id"),
                                           "warehouse_stock"),
                   branch_stock=conform(apply_upsert(t.branch_stock, _br_deltas(moved, 1), "branch_id"),
@@ -525,7 +530,7 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
         "transfer_id", F.coalesce("n_wh", "warehouse_id").alias("warehouse_id"),
         F.coalesce("n_br", "branch_id").alias("branch_id"), "employee_id",
         F.when(F.col("n_wh").isNotNull(), F.col("n_date")).otherwise(F.col("transfer_date")).alias("transfer_date"))
-    detail = t.transfer_detail.join(acc, "transfer_id", "left_anti").unionByName(conform(new_lines, "transfer_detail"))
+    detail = _more_lines(t.transfer_detail.join(acc, "transfer_id", "left_anti"), new_lines, "transfer_detail")
     rejected = (bad.select(F.col("transfer_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
                 .unionByName(alone.select("doc_id", F.lit("insufficient_stock").alias("reason")))
                 .unionByName(unusable))

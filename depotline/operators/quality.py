@@ -2,7 +2,7 @@
 
 Spark does not enforce keys, so the audit counts violations instead:
 
-* ``pk_duplicate``: rows whose key occurs more than once (group by key, count);
+* ``pk_duplicate``: (line keys are audited where the lines have them) rows whose key occurs more than once (group by key, count);
 * ``pk_null`` / ``not_null``: rows with a NULL in a required column;
 * ``fk_orphan``: rows with a non-NULL reference that has no parent row
   (``left_anti`` join; NULL references are allowed).
@@ -17,10 +17,15 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotline.schemas import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
+from depotline.schemas import FOREIGN_KEYS, LINE_KEYS, NOT_NULL, PRIMARY_KEYS
 from depotline.sources.tables import Tables
 
 
+def keys_of(keyed: set[str]) -> dict[str, tuple[str, ...]]:
+    """The primary keys, of line tables where they are keyed: fifteen with all of them."""
+    return PRIMARY_KEYS | {n: (k,) for n, k in LINE_KEYS.items() if n in keyed}
+
+
 def _counts(table: str, df: DataFrame, counts: dict[tuple[str, str], Column]) -> DataFrame:
     """One aggregation of the table, one result row a rule."""
     rules = list(counts)
@@ -35,16 +40,17 @@ def audit(t: Tables) -> DataFrame:
     grouping; the references of all foreign keys to one parent are grouped together
     and meet the parent's keys once."""
     frames = t.as_dict()
+    keys = keys_of({n for n, df in frames.items() if LINE_KEYS.get(n) in df.columns})
     parts: list[DataFrame] = []
-    for table in dict.fromkeys([*PRIMARY_KEYS, *NOT_NULL]):
+    for table in dict.fromkeys([*keys, *NOT_NULL]):
         counts = {}
-        if key := PRIMARY_KEYS.get(table):
+        if key := keys.get(table):
             any_null = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
             counts["pk_null", ",".join(key)] = F.count_if(any_null)
         for c in NOT_NULL.get(table, ()):
             counts["not_null", c] = F.count_if(F.col(c).isNull())
         parts.append(_counts(table, frames[table], counts))
-    for table, key in PRIMARY_KEYS.items():
+    for table, key in keys.items():
         times = frames[table].dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         parts.append(_counts(table, times, {("pk_duplicate", ",".join(key)): F.sum(F.when(F.col("n") > 1, F.col("n")))}))
     for parent, pcol in dict.fromkeys((p, c) for _, _, p, c in FOREIGN_KEYS):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotline.operators import quality, stock
-from depotline.schemas import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
+from depotline.schemas import FOREIGN_KEYS, NOT_NULL
 from depotline.session import stage, staged_tables
 from depotline.sources.changes import DOCUMENTS, Change, bucket_key, carried, read_folders, tables_at
 from depotline.sources.layout import plain_columns
@@ -74,11 +74,12 @@ def audit_version(spark: SparkSession, base: str, number: int | None = None) ->
 def _audit_step(spark: SparkSession, kept: DataFrame, change: Change) -> DataFrame:
     before = {(r.table_name, r.rule, r.column_name): r.violations for r in kept.collect()}  # a row a rule
     parts = [kept]
-    for table in dict.fromkeys([*PRIMARY_KEYS, *NOT_NULL]):
+    keys = quality.keys_of(set(change.new.next_line))
+    for table in dict.fromkeys([*keys, *NOT_NULL]):
         if change.touches(table):
-            parts.append(_null_change(spark, change, table))
-            if table in PRIMARY_KEYS:
-                parts.append(_repeat_change(spark, change, table))
+            parts.append(_null_change(spark, change, table, keys.get(table)))
+            if table in keys:
+                parts.append(_repeat_change(spark, change, table, list(keys[table])))
     moved = {}  # keys that came and left, by parent
     for child, col, parent, pcol in FOREIGN_KEYS:
         if change.touches(parent) and parent not in moved:
@@ -101,13 +102,13 @@ def _rule(table: str, rule: str, column: str, violations: Column) -> list[Column
 
 def _came_and_left(spark: SparkSession, change: Change, table: str) -> DataFrame:
     """Rows of the folders that differ, with the column ``sign``: 1 came, -1 left."""
-    side = lambda s, sign: read_folders(spark, table, change.folders(table, s)).withColumn("sign", F.lit(sign))
+    side = lambda s, sign: read_folders(spark, change.new, table, change.folders(table, s)).withColumn("sign", F.lit(sign))
     return side("added", 1).unionByName(side("removed", -1))
 
 
-def _null_change(spark: SparkSession, change: Change, table: str) -> DataFrame:
+def _null_change(spark: SparkSession, change: Change, table: str, key: tuple[str, ...] | None) -> DataFrame:
     rules = {("not_null", c): F.col(c).isNull() for c in NOT_NULL.get(table, ())}
-    if key := PRIMARY_KEYS.get(table):
+    if key:
         rules["pk_null", ",".join(key)] = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
     one = _came_and_left(spark, change, table).agg(*(F.sum(F.when(c, F.col("sign"))).alias(f"c{i}") for i, c in enumerate(rules.values())))
     return one.select(F.explode(F.array(*(F.struct(*_rule(table, *name, F.col(f"c{i}"))) for i, name in enumerate(rules)))).alias("r")).select("r.*")
@@ -124,12 +125,11 @@ def _between(rows: DataFrame, col: str, keys: DataFrame, key: str) -> DataFrame:
     return rows.where(F.lit(False)) if low is None else rows.where(F.col(col).between(low, high))
 
 
-def _repeat_change(spark: SparkSession, change: Change, table: str) -> DataFrame:
-    key = list(PRIMARY_KEYS[table])
+def _repeat_change(spark: SparkSession, change: Change, table: str, key: list[str]) -> DataFrame:
     changed = _came_and_left(spark, change, table).dropna(subset=key).groupBy(*key).agg(
         F.count_if(F.col("sign") == 1).alias("came"), F.count_if(F.col("sign") == -1).alias("left"))
     changed = stage(changed.where("came <> left"), "audit-keys")
-    stood = read_folders(spark, table, change.folders(table, "common", _buckets(change, table, key[0]) if len(key) == 1 else None))
+    stood = read_folders(spark, change.new, table, change.folders(table, "common", _buckets(change, table, key[0]) if len(key) == 1 else None))
     stood = _between(stood.select(*key), key[0], changed, key[0]).join(changed, key, "left_semi")
     n = stood.select(*key, F.lit(0).alias("came"), F.lit(0).alias("left"), F.lit(1).alias("stood")).unionByName(
         changed.withColumn("stood", F.lit(0))).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("came", "left", "stood")))
@@ -145,7 +145,7 @@ def _changed_refs(spark: SparkSession, change: Change, child: str, col: str, par
     net = stage(net.where("n <> 0"), "audit-refs")
     within = _buckets(change, child, col) if bucket_key(parent) == pcol else None
     folders = change.folders(parent, "common", within) + change.folders(parent, "added", within)
-    keys = _between(read_folders(spark, parent, folders).select(F.col(pcol).alias("ref")), "ref", net, "ref")
+    keys = _between(read_folders(spark, change.new, parent, folders).select(F.col(pcol).alias("ref")), "ref", net, "ref")
     return net.join(keys, "ref", "left_anti").agg(F.sum("n").alias("n")).select(*_rule(child, f"fk_orphan:{parent}", col, F.col("n")))
 
 
@@ -153,7 +153,7 @@ def _changed_parents(spark: SparkSession, change: Change, child: str, col: str,
     """The old version's references to keys that are gone, less those to keys that came."""
     within = _buckets(change, parent, pcol) if bucket_key(child) == col else None
     folders = change.folders(child, "common", within) + change.folders(child, "removed", within)
-    refs = _between(read_folders(spark, child, folders).select(F.col(col).alias("ref")), "ref", moved, "ref")
+    refs = _between(read_folders(spark, change.new, child, folders).select(F.col(col).alias("ref")), "ref", moved, "ref")
     counted = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).join(moved, "ref")
     return counted.agg(F.sum(F.when(F.col("gone"), F.col("n")).otherwise(-F.col("n"))).alias("n")).select(
         *_rule(child, f"fk_orphan:{parent}", col, F.col("n")))
@@ -167,5 +167,5 @@ def _moved_keys(spark: SparkSession, change: Change, parent: str, pcol: str) ->
     common = change.folders(parent, "common", _buckets(change, parent, pcol))
     if not common:
         return moved
-    stood = _between(read_folders(spark, parent, common).select(F.col(pcol).alias("ref")), "ref", moved, "ref")
+    stood = _between(read_folders(spark, change.new, parent, common).select(F.col(pcol).alias("ref")), "ref", moved, "ref")
     return moved.join(stood, "ref", "left_anti")

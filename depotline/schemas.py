@@ -71,6 +71,21 @@ PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "branch_stock": ("branch_id", "product_id"),
 }
 
+# Keys of the line tables.  They are given when lines are stored (operators.lines); tables without them have
+# no such column.
+LINE_KEYS: dict[str, str] = {
+    "purchase_detail": "purchase_detail_id",
+    "sale_detail": "sale_detail_id",
+    "transfer_detail": "transfer_detail_id",
+}
+
+
+def schema_of(name: str, keyed: bool = False) -> T.StructType:
+    """Schema of a table; of a line table on request with its key."""
+    key = LINE_KEYS.get(name) if keyed else None
+    return T.StructType([*SCHEMAS[name].fields, T.StructField(key, ID, True)]) if key else SCHEMAS[name]
+
+
 # Foreign keys of the data model: (child table, child column, parent table, parent column).
 FOREIGN_KEYS: tuple[tuple[str, str, str, str], ...] = (
     ("employee", "warehouse_id", "warehouse", "warehouse_id"),

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from depotline.schemas import SCHEMAS, TABLE_NAMES
+from depotline.schemas import TABLE_NAMES
 from depotline.sources.layout import BUCKET_KEYS, KIND_LINES
 from depotline.sources.tables import Tables, folder
 from depotline.sources.versions import NO_MONTH, Place, Version, _numbers, derived, read_version
@@ -60,15 +60,15 @@ class Change:
         return changed | everywhere | {(NO_MONTH, p[1]) for p in changed}
 
 
-def read_folders(spark: SparkSession, name: str, paths: Iterable[str]) -> DataFrame:
+def read_folders(spark: SparkSession, version: Version, name: str, paths: Iterable[str]) -> DataFrame:
     """Rows of a table in the given part folders."""
-    paths = list(paths)
-    return spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[name])
+    paths, schema = list(paths), version.schema(name)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def tables_at(spark: SparkSession, version: Version, places: dict[str, set[Place]]) -> Tables:
     """The tables named in ``places`` at these places of a version; other tables are empty."""
-    return Tables(**{n: read_folders(spark, n, [f for p in sorted(places.get(n, ()), key=str) for f in version.parts.get(n, {}).get(p, ())])
+    return Tables(**{n: read_folders(spark, version, n, [f for p in sorted(places.get(n, ()), key=str) for f in version.parts.get(n, {}).get(p, ())])
                      for n in TABLE_NAMES})
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotline.schemas import SCHEMAS, TABLE_NAMES
+from depotline.schemas import LINE_KEYS, SCHEMAS, TABLE_NAMES, schema_of
 
 
 @dataclasses.dataclass(frozen=True)
@@ -53,13 +53,14 @@ class Tables:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast the columns of ``df`` to the fixed schema of table ``name``."""
-    schema = SCHEMAS[name]
+    """Select and cast the columns of ``df`` to the fixed schema of table ``name``, with the key of lines
+    that have one."""
+    schema = schema_of(name, LINE_KEYS.get(name) in df.columns)
     return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                options: dict[str, str] | None = None) -> Tables:
+                options: dict[str, str] | None = None, line_keys: bool = False) -> Tables:
     """Read ``path/<table>`` for every table with the fixed schema.
 
     ``fmt`` may be any batch source Spark reads (parquet, orc, csv, json); for a
@@ -67,6 +68,7 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     ``{table}`` placeholder in ``dbtable``.  Nothing is inferred.  A CSV or JSON value
     that does not fit the schema fails the load (``mode`` FAILFAST), since a flag or
     id read as NULL would change its meaning; ``options={"mode": ...}`` overrides it.
+    ``line_keys`` reads the keys of the line tables too.
     """
     options = dict(options or {})
     frames = {}
@@ -78,7 +80,7 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
         else:
             if fmt in ("csv", "json"):
                 reader = reader.option("mode", "FAILFAST").option("header", "true")
-            frames[name] = reader.schema(SCHEMAS[name]).options(**options).load(f"{path.rstrip('/')}/{name}")
+            frames[name] = reader.schema(schema_of(name, line_keys)).options(**options).load(f"{path.rstrip('/')}/{name}")
     return Tables(**frames)
 
 
@@ -195,13 +197,14 @@ def publish(spark: SparkSession, base: str, changed: dict[str, str], appended: d
     return number + 1
 
 
-def load_current(spark: SparkSession, base: str) -> Tables:
-    """The tables of the current version; a table without parts is empty."""
+def load_current(spark: SparkSession, base: str, line_keys: bool = False) -> Tables:
+    """The tables of the current version, on request with the keys of lines; a table without parts is empty."""
     _, tables = current_version(spark, base)
     frames = {}
     for name in TABLE_NAMES:
         parts = tables.get(name)
-        frames[name] = spark.read.schema(SCHEMAS[name]).parquet(*parts) if parts else spark.createDataFrame([], SCHEMAS[name])
+        schema = schema_of(name, line_keys)
+        frames[name] = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
     return Tables(**frames)
 
 

@@ -29,9 +29,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depotline.functions.dates import MONTH
-from depotline.schemas import SCHEMAS, TABLE_NAMES
+from depotline.schemas import LINE_KEYS, TABLE_NAMES, schema_of
 from depotline.sources.layout import BUCKET_KEYS, DATES, KIND_LINES, plain_columns
 from depotline.sources.tables import Tables, conform, folder
 
@@ -49,12 +50,16 @@ class Conflict(RuntimeError):
 
 @dataclasses.dataclass(frozen=True)
 class Version:
-    """A version's number, its number of buckets, and the folders of its parts by table and place; rows
-    appended to a place are one more folder there."""
+    """A version's number, its number of buckets, the folders of its parts by table and place (rows
+    appended to a place are one more folder there), and the next free key of each line table with keys."""
 
     number: int
     buckets: int
     parts: dict[str, dict[Place, tuple[str, ...]]]
+    next_line: dict[str, int] = dataclasses.field(default_factory=dict)
+
+    def schema(self, name: str) -> T.StructType:
+        return schema_of(name, name in self.next_line)
 
 
 def _path(base: str, number: int) -> str:
@@ -78,7 +83,7 @@ def read_version(spark: SparkSession, base: str, number: int | None = None) -> V
         raise ValueError(f"{base} has no version {number}")
     body = json.loads(spark.read.text(_path(base, number), wholetext=True).first()[0])
     parts = {t: {None if m is None else (m, b): tuple(paths) for m, b, paths in rows} for t, rows in body["parts"].items()}
-    return Version(number, body["buckets"], parts)
+    return Version(number, body["buckets"], parts, body.get("next_line", {}))
 
 
 def derived(base: str, what: str, number: int) -> str:
@@ -93,7 +98,7 @@ def _write_manifest(spark: SparkSession, base: str, version: Version) -> None:
     temporary, final = path(place, f"_{uuid.uuid4().hex}"), path(place, f"{version.number:012d}.json")
     rows = {t: [[*(p or (None, None)), list(paths)] for p, paths in places.items()] for t, places in version.parts.items()}
     out = fs.create(temporary, False)
-    out.write(json.dumps({"buckets": version.buckets, "parts": rows}).encode())
+    out.write(json.dumps({"buckets": version.buckets, "parts": rows, "next_line": version.next_line}).encode())
     out.close()
     if fs.exists(final) or not fs.rename(temporary, final):
         fs.delete(temporary, False)
@@ -112,7 +117,7 @@ def _placed(tables: Tables, name: str, buckets: int) -> DataFrame:
         # of an id that stands twice, lines follow one header and come once
         months = conform(getattr(tables, kind), kind).groupBy(key).agg(F.min(month).alias(MONTH))
         df = df.join(months, key, "left").fillna(NO_MONTH, [MONTH])
-    return df.select(*SCHEMAS[name].names, MONTH, F.pmod(F.hash(key), F.lit(buckets)).alias(BUCKET))
+    return df.select(*schema_of(name, LINE_KEYS.get(name) in df.columns).names, MONTH, F.pmod(F.hash(key), F.lit(buckets)).alias(BUCKET))
 
 
 def write_parts(tables: Tables, base: str, buckets: int, names: tuple[str, ...] = TABLE_NAMES) -> dict[str, dict[Place, tuple[str, ...]]]:
@@ -139,8 +144,11 @@ def write_parts(tables: Tables, base: str, buckets: int, names: tuple[str, ...]
 
 
 def create(spark: SparkSession, tables: Tables, base: str, buckets: int) -> Version:
-    """Version 1: all tables, in parts."""
-    version = Version(1, buckets, write_parts(tables, base, buckets))
+    """Version 1: all tables, in parts.  Line tables that have keys (operators.lines) keep them from then on."""
+    keyed = {n: k for n, k in LINE_KEYS.items() if k in getattr(tables, n).columns}
+    written = write_parts(tables, base, buckets)
+    last = {n: getattr(tables, n).agg(F.max(k)).first()[0] or 0 for n, k in keyed.items()}
+    version = Version(1, buckets, written, {n: last[n] + 1 for n in keyed})
     _write_manifest(spark, base, version)
     return version
 
@@ -155,10 +163,10 @@ def open_version(spark: SparkSession, base: str, number: int | None = None) -> t
         places = version.parts.get(name, {})
         if name not in BUCKET_KEYS:
             paths = [p for ps in places.values() for p in ps]
-            frames[name] = spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[name])
+            frames[name] = spark.read.schema(version.schema(name)).parquet(*paths) if paths else spark.createDataFrame([], version.schema(name))
             continue
         table, key = f"depotline_v_{uuid.uuid4().hex}", BUCKET_KEYS[name]
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name].fields)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in version.schema(name).fields)
         spark.sql(f"CREATE TABLE {table} ({columns}, {MONTH} string, {BUCKET} int, {PIECE} int) USING parquet PARTITIONED BY ({MONTH}, {BUCKET}, {PIECE}) "
                   f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {version.buckets} BUCKETS LOCATION '{base.rstrip('/')}/{name}'")
         specs = [f"PARTITION ({MONTH}='{m}', {BUCKET}={b}, {PIECE}={n}) LOCATION '{path}'"
@@ -224,7 +232,7 @@ def publish(spark: SparkSession, base: str, started: Version, written: dict[str,
         for t, places in (appended or {}).items():
             parts[t] = {**parts.get(t, {}), **{p: (*parts.get(t, {}).get(p, ()), *paths) for p, paths in places.items()}}
         try:
-            new = Version(now.number + 1, now.buckets, parts)
+            new = Version(now.number + 1, now.buckets, parts, now.next_line)
             _write_manifest(spark, base, new)
             return new
         except Conflict:  # another job took the number: look again at what it replaced
@@ -233,6 +241,21 @@ def publish(spark: SparkSession, base: str, started: Version, written: dict[str,
     raise Conflict("no attempts")
 
 
+def reserve_lines(spark: SparkSession, base: str, counts: dict[str, int], attempts: int = 20) -> dict[str, int]:
+    """Take that many keys of each line table out of the store, whatever other jobs take at the same time;
+    returns the first of each.  Keys that a job takes and never publishes stay unused."""
+    for attempt in range(attempts):
+        now = read_version(spark, base)
+        taken = now.next_line | {n: now.next_line[n] + count for n, count in counts.items()}
+        try:
+            _write_manifest(spark, base, Version(now.number + 1, now.buckets, now.parts, taken))
+            return {n: now.next_line[n] for n in counts}
+        except Conflict:
+            if attempt == attempts - 1:
+                raise
+    raise Conflict("no attempts")
+
+
 def vacuum(spark: SparkSession, base: str, keep: int, grace_seconds: float = 7 * 86400) -> list[str]:
     """Forget all but the last ``keep`` versions (at least one), and remove the parts that no kept version names and that
     were written longer than ``grace_seconds`` ago (jobs that run may still be writing or reading younger
