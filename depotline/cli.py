@@ -3,6 +3,11 @@
     spark-submit -m depotline.cli report 1 --tables s3://.../retail --start 2024-01-01 --out s3://.../r1
     python -m depotline.cli list unpaid_purchases --tables /data/retail --show 20
     python -m depotline.cli audit --tables /data/retail --out /data/audit
+    python -m depotline.cli report 4 --tables /data/retail-parts --layout parts --version 12 --branch-id 3
+
+``--layout`` says how the tables are kept: plain folders, published snapshots (``sources.tables``), stored parts
+(``sources.versions``, of any kept version) or buckets (``sources.layout``).  The audit and the reconciliation
+of stored parts are carried from the last version that was audited or reconciled.
 
 ``--out`` writes the whole result as Parquet (or CSV with ``--csv``); without it the
 first ``--show`` rows are printed, with a note where there are more.
@@ -14,9 +19,11 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depotline.operators import listings, quality, reports, stock
+from depotline.operators import listings, quality, reports, stock, versioned
 from depotline.session import configure
-from depotline.sources.tables import load_tables
+from depotline.sources import versions
+from depotline.sources.layout import register_bucketed
+from depotline.sources.tables import Tables, load_current, load_tables
 
 LISTS = {
     "sales": lambda t, a: listings.sales_list(t, a.which, a.employee_id),
@@ -47,6 +54,10 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=["report", "list", "audit", "reconcile"])
     p.add_argument("name", nargs="?", help="report id (1-20) or list name")
     p.add_argument("--tables", required=True, help="folder with one sub-folder per table")
+    p.add_argument("--layout", choices=["folders", "published", "parts", "buckets"], default="folders")
+    p.add_argument("--version", type=int, default=None, help="number of a version of stored parts; the current one if not given")
+    p.add_argument("--database", default="depotline", help="catalog database in which buckets are declared")
+    p.add_argument("--line-keys", dest="line_keys", action="store_true", help="read the keys of lines too (folders and published)")
     p.add_argument("--format", default="parquet")
     p.add_argument("--start", default=None)
     p.add_argument("--end", default=None)
@@ -61,8 +72,23 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def open_tables(spark: SparkSession, args: argparse.Namespace) -> Tables:
+    if args.version is not None and args.layout != "parts":
+        raise SystemExit("--version needs --layout parts")
+    if args.layout == "parts":
+        return versions.open_version(spark, args.tables, args.version)[1]
+    if args.layout == "published":
+        return load_current(spark, args.tables, args.line_keys)
+    if args.layout == "buckets":
+        return register_bucketed(spark, args.database, args.tables)
+    return load_tables(spark, args.tables, args.format, line_keys=args.line_keys)
+
+
 def build(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    t = load_tables(spark, args.tables, args.format)
+    if args.layout == "parts" and args.command in ("audit", "reconcile"):
+        carried = versioned.audit_version if args.command == "audit" else versioned.reconcile_version
+        return carried(spark, args.tables, args.version)
+    t = open_tables(spark, args)
     if args.command == "report":
         df = reports.run_report(t, args.name, args.start, args.end, args.branch_id)
         if args.chart:

@@ -8,6 +8,7 @@ the output convention shared with the DuckDB oracle (plans.oracle).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -496,6 +497,39 @@ def _s07_touched(t: Tables) -> DataFrame:
     return L.sales_list(V.open_version(spark, base)[1], "active").select("sale_id", "total")
 
 
+@register("s02_audit_with_line_keys")
+def _s02_keyed(t: Tables) -> DataFrame:
+    """The audit of numbered lines, of which some lost their key and some stand twice."""
+    from depotline.operators.lines import number_lines
+    from depotline.schemas import LINE_KEYS
+
+    t = number_lines(t)
+
+    def flawed(lines: DataFrame, key: str) -> DataFrame:
+        lost = lines.withColumn(key, F.when(F.col(key) % 1000 != 5, F.col(key)))
+        return lost.unionByName(lines.where(F.col(key) % 1000 == 6))
+
+    return Q.audit(t.replace(**{n: flawed(getattr(t, n), key) for n, key in LINE_KEYS.items()}))
+
+
+@register("s02_line_keys")
+def _s02_line_keys(t: Tables) -> DataFrame:
+    """Numbered lines after purchases were posted once more: keys without gaps, those of old lines unchanged."""
+    from depotline.operators.lines import number_lines
+    from depotline.schemas import LINE_KEYS
+
+    old = number_lines(t)
+    new = number_lines(_post_purchases(old).tables)
+    parts = []
+    for n, key in LINE_KEYS.items():
+        before, after = getattr(old, n), getattr(new, n)
+        line = F.struct(*getattr(t, n).columns)
+        both = after.join(before.select(key, line.alias("_old")), key, "left")
+        parts.append(both.agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct(key).alias("n_keys"), F.min(key).alias("first_key"),
+                              F.max(key).alias("last_key"), F.count_if(F.col("_old").eqNullSafe(line)).alias("old_lines_kept")).select(F.lit(n).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("s02_audit_of_versions")
 def _s02_versions(t: Tables) -> DataFrame:
     """The audit of a third version, carried from that of the first: tables with planted flaws are stored and

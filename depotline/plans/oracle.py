@@ -485,6 +485,20 @@ def _audit_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _keyed_audit_sql() -> str:
+    """The audit where line i of n has the key i, every key that ends in 005 is lost, and every row whose
+    key ends in 006 stands twice."""
+    from depotline.schemas import LINE_KEYS
+    twice = {}
+    for name, key in LINE_KEYS.items():
+        numbered = f"(SELECT *, ROW_NUMBER() OVER () AS k FROM s_{name})"
+        twice[name] = f"(SELECT * EXCLUDE (k), CASE WHEN k%1000<>5 THEN k END AS {key} FROM {numbered} UNION ALL SELECT * EXCLUDE (k), k FROM {numbered} WHERE k%1000=6)"
+    keys = [f"""SELECT '{name}', 'pk_duplicate', '{key}', CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM {twice[name]}
+WHERE {key} IS NOT NULL GROUP BY {key} HAVING COUNT(*) > 1) x
+UNION ALL SELECT '{name}', 'pk_null', '{key}', COUNT(*) FROM {twice[name]} WHERE {key} IS NULL""" for name, key in LINE_KEYS.items()]
+    return "\nUNION ALL\n".join([_audit_sql(), *keys])
+
+
 _LIVE_PURCHASE_MOVES = """
 SELECT p.warehouse_id, d.product_id, SUM(d.quantity) AS q
 FROM s_purchase p JOIN s_purchase_detail d ON d.purchase_id = p.purchase_id
@@ -803,6 +817,12 @@ FROM s_payment""",
 SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR) AS date_of_birth, email
 FROM s_customer""",
     "s02_fk_audit": (_FLAWED, re.sub(r"\bs_(purchase|sale|branch_stock)\b", r"a_\1", _audit_sql())),
+    "s02_audit_with_line_keys": _keyed_audit_sql(),
+    "s02_line_keys": "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS table_name, {n} AS n_lines, {n} AS n_keys, 1 AS first_key, {n} AS last_key, (SELECT COUNT(*) FROM s_{name}) AS old_lines_kept"""
+        for name, n in ((name, f"((SELECT COUNT(*) FROM s_{name}){more})") for name, more in (
+            ("purchase_detail", f""" + (SELECT COUNT(*) FROM s_purchase_detail d JOIN s_purchase p ON p.purchase_id = d.purchase_id
+              WHERE p.is_deleted IS NULL AND d.is_deleted IS NULL AND {_good('p.purchase_id')})"""), ("sale_detail", ""), ("transfer_detail", "")))),
     "s02_audit_of_versions": (_FLAWED.replace("product_id%100<>3", "product_id%200<>3") + f""",
 a_supplier AS (SELECT supplier_id FROM s_supplier UNION ALL SELECT supplier_id+{OFFSET} FROM s_supplier WHERE supplier_id%20=0),
 a_payment AS (SELECT * FROM s_payment UNION ALL SELECT * FROM s_payment WHERE payment_id%30=4),
