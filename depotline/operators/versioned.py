@@ -22,7 +22,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from depotline.operators import quality, stock
 from depotline.schemas import FOREIGN_KEYS, NOT_NULL
@@ -35,10 +34,6 @@ from depotline.sources.versions import Version, open_version, read_version
 AUDIT = "table_name string, rule string, column_name string, violations long"
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 def _whole(spark: SparkSession, base: str, version: Version) -> Tables:
     """All tables of a version, documents side by side in their buckets."""
     return plain_columns(open_version(spark, base, version.number)[1])
@@ -51,7 +46,7 @@ def balances_of_version(spark: SparkSession, base: str, number: int | None = Non
         places = {n: change.document_places(*names) for names in DOCUMENTS.values() for n in names}
         return stock.fold(kept, tables_at(spark, change.old, places), tables_at(spark, change.new, places))
 
-    return carried(spark, base, "balances", number, _schema(stock.BALANCE),
+    return carried(spark, base, "balances", number, stock.BALANCE,
                    lambda version: stock.balances(_whole(spark, base, version)), step)
 
 
@@ -67,7 +62,7 @@ def reconcile_version(spark: SparkSession, base: str, number: int | None = None)
 def audit_version(spark: SparkSession, base: str, number: int | None = None) -> DataFrame:
     """S2 of a version, equal to ``quality.audit`` of its tables."""
     with staged_tables():  # the result is written when ``carried`` returns
-        return carried(spark, base, "audit", number, _schema(AUDIT), lambda version: quality.audit(_whole(spark, base, version)),
+        return carried(spark, base, "audit", number, AUDIT, lambda version: quality.audit(_whole(spark, base, version)),
                        lambda kept, change: _audit_step(spark, kept, change))
 
 

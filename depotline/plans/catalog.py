@@ -196,10 +196,14 @@ register("w04_post_purchases_headers")(lambda t: _post_purchases(t).tables.purch
 register("w04_post_purchases_lines")(lambda t: _post_purchases(t).tables.purchase_detail.fillna(0, ["is_deleted", "is_deleted_with_purchase"]))
 
 
-def _post_sales(t: Tables) -> LC.JobResult:
+def _sale_batch(t: Tables) -> tuple[DataFrame, DataFrame]:
     heads = active(t.sale).select("sale_id", "customer_id", "branch_id", "employee_id", "sale_date", "payment_method")
     lines = active(t.sale_detail).select("sale_id", "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
-    return LC.post_sales(t, *_reposted(heads, lines, "sale_id", "branch_id"))
+    return _reposted(heads, lines, "sale_id", "branch_id")
+
+
+def _post_sales(t: Tables) -> LC.JobResult:
+    return LC.post_sales(t, *_sale_batch(t))
 
 
 register("w06_post_sales_stock")(lambda t: _post_sales(t).tables.branch_stock)
@@ -497,6 +501,20 @@ def _s07_touched(t: Tables) -> DataFrame:
     return L.sales_list(V.open_version(spark, base)[1], "active").select("sale_id", "total")
 
 
+@register("s07_post_through_key_index")
+def _s07_posted(t: Tables) -> DataFrame:
+    """All tables as stored parts; every active sale is posted once more, with planted flaws, by a job that
+    reads only the parts that can hold an id of the batch.  Its decisions."""
+    from depotline.session import new_folder
+    from depotline.sources import key_index as K
+    from depotline.sources import versions as V
+
+    spark, base = t.sale.sparkSession, new_folder(t.sale.sparkSession, "s07-keys")
+    version = V.create(spark, t, base, 2)
+    heads, lines = _sale_batch(t)
+    return LC.post_sales(K.for_posting(spark, base, version, t, "sale", heads.select("sale_id")), heads, lines).decisions
+
+
 @register("s02_audit_with_line_keys")
 def _s02_keyed(t: Tables) -> DataFrame:
     """The audit of numbered lines, of which some lost their key and some stand twice."""

@@ -833,6 +833,8 @@ SELECT customer_id, customer_name, phone_number, CAST(date_of_birth AS VARCHAR)
 FROM s_customer""",
 }
 
+JOB_SQL["s07_post_through_key_index"] = JOB_SQL["w06_post_sales_decisions"]
+
 # The same dated reports over all dates: the range predicate becomes TRUE.
 for _key, _sql in _report_sql(lambda col: "TRUE").items():
     if _sql != REPORT_SQL[_key]:

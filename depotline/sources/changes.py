@@ -19,7 +19,6 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from depotline.schemas import TABLE_NAMES
 from depotline.sources.layout import BUCKET_KEYS, KIND_LINES
@@ -72,7 +71,7 @@ def tables_at(spark: SparkSession, version: Version, places: dict[str, set[Place
                      for n in TABLE_NAMES})
 
 
-def carried(spark: SparkSession, base: str, what: str, number: int | None, schema: T.StructType, full: Callable[[Version], DataFrame],
+def carried(spark: SparkSession, base: str, what: str, number: int | None, schema: str, full: Callable[[Version], DataFrame],
             step: Callable[[DataFrame, Change], DataFrame]) -> DataFrame:
     """The result ``what`` of a version (the current one if no number is given).
 
