@@ -503,18 +503,20 @@ def edit_transfers(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult
            .withColumn("add_back", F.when(F.col("warehouse_id") == F.col("old_wh"),
                                           F.coalesce(F.col("old_qty"), F.lit(0))).otherwise(F.lit(0)))
            .withColumn("need", F.col("new_qty") - F.col("add_back")))
+    new = stage(new, "transfer-new-lines")
     # Lines whose need is not positive are tested alone against the stock row.
     alone = (new.where(F.col("need") <= 0)
              .join(t.warehouse_stock.select("warehouse_id", "product_id", F.col("quantity").alias("s")),
                    ["warehouse_id", "product_id"], "left")
              .where(F.coalesce(F.col("s"), F.lit(0)) + F.col("add_back") < F.col("new_qty"))
              .select(F.col("transfer_id").alias("doc_id")).distinct())
+    alone = stage(alone, "transfer-alone")
     demand = (_demand(old, "old_date", "transfer_id", "branch", "old_br")
               .unionByName(_demand(new.where(F.col("need") > 0), "old_date", "transfer_id", "warehouse",
                                    "warehouse_id", qty=F.col("need"))))
     stock = (_stock(t.branch_stock, "branch", "branch_id")
              .unionByName(_stock(t.warehouse_stock, "warehouse", "warehouse_id")))
-    candidates = ok.select(F.col("transfer_id").alias("doc_id")).join(alone, "doc_id", "left_anti")
+    candidates = stage(ok.select(F.col("transfer_id").alias("doc_id")).join(alone, "doc_id", "left_anti"), "transfer-candidates")
     adm = admit(demand.join(candidates, "doc_id", "left_semi"), stock, docs=candidates)
     acc = adm.where("accepted").select(F.col("doc_id").alias("transfer_id"))
     new_heads = ok.join(acc, "transfer_id", "left_semi")

@@ -1,7 +1,9 @@
 """Derive the fifteen tables from the driver's TPC-H-like tables (FIXTURES.md §2).
 
 Every table is a lazy DataFrame over ``sf_dir/<name>.parquet``; nothing is
-materialised here, so a query only pays for the views it touches.  The rules are
+materialised here, so a query only pays for the views it touches.  A query that reads
+a derived table several times names it in ``written``: the table is then derived once
+and written (``session.stage``).  The rules are
 the fixed mapping written down in FIXTURES.md (ids shifted by one, flags chosen
 by residues of the source keys).
 """
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotline.schemas import MONEY, STOCK_QTY
+from depotline.session import stage
 from depotline.sources.tables import Tables, conform
 
 
@@ -31,7 +34,10 @@ def _month_index(ts: Column) -> Column:
     return (F.year(ts) - 1995) * 12 + F.month(ts)
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def fixture_tables(spark: SparkSession, sf_dir: str, written: tuple[str, ...] = ()) -> Tables:
+    """The fifteen tables; those named in ``written`` (of purchase, transfer, warehouse_stock and
+    branch_stock; ``transfer`` with its lines) are derived once and written."""
+    once = lambda df, name, of=None: stage(df, f"fixture-{name}") if (of or name) in written else df
     region = _read(spark, sf_dir, "region")
     nation = _read(spark, sf_dir, "nation")
     customer = _read(spark, sf_dir, "customer")
@@ -148,6 +154,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "purchase_date",
         _flag(pid % 19 == 0).alias("is_deleted"),
     ).distinct()
+    purchase = once(purchase, "purchase")
     purchase_detail = pline.select(
         pid, "product_id", "quantity", "kg_price_at_purchase_time", "is_deleted",
         _flag(pid % 19 == 0).alias("is_deleted_with_purchase"),
@@ -193,11 +200,13 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             F.when(ln > 5, quarter).otherwise(F.col("l_quantity").cast(MONEY)).alias("quantity"),
         )
     )
+    tline = once(tline, "transfer_lines", "transfer")
     transfer = tline.select(
         "transfer_id", "warehouse_id", "branch_id",
         ((F.col("warehouse_id") - 1) * 5 + 1).alias("employee_id"),
         "transfer_date",
     ).distinct()
+    transfer = once(transfer, "transfer")
     transfer_detail = tline.select("transfer_id", "product_id", "quantity")
 
     # Opening stock = the fold of all document movements (see operators.stock).
@@ -208,8 +217,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .select("warehouse_id", "product_id", F.col("quantity").alias("q"))
         .unionByName(tline.select("warehouse_id", "product_id", (-F.col("quantity")).alias("q")))
     )
-    warehouse_stock = wh_moves.groupBy("warehouse_id", "product_id").agg(
-        F.sum("q").cast(STOCK_QTY).alias("quantity"))
+    warehouse_stock = once(wh_moves.groupBy("warehouse_id", "product_id").agg(
+        F.sum("q").cast(STOCK_QTY).alias("quantity")), "warehouse_stock")
 
     br_moves = (
         tline.select("branch_id", "product_id", F.col("quantity").alias("q"))
@@ -220,8 +229,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             .select("branch_id", "product_id", (-F.col("quantity")).alias("q"))
         )
     )
-    branch_stock = br_moves.groupBy("branch_id", "product_id").agg(
-        F.sum("q").cast(STOCK_QTY).alias("quantity"))
+    branch_stock = once(br_moves.groupBy("branch_id", "product_id").agg(
+        F.sum("q").cast(STOCK_QTY).alias("quantity")), "branch_stock")
 
     frames = dict(
         warehouse=warehouse, branch=branch, employee=employee, customer=customer_t,
