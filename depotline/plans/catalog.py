@@ -472,7 +472,7 @@ def _s01(t: Tables) -> DataFrame:
     return rows.unionByName(bad.select(F.get_json_object("record", "$.payment_id").alias("payment_id"), F.lit(None).cast("double").alias("amount"), "reason"))
 
 
-@register("s07_touched_parts_read_back")
+@register("s07_touched_parts_read_back", written=("purchase", "transfer"))
 def _s07_touched(t: Tables) -> DataFrame:
     """All tables as stored parts; delete every 40th active sale by rewriting the parts that hold one, post the
     same sales again as new parts beside the others, and read the current version's sales list back."""
@@ -502,7 +502,7 @@ def _s07_touched(t: Tables) -> DataFrame:
     return L.sales_list(V.open_version(spark, base)[1], "active").select("sale_id", "total")
 
 
-@register("s07_post_through_key_index")
+@register("s07_post_through_key_index", written=("purchase", "transfer"))
 def _s07_posted(t: Tables) -> DataFrame:
     """All tables as stored parts; every active sale is posted once more, with planted flaws, by a job that
     reads only the parts that can hold an id of the batch.  Its decisions."""
@@ -549,7 +549,7 @@ def _s02_line_keys(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("s02_audit_of_versions")
+@register("s02_audit_of_versions", written=("purchase", "transfer"))
 def _s02_versions(t: Tables) -> DataFrame:
     """The audit of a third version, carried from that of the first: tables with planted flaws are stored and
     audited; then half of the unknown suppliers come and payments are repeated, in parts beside the others;
@@ -571,7 +571,7 @@ def _s02_versions(t: Tables) -> DataFrame:
     return W.audit_version(spark, base)
 
 
-@register("x01_reconcile_of_versions")
+@register("x01_reconcile_of_versions", written=("purchase", "transfer"))
 def _x01_versions(t: Tables) -> DataFrame:
     """Stock against documents of which some were deleted and some posted since the balances were made, by
     jobs that left the stock as it was: every 40th active sale in rewritten parts, every 40th purchase once

@@ -10,7 +10,8 @@ of a version, and publishing writes the next manifest:
 ``open_version`` declares a version's tables in the session's catalog as bucketed external tables, each
 partition at the folder that the manifest names.  Joins and aggregations by document therefore find
 matching buckets side by side in every version, however often parts were replaced, and filters on month
-or bucket prune folders.  Dimension and stock tables are plain parts.
+or bucket prune folders.  Tables with more than ``BUCKET_BYTES`` a bucket are declared as plain partitioned
+ones, since a bucket is read by one task.  Dimension and stock tables are plain parts.
 
 ``touched`` finds the parts that hold given documents, ``only`` restricts tables to them (a job on the
 restricted tables gives their new content), and ``write_parts`` writes it; all other parts are carried
@@ -40,6 +41,8 @@ BUCKET, PIECE = "doc_bucket", "doc_piece"
 #: (month, bucket) of a part; None for plain tables.
 Place = tuple[str, int] | None
 KIND_OF = {name: kind for kind, names in KIND_LINES.items() for name in names}
+#: Bytes of a table that one task reads as its bucket; larger buckets are read as plain files.
+BUCKET_BYTES = 24 * 2**20
 #: Month of documents without a date.
 NO_MONTH = "none"
 
@@ -130,7 +133,8 @@ def write_parts(tables: Tables, base: str, buckets: int, names: tuple[str, ...]
             out[name] = {None: (target,)}
             continue
         key, table = BUCKET_KEYS[name], f"depotline_w_{uuid.uuid4().hex}"
-        writer = _placed(tables, name, buckets).repartition(buckets, key).write.format("parquet").option("path", target)
+        # rows of a part meet in one task, unless there are too many: any number of tasks writes few buckets
+        writer = _placed(tables, name, buckets).hint("rebalance", MONTH, BUCKET).write.format("parquet").option("path", target)
         writer.partitionBy(MONTH, BUCKET).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
         spark.sql(f"DROP TABLE {table}")  # external: only the files were wanted
         fs, place = folder(spark, target)
@@ -154,10 +158,18 @@ def create(spark: SparkSession, tables: Tables, base: str, buckets: int) -> Vers
 
 
 # -------------------------------------------------------------------------------------- reading
+def _stored_bytes(spark: SparkSession, base: str, name: str) -> int:
+    """Bytes of all stored parts of a table, those of older versions too."""
+    fs, place = folder(spark, f"{base.rstrip('/')}/{name}")
+    return fs.getContentSummary(place).getLength() if fs.exists(place) else 0
+
+
 def open_version(spark: SparkSession, base: str, number: int | None = None) -> tuple[Version, Tables]:
     """A version and its tables; document tables also have the partition columns ``doc_month``,
-    ``doc_bucket`` and ``doc_piece`` (number of the folder at its place)."""
+    ``doc_bucket`` and ``doc_piece`` (number of the folder at its place).  A kind of documents whose buckets
+    are too large for a task each is declared without buckets: its files are split, and its joins shuffle."""
     version = read_version(spark, base, number)
+    small = {kind: max(_stored_bytes(spark, base, n) for n in names) <= BUCKET_BYTES * version.buckets for kind, names in KIND_LINES.items()}
     frames = {}
     for name in TABLE_NAMES:
         places = version.parts.get(name, {})
@@ -167,8 +179,9 @@ def open_version(spark: SparkSession, base: str, number: int | None = None) -> t
             continue
         table, key = f"depotline_v_{uuid.uuid4().hex}", BUCKET_KEYS[name]
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in version.schema(name).fields)
+        clustered = f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {version.buckets} BUCKETS " if small[KIND_OF[name]] else ""
         spark.sql(f"CREATE TABLE {table} ({columns}, {MONTH} string, {BUCKET} int, {PIECE} int) USING parquet PARTITIONED BY ({MONTH}, {BUCKET}, {PIECE}) "
-                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {version.buckets} BUCKETS LOCATION '{base.rstrip('/')}/{name}'")
+                  f"{clustered}LOCATION '{base.rstrip('/')}/{name}'")
         specs = [f"PARTITION ({MONTH}='{m}', {BUCKET}={b}, {PIECE}={n}) LOCATION '{path}'"
                  for (m, b), paths in places.items() for n, path in enumerate(paths)]
         for at in range(0, len(specs), 1000):
