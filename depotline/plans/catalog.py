@@ -370,7 +370,7 @@ def _flawed(t: Tables) -> Tables:
     return t.replace(purchase=_twice(purchase, "purchase_id"), sale=sale, branch_stock=stock)
 
 
-register("s02_fk_audit")(lambda t: Q.audit(_flawed(t)))
+register("s02_fk_audit", written=("purchase", "transfer", "warehouse_stock", "branch_stock"))(lambda t: Q.audit(_flawed(t)))
 
 
 @register("s04_explode_sale_forms")
