@@ -516,7 +516,7 @@ def _s07_posted(t: Tables) -> DataFrame:
     return LC.post_sales(K.for_posting(spark, base, version, t, "sale", heads.select("sale_id")), heads, lines).decisions
 
 
-@register("s02_audit_with_line_keys")
+@register("s02_audit_with_line_keys", written=("purchase", "transfer", "warehouse_stock", "branch_stock"))
 def _s02_keyed(t: Tables) -> DataFrame:
     """The audit of numbered lines, of which some lost their key and some stand twice."""
     from depotline.operators.lines import number_lines
