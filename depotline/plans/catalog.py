@@ -176,7 +176,7 @@ def _delivered(t: Tables, of: str = "transfer") -> Tables:
     return t.replace(warehouse_stock=conform(warehouse, "warehouse_stock"), branch_stock=conform(branch, "branch_stock"))
 
 
-@register("x01_stock_reconcile")
+@register("x01_stock_reconcile", written=("purchase", "transfer"))
 def _x01(t: Tables) -> DataFrame:
     """Documents against a snapshot that lost rows, has other quantities and holds a row too many."""
     t = _counted_branch_stock(t)
