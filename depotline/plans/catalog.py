@@ -531,7 +531,7 @@ def _s02_keyed(t: Tables) -> DataFrame:
     return Q.audit(t.replace(**{n: flawed(getattr(t, n), key) for n, key in LINE_KEYS.items()}))
 
 
-@register("s02_line_keys")
+@register("s02_line_keys", written=("purchase", "transfer"))
 def _s02_line_keys(t: Tables) -> DataFrame:
     """Numbered lines after purchases were posted once more: keys without gaps, those of old lines unchanged."""
     from depotline.operators.lines import number_lines
