@@ -225,7 +225,7 @@ def _post_payments(t: Tables) -> LC.JobResult:
     return LC.post_payments(t, _reposted(rows, rows, "payment_id", "purchase_id")[0])
 
 
-register("w07_post_payments_decisions")(lambda t: _post_payments(t).decisions)
+register("w07_post_payments_decisions", written=("purchase",))(lambda t: _post_payments(t).decisions)
 
 
 def _retransfer(t: Tables) -> LC.JobResult:
