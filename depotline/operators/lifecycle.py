@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotline.functions.flags import active
@@ -32,6 +32,7 @@ class JobResult:
     tables: Tables
     decisions: DataFrame  # doc_id, accepted, reason
     stray_lines: DataFrame | None = None  # doc_id, product_id, quantity of lines whose document is not in the batch
+    added: dict[str, DataFrame] = dataclasses.field(default_factory=dict)  # of posted sales: table -> its new rows alone
 
 
 def _decisions(accepted_ids: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
@@ -59,16 +60,21 @@ def screen(headers: DataFrame, key: str, existing: DataFrame | None = None) -> t
     An id that is NULL, that the batch holds more than once, or (for new documents)
     that ``existing`` already has is rejected before anything is joined, so a
     repeated header cannot multiply lines, and a batch that is posted again after
-    it was published changes nothing.
+    it was published changes nothing.  Headers and ``existing`` ids meet in one shuffle
+    and one sort: nearly all ids differ, so hash tables of them would only take memory.
     """
-    seen = headers.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
-    reason = F.when(F.col(key).isNull(), F.lit("missing_id")).when(F.col("_times") > 1, F.lit("duplicate_in_batch"))
+    rows = headers.where(F.col(key).isNotNull()).withColumn("_new", F.lit(1))
     if existing is not None:
-        seen = seen.join(existing.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True)), key, "left")
-        reason = reason.when(F.col("_known"), F.lit("id_exists"))
-    seen = seen.select(key, reason.alias("reason"))
-    good = headers.join(seen.where(F.col("reason").isNull()).select(key), key, "left_semi")
-    return good, seen.where(F.col("reason").isNotNull()).select(F.col(key).alias("doc_id"), "reason")
+        known = existing.select(key).where(F.col(key).isNotNull()).withColumn("_new", F.lit(0))
+        rows = rows.unionByName(known, allowMissingColumns=True)
+    of_id = Window.partitionBy(key)
+    reason = (F.when(F.sum("_new").over(of_id) > 1, F.lit("duplicate_in_batch"))
+              .when(F.min("_new").over(of_id) == 0, F.lit("id_exists")))
+    seen = rows.withColumn("_reason", reason).where("_new = 1")
+    good = seen.where(F.col("_reason").isNull()).select(headers.columns)
+    missing = headers.where(F.col(key).isNull()).select(F.col(key).alias("doc_id"), F.lit("missing_id").alias("reason"))
+    unusable = seen.where(F.col("_reason").isNotNull()).select(F.col(key).alias("doc_id"), F.col("_reason").alias("reason"))
+    return good, unusable.distinct().unionByName(missing.distinct())
 
 
 def with_unknown(t: Tables, rows: DataFrame, table: str) -> DataFrame:
@@ -84,14 +90,18 @@ def with_unknown(t: Tables, rows: DataFrame, table: str) -> DataFrame:
     return rows.select(*columns, reason.alias("_unknown"))
 
 
-def _line_facts(t: Tables, headers: DataFrame, lines: DataFrame, key: str, table: str) -> DataFrame:
-    """Headers with ``_unknown`` (also ``unknown_product`` of a line) and ``n_lines``."""
+def _line_facts(t: Tables, headers: DataFrame, lines: DataFrame, key: str, table: str, counted: bool = True) -> DataFrame:
+    """Headers with ``_unknown`` (also ``unknown_product`` of a line) and, if ``counted``, ``n_lines``.  Where
+    lines need not be counted, only those without a product are summed up by document."""
     products = t.product.select("product_id").dropna().distinct().withColumn("_product", F.lit(True))
-    facts = lookup(lines.select(key, "product_id"), products, "product_id").groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("_product").isNull()).alias("_strange"))
-    out = with_unknown(t, headers, table).join(facts, key, "left")
-    unknown = F.coalesce("_unknown", F.when(F.col("_strange") > 0, F.lit("unknown_product")))
-    return out.withColumn("_unknown", unknown).withColumn("n_lines", F.coalesce("n_lines", F.lit(0))).drop("_strange")
+    found = lookup(lines.select(key, "product_id"), products, "product_id")
+    if not counted:
+        found = found.where(F.col("_product").isNull())
+    facts = found.groupBy(key).agg(*[F.count(F.lit(1)).alias("n_lines")] * counted, F.count_if(F.col("_product").isNull()).alias("_strange"))
+    # Facts first: screened headers already lie and are sorted by their id.
+    out = with_unknown(t, headers.join(facts, key, "left"), table)
+    out = out.withColumn("_unknown", F.coalesce("_unknown", F.when(F.col("_strange") > 0, F.lit("unknown_product")))).drop("_strange")
+    return out.withColumn("n_lines", F.coalesce("n_lines", F.lit(0))) if counted else out
 
 
 def _unknown_rules() -> list[tuple[Column, str]]:
@@ -106,12 +116,17 @@ def _stray(headers: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         F.col(key).alias("doc_id"), "product_id", "quantity")
 
 
-def _more_lines(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
-    """Old lines and new ones.  Where lines have keys, new ones still lack theirs: ``operators.lines`` gives
-    them when the job is stored."""
+def _line_rows(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """New lines as rows of their table.  Where lines have keys, new ones still lack theirs:
+    ``operators.lines`` gives them when the job is stored."""
     key = LINE_KEYS[name]
     new = conform(new.drop(key), name)
-    return old.unionByName(new.withColumn(key, F.lit(None).cast("long")) if key in old.columns else new)
+    return new.withColumn(key, F.lit(None).cast("long")) if key in old.columns else new
+
+
+def _more_lines(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Old lines and new ones."""
+    return old.unionByName(_line_rows(old, new, name))
 
 
 def _rejected(rows: DataFrame) -> DataFrame:
@@ -320,9 +335,9 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
     """
     stray = _stray(headers, lines, "sale_id")
     headers, unusable = screen(headers, "sale_id", t.sale)
-    h = stage(_line_facts(t, headers, lines, "sale_id", "sale"), "sale-batch")
+    h = stage(_line_facts(t, headers, lines, "sale_id", "sale", counted=False), "sale-batch")
     heads, bad = validate(h, [(F.col("branch_id").isNull(), "missing_branch"), *_unknown_rules()])
-    heads = heads.drop("n_lines", "_unknown")
+    heads = heads.drop("_unknown")
     sale_lines = lines.join(heads.select("sale_id", "branch_id", "sale_date"), "sale_id")
     if check_stock:
         adm = admit(_demand(sale_lines, "sale_date", "sale_id", "branch", "branch_id"),
@@ -336,11 +351,11 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame, check_stock: boo
     bad = bad.select(F.col("sale_id").alias("doc_id"), F.col("reject_reason").alias("reason"))
     decisions = decisions.unionByName(_rejected(bad)).unionByName(_rejected(unusable))
     new_stock, _ = apply_update_only(t.branch_stock, _br_deltas(sale_lines, -1), "branch_id")
-    sale = t.sale.unionByName(conform(heads.withColumn("is_deleted", F.lit(None)), "sale"))
-    detail = _more_lines(t.sale_detail, sale_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
-                         .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail")
-    return JobResult(t.replace(sale=sale, sale_detail=detail, branch_stock=conform(new_stock, "branch_stock")),
-                     decisions, stray)
+    added = {"sale": conform(heads.withColumn("is_deleted", F.lit(None)), "sale"),
+             "sale_detail": _line_rows(t.sale_detail, sale_lines.withColumn("kg_price_at_sale_time", F.col("price").cast(MONEY))
+                                       .withColumn("is_deleted", F.lit(None)).withColumn("is_deleted_with_sale", F.lit(None)), "sale_detail")}
+    more = {name: getattr(t, name).unionByName(rows) for name, rows in added.items()}
+    return JobResult(t.replace(**more, branch_stock=conform(new_stock, "branch_stock")), decisions, stray, added)
 
 
 def delete_sales(t: Tables, sale_ids: DataFrame) -> JobResult:
@@ -393,7 +408,7 @@ def edit_sales(t: Tables, headers: DataFrame, lines: DataFrame) -> JobResult:
     cur = active(t.sale).select("sale_id", "branch_id")
     stray = _stray(headers, lines, "sale_id")
     headers, unusable = screen(headers, "sale_id")
-    h = stage(_line_facts(t, headers.drop("branch_id"), lines, "sale_id", "sale").join(cur, "sale_id", "left"), "sale-edits")
+    h = stage(_line_facts(t, headers.drop("branch_id"), lines, "sale_id", "sale", counted=False).join(cur, "sale_id", "left"), "sale-edits")
     heads, bad = validate(h, [(F.col("branch_id").isNull(), "not_active"), *_unknown_rules()])
     acc = heads.select("sale_id")
     old = cur.join(acc, "sale_id", "left_semi").join(
