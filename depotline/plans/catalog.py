@@ -449,8 +449,7 @@ def _s07(t: Tables) -> DataFrame:
     for _ in range(2):
         now = TB.load_current(spark, base).replace(branch=t.branch, customer=t.customer, employee=t.employee, product=t.product)
         res = LC.post_sales(now, *batch)
-        good = res.decisions.where("accepted").select(F.col("doc_id").alias("sale_id"))
-        added = {n: TB.write_rows(getattr(res.tables, n).join(good, "sale_id", "left_semi"), base, n) for n in ("sale", "sale_detail")}
+        added = {n: TB.write_rows(rows, base, n) for n, rows in res.added.items()}
         version = TB.publish(spark, base, {"branch_stock": TB.write_table(res.tables.branch_stock, base, "branch_stock")}, added, expected=version)
     return L.sales_list(TB.load_current(spark, base).replace(customer=t.customer, employee=t.employee, branch=t.branch), "active").select("sale_id", "total")
 
@@ -495,8 +494,7 @@ def _s07_touched(t: Tables) -> DataFrame:
     lines = now.sale_detail.where("is_deleted IS NULL AND is_deleted_with_sale = 1").join(ids, "sale_id", "left_semi").select(
         (F.col("sale_id") + NEW_ID_OFFSET).alias("sale_id"), "product_id", "quantity", F.col("kg_price_at_sale_time").alias("price"))
     res = LC.post_sales(plain_columns(now), heads, lines)
-    good = res.decisions.where("accepted").select(F.col("doc_id").alias("sale_id"))
-    new = res.tables.replace(**{n: getattr(res.tables, n).join(good, "sale_id", "left_semi") for n in ("sale", "sale_detail")})
+    new = res.tables.replace(**res.added)
     V.publish(spark, base, second, V.write_parts(new, base, second.buckets, ("branch_stock",)),
               appended=V.write_parts(new, base, second.buckets, ("sale", "sale_detail")))
     return L.sales_list(V.open_version(spark, base)[1], "active").select("sale_id", "total")

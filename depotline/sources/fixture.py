@@ -220,13 +220,16 @@ def fixture_tables(spark: SparkSession, sf_dir: str, written: tuple[str, ...] =
     warehouse_stock = once(wh_moves.groupBy("warehouse_id", "product_id").agg(
         F.sum("q").cast(STOCK_QTY).alias("quantity")), "warehouse_stock")
 
+    # A line brings what its transfer moves to the branch and takes what its sale sells there, if both are live.
+    live = F.coalesce(ln != 4, F.lit(True)) & (F.col("l_orderkey") % 13 != 0)
+    whole = F.col("l_quantity").cast(MONEY)
+    sold = F.when(live, F.when(ln > 4, quarter).otherwise(whole)).otherwise(F.lit(0).cast(MONEY))
     br_moves = (
-        tline.select("branch_id", "product_id", F.col("quantity").alias("q"))
-        .unionByName(
-            sale.where(F.col("is_deleted").isNull()).select("sale_id", "branch_id")
-            .join(sale_detail.where(F.col("is_deleted").isNull()).select("sale_id", "product_id", "quantity"),
-                  "sale_id")
-            .select("branch_id", "product_id", (-F.col("quantity")).alias("q"))
+        lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+        .select(
+            (F.col("o_custkey") % 25 + 1).alias("branch_id"), (F.col("l_partkey") + 1).alias("product_id"),
+            (F.when(ln > 5, quarter).otherwise(whole) - sold).alias("q"),
         )
     )
     branch_stock = once(br_moves.groupBy("branch_id", "product_id").agg(
