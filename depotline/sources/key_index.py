@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotline.schemas import PRIMARY_KEYS
-from depotline.session import stage, staged_tables
+from depotline.session import stage, staged_tables, unstage
 from depotline.sources.changes import Change, bucket_key, carried, read_folders
 from depotline.sources.layout import KIND_LINES
 from depotline.sources.tables import Tables
@@ -28,6 +28,8 @@ from depotline.sources.versions import Version
 ENTRY = "table_name string, bucket int, folder string, low long, high long, words array<long>"
 TABLES = ("sale", "purchase", "transfer", "payment")
 BITS_PER_KEY, HASHES, MOST_WORDS = 10, 5, 16_384
+#: Ids of a batch that one task looks up among the parts of a bucket.
+IDS_A_SHARE = 1_000_000
 
 
 def _name(folder: str) -> str:
@@ -35,14 +37,18 @@ def _name(folder: str) -> str:
     return "/".join(folder.rstrip("/").split("/")[-3:])
 
 
+def _part_of(path: Column) -> Column:
+    """``_name`` of a file's part.  By counting slashes, which costs little; a search costs more than the rest of a row."""
+    return F.substring_index(F.substring_index(path, "/", -4), "/", 3)
+
+
 def _bits(key: Column, words: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i)), words * 64) for i in range(HASHES)]
 
 
 def _entries(spark: SparkSession, version: Version, table: str, folders: list[str]) -> DataFrame:
     key = PRIMARY_KEYS[table][0]
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+/[^/]+)/[^/]+$", 1)
-    rows = read_folders(spark, version, table, folders).select(F.col(key).alias("id"), name.alias("folder")).where("id IS NOT NULL")
+    rows = read_folders(spark, version, table, folders).select(F.col(key).alias("id"), _part_of(F.col("_metadata.file_path")).alias("folder")).where("id IS NOT NULL")
     ends = stage(rows.groupBy("folder").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")), "key-ends")
     most = ends.agg(F.max("n")).first()[0] or 0
     size = F.lit(max(1, min(MOST_WORDS, ceil(most * BITS_PER_KEY / 64)))).cast("long")
@@ -76,13 +82,22 @@ def parts_with(spark: SparkSession, base: str, version: Version, table: str, ids
     entries = entries_of_version(spark, base, version.number).where(F.col("table_name") == table)
     wanted = ids.select(ids[ids.columns[0]].cast("long").alias("id")).where("id IS NOT NULL").distinct()
     if bucket_key(table) == PRIMARY_KEYS[table][0]:
-        wanted = wanted.withColumn("bucket", F.pmod(F.hash("id"), F.lit(version.buckets)))
+        low, high = entries.agg(F.min("low"), F.max("high")).first()
+        if low is None:
+            return []
+        # new ids mostly lie beyond all parts; the others are looked up in shares, since a bucket's ids would be one task's
+        within = stage(wanted.where(F.col("id").between(low, high)), "wanted-ids")
+        shares = ceil(within.count() / IDS_A_SHARE) or 1
+        wanted = within.withColumn("bucket", F.pmod(F.hash("id"), F.lit(version.buckets))).withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)))
+        entries = entries.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
         held = [F.getbit(F.get("words", F.floor(b / 64).cast("int")), F.pmod(b, F.lit(64))) == 1 for b in _bits(F.col("id"), F.size("words").cast("long"))]
-        hit = wanted.join(entries, "bucket").where(F.col("id").between(F.col("low"), F.col("high")) & reduce(lambda a, b: a & b, held))
+        hit = wanted.join(entries, ["bucket", "share"]).where(F.col("id").between(F.col("low"), F.col("high")) & reduce(lambda a, b: a & b, held))
     else:
+        within = None
         low, high = wanted.agg(F.min("id"), F.max("id")).first()
         hit = entries.where(F.lit(False)) if low is None else entries.where((F.col("low") <= high) & (F.col("high") >= low))
     names = {r[0] for r in hit.select("folder").distinct().collect()}
+    unstage(within)
     return sorted(f for fs in version.parts.get(table, {}).values() for f in fs if _name(f) in names)
 
 
