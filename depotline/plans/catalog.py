@@ -535,6 +535,7 @@ def _s02_line_keys(t: Tables) -> DataFrame:
     """Numbered lines after purchases were posted once more: keys without gaps, those of old lines unchanged."""
     from depotline.operators.lines import number_lines
     from depotline.schemas import LINE_KEYS
+    from depotline.session import stage
 
     old = number_lines(t)
     new = number_lines(_post_purchases(old).tables)
@@ -543,8 +544,9 @@ def _s02_line_keys(t: Tables) -> DataFrame:
         before, after = getattr(old, n), getattr(new, n)
         line = F.struct(*getattr(t, n).columns)
         both = after.join(before.select(key, line.alias("_old")), key, "left")
-        parts.append(both.agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct(key).alias("n_keys"), F.min(key).alias("first_key"),
-                              F.max(key).alias("last_key"), F.count_if(F.col("_old").eqNullSafe(line)).alias("old_lines_kept")).select(F.lit(n).alias("table_name"), "*"))
+        counts = both.agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct(key).alias("n_keys"), F.min(key).alias("first_key"),
+                          F.max(key).alias("last_key"), F.count_if(F.col("_old").eqNullSafe(line)).alias("old_lines_kept"))
+        parts.append(stage(counts.select(F.lit(n).alias("table_name"), "*"), "line-keys"))  # the shuffle of one table is gone before the next
     return reduce(DataFrame.unionByName, parts)
 
 
